@@ -221,9 +221,8 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Documents without the contaminated ones; the columns stay as they are.
 
-    The verdict is looked up by row position within the same task, so a repeated id does
-    no harm and no text is shuffled.
+    The whole row travels along as the id, so a repeated id does no harm and no text is shuffled.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("id"), F.col(text_col).alias("text"))
-    found = find_contamination(packed, items, id_col="id", text_col="text")
-    return found.filter(~contaminated()).select("id.*")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    found = find_contamination(packed, items, id_col="row", text_col="text")
+    return found.filter(~contaminated()).select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sql
+from . import decontaminate, mixing, neardup, quality, sql
 from .common import documents
 
 
@@ -12,16 +12,27 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_quality": op4_quality,
     "op8_mixing": op8_mixing,
+    "op10_neardup": op10_neardup,
 }
 
 ORACLE_SQL = {
     "op3_decontamination": sql.OP3,
     "op8_mixing": sql.OP8,
+    "op10_neardup": sql.OP10,
 }
