@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, quality, sql
+from . import decontaminate, mixing, neardup, quality, repeats, sql
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(documents(spark, sf_dir))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(documents(spark, sf_dir))
 
@@ -28,6 +32,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op8_mixing": op8_mixing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_neardup": op10_neardup,
 }
 

@@ -43,7 +43,7 @@ from mixed join rates on mixed.source is not distinct from rates.source"""
 
 OP10 = rf"""
 with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {ALPHABET}), '[^\x20\x09-\x0D]+') as w from documents),
-s as materialized (select doc_id, g from (select doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), i -> w[i:i + 3]))) as g from w where len(w) > 0)),
+s as materialized (select doc_id, g from (select doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: w[i:i + 3]))) as g from w where len(w) > 0)),
 n as materialized (select doc_id, count(*) as n from s group by doc_id),
 pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
 link as materialized (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
