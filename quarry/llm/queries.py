@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, gif, mixing, neardup, quality, repeats, sql
+from . import decontaminate, gif, maxent, mixing, neardup, quality, repeats, sql
 from .common import documents
 
 
@@ -12,6 +12,10 @@ def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.report(documents(spark, sf_dir))
 
 
+def op2_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -34,6 +38,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_gif": op1_gif,
+    "op2_maxent": op2_maxent,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op8_mixing": op8_mixing,
