@@ -180,7 +180,10 @@ def _fetch(batches):
                         string = raw[at : at + SPAN]
                         before = seen.get(string)
                         if before is not None and before < (i, at):
-                            add(0, i, at, 1, None)
+                            if out["block"] and out["block"][-1] is None and out["id"][-1] == i and out["a"][-1] + out["n"][-1] == at:
+                                out["n"][-1] += 1
+                            else:
+                                add(xxhash.xxh3_64_intdigest(string) - 2**63, i, at, 1, None)  # the key only spreads it
                             continue
                         if before is None and len(seen) >= 200_000:
                             seen.clear()
