@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, gif, maxent, mixing, neardup, quality, repeats, sql
+import corpus_pipeline
+
+from . import decontaminate, gif, maxent, mixing, neardup, quality, repeats, sql, toxicity
 from .common import documents
 
 
@@ -24,6 +26,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
@@ -41,9 +47,11 @@ QUERIES = {
     "op2_maxent": op2_maxent,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_neardup": op10_neardup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
