@@ -284,7 +284,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     a column, becomes the new number of characters. Null texts stay null.
     """
     _, spans = removed_spans(docs, id_col=id_col, text_col=text_col)
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
@@ -292,9 +293,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 text if text is None or not starts else cut(text.encode(), starts)[0].decode(errors="ignore")
                 for text, starts in zip(batch.column(at).to_pylist(), _starts(batch, "repeat_spans_"))
             ]
-            columns = list(batch.columns)[: len(docs.columns)]
+            columns = list(batch.columns)[: len(names)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: len(docs.columns)])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     marked = docs.join(spans.select(F.col("id").alias("repeat_id_"), F.col("spans").alias("repeat_spans_")), F.col(id_col) == F.col("repeat_id_"), "left").drop("repeat_id_")
     out = marked.mapInArrow(run, docs.schema)
