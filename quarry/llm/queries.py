@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, gif, maxent, mixing, neardup, quality, repeats, sql, toxicity
+from . import decontaminate, gif, language, licenses, maxent, mixing, neardup, quality, repeats, sql, toxicity
 from .common import documents
 
 
@@ -26,10 +26,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
@@ -47,7 +55,9 @@ QUERIES = {
     "op2_maxent": op2_maxent,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
+    "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
+    "op7_licenses": op7_licenses,
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_neardup": op10_neardup,
