@@ -1 +1 @@
-
+"""Part of quarry."""

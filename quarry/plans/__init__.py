@@ -1 +1,6 @@
+"""Registered queries of the knowledge-base operators."""
 
+from . import retrieval
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "retrieval"]
