@@ -47,7 +47,7 @@ def text_similarity(a: Column, b: Column, keys_a: Column, keys_b: Column) -> Col
 
 def alias_match(text: Column, alias: Column) -> Column:
     """EXP-4: the alias in the text, not next to a letter, digit or plus sign."""
-    return text.rlike(F.concat(F.lit(r"(?i)(?<![A-Z0-9+])\Q"), alias, F.lit(r"\E(?![A-Z0-9+])")))
+    return F.rlike(text, F.concat(F.lit(r"(?i)(?<![A-Z0-9+])\Q"), alias, F.lit(r"\E(?![A-Z0-9+])")))
 
 
 def normalise_term(column: Column) -> Column:
@@ -65,7 +65,7 @@ def parse_list(column: Column) -> Column:
     text = F.trim(F.coalesce(column, F.lit("")))
     as_list = F.from_json(text, "array<string>")
     scalar = F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")
-    split = F.transform(F.split(text, ","), F.trim)
+    split = F.transform(F.split(text, ","), lambda x: F.trim(x))
     items = F.when(text.startswith("[") & as_list.isNotNull(), as_list).when(text.startswith('"') & scalar.isNotNull(), F.array(scalar)).otherwise(split)
     return F.filter(items, lambda x: x.isNotNull() & (x != ""))
 

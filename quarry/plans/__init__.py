@@ -1,6 +1,6 @@
 """Registered queries of the knowledge-base operators."""
 
-from . import dashboard, relational, retrieval
+from . import dashboard, relational, retrieval, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "dashboard", "relational", "retrieval"]
+__all__ = ["ORACLE_SQL", "QUERIES", "dashboard", "relational", "retrieval", "texts"]
