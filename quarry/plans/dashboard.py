@@ -59,7 +59,7 @@ SLICES = [("month", i, NOW - 30 * 86400 + i * 30 * 86400 // 7, NOW - 30 * 86400
 
 
 @query("agg06_trends", f"""with g as (select * from (values {", ".join(str(s) for s in SLICES)}) as x("range", slice, s, e))
-select "range", slice, (select count(*) from events v where epoch(ts)::bigint >= s and epoch(ts)::bigint < e and event_type = 'signup') as uploads, (select count(*) from events v where epoch(ts)::bigint >= s and epoch(ts)::bigint < e and event_type = 'click') as questions from g""")
+select "range", slice, (select count(*) from events v where epoch_us(ts) // 1000000 >= s and epoch_us(ts) // 1000000 < e and event_type = 'signup') as uploads, (select count(*) from events v where epoch_us(ts) // 1000000 >= s and epoch_us(ts) // 1000000 < e and event_type = 'click') as questions from g""")
 def agg06(t):
     sec = F.unix_timestamp(F.col("ts").cast("timestamp")).alias("sec")
     facts = {name: t("events").filter(F.col("event_type") == kind).select(sec) for name, kind in (("uploads", "signup"), ("questions", "click"))}
@@ -170,7 +170,7 @@ def agg21(t):
     return st.stage_timing(t("events").select(F.col("user_id").alias("request_id"), F.col("event_type").alias("stage"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")))
 
 
-FB = "f as (select *, epoch(created_at)::bigint as sec from {feedback})"
+FB = "f as (select *, epoch_us(created_at) // 1000000 as sec from {feedback})"
 
 
 def feedback_sec(t):
