@@ -49,5 +49,11 @@ def fold(column: Column | str, k: int = 5) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % k
 
 
+def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The rows of the ``rows`` ids with the smallest hash: ids are chosen first, so that no texts meet in one task."""
+    chosen = df.select(F.col(id_col).alias("sample_id_")).orderBy(F.xxhash64("sample_id_"), "sample_id_").limit(rows)
+    return df.join(F.broadcast(chosen.distinct()), F.col(id_col) == F.col("sample_id_"), "left_semi")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
