@@ -1,6 +1,6 @@
 """Registered queries of the knowledge-base operators."""
 
-from . import corpus, dashboard, relational, retrieval, texts
+from . import corpus, dashboard, relational, retrieval, sessions, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "dashboard", "relational", "retrieval", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "dashboard", "relational", "retrieval", "sessions", "texts"]
