@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, small_batches, smallest_hashes
 
 #: At most so many labelled rows per class are used, those with the smallest hash of their id.
 TRAIN_ROWS, SHRINK, CUT = 20_000, (0.10, 0.05), 0.3
@@ -99,7 +99,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: in
     is bounded, so it may be broadcast: no text is shuffled.
     """
     marks = labels.select(F.col(label_id).alias("label_id"), F.col(label_col).cast("int").alias("y")).filter(fold("label_id") != 0)
-    taken = [marks.filter(F.col("y") == c).orderBy(F.xxhash64("label_id"), "label_id").limit(rows) for c in (0, 1)]
+    taken = [smallest_hashes(marks.filter(F.col("y") == c), "label_id", rows) for c in (0, 1)]
     chosen = F.broadcast(taken[0].unionByName(taken[1]))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id") == F.col("label_id")).select("id", "text", "y")
 
