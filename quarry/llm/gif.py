@@ -232,7 +232,8 @@ def with_frames(df: DataFrame, *, media_col: str = "media", frames_col: str = "f
     """
     small_batches(df.sparkSession, 500)
     at = df.columns.index(media_col)
-    schema = df.schema.add(frames_col, f"array<struct<{', '.join(f'{x.split()[0]}:{x.split()[1]}' for x in FRAME.split(', '))}>>").add(error_col, "string")
+    kind_name = "array<struct<" + ",".join(x.replace(" ", ":") for x in FRAME.split(", ")) + ">>"
+    schema = df.withColumn(frames_col, F.lit(None).cast(kind_name)).withColumn(error_col, F.lit(None).cast("string")).schema
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type

@@ -18,6 +18,7 @@ and its strings are dealt one by one by their own content instead.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,25 @@ from . import anchors
 from .anchors import SPAN, mix
 from .common import materialise, small_batches, text_bytes
 
-PIECE, LOCAL_RUNS, LOCAL_BLOCKS, HOT_BLOCKS, MEET = 1 << 20, 1_000_000, 64, 2048, 3000
+PIECE, SEEN = 1 << 20, 200_000
 DUP, OPEN, HOT, MARKED = 0, 1, 2, 3
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much a task holds; results do not depend on it.
+
+    Runs of a task are settled ``local_runs`` at a time. Of an anchor's distinct blocks in
+    such a lot, ``local_blocks`` travel as runs and the rest as single strings; so does an
+    anchor with over ``hot_blocks`` blocks in all. ``meet`` blocks at least are sorted at once.
+    """
+
+    local_runs: int = 1_000_000
+    local_blocks: int = 64
+    hot_blocks: int = 2048
+    meet: int = 3000
+
+
 _ROW = "k long, kind int, g long, id long, a long, n long"
 
 
@@ -64,7 +82,7 @@ def _later(k, g, ids, a):
     return fresh, (ids != ids[first]) | (a != a[first])
 
 
-def _local(parts):
+def _local(parts, limits: Limits):
     k, g, ids, a, n = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((a, ids, g, k))
     k, g, ids, a, n = (x[order] for x in (k, g, ids, a, n))
@@ -74,7 +92,7 @@ def _local(parts):
     start = np.flatnonzero(_new(k))
     size = np.diff(np.append(start, len(k)))
     rank, size = np.arange(len(k)) - np.repeat(start, size), np.repeat(size, size)
-    kind = np.where(rank >= LOCAL_BLOCKS, HOT, np.where(size > LOCAL_BLOCKS, MARKED, OPEN))
+    kind = np.where(rank >= limits.local_blocks, HOT, np.where(size > limits.local_blocks, MARKED, OPEN))
     out = [np.concatenate(x) for x in zip((mix(di.astype(np.uint64)).view(np.int64), np.zeros(len(di), np.int64), di, da, dn, np.full(len(di), DUP)), (k, g, ids, a, n, kind))]
     hot = out[5] == HOT
     out[0] = np.where(hot, mix(out[2].astype(np.uint64)).view(np.int64), out[0])
@@ -83,7 +101,7 @@ def _local(parts):
         yield _table(k=out[0][s], kind=out[5][s].astype(np.int32), g=out[1][s], id=out[2][s], a=out[3][s], n=out[4][s])
 
 
-def _runs(batches):
+def _runs(batches, limits: Limits):
     """Runs of this task's documents, with what can be settled among them."""
     parts, held, texts, size = [], 0, [], 0
 
@@ -105,13 +123,13 @@ def _runs(batches):
                 size += len(texts[-1][2])
                 if size >= PIECE:
                     held, size = held + flush(), 0
-            if held >= LOCAL_RUNS:
-                yield from _local(parts)
+            if held >= limits.local_runs:
+                yield from _local(parts, limits)
                 parts, held = [], 0
     if texts:
         flush()
     if parts:
-        yield from _local(parts)
+        yield from _local(parts, limits)
 
 
 def _whole_groups(batches, least: int = 1):
@@ -135,7 +153,7 @@ def _whole_groups(batches, least: int = 1):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _settle(batches):
+def _settle(batches, limits: Limits):
     """Of runs in the order (k, g, id, a): later copies, and first blocks of anchors with several blocks."""
     for table in _whole_groups(batches, 20_000):
         k, kind, g, ids, a, n = (table.column(c).to_numpy() for c in ("k", "kind", "g", "id", "a", "n"))
@@ -147,7 +165,7 @@ def _settle(batches):
             group = np.cumsum(_new(k)) - 1
             blocks = np.bincount(group, weights=fresh)[group]
             hot = np.bincount(group, weights=kind == MARKED)[group] > 0
-            hot |= blocks > HOT_BLOCKS
+            hot |= blocks > limits.hot_blocks
             state = np.where(later, DUP, np.where(hot, HOT, OPEN))
             keep = later | (fresh & ((blocks > 1) | hot))
             for part, x in zip(out, (ids, state.astype(np.int32), a, n, k)):
@@ -185,7 +203,7 @@ def _fetch(batches):
                             else:
                                 add(xxhash.xxh3_64_intdigest(string) - 2**63, i, at, 1, None)  # the key only spreads it
                             continue
-                        if before is None and len(seen) >= 200_000:
+                        if before is None and len(seen) >= SEEN:
                             seen.clear()
                         seen[string] = (i, at)
                         add(xxhash.xxh3_64_intdigest(string) - 2**63, i, at, 1, string)
@@ -193,9 +211,9 @@ def _fetch(batches):
         yield pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()})
 
 
-def _factor(batches):
+def _factor(batches, limits: Limits):
     """Starts with a longest previous factor of a whole string, among the blocks with one k."""
-    for table in _whole_groups(batches, MEET):
+    for table in _whole_groups(batches, limits.meet):
         ids, a, n = (table.column(c).to_numpy() for c in ("id", "a", "n"))
         blocks = table.column("block").to_pylist()
         known = np.array([b is None for b in blocks], bool)
@@ -220,17 +238,17 @@ def _factor(batches):
         yield _table(id=found[0], a=found[1], n=found[2])
 
 
-def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """(id, raw) of every row, and (id, spans) of those with later copies; spans hold runs of starts (a, n)."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     raw = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("raw"))
-    dealt = raw.filter("id is not null").mapInArrow(_runs, _ROW).repartition("k").sortWithinPartitions("k", "g", "id", "a")
-    plan = materialise(dealt.mapInArrow(_settle, "id long, kind int, a long, n long, k long"), "runs")
+    dealt = raw.filter("id is not null").mapInArrow(lambda b: _runs(b, limits), _ROW).repartition("k").sortWithinPartitions("k", "g", "id", "a")
+    plan = materialise(dealt.mapInArrow(lambda b: _settle(b, limits), "id long, kind int, a long, n long, k long"), "runs")
     wanted = plan.filter(F.col("kind") != DUP).groupBy("id").agg(F.collect_list(F.struct("kind", "a", "n", "k")).alias("plan"))
     # Left joins on either side of the same texts, so that Spark shuffles the texts once.
     fetched = raw.join(wanted, "id", "left").mapInArrow(_fetch, "k long, id long, a long, n long, block binary")
-    found = fetched.repartition("k").sortWithinPartitions("k").mapInArrow(_factor, "id long, a long, n long")
+    found = fetched.repartition("k").sortWithinPartitions("k").mapInArrow(lambda b: _factor(b, limits), "id long, a long, n long")
     starts = plan.filter(F.col("kind") == DUP).select("id", "a", "n").unionByName(found)
     return raw, starts.groupBy("id").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
 
@@ -266,14 +284,14 @@ def _digest(batches):
         )
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, *, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row.
 
     Null texts are empty and lose nothing, as do texts under 100 bytes and rows without an
     id, which are no sources either. Ids must name one text: repeated rows of an id are one
     document, and get equal results.
     """
-    raw, spans = removed_spans(docs)
+    raw, spans = removed_spans(docs, limits=limits)
     return raw.join(spans, "id", "left").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

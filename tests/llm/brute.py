@@ -18,3 +18,47 @@ def repeats(docs: dict[int, bytes], span: int = 100):
         spans = sum(1 for j, g in enumerate(gone) if g and (j == 0 or not gone[j - 1]))
         out[i] = (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def contamination(docs: dict, items: dict, size: int = 13):
+    """doc_id -> (n_words, n_hit, item ids)."""
+    import re
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: word.findall((t or "").translate(lower))
+    out = {}
+    for i, text in docs.items():
+        w, hit, found = words(text), set(), set()
+        for item, item_text in items.items():
+            v = words(item_text)
+            k = min(size, len(v))
+            windows = {tuple(v[j : j + k]) for j in range(len(v) - k + 1)} if v else set()
+            for p in range(len(w) - k + 1):
+                if k and tuple(w[p : p + k]) in windows:
+                    hit |= set(range(p, p + k))
+                    found.add(str(item))
+        out[i] = (len(w), len(hit), tuple(sorted(found)))
+    return out
+
+
+def near(docs: dict, k: int, percent: int = 80):
+    """doc_id -> (set size, smallest id that links reach)."""
+    sets = {}
+    for i, text in docs.items():
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(docs)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in docs}
