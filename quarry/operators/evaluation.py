@@ -81,3 +81,18 @@ def training_pairs(qa: DataFrame, mode: str, max_chars: int) -> DataFrame:
     source = F.left("source_text", F.lit(max_chars))
     positive = {"answer": F.col("answer"), "source": source, "answer_source": F.concat_ws("\n", "answer", source)}[mode]
     return qa.select("question", F.trim(positive).alias("positive")).filter((F.length(F.trim("question")) > 0) & (F.length("positive") > 0))
+
+
+def build_cases(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """EVL-6: question cases with stable ids and their source's title; blank questions and truths go."""
+    from quarry.functions.text import stable_key
+
+    rows = items.filter((F.trim("question") != "") & (F.trim("ground_truth") != "")).join(docs.select(F.col("doc_id").alias("source_doc_id"), F.col("title").alias("source_title")), "source_doc_id", "left")
+    return rows.select(stable_key([F.col("question"), F.col("ground_truth")]).alias("case_id"), "question", "ground_truth", "source_doc_id", F.coalesce("source_title", F.lit("")).alias("source_title"))
+
+
+def evaluation_frame(cases: DataFrame, retrieved: DataFrame, done: DataFrame, *, query: str = "query_id") -> DataFrame:
+    """EVL-8: cases not scored yet, each with its retrieved keys in rank order."""
+    open_ = cases.join(done.select(query).distinct(), query, "left_anti")
+    context = retrieved.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_pk")))["chunk_pk"].alias("contexts"))
+    return open_.join(context, query, "left").select(query, F.coalesce("contexts", F.array().cast("array<bigint>")).alias("contexts"))

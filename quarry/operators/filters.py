@@ -161,3 +161,21 @@ def visible_rows(df: DataFrame, users: DataFrame, permission: str, *, owner: str
     implied = F.when(F.array_contains("permissions", "admin"), F.lit(True)).when(F.lit(permission == "read"), F.arrays_overlap("permissions", F.array(F.lit("read"), F.lit("write"), F.lit("review")))).otherwise(F.array_contains("permissions", permission))
     viewers = users.select(F.col("user_id").alias("viewer_id"), implied.alias("sees_all"))
     return viewers.join(df, F.col("sees_all") | (F.col(owner) == F.col("viewer_id")))
+
+
+def feedback_eligible(messages: DataFrame, traces: DataFrame) -> DataFrame:
+    """FLT-17: answers that feedback may refer to: their latest trace fetched documents, or they cite some themselves."""
+    w = W.partitionBy("message_id").orderBy(F.desc("trace_sec"), F.desc("trace_id"))
+    last = traces.withColumn("n", F.row_number().over(w)).filter("n = 1")
+    rows = messages.filter("role = 0").join(last, messages["id"] == last["message_id"], "left")
+    fetched = (F.col("route") == "knowledge_search") & (F.col("n_documents") > 0)
+    own = F.coalesce("ai_reference_doc_ids", F.lit("")) != ""
+    return rows.filter(F.when(F.col("route") == "knowledge_search", fetched).otherwise(own)).select("id")
+
+
+def audit_candidates(traces: DataFrame, least: int = 2) -> DataFrame:
+    """FLT-18: per session the traces that share a document or enough terms with the active context; all where under ``least`` remain."""
+    related = F.arrays_overlap("docs", "active_docs") | (F.size(F.array_intersect("terms", "active_terms")) >= 2)
+    rows = traces.withColumn("related", F.coalesce(related, F.lit(False)))
+    n = F.sum(F.col("related").cast("int")).over(W.partitionBy("session_id"))
+    return rows.withColumn("n_related", n).filter(F.col("related") | (F.col("n_related") < least)).drop("n_related")

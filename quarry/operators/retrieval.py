@@ -166,3 +166,46 @@ def rank_supported(cands: DataFrame, *, query: str = "query_id") -> DataFrame:
     """VEC-14: supported candidates only, graded ones first by grade, the rest by score."""
     order = [F.desc(F.col("grade_score").isNotNull()), F.desc_nulls_last("grade_score"), F.desc("score"), F.asc("chunk_pk")]
     return cands.filter(F.coalesce("supported", F.lit(False))).withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(*order)))
+
+
+def plan_queries(levels: DataFrame, *, query: str = "query_id") -> DataFrame:
+    """VEC-10: of (query, level, kind, text) the first of each key over the levels; one rewrite at most where the original is there."""
+    key = F.when(F.col("kind") == "keyword", F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ")).otherwise(F.regexp_replace(F.lower("text"), r"[\s\p{P}]", ""))
+    first = levels.withColumn("key", key).filter("key <> ''").withColumn("n", F.row_number().over(W.partitionBy(query, "kind", "key").orderBy("level", "text"))).filter("n = 1")
+    has = F.max((F.col("level") == 0).cast("int")).over(W.partitionBy(query))
+    nth = F.row_number().over(W.partitionBy(query, F.col("level") == 1).orderBy("kind", "text"))
+    return first.withColumn("has_original", has).withColumn("nth", nth).filter((F.col("level") != 1) | (F.col("has_original") == 0) | (F.col("nth") == 1)).select(query, "level", "kind", "text")
+
+
+def judge_sufficiency(cands: DataFrame, *, query: str = "query_id") -> DataFrame:
+    """VEC-12: aspects (terms) that candidates support, those missing, and what to do next."""
+    hit = F.filter("terms", lambda t: F.lower("text").contains(t))
+    rows = cands.withColumn("hit", hit)
+    per = rows.groupBy(query).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("supported"), F.first("terms").alias("terms"), F.count_if(F.size("hit") == 0).alias("irrelevant"), F.count(F.lit(1)).alias("n"))
+    missing = F.array_sort(F.array_except("terms", "supported"))
+    action = F.when(F.size(missing) == 0, "answer").when(F.size("supported") > 0, "refine").otherwise("replan")
+    return per.select(query, F.array_join("supported", ",").alias("supported"), F.array_join(missing, ",").alias("missing"), "irrelevant", action.alias("next_action"))
+
+
+def refine_queries(judged: DataFrame, *, query: str = "query_id", most: int = 3) -> DataFrame:
+    """VEC-13: entity and missing aspect as the keyword and semantic queries of a second round, ``most`` of each."""
+    targets = F.slice(F.split("missing", ","), 1, 5)
+    keyword = F.transform(targets, lambda t: F.struct(F.lit("keyword").alias("kind"), F.concat_ws(" ", "entity", t).alias("text")))
+    semantic = F.transform(targets, lambda t: F.struct(F.lit("semantic").alias("kind"), F.concat(F.lit("what is known of "), t, F.lit(" for "), "entity").alias("text")))
+    both = F.concat(F.slice(keyword, 1, most), F.slice(semantic, 1, most))
+    return judged.filter("missing <> ''").select(query, F.inline(both))
+
+
+def evidence_snippets(sections: DataFrame, *, before: int = 250, after: int = 1250, most: int = 8, query: str = "query_id") -> DataFrame:
+    """VEC-15: windows around the first hit of each term, merged where they meet, the first ``most`` of a document."""
+    spots = F.array_sort(F.array_distinct(F.filter(F.transform("terms", lambda t: F.position(t, F.lower("text"))), lambda x: x > 0)))
+    zero = F.array().cast("array<struct<s:int,e:int>>")
+
+    def step(acc, x):
+        s, e = F.greatest(F.lit(1), x - before).cast("int"), (x + after).cast("int")
+        last = F.try_element_at(acc, F.lit(-1))
+        meets = (F.size(acc) > 0) & (last["e"] >= s)
+        merged = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), e.alias("e"))))
+        return F.when(meets, merged).otherwise(F.concat(acc, F.array(F.struct(s.alias("s"), e.alias("e")))))
+
+    return sections.select(query, "doc_id", "text", F.posexplode(F.slice(F.aggregate(spots, zero, step), 1, most)).alias("n", "w")).select(query, "doc_id", "n", F.substring("text", F.col("w.s"), F.col("w.e") - F.col("w.s")).alias("snippet"))

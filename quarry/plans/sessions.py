@@ -143,3 +143,89 @@ def vec05(t):
     terms = F.when(q == 0, F.array().cast("array<string>")).when(q == 1, F.array(F.lit("the"), F.lit("zzz"))).otherwise(F.array(F.lit("doc 1"), F.lit("qqq")))
     docs = t("documents").select("doc_id", "text", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"))
     return rt.domain_rescore(ranked(t).join(docs, "doc_id").withColumn("terms", terms)).select("query_id", "chunk_pk", F.round("rescored", 4).alias("rescored"))
+
+
+@query("flt17_eligible", """with t as (select id * 10 + k as trace_id, id as message_id, ts_sec + k as trace_sec, case when (id + k) % 3 = 0 then 'chat' else 'knowledge_search' end as route, (id + k) % 4 as n_documents from {messages}, (select unnest([0, 1]) as k) where id % 6 <> 5),
+l as (select * from (select *, row_number() over (partition by message_id order by trace_sec desc, trace_id desc) as n from t) where n = 1)
+select m.id from {messages} m left join l on l.message_id = m.id where m.role = 0 and case when route = 'knowledge_search' then n_documents > 0 else ai_reference_doc_ids <> '' end""")
+def flt17(t):
+    m = t("messages")
+    traces = m.filter("id % 6 <> 5").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select((F.col("id") * 10 + F.col("k")).alias("trace_id"), F.col("id").alias("message_id"), (F.col("ts_sec") + F.col("k")).alias("trace_sec"), F.when((F.col("id") + F.col("k")) % 3 == 0, "chat").otherwise("knowledge_search").alias("route"), ((F.col("id") + F.col("k")) % 4).alias("n_documents"))
+    return fl.feedback_eligible(m, traces)
+
+
+@query("flt18_audit", """with m as (select id, session_id, [token_count % 5] as docs, list_distinct(string_split(lower(content_text), ' ')) as terms from {messages}), a as (select session_id, arg_max(docs, id) as active_docs, arg_max(terms, id) as active_terms from m group by 1),
+r as (select m.*, list_has_any(docs, active_docs) or len(list_intersect(terms, active_terms)) >= 2 as related from m join a using (session_id)), n as (select *, sum(related::int) over (partition by session_id) as k from r) select id, related from n where related or k < 2""")
+def flt18(t):
+    m = t("messages").select("id", "session_id", F.array(F.col("token_count") % 5).alias("docs"), F.array_distinct(F.split(F.lower("content_text"), " ")).alias("terms"))
+    active = m.groupBy("session_id").agg(F.max_by("docs", "id").alias("active_docs"), F.max_by("terms", "id").alias("active_terms"))
+    return fl.audit_candidates(m.join(active, "session_id")).select("id", "related")
+
+
+LEVELS = """v as (select item_id as query_id, k as level, case when k % 2 = 0 then 'keyword' else 'semantic' end as kind, case when k < 2 then text when k = 2 then text || '  ' when k = 3 then text || ' ?!' when k = 4 then '  ' || left(text, 20) || '  ' else left(text, 10 + k) end as text from benchmark, (select unnest(range(0, 6)) as k) where item_id % 4 <> 0 or k > 0),
+f as (select *, case when kind = 'keyword' then regexp_replace(lower(trim(text, ' ')), '\\s+', ' ', 'g') else regexp_replace(lower(text), '[\\s\\pP]', '', 'g') end as key from v), g as (select * from (select *, row_number() over (partition by query_id, kind, key order by level, text) as n from f where key <> '') where n = 1),
+h as (select *, max((level = 0)::int) over (partition by query_id) as orig, row_number() over (partition by query_id, level = 1 order by kind, text) as nth from g)"""
+
+
+@query("vec10_plan", f"with {LEVELS} select query_id, level, kind, md5(text) as text from h where level <> 1 or orig = 0 or nth = 1")
+def vec10(t):
+    k = F.col("k")
+    text = F.when(k < 2, F.col("text")).when(k == 2, F.concat("text", F.lit("  "))).when(k == 3, F.concat("text", F.lit(" ?!"))).when(k == 4, F.concat(F.lit("  "), F.left("text", F.lit(20)), F.lit("  "))).otherwise(F.left("text", 10 + k))
+    rows = t("benchmark").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).filter("item_id % 4 <> 0 or k > 0")
+    levels = rows.select(F.col("item_id").alias("query_id"), k.alias("level"), F.when(k % 2 == 0, "keyword").otherwise("semantic").alias("kind"), text.alias("text"))
+    return rt.plan_queries(levels).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+JUDGED = """c as (select doc_id % 40 as query_id, lower(text) as text, case doc_id % 40 % 3 when 0 then ['the', 'zzqx'] when 1 then ['the', 'of'] else ['qqqq', 'zzqx'] end as terms from documents),
+h as (select query_id, terms, list_filter(terms, lambda x: contains(text, x)) as hit from c), s as (select query_id, any_value(terms) as terms, list_sort(list_distinct(flatten(list(hit)))) as supported, count(*) filter (len(hit) = 0) as irrelevant from h group by 1),
+j as (select query_id, array_to_string(supported, ',') as supported, array_to_string(list_sort(list_filter(terms, lambda x: not list_contains(supported, x))), ',') as missing, irrelevant, case when len(list_filter(terms, lambda x: not list_contains(supported, x))) = 0 then 'answer' when len(supported) > 0 then 'refine' else 'replan' end as next_action from s)"""
+
+
+def judged(t):
+    q = F.col("doc_id") % 40
+    terms = F.when(q % 3 == 0, F.array(F.lit("the"), F.lit("zzqx"))).when(q % 3 == 1, F.array(F.lit("the"), F.lit("of"))).otherwise(F.array(F.lit("qqqq"), F.lit("zzqx")))
+    return rt.judge_sufficiency(t("documents").select(q.alias("query_id"), "text", terms.alias("terms")))
+
+
+@query("vec12_sufficiency", f"with {JUDGED} select * from j")
+def vec12(t):
+    return judged(t)
+
+
+@query("vec13_refine", f"with {JUDGED}, x as (select query_id, unnest(string_split(missing, ',')) as m from j where missing <> '') select query_id, 'keyword' as kind, concat('unit ', query_id::varchar, ' ', m) as text from x union all select query_id, 'semantic', concat('what is known of ', m, ' for unit ', query_id::varchar) from x")
+def vec13(t):
+    return rt.refine_queries(judged(t).withColumn("entity", F.concat(F.lit("unit "), F.col("query_id").cast("string"))))
+
+
+@query("vec15_snippets", """with p as (select doc_id, text, list_sort(list_distinct(list_filter([strpos(lower(text), 'the'), strpos(lower(text), 'und'), strpos(lower(text), 'que'), strpos(lower(text), 'licen')], lambda x: x > 0))) as spots from documents),
+u as (select doc_id, text, unnest(spots) as x, generate_subscripts(spots, 1) as i from p), w as (select *, greatest(1, x - 250) as s, x + 1250 as e, lag(x + 1250) over (partition by doc_id order by i) as pe from u),
+g as (select *, sum(case when pe >= s then 0 else 1 end) over (partition by doc_id order by i) as g from w) select doc_id % 9 as query_id, doc_id, (g - 1)::int as n, md5(substring(any_value(text), min(s), max(e) - min(s))) as snippet from g where g <= 8 group by doc_id, g""")
+def vec15(t):
+    terms = F.array(*[F.lit(x) for x in ("the", "und", "que", "licen")])
+    out = rt.evidence_snippets(t("documents").select((F.col("doc_id") % 9).alias("query_id"), "doc_id", "text", terms.alias("terms")))
+    return out.withColumn("snippet", F.md5(F.col("snippet").cast("binary")))
+
+
+@query("evl06_cases", "select left(sha1(concat_ws('|', left(b.text, 40), b.text)), 12) as case_id, b.item_id as source_doc_id, coalesce(s.title, '') as source_title from benchmark b left join {stored_titles} s on s.doc_id = b.item_id where b.item_id % 5 <> 0")
+def evl06(t):
+    from quarry.operators import evaluation as ev
+
+    items = t("benchmark").select(F.col("item_id").alias("source_doc_id"), F.when(F.col("item_id") % 5 == 0, "  ").otherwise(F.left("text", F.lit(40))).alias("question"), F.col("text").alias("ground_truth"))
+    return ev.build_cases(items, t("stored_titles")).select("case_id", "source_doc_id", "source_title")
+
+
+@query("evl07_pairs", "select left(text, 40) as question, md5(trim(concat(text, chr(10), left(repeat(text, 3), 200)))) as positive from benchmark")
+def evl07(t):
+    from quarry.operators import evaluation as ev
+
+    qa = t("benchmark").select(F.left("text", F.lit(40)).alias("question"), F.col("text").alias("answer"), F.repeat("text", F.lit(3)).alias("source_text"))
+    return ev.training_pairs(qa, "answer_source", 200).withColumn("positive", F.md5(F.col("positive").cast("binary")))
+
+
+@query("evl08_frame", f"with {KNN} select query_id, string_agg(chunk_pk::varchar, ',' order by rank) as contexts from ranked where rank <= 6 and query_id % 4 <> 1 group by 1")
+def evl08(t):
+    from quarry.operators import evaluation as ev
+
+    done = t("query_vectors").filter("query_id % 4 = 1")
+    out = ev.evaluation_frame(t("query_vectors"), ranked(t).filter("rank <= 6"), done)
+    return out.select("query_id", F.array_join(F.transform("contexts", lambda x: x.cast("string")), ",").alias("contexts"))
