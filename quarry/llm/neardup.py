@@ -149,6 +149,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = members.join(first, members["id"] == first["node"], "left").select("pivot", "id", F.coalesce("component", "id").alias("component"))
     shares = placed.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("rows"))
     cores = shares.groupBy("pivot").agg(F.max_by("component", F.struct("rows", "component")).alias("core"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"), F.max("rows").alias("in_core")).filter("parts > 1")
+    cores = materialise(cores, "cores")
+    if cores.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        cores = F.broadcast(cores)
     open_rows = placed.join(cores, "pivot").join(sets, "id")
     rows = open_rows.withColumn("wide", F.ceil(F.col("rows") / BLOCK)).withColumn("high", F.ceil((F.col("rows") - F.col("in_core")) / BLOCK))
     columns = ["pivot", "id", "component", "regs", "set"]
