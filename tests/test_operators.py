@@ -121,3 +121,15 @@ def test_patches_stay_within_bounds(spark):
     patches = spark.createDataFrame([(1, 1, 0.25, 1.0), (2, -1, 0.25, 1.0), (2, -1, 0.25, 1.0)], "document_id int, sign int, weight double, confidence double")
     got = {r.doc_id: r.patched for r in feedback.apply_patches(ranked, patches).collect()}
     assert got[1] == pytest.approx(1.0) and got[2] == pytest.approx(0.0) and got[3] == pytest.approx(0.5)
+
+
+def test_stale_tasks_are_reported_once(spark, tmp_path):
+    for n, minute in enumerate((0, 2, 20, 40, 60)):
+        rows = [(1 if n < 2 else n + 1, minute * 60_000)]
+        df = spark.createDataFrame(rows, "task_id long, ms long").withColumn("at", F.timestamp_millis("ms"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("task_id long, ms long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = jobs.stale_stream(source, 5 * 60_000).writeStream.outputMode("append").format("memory").queryName("stale").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(180)
+    got = sorted((r.task_id, r.last_ms) for r in spark.table("stale").collect())
+    assert (1, 120_000) in got and len(got) == len(set(got)) and all(task < 5 for task, _ in got)
