@@ -67,5 +67,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_decontamination": sql.OP3,
     "op8_mixing": sql.OP8,
+    "op9_suffix_dedup": sql.OP9,
     "op10_neardup": sql.OP10,
 }

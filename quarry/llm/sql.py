@@ -53,3 +53,17 @@ comp as (select node, min(seen) as component_id from reach group by node)
 select w.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(component_id, w.doc_id) as component_id, coalesce(component_id, w.doc_id) = w.doc_id as kept
 from w left join n on n.doc_id = w.doc_id left join comp on comp.node = w.doc_id
 """
+
+OP9 = """
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) as k from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as p from d where length(h) >= 200)),
+dup as materialized (select doc_id, p from (select doc_id, p, row_number() over (partition by k order by doc_id, p) as n from w) where n > 1),
+mark as (select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + 100 then 1 else 0 end as fresh from dup),
+numbered as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as g from mark),
+span as (select doc_id, g, min(p) as s, max(p) + 100 as e from numbered group by all),
+piece as (select span.doc_id, s, e, substr(h, 2 * coalesce(lag(e) over (partition by span.doc_id order by s), 0) + 1, 2 * (s - coalesce(lag(e) over (partition by span.doc_id order by s), 0))) as x from span join d using (doc_id)),
+per as (select doc_id, count(*) as n_spans, sum(e - s) as n_removed, max(e) as last, string_agg(x, '' order by s) as x from piece group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when last is null then h else concat(x, substr(h, 2 * last + 1)) end)) as kept_sha256
+from d left join per using (doc_id)
+"""
