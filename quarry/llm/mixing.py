@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED, POWER, BROADCAST_SOURCES = "mix-1", 0.5, 10_000
+#: A larger rate is drawn as a sum of independent parts, which keeps a source's table short.
+PART_RATE = 500.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -34,7 +36,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, *, source_col: str = "source", power: float = POWER, weights: dict[str, float] | None = None, size: float = 1.0) -> DataFrame:
-    """Per source: n, rate and the Poisson distribution at that rate.
+    """Per source: n, rate, and the Poisson distribution at a ``parts``-th of that rate.
 
     The target weight is ``weights[source]`` (0 where missing), or else the source's count
     to ``power``. ``size`` is the output's size as a multiple of the input's.
@@ -48,7 +50,7 @@ def source_rates(docs: DataFrame, *, source_col: str = "source", power: float =
     counts = counts.withColumn("weight", weight)
     total = counts.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))
     rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_n") * size / F.col("n")).otherwise(0.0)
-    return counts.crossJoin(F.broadcast(total)).withColumn("rate", rate).select("mix_source", "n", "rate", poisson_cdf(F.col("rate")).alias("cdf"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("rate", rate).withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("long")).select("mix_source", "n", "rate", "parts", poisson_cdf(F.col("rate") / F.col("parts")).alias("cdf"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED, power: float = POWER, weights: dict[str, float] | None = None, size: float = 1.0) -> DataFrame:
@@ -61,7 +63,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     rates = source_rates(docs, source_col=source_col, power=power, weights=weights, size=size)
     if rates.select("mix_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    copies = F.size(F.filter("cdf", lambda c: c <= F.col("mix_u")))
+    def part(j: Column) -> Column:
+        u = F.when(j == 1, uniform(F.lit(seed), F.col(id_col))).otherwise(uniform(F.lit(seed), F.col(id_col), j))
+        return F.size(F.filter("cdf", lambda c: c <= u))
+
+    one = F.size(F.filter("cdf", lambda c: c <= F.col("mix_u")))
+    several = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("parts")), F.lit(0).cast("long"), lambda s, j: s + part(j))
+    copies = F.when(F.col("parts") == 1, one).otherwise(several)
     dealt = (
         docs.join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")), "inner")
         .withColumn("mix_u", uniform(F.lit(seed), F.col(id_col)))

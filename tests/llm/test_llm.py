@@ -212,6 +212,13 @@ def test_poisson_of_a_large_rate(spark):
     assert cdf[-1] == pytest.approx(1.0, abs=1e-9) and cdf[899] == pytest.approx(0.5, abs=0.02)
 
 
+def test_mixing_of_a_rare_source(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4, "rare").otherwise("common").alias("source"))
+    mixed = mixing.mix(df, weights={"rare": 1.0, "common": 1.0})
+    got = {r.source: r.n for r in mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got["rare"] == pytest.approx(10_000, rel=0.05) and got["common"] == pytest.approx(10_000, rel=0.05)
+
+
 # Repeats
 
 
