@@ -9,12 +9,14 @@ All of it is DataFrame work: rates are one small grouped aggregate.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED, POWER, BROADCAST_SOURCES = "mix-1", 0.5, 10_000
-#: A larger rate is drawn as a sum of independent parts, which keeps a source's table short.
-PART_RATE = 500.0
+#: From here on Stirling's series is exact to a double, and a table may start there.
+LEAST_START = 100
 
 
 def uniform(*parts: Column) -> Column:
@@ -23,20 +25,30 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """The distribution function at 0, 1, ... until nothing that a double can show is left."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 25).cast("int")
-    start = F.struct((-rate).alias("lp"), F.array(F.exp(-rate)).alias("cdf"))
+def poisson_start(rate: Column) -> Column:
+    """Where a table of the distribution may start: the mass below is under exp(-72), far less than a step of ``uniform``."""
+    low = F.floor(rate - 12 * F.sqrt(rate)).cast("long")
+    return F.when(low >= LEAST_START, low).otherwise(F.lit(0).cast("long"))
+
+
+def poisson_cdf(rate: Column, first: Column | None = None) -> Column:
+    """The distribution function at ``first`` (0), first + 1, ... until nothing that a double can show is left."""
+    first = F.lit(0).cast("long") if first is None else first
+    top = F.ceil(rate + 12 * F.sqrt(rate) + 25).cast("long")
+    x = F.greatest(first, F.lit(1)).cast("double")
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    log_first = F.when(first == 0, -rate).otherwise(x - rate + x * F.ln(rate / x) - F.ln(2 * math.pi * x) / 2 - series)
+    start = F.struct(log_first.alias("lp"), F.array(F.exp(log_first)).alias("cdf"))
 
     def step(acc, k):
         lp = acc["lp"] + F.ln(rate) - F.ln(k.cast("double"))
         return F.struct(lp.alias("lp"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + F.exp(lp))).alias("cdf"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(1.0)))
+    return F.when(rate > 0, F.aggregate(F.sequence(first + 1, top), start, step, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(1.0)))
 
 
 def source_rates(docs: DataFrame, *, source_col: str = "source", power: float = POWER, weights: dict[str, float] | None = None, size: float = 1.0) -> DataFrame:
-    """Per source: n, rate, and the Poisson distribution at a ``parts``-th of that rate.
+    """Per source: n, rate, and the Poisson distribution at that rate from ``first`` copies on.
 
     The target weight is ``weights[source]`` (0 where missing), or else the source's count
     to ``power``. ``size`` is the output's size as a multiple of the input's.
@@ -50,7 +62,8 @@ def source_rates(docs: DataFrame, *, source_col: str = "source", power: float =
     counts = counts.withColumn("weight", weight)
     total = counts.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))
     rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_n") * size / F.col("n")).otherwise(0.0)
-    return counts.crossJoin(F.broadcast(total)).withColumn("rate", rate).withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("long")).select("mix_source", "n", "rate", "parts", poisson_cdf(F.col("rate") / F.col("parts")).alias("cdf"))
+    rates = counts.crossJoin(F.broadcast(total)).withColumn("rate", rate).withColumn("first", poisson_start(F.col("rate")))
+    return rates.select("mix_source", "n", "rate", "first", poisson_cdf(F.col("rate"), F.col("first")).alias("cdf"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED, power: float = POWER, weights: dict[str, float] | None = None, size: float = 1.0) -> DataFrame:
@@ -63,19 +76,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     rates = source_rates(docs, source_col=source_col, power=power, weights=weights, size=size)
     if rates.select("mix_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    def part(j: Column) -> Column:
-        u = F.when(j == 1, uniform(F.lit(seed), F.col(id_col))).otherwise(uniform(F.lit(seed), F.col(id_col), j))
-        return F.size(F.filter("cdf", lambda c: c <= u))
-
-    one = F.size(F.filter("cdf", lambda c: c <= F.col("mix_u")))
-    several = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("parts")), F.lit(0).cast("long"), lambda s, j: s + part(j))
-    copies = F.when(F.col("parts") == 1, one).otherwise(several)
+    copies = F.col("first") + F.size(F.filter("cdf", lambda c: c <= F.col("mix_u")))
     dealt = (
         docs.join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")), "inner")
         .withColumn("mix_u", uniform(F.lit(seed), F.col(id_col)))
         .withColumn("mix_copies", copies.cast("long"))
-        .filter("mix_copies > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("mix_copies", F.lit(1).cast("long")))))
+        .filter("mix_copy <= mix_copies")  # a filter on mix_copies alone is pushed through the lambda into a join without the id
         .withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(id_col).cast("string"), F.col("mix_copy").cast("string")).cast("binary")))
     )
     return (

@@ -219,6 +219,32 @@ def test_mixing_of_a_rare_source(spark):
     assert got["rare"] == pytest.approx(10_000, rel=0.05) and got["common"] == pytest.approx(10_000, rel=0.05)
 
 
+def test_mixing_of_large_rates_equals_sql(spark):
+    import duckdb
+    from quarry.llm.sql import OP8
+
+    n = 600_000
+    con = duckdb.connect()
+    con.execute(f"create table documents as select range as doc_id, case when range < 6 then concat('rare', range) else 'common' end as source from range({n})")
+    columns = "doc_id, source, rate, copies, copy, shuffle_key"
+    want = con.execute(f"select {columns} from ({OP8}) where source <> 'common' order by doc_id, copy").fetchall()
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6, F.concat(F.lit("rare"), "id")).otherwise("common").alias("source"))
+    got = mixing.report(df).filter("source <> 'common'").orderBy("doc_id", "copy").select(*columns.split(", ")).collect()
+    assert min(r.rate for r in got) > 500 and [tuple(r) for r in got] == want
+
+
+@pytest.mark.parametrize("rate", [0.3, 144.0, 380.0, 900.0, 40_000.0])
+def test_poisson_table_may_start_late(spark, rate):
+    r = F.lit(rate)
+    row = spark.range(1).select(mixing.poisson_start(r).alias("first"), mixing.poisson_cdf(r, mixing.poisson_start(r)).alias("cdf")).first()
+    total = 0.0
+    for k in range(len(row.cdf)):
+        at = row.first + k
+        total += math.exp(at * math.log(rate) - rate - math.lgamma(at + 1))
+        assert row.cdf[k] == pytest.approx(total, rel=1e-7, abs=1e-12)
+    assert row.cdf[-1] == pytest.approx(1.0, abs=1e-9) and len(row.cdf) < 30 * rate**0.5 + 400
+
+
 # Repeats
 
 
