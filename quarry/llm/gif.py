@@ -4,7 +4,8 @@
 full). ``decode`` reads any GIF87a/89a: global and local palettes, sub-blocks, interlacing,
 graphic control (delay, disposal, transparency), and composes each frame on the canvas.
 Between two clear codes the width of the j-th code depends on j alone, so codes are read
-from the bit stream as arrays; only the string table is a loop.
+from the bit stream as arrays; only the string table is a loop. Where a clear code is
+deferred, the table stays full and 12-bit codes are read on, array by array.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ def _schedule(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SCHEDULES = {bits: _schedule(bits) for bits in range(2, 9)}
+_LATE = np.full(1 << 14, 12), 12 * np.arange((1 << 14) + 1)  # once the table is full
 _BIT = np.arange(12)
 
 
@@ -73,9 +75,9 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[_BIT < width[nth][:, None]], bitorder="little").tobytes()
 
 
-def _codes(stream: np.ndarray, at: int, bits: int) -> np.ndarray:
-    """All codes that could follow a clear code at a bit offset, up to the table of widths."""
-    width, offset = _SCHEDULES[bits]
+def _codes(stream: np.ndarray, at: int, schedule: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """All codes that could follow a bit offset, up to the table of widths."""
+    width, offset = schedule
     count = int(np.searchsorted(offset, len(stream) * 8 - 32 - at, side="right")) - 1  # 32 bits of padding
     if count <= 0:
         return np.empty(0, np.int64)
@@ -86,19 +88,19 @@ def _codes(stream: np.ndarray, at: int, bits: int) -> np.ndarray:
 
 
 def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
-    """At most ``most`` samples of a code stream; fewer if it ends or breaks off."""
+    """The first ``most`` samples of a code stream; ValueError if it ends or breaks off before."""
     clear, end = 1 << bits, (1 << bits) + 1
     padded = np.frombuffer(stream + bytes(4), np.uint8)
-    _, offset = _SCHEDULES[bits]
     room, out, size, at = 4096 - clear - 2, [], 0, 0
+    table: list[bytes] = []
+    before, first, schedule = b"", clear + 2, _SCHEDULES[bits]
     while size < most:
-        codes = _codes(padded, at, bits)
+        codes = _codes(padded, at, schedule)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         n = int(stop[0]) if len(stop) else len(codes)
         if not n and not len(stop):
             break
-        table: list[bytes] = []
-        add, before, first = table.append, b"", clear + 2
+        add = table.append
         for code in codes[:n].tolist():
             if code < clear:
                 s = _SINGLE[code]
@@ -106,16 +108,24 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
                 s = table[code - first]
             elif before and code - first == len(table):
                 s = before + before[:1]
+            elif size < most:
+                raise ValueError("a code is out of range")
             else:
-                return b"".join(out)[:most]
+                break
             if before and len(table) < room:
                 add(before + s[:1])
             out.append(s)
             size += len(s)
             before = s
-        if not len(stop) or codes[n] == end:
+        if not len(stop):
+            at, schedule = at + int(schedule[1][n]), _LATE
+        elif codes[n] == end:
             break
-        at += int(offset[n + 1])
+        else:
+            at += int(schedule[1][n + 1])
+            table, before, schedule = [], b"", _SCHEDULES[bits]
+    if size < most:
+        raise ValueError("the code stream ends early")
     return b"".join(out)[:most]
 
 
@@ -184,7 +194,7 @@ def frames(media: bytes, canvases: bool = False):
         if not 2 <= bits <= 8 or palette is None:
             raise ValueError("no usable palette or code size")
         pixels = lzw_decode(read.blocks(), bits, w * h)
-        image = np.frombuffer(pixels + bytes(w * h - len(pixels)), np.uint8).reshape(h, w)
+        image = np.frombuffer(pixels, np.uint8).reshape(h, w)
         if flags & 0x40:
             image = image[np.argsort(_rows_in_order(h))]
         image = image[: max(0, height - top), : max(0, width - left)]

@@ -105,6 +105,43 @@ def test_gif_column_of_broken_files(spark):
     assert got[2].media_error and got[3].media_error == "not a GIF" and got[4].frames is None
 
 
+def deferred_stream(data, bits=8):
+    """A plain LZW encoder that never clears its full table."""
+    clear = 1 << bits
+    table, free, width = {bytes([i]): i for i in range(clear)}, clear + 2, bits + 1
+    text, at = [format(clear, f"0{width}b")[::-1]], b""
+    for c in data:
+        longer = at + bytes([c])
+        if longer in table:
+            at = longer
+            continue
+        text.append(format(table[at], f"0{width}b")[::-1])
+        if free < 4096:
+            table[longer] = free
+            width = max(width, free.bit_length())
+            free += 1
+        at = bytes([c])
+    text += [format(table[at], f"0{width}b")[::-1], format(clear + 1, f"0{width}b")[::-1]]
+    bits_out = "".join(text)
+    return bytes(int(bits_out[i : i + 8][::-1], 2) for i in range(0, len(bits_out), 8))
+
+
+def gif_of(stream, width, height):
+    blocks = b"".join(bytes([len(stream[i : i + 255])]) + stream[i : i + 255] for i in range(0, len(stream), 255))
+    head = b"GIF89a" + width.to_bytes(2, "little") + height.to_bytes(2, "little") + bytes([0xF7, 0, 0]) + bytes(v for i in range(256) for v in (i, i, i))
+    return head + b"\x2c" + bytes(4) + head[6:10] + b"\0\x08" + blocks + b"\0\x3b"
+
+
+def test_gif_with_deferred_clear_codes(spark):
+    data = random.Random(5).randbytes(300 * 200)
+    stream = deferred_stream(data)
+    assert gif.lzw_decode(stream, 8, len(data)) == data
+    media = [(1, gif_of(stream, 300, 200)), (2, gif_of(stream[: len(stream) // 2], 300, 200)), (3, gif_of(stream[:3000] + b"\xff" * 3000, 300, 200)), (4, gif_of(gif.lzw_encode(data[:600]), 300, 200))]
+    got = {r.k: r for r in gif.with_frames(spark.createDataFrame(media, "k int, media binary")).collect()}
+    assert bytes(got[1].frames[0].pixels) == data and got[1].media_error is None
+    assert all(got[k].frames == [] and got[k].media_error for k in (2, 3, 4))
+
+
 # Language model
 
 
