@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, hash_sample, materialise, small_batches, text_bytes
+from .common import fold, materialise, small_batches, text_bytes
 from .sketch import WordHashes
 
 HEAD, CONTEXT, GROUPS, TAIL, CLASSES, ROWS, ROUNDS = 131_072, 256, 6, 4, 64, 1 << 13, 2
-STEP, BATCH, BLOCK_ROWS, CONTEXT_DOCS, LOCAL_WORDS = 0.4, 4096, 128, 2000, 600_000
+STEP, BATCH, BLOCK_ROWS, LOCAL_WORDS = 0.4, 4096, 128, 600_000
 END = xxhash.xxh3_64_intdigest(b"")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FEATURES = 4
@@ -57,44 +57,53 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _count(context):
-    """Word counts (kind 0) and, for frequent words, how often each pair is adjacent (kind 1)."""
+def _count(batches):
+    """Word counts."""
+    held_words, held_counts, held = [], [], 0
 
-    def run(batches):
-        frequent = np.sort(context.value)
-        pairs = np.zeros((len(frequent) + 1) ** 2, np.int64)
-        held_words, held_counts, held = [], [], 0
+    def merged():
+        words, at = np.unique(np.concatenate(held_words), return_inverse=True)
+        return words, np.bincount(at, weights=np.concatenate(held_counts)).astype(np.int64)
+
+    def out(words, n):
+        for i in range(0, len(words), 100_000):
+            part = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words[part]), "n": pa.array(n[part])})
+
+    for _, tokens, _ in _batches(batches):
+        words, n = np.unique(tokens, return_counts=True)
+        held_words.append(words)
+        held_counts.append(n)
+        held += len(words)
+        if held > LOCAL_WORDS:
+            words, n = merged()
+            held_words, held_counts, held = [words], [n], len(words)
+            if held > LOCAL_WORDS:
+                yield from out(_signed(words), n)
+                held_words, held_counts, held = [], [], 0
+    if held:
+        words, n = merged()
+        yield from out(_signed(words), n)
 
-        def merged():
-            words, at = np.unique(np.concatenate(held_words), return_inverse=True)
-            return words, np.bincount(at, weights=np.concatenate(held_counts)).astype(np.int64)
 
-        def out(words, n, kind):
-            for i in range(0, len(words), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(words[part]), kind, np.int32)), "word": pa.array(words[part]), "n": pa.array(n[part])})
+def _adjacent(context):
+    """How often each pair of frequent words is adjacent."""
 
+    def run(batches):
+        frequent = context.value
+        places, size = _Places(frequent), len(frequent) + 1
+        pairs = np.zeros(size**2, np.int64)
         for _, tokens, sizes in _batches(batches):
-            words, n = np.unique(tokens, return_counts=True)
-            held_words.append(words)
-            held_counts.append(n)
-            held += len(words)
-            at = np.searchsorted(frequent, tokens)
-            at = np.where(frequent[np.minimum(at, len(frequent) - 1)] == tokens, at, len(frequent)) if len(frequent) else np.zeros(len(tokens), np.int64)
+            at = places.of(tokens)
             together = np.ones(len(tokens) - 1, bool)
             together[np.cumsum(sizes)[:-1] - 1] = False
-            np.add(pairs, np.bincount((at[:-1] * (len(frequent) + 1) + at[1:])[together], minlength=len(pairs)), out=pairs)
-            if held > LOCAL_WORDS:
-                words, n = merged()
-                held_words, held_counts, held = [words], [n], len(words)
-                if held > LOCAL_WORDS:
-                    yield from out(_signed(words), n, 0)
-                    held_words, held_counts, held = [], [], 0
-        if held:
-            words, n = merged()
-            yield from out(_signed(words), n, 0)
+            pairs += np.bincount((at[:-1] * size + at[1:])[together], minlength=len(pairs))
+        pairs = pairs.reshape(size, size)
+        pairs[-1] = pairs[:, -1] = 0
+        pairs = pairs.ravel()
         seen = np.flatnonzero(pairs)
-        yield from out(seen.astype(np.int64), pairs[seen], 1)
+        if len(seen):
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(seen), "n": pa.array(pairs[seen])})
 
     return run
 
@@ -331,18 +340,16 @@ def _score(sent):
 
 
 def counts(train: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(word, n) over all training texts; the frequent context words of a bounded sample; their adjacency counts."""
-    spark = train.sparkSession
-    sample = hash_sample(train, "id", CONTEXT_DOCS)
-    empty = spark.sparkContext.broadcast(np.empty(0, np.uint64))
-    schema = "kind int, word long, n long"
-    top = sample.mapInArrow(_count(empty), schema).filter("kind = 0").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(CONTEXT).collect()
+    """(word, n) over all training texts; the most frequent of them as context words; their adjacency counts."""
+    words = materialise(train.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    top = words.orderBy(F.desc("n"), "word").limit(CONTEXT).collect()
     frequent = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    counted = materialise(train.mapInArrow(_count(spark.sparkContext.broadcast(frequent)), schema).groupBy("kind", "word").agg(F.sum("n").alias("n")), "counts")
-    pairs = np.zeros((len(frequent) + 1) ** 2)
-    for r in counted.filter("kind = 1").collect():
-        pairs[r["word"]] = r["n"]
-    return counted.filter("kind = 0").select("word", "n"), frequent, pairs.reshape(len(frequent) + 1, -1)[:-1, :-1]
+    size = len(frequent) + 1
+    pairs = np.zeros(size**2)
+    found = train.mapInArrow(_adjacent(train.sparkSession.sparkContext.broadcast(frequent)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    for r in found.collect():
+        pairs[r["pair"]] = r["n"]
+    return words, frequent, pairs.reshape(size, -1)[:-1, :-1]
 
 
 def _frequent(words: DataFrame) -> DataFrame:

@@ -164,6 +164,22 @@ def test_maxent_base_and_gain(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_context_words_are_those_of_all_documents(spark):
+    texts = [" ".join(f"w{(i + j) % 300}" for j in range(3 + i % 5)) for i in range(3000)] + ["hot " * 9000]
+    train = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, raw binary").repartition(3)
+    words, frequent, pairs = maxent.counts(train)
+    want, beside = Counter(), Counter()
+    for t in texts:
+        w = [maxent.xxhash.xxh3_64_intdigest(x) for x in [*t.encode().split(), b""]]
+        want.update(w)
+        beside.update(zip(w, w[1:]))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    assert {r.word: r.n for r in words.collect()} == {signed(w): n for w, n in want.items()}
+    top = sorted(want, key=lambda w: (-want[w], signed(w)))[: maxent.CONTEXT]
+    assert frequent.tolist() == sorted(top)
+    assert all(pairs[i, j] == beside[a, b] for i, a in enumerate(sorted(top)) for j, b in enumerate(sorted(top)))
+
+
 def test_class_probabilities_sum_to_one():
     model = maxent.Model(np.array([3, 9], np.uint64), np.array([5, 5]), np.array([0, 1]), np.zeros(2), np.random.default_rng(1).normal(size=(maxent.ROWS + 1, maxent.CLASSES)).astype(np.float32))
     model.prepare()
