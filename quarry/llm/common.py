@@ -28,9 +28,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel to Python: keep a batch of the longest ones well inside a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches, rows: int = 500, size: int = 8 << 20):
+    """Arrow batches cut to at most ``rows`` rows and some ``size`` bytes: what a worker expands at once.
+
+    Spark itself bounds the bytes of the batches that it sends (maxBytesPerBatch).
+    """
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
 
 
 def text_bytes(column: Column | str) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, small_batches, text_bytes
+from .common import lower_ascii, slices, text_bytes
 
 #: The separators of the contract's words, in hexadecimal ranges.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -103,7 +103,7 @@ def _batches(batch: pa.RecordBatch):
 def _count(block):
     def run(batches):
         total = np.zeros(len(block.value.vocabulary), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             words, _ = _batches(batch)
             ids = block.value.ids(words)
             total += np.bincount(ids[ids >= 0], minlength=len(total))
@@ -126,7 +126,7 @@ def _merged(spans: list[int]) -> list[int]:
 
 def _search(block):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             words, sizes = _batches(batch)
             ends, doc = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
             found = block.value
@@ -170,7 +170,6 @@ def find_contamination(
     windows; repeated rows each get their row; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     windows = item_windows(items, item_id, item_text, size)
     blocks = max(1, -(-windows.count() // block_windows))
     found = docs.select(

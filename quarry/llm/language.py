@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_bytes
+from .common import materialise, slices, text_bytes
 
 BINS, EFFECTIVE, SMOOTH, PRIOR, FLOOR, BROADCAST_HOSTS = 1 << 14, 60.0, 0.5, 8.0, 1e-4, 100_000
 _ODD = np.uint32(0x9E3779B1)
@@ -33,7 +33,7 @@ def trigrams(raw: bytes) -> np.ndarray:
 def _count(batches):
     """Trigram counts of this task's documents by language."""
     held: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("raw").to_pylist()):
             counts = held.setdefault(lang, np.zeros(BINS, np.int64))
             counts += np.bincount(trigrams(raw), minlength=BINS)
@@ -44,7 +44,6 @@ def _count(batches):
 
 def text_model(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram probabilities, from all documents that name a language."""
-    small_batches(docs.sparkSession)
     raw = docs.select(F.lower(F.trim(F.col(lang_col))).alias("lang"), text_bytes(text_col).alias("raw")).filter("lang <> ''")
     rows = raw.mapInArrow(_count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
@@ -80,7 +79,7 @@ def suffix_of(host: Column) -> Column:
 def _posterior(model):
     def run(batches):
         logs = model.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for raw in batch.column("raw").to_pylist():
                 x = trigrams(raw)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, small_batches, text_bytes
+from .common import fold, materialise, slices, text_bytes
 from .sketch import WordHashes
 
 HEAD, CONTEXT, GROUPS, TAIL, CLASSES, ROWS, ROUNDS = 131_072, 256, 6, 4, 64, 1 << 13, 2
@@ -48,7 +48,7 @@ def _tokens(raws: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
 
 def _batches(batches):
     hashes = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         if batch.num_rows:
             yield batch, *_tokens(batch.column("raw").to_pylist(), hashes)
 
@@ -429,7 +429,6 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rows every token is unknown. Other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     raw = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw"))
     model, rest, tail = fit(raw.filter(F.coalesce(fold("id") != 1, F.lit(True))))
     id_type = raw.schema["id"].dataType.simpleString()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import materialise, small_batches, text_bytes
+from .common import materialise, slices, text_bytes
 from .graph import components
 
 BAND, SLACK, BLOCK, BROADCAST_IDS = 4, 0.2, 500, 1_000_000
@@ -37,7 +37,7 @@ def words_of(raw: bytes) -> list[bytes]:
 def _sketches(k: int):
     def run(batches):
         hashes = sketch.WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             n, one, two, regs = [], [], [], []
             for raw in batch.column("raw").to_pylist():
                 x = sketch.shingles(words_of(raw), hashes, k)
@@ -55,7 +55,7 @@ def _sketches(k: int):
 def _sets(k: int):
     def run(batches):
         hashes = sketch.WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [sketch.shingles(words_of(raw), hashes, k) for raw in batch.column("raw").to_pylist()]
             regs = [sketch.registers(x).tobytes() for x in sets]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "regs": pa.array(regs, pa.binary()), "set": pa.array([x.tobytes() for x in sets], pa.binary())})
@@ -125,7 +125,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     integer type. Other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     raw = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw"))
     id_type = raw.schema["id"].dataType.simpleString()
     known = materialise(raw.mapInArrow(_sketches(k), f"id {id_type}, n long, h1 long, h2 long, regs binary"), "sketch")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, smallest_hashes
+from .common import fold, slices, smallest_hashes
 
 #: At most so many labelled rows per class are used, those with the smallest hash of their id.
 TRAIN_ROWS, SHRINK, CUT = 20_000, (0.10, 0.05), 0.3
@@ -105,14 +105,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: in
 
 
 def _vectors(batches):
-    for batch in batches:
+    for batch in slices(batches):
         rows = [statistics((text or "").encode()) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "x": pa.array(rows, pa.list_(pa.float64()))})
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", train_rows: int = TRAIN_ROWS, **columns: str) -> Discriminant | None:
     """Fit on at most ``train_rows`` labelled rows of each class; None without two rows of each."""
-    small_batches(docs.sparkSession)
     sample = training_sample(docs, labels, label_col, train_rows, **columns).select("text", "y")
     rows = sample.mapInArrow(_vectors, "y int, x array<double>").toPandas().sort_values("y", kind="stable")
     if min((rows["y"] == 0).sum(), (rows["y"] == 1).sum()) < 2:
@@ -124,12 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", train
 
 def with_score(docs: DataFrame, model: Discriminant | None, name: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` with one more column, the score; 0.5 everywhere where there is no model."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             p = np.full(len(texts), 0.5)
             if sent.value and texts:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .anchors import SPAN, mix
-from .common import materialise, small_batches, text_bytes
+from .common import materialise, slices, text_bytes
 
 PIECE, SEEN = 1 << 20, 200_000
 DUP, OPEN, HOT, MARKED = 0, 1, 2, 3
@@ -116,7 +116,7 @@ def _runs(batches, limits: Limits):
         texts.clear()
         return len(start)
 
-    for batch in batches:
+    for batch in slices(batches):
         for i, raw in zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist()):
             for at in range(0, max(1, len(raw) - SPAN + 1), PIECE):
                 texts.append((i, at, raw[at : at + PIECE + SPAN - 1]))
@@ -177,7 +177,7 @@ def _settle(batches, limits: Limits):
 def _fetch(batches):
     """The bytes of open runs, and the strings of hot ones one by one unless a smaller place has shown them here."""
     seen: dict[bytes, tuple[int, int]] = {}
-    for batch in batches:
+    for batch in slices(batches):
         out = {name: [] for name in ("k", "id", "a", "n", "block")}
 
         def add(*row):
@@ -241,7 +241,6 @@ def _factor(batches, limits: Limits):
 def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """(id, raw) of every row, and (id, spans) of those with later copies; spans hold runs of starts (a, n)."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     raw = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("raw"))
     dealt = raw.filter("id is not null").mapInArrow(lambda b: _runs(b, limits), _ROW).repartition("k").sortWithinPartitions("k", "g", "id", "a")
     plan = materialise(dealt.mapInArrow(lambda b: _settle(b, limits), "id long, kind int, a long, n long, k long"), "runs")
@@ -272,7 +271,7 @@ def _starts(batch, name: str = "spans") -> list[list[tuple[int, int]]]:
 
 
 def _digest(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("raw").to_pylist()
         rows = [cut(raw, starts) for raw, starts in zip(texts, _starts(batch))]
         yield _table(
@@ -306,7 +305,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     at = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [
                 text if text is None or not starts else cut(text.encode(), starts)[0].decode(errors="ignore")
                 for text, starts in zip(batch.column(at).to_pylist(), _starts(batch, "repeat_spans_"))

@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, small_batches
+from .common import fold, materialise, slices
 from .quality import training_sample
 
 #: Labelled rows per class, lexicon entries, and an entry's least texts, least log-odds and standard errors taken off.
@@ -96,7 +96,7 @@ def vector(text: str, weights: Weights) -> list[float]:
 def _unit_counts(batches):
     """How many toxic and other texts of this task have each unit."""
     counts: dict[bytes, list[int]] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
             for unit in {u for w in set(words_of(text or "")) for u in units(w)}:
                 counts.setdefault(unit, [0, 0])[y] += 1
@@ -123,7 +123,7 @@ def with_features(df: DataFrame, lexicon: dict[bytes, float], *, text_col: str =
 
     def run(batches):
         weights = Weights(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.array([vector(text or "", weights) for text in batch.column(text_col).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(np.ascontiguousarray(x), pa.float64()) for x in rows.T)], [*rest, *NAMES])
 
@@ -139,7 +139,6 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     as empty ones; repeated rows get equal scores; where a part lacks a class all score 0.5.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     sample = materialise(training_sample(docs, labels, label_col, train_rows, id_col=id_col, text_col=text_col).withColumn("part", fold("id")), "toxic-sample")
     found = {(r["part"], r["y"]) for r in sample.groupBy("part", "y").count().collect()}
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
