@@ -24,13 +24,16 @@ def query_terms(column: Column, most: int = 40) -> Column:
     return F.slice(F.array_distinct(kept), 1, most)
 
 
+#: Words that say nothing of what a memory is about.
+MEMORY_STOP = ["the", "and", "for", "with", "this", "that", "issue", "problem", "问题", "故障", "怎么", "处理", "解决"]
+
+
 def memory_keywords(column: Column, most: int = 80) -> Column:
-    """EXP-2: Latin words, numbers, and Han runs cut into pairs; the first distinct ones."""
-    text = F.lower(F.coalesce(column, F.lit("")))
-    latin = F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9_\-]*)"), F.lit(1))
-    runs = F.regexp_extract_all(text, F.lit(f"([{CJK}]+)"), F.lit(1))
-    han = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= 2, F.array(r)).otherwise(_grams(r, 2))))
-    return F.slice(F.array_distinct(F.filter(F.concat(latin, han), lambda t: ~t.isin(STOP))), 1, most)
+    """EXP-2: Latin words, numbers, and Han runs over two characters cut into pairs, in order; the first distinct ones."""
+    text = F.coalesce(column, F.lit(""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(rf"([A-Za-z][A-Za-z0-9_-]+|\d+(?:\.\d+)?|[{CJK}]+)"), F.lit(1)), F.lower)
+    parts = F.flatten(F.transform(found, lambda t: F.when(t.rlike(f"^[{CJK}]{{3,}}$"), _grams(t, 2)).otherwise(F.array(t))))
+    return F.slice(F.array_distinct(F.filter(parts, lambda t: ~t.isin(MEMORY_STOP))), 1, most)
 
 
 def compact(column: Column) -> Column:
@@ -38,7 +41,7 @@ def compact(column: Column) -> Column:
 
 
 def text_similarity(a: Column, b: Column, keys_a: Column, keys_b: Column) -> Column:
-    """EXP-3: 1 for equal compact texts, 0.86 for one inside the other (six characters at least), else Jaccard of keywords."""
+    """EXP-3: 1 for equal compact texts, 0.86 for one inside the other (six characters at least), else Jaccard of keywords; 0 where a text or its keywords are empty."""
     x, y = compact(a), compact(b)
     inside = (F.length(x) >= 6) & (F.length(y) >= 6) & (x.contains(y) | y.contains(x))
     union = F.size(F.array_union(keys_a, keys_b))
@@ -142,19 +145,3 @@ def encode_id(column: Column, library: Column) -> Column:
 
 def decode_id(column: Column) -> Column:
     return F.struct(F.when(column >= OFFSET, "knowledge").otherwise("breakdown").alias("library"), (column % OFFSET).alias("id"))
-
-
-def route_questions(text: Column, rules: list[tuple[str, str, float]], default: tuple[str, float]) -> Column:
-    """EXP-16: route and confidence of the first rule whose pattern the text matches."""
-    chain = None
-    for pattern, route, confidence in rules:
-        value = F.struct(F.lit(route).alias("route"), F.lit(confidence).alias("confidence"))
-        chain = F.when(text.rlike(pattern), value) if chain is None else chain.when(text.rlike(pattern), value)
-    return chain.otherwise(F.struct(F.lit(default[0]).alias("route"), F.lit(default[1]).alias("confidence")))
-
-
-def plan_retrieval(route: Column, n_terms: Column, has_context: Column) -> Column:
-    """EXP-17: retrieval mode with how many chunks and documents to fetch."""
-    mode = F.when(route == "audit", "audit").when(route == "direct", "direct").when(has_context, "contextual").when(n_terms >= 12, "complex").when(n_terms <= 3, "simple").otherwise("standard")
-    top_k = F.when(mode == "direct", 0).when(mode == "simple", 8).when(mode == "standard", 15).otherwise(24)
-    return F.struct(mode.alias("mode"), top_k.alias("top_k"), F.least(F.floor(top_k / 3).cast("int"), F.lit(6)).alias("top_docs"))

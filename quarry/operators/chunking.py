@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.sources.lineage import materialise
+
 
 def window_chunks(docs: DataFrame, size: int, overlap: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """CHK-1: windows of ``size`` words that share ``overlap`` words: doc_id, chunk_index, chunk, n_words."""
@@ -32,10 +34,33 @@ def _pack(pieces: Column, budget: int, joiner: str, tail: int = 0) -> Column:
     return F.aggregate(pieces, zero, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
 
 
+def words_in(text: Column) -> Column:
+    """The default token count: words of letters and digits, and every other visible character."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\s\p{L}\p{N}])"), F.lit(1)))
+
+
 def pack_paragraphs(docs: DataFrame, budget: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """CHK-2: paragraphs packed to a budget; a paragraph over it is cut."""
-    pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.left(F.trim(p), F.lit(budget))), lambda p: p != "")
-    return docs.select(doc_id, F.posexplode(_pack(pieces, budget, "\n")).alias("chunk_index", "chunk"))
+    """CHK-2: paragraphs (lines) packed while their tokens stay within a budget; a paragraph over it is a chunk of its own, cut to it.
+
+    Tokens are words and single marks, so counts of lines add up, and a text is packed by
+    sums over its lines.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), F.trim), lambda p: p != "")
+    counted = F.transform(lines, lambda p: F.struct(p.alias("p"), words_in(p).alias("n")))
+    zero = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
+
+    def step(acc, row):
+        full = (F.size(acc["cur"]) > 0) & (acc["n"] + row["n"] > budget)
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
+            F.when(full, F.array(row["p"])).otherwise(F.concat(acc["cur"], F.array(row["p"]))).alias("cur"),
+            F.when(full, row["n"]).otherwise(acc["n"] + row["n"]).alias("n"),
+        )
+
+    packed = F.aggregate(counted, zero, step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
+    head = rf"^(?:\s*(?:[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}])){{0,{budget}}}"
+    chunk = F.transform(packed, lambda c: F.regexp_extract(F.array_join(c, "\n"), head, 0))
+    return docs.select(doc_id, F.posexplode(chunk).alias("chunk_index", "chunk"))
 
 
 def overlap_split(docs: DataFrame, most: int = 1800, overlap: int = 180, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,16 +113,29 @@ def table_chunks(rows: DataFrame, header: list[str], group: int = 18) -> DataFra
 
 
 def batch_rows(rows: DataFrame, most_rows: int, most_chars: int, *, key: str = "table") -> DataFrame:
-    """CHK-7: greedy batches of ordered rows (n, t) by number and characters; one group's rows fold in one row."""
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("k"), F.lit(0).alias("c"), F.array().cast("array<struct<n:bigint,b:int>>").alias("out"))
+    """CHK-7: greedy batches of ordered rows (n, t) by number and characters: key, batch (from 0), first n, number of rows.
 
-    def step(acc, row):
-        full = (acc["k"] > 0) & ((acc["k"] >= most_rows) | (acc["c"] + F.length(row["t"]) > most_chars))
-        b = F.when(full, acc["b"] + 1).otherwise(acc["b"])
-        return F.struct(b.alias("b"), F.when(full, 1).otherwise(acc["k"] + 1).alias("k"), F.when(full, F.length(row["t"])).otherwise(acc["c"] + F.length(row["t"])).alias("c"), F.concat(acc["out"], F.array(F.struct(row["n"].alias("n"), b.alias("b")))).alias("out"))
+    Rows stream through a task in order, and only the open batch's totals are held.
+    """
+    kind = rows.schema[key].dataType.simpleString()
 
-    folded = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), "t"))).alias("rows"))
-    return folded.select(key, F.inline(F.aggregate("rows", zero, step, lambda a: a["out"]))).groupBy(key, F.col("b").alias("batch")).agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("n_rows"))
+    def run(frames):
+        now, batch, first, count, chars = None, 0, 0, 0, 0
+        for pdf in frames:
+            out = []
+            for k, n, size in zip(pdf["k"], pdf["n"], pdf["size"]):
+                if k != now or count >= most_rows or chars + size > most_chars:
+                    if count:
+                        out.append((now, batch, first, count))
+                    batch = batch + 1 if k == now else 0
+                    now, first, count, chars = k, n, 0, 0
+                count, chars = count + 1, chars + size
+            yield pd.DataFrame(out, columns=[key, "batch", "first", "n_rows"])
+        if count:
+            yield pd.DataFrame([(now, batch, first, count)], columns=[key, "batch", "first", "n_rows"])
+
+    sized = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col("n").cast("long").alias("n"), F.length(F.coalesce("t", F.lit(""))).alias("size"))
+    return sized.repartition("k").sortWithinPartitions("k", "n").mapInPandas(run, f"{key} {kind}, batch int, first long, n_rows long")
 
 
 def assemble_chunks(pieces: DataFrame, docs: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
@@ -115,12 +153,23 @@ def field_chunks(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
 
 
 def tree_paths(nodes: DataFrame, sep: str = " / ") -> DataFrame:
-    """CHK-10, QLT-16: the path of every node (id, parent_id, name) of a forest, by a recursive query."""
-    return nodes.sparkSession.sql(
-        "with recursive paths(id, path, depth) as (select id, name, 1 from {n} where parent_id is null union all "
-        f"select n.id, concat(p.path, '{sep}', n.name), p.depth + 1 from paths p join {{n}} n on n.parent_id = p.id) select * from paths",
-        n=nodes,
-    )
+    """CHK-10, QLT-16: the path and depth of every node (id, parent_id, name) of a forest of any depth.
+
+    Each round joins a node's open path with that of the node above it, so the number of
+    rounds is the logarithm of the depth. Nodes under no root (a cycle) have no path.
+    """
+    paths = nodes.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path"), F.lit(1).alias("depth"))
+    left = None
+    while True:
+        paths = materialise(paths, "paths")
+        before, left = left, paths.filter("up is not null").count()
+        if not left or left == before:
+            return paths.filter("up is null").select("id", "path", "depth")
+        above = paths.select(F.col("id").alias("above"), F.col("up").alias("above_up"), F.col("path").alias("above_path"), F.col("depth").alias("above_depth"))
+        joined = paths.join(above, F.col("up") == F.col("above"), "left").filter("up is null or above is not null")
+        paths = joined.select("id", "above_up", "path", "above_path", "depth", "above_depth").select(
+            "id", F.col("above_up").alias("up"), F.concat_ws(sep, "above_path", "path").alias("path"), (F.col("depth") + F.coalesce("above_depth", F.lit(0))).alias("depth")
+        )
 
 
 def tree_chunks(nodes: DataFrame) -> DataFrame:

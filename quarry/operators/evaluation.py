@@ -42,12 +42,18 @@ def reciprocal_rank(ranked: DataFrame, qrels: DataFrame, *, query: str = "query_
 
 
 def retrieval_metrics(ranked: DataFrame, qrels: DataFrame, *, query: str = "query_id", key: list[str] = KEY) -> DataFrame:
-    """EVL-4: metrics of each query by the documents that came back: precision divides by their number."""
+    """EVL-4: metrics of each query by the rows that came back: precision divides by their number.
+
+    A document that comes back several times counts where it first stands; its later rows
+    keep their places and count as returned.
+    """
     relevant = qrels.groupBy(query).agg(F.count_distinct(*key).alias("relevant"))
-    hits = _hits(ranked, qrels, query, key)
-    w = W.partitionBy(query).orderBy("rank")
-    placed = hits.withColumn("place", F.row_number().over(w)).withColumn("seen", F.sum("hit").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    per = placed.groupBy(query).agg(
+    w = W.partitionBy(query).orderBy("rank", *key)
+    placed = ranked.select(query, *key, "rank").withColumn("place", F.row_number().over(w)).withColumn("nth", F.row_number().over(W.partitionBy(query, *key).orderBy("place")))
+    known = placed.join(qrels.select(query, *key).distinct().withColumn("known", F.lit(1)), [query, *key], "left")
+    hits = known.withColumn("hit", F.when(F.col("known").isNotNull() & (F.col("nth") == 1), 1).otherwise(0))
+    seen = hits.withColumn("seen", F.sum("hit").over(W.partitionBy(query).orderBy("place").rowsBetween(W.unboundedPreceding, 0)))
+    per = seen.groupBy(query).agg(
         F.count(F.lit(1)).alias("returned"),
         F.sum("hit").alias("hits"),
         F.min(F.when(F.col("hit") == 1, F.col("place"))).alias("first"),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+QUERY_BLOCK = 2048
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -51,24 +56,60 @@ def search_documents(docs: DataFrame, users: DataFrame, keyword: str, columns: l
     return docs.join(users.select(F.col("user_id").alias("contributor_id"), "full_name"), "contributor_id").filter(hit)
 
 
-def keyword_recall(docs: DataFrame, queries: DataFrame, k: int, fields: list[str], *, doc_id: str = "doc_id", max_queries: int = 10_000) -> DataFrame:
-    """FLT-7: documents that hold all terms of a query in some field; terms under two characters do not count.
+def keyword_recall(docs: DataFrame, queries: DataFrame, k: int, fields: list[str], *, doc_id: str = "doc_id", query: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """FLT-7: documents that hold all terms of a query, each in some field; terms under two characters do not count.
 
-    The queries are a stated set of at most ``max_queries``, sent out with a size check; documents are scanned once.
+    Queries go out in blocks of bounded size. A task makes one automaton of a block's
+    distinct terms, reads each document once, and counts the terms of every query by an
+    inverted list. Case is ignored; ties go to the smaller document id.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; split them into blocks")
-    terms = queries.withColumn("terms", F.filter("terms", lambda t: F.length(t) >= 2)).filter(F.size("terms") > 0)
-    lows = [F.lower(f) for f in fields]
-
-    def anywhere(t):
-        out = F.coalesce(lows[0].contains(F.lower(t)), F.lit(False))
-        for low in lows[1:]:
-            out = out | F.coalesce(low.contains(F.lower(t)), F.lit(False))
-        return out
-
-    found = docs.join(F.broadcast(terms), F.forall("terms", anywhere)).select("query_id", doc_id, F.size("terms").alias("score"))
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), doc_id))).filter(F.col("rank") <= k)
+    terms = queries.select(query, F.array_distinct(F.transform(F.filter("terms", lambda t: F.length(t) >= 2), F.lower)).alias("terms")).filter(F.size("terms") > 0)
+    base = docs.select(F.col(doc_id).alias("id_"), F.concat_ws("\0", *[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]).alias("text_"))
+    schema = f"{query} {queries.schema[query].dataType.simpleString()}, {doc_id} {docs.schema[doc_id].dataType.simpleString()}, score int"
+    kinds = {query: to_arrow_type(queries.schema[query].dataType), doc_id: to_arrow_type(docs.schema[doc_id].dataType), "score": pa.int32()}
+    blocks, found = max(1, -(-terms.count() // block)), None
+    for b in range(blocks):
+        rows = terms.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == b).collect()
+        if rows:
+            part = base.mapInArrow(_recall(docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows]), kinds), schema)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], schema)
+    return found.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), doc_id))).filter(F.col("rank") <= k)
+
+
+def _recall(sent, kinds: dict):
+    def run(batches):
+        import ahocorasick
+
+        words, lists = {}, []
+        for place, (_, terms) in enumerate(sent.value):
+            for term in terms:
+                at = words.setdefault(term, len(words))
+                if at == len(lists):
+                    lists.append([])
+                lists[at].append(place)
+        finder = ahocorasick.Automaton()
+        for term, place in words.items():
+            finder.add_word(term, place)
+        finder.make_automaton()
+        wanted = np.array([len(terms) for _, terms in sent.value])
+        ids = [query for query, _ in sent.value]
+        lists = [np.array(x) for x in lists]
+        for batch in batches:
+            out = [[], [], []]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen = {place for _, place in finder.iter(text)}
+                if not seen:
+                    continue
+                count = np.bincount(np.concatenate([lists[place] for place in seen]), minlength=len(wanted))
+                for q in np.flatnonzero(count == wanted).tolist():
+                    for column, value in zip(out, (ids[q], doc, int(wanted[q]))):
+                        column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds.values())], list(kinds))
+
+    return run
 
 
 def serving_versions(versions: DataFrame, docs: DataFrame, requested: DataFrame | None = None) -> DataFrame:
@@ -102,17 +143,17 @@ def term_hit_filter(refs: DataFrame, query: str = "query_id", terms: str = "term
     return rows.filter((F.size(terms) < 2) | (F.col("most") < 2) | (F.col("hits") >= F.greatest(F.lit(2), F.floor(F.col("most") / 2)))).drop("most")
 
 
-def device_scope(queries: DataFrame, tags: DataFrame, docs: DataFrame, query: str = "query_id") -> DataFrame:
-    """FLT-13: (query, doc) pairs in scope, where the device names exactly one tag: documents with it or with no tag.
+def device_scope(cands: DataFrame, queries: DataFrame, tags: DataFrame, docs: DataFrame, query: str = "query_id") -> DataFrame:
+    """FLT-13: the candidates (query, doc_id) that are in the scope of their query's device.
 
-    Queries whose device is unknown or ambiguous have no scope and no rows.
+    Where the device names exactly one tag, those are documents with it or with no tag;
+    queries whose device is unknown or ambiguous have no scope and no rows.
     """
     names = tags.select("tag_id", F.explode(F.array_union(F.array("name"), "aliases")).alias("alias")).select("tag_id", F.lower(F.trim("alias")).alias("alias"))
     one = queries.withColumn("alias", F.lower(F.trim("device"))).join(names, "alias").groupBy(query).agg(F.count_distinct("tag_id").alias("n"), F.min("tag_id").alias("tag_id")).filter("n = 1")
-    tagged = docs.select("doc_id", F.explode_outer("tag_ids").alias("tag_id"))
-    hit = one.join(tagged, "tag_id").select(query, "doc_id")
-    free = one.select(query).join(tagged.filter("tag_id is null").select("doc_id"))
-    return hit.unionByName(free).distinct()
+    own = docs.select("doc_id", F.coalesce("tag_ids", F.array().cast("array<int>")).alias("own_"))
+    rows = cands.join(one.select(query, "tag_id"), query).join(own, "doc_id")
+    return rows.filter((F.size("own_") == 0) | F.array_contains("own_", F.col("tag_id"))).select(*cands.columns)
 
 
 #: Greetings and thanks that carry no content.
@@ -153,29 +194,63 @@ def drop_contact_lines(column: Column, patterns: list[str]) -> Column:
     return drop_lines(column, drop)
 
 
-def visible_rows(df: DataFrame, users: DataFrame, permission: str, *, owner: str = "owner_id") -> DataFrame:
-    """FLT-19: (viewer, row) pairs: own rows, and all rows for viewers with the permission.
+def effective_permissions(users: DataFrame, groups: DataFrame) -> DataFrame:
+    """FLT-19: a user's permission set: that of its role group where it has one, else its own old ones.
 
-    Admin implies every permission; write and review imply read.
+    ``users`` are (user_id, group_id, permissions), ``groups`` (group_id, permissions); admin
+    implies every permission, write and review imply read.
     """
-    implied = F.when(F.array_contains("permissions", "admin"), F.lit(True)).when(F.lit(permission == "read"), F.arrays_overlap("permissions", F.array(F.lit("read"), F.lit("write"), F.lit("review")))).otherwise(F.array_contains("permissions", permission))
-    viewers = users.select(F.col("user_id").alias("viewer_id"), implied.alias("sees_all"))
-    return viewers.join(df, F.col("sees_all") | (F.col(owner) == F.col("viewer_id")))
+    rows = users.join(groups.select("group_id", F.col("permissions").alias("of_group")), "group_id", "left")
+    own = F.coalesce("of_group", "permissions", F.array().cast("array<string>"))
+    read = F.when(F.arrays_overlap(own, F.array(F.lit("write"), F.lit("review"))), F.array(F.lit("read"))).otherwise(F.array().cast("array<string>"))
+    full = F.array(*[F.lit(x) for x in ("admin", "read", "write", "review")])
+    return rows.select("user_id", F.when(F.array_contains(own, "admin"), F.array_union(own, full)).otherwise(F.array_union(own, read)).alias("permissions"))
+
+
+def visible_rows(df: DataFrame, users: DataFrame, permission: str, *, owner: str = "owner_id", block: int = 1000) -> DataFrame:
+    """FLT-19: (viewer, row) pairs: own rows by an equi join, and all rows for viewers with the permission.
+
+    ``users`` have their effective permissions. Those who see everything are named in the
+    plan, ``block`` of them at a time; each gets every row, which is what they see.
+    """
+    sees = F.array_contains("permissions", permission)
+    own = users.filter(~F.coalesce(sees, F.lit(False))).select(F.col("user_id").alias("viewer_id")).join(df, F.col("viewer_id") == F.col(owner))
+    wide = sorted(r[0] for r in users.filter(sees).select("user_id").distinct().collect())
+    kind = users.schema["user_id"].dataType
+    for i in range(0, len(wide), block):
+        ids = F.array(*[F.lit(x).cast(kind) for x in wide[i : i + block]])
+        own = own.unionByName(df.select(F.explode(ids).alias("viewer_id"), *df.columns))
+    return own
 
 
 def feedback_eligible(messages: DataFrame, traces: DataFrame) -> DataFrame:
-    """FLT-17: answers that feedback may refer to: their latest trace fetched documents, or they cite some themselves."""
+    """FLT-17: answers that feedback may refer to.
+
+    Their latest trace is of the knowledge route, has documents, and fetched or reused them
+    or has documents at all; without a trace, or on another route, they cite some themselves.
+    """
     w = W.partitionBy("message_id").orderBy(F.desc("trace_sec"), F.desc("trace_id"))
     last = traces.withColumn("n", F.row_number().over(w)).filter("n = 1")
     rows = messages.filter("role = 0").join(last, messages["id"] == last["message_id"], "left")
-    fetched = (F.col("route") == "knowledge_search") & (F.col("n_documents") > 0)
+    acted = F.exists(F.coalesce("actions", F.array().cast("array<string>")), lambda a: a.startswith("rag_search") | a.startswith("reuse_previous_references"))
+    fetched = (F.col("n_documents") > 0) & (acted | (F.col("n_documents") > 0))
     own = F.coalesce("ai_reference_doc_ids", F.lit("")) != ""
     return rows.filter(F.when(F.col("route") == "knowledge_search", fetched).otherwise(own)).select("id")
 
 
 def audit_candidates(traces: DataFrame, least: int = 2) -> DataFrame:
-    """FLT-18: per session the traces that share a document or enough terms with the active context; all where under ``least`` remain."""
-    related = F.arrays_overlap("docs", "active_docs") | (F.size(F.array_intersect("terms", "active_terms")) >= 2)
-    rows = traces.withColumn("related", F.coalesce(related, F.lit(False)))
+    """FLT-18: per session the substantive traces that have to do with the active context; all substantive ones where under ``least`` do.
+
+    Substantive are traces of the knowledge route with documents, images or a retrieval
+    action. They share a document with the context, hold its text or lie in it, or share two terms.
+    """
+    acted = F.exists("actions", lambda a: a.contains("rag_search") | a.contains("reuse_previous_references"))
+    rows = traces.filter((F.col("route") == "knowledge_search") & ((F.size("docs") > 0) | (F.col("n_images") > 0) | acted))
+    tight = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
+    asked, active = tight("query"), tight("active_text")
+    inside = (asked != "") & (active != "") & (asked.contains(active) | active.contains(asked))
+    words = (asked != "") & (active != "") & (F.size(F.array_intersect("terms", "active_terms")) >= 2)
+    related = F.arrays_overlap("docs", "active_docs") | inside | words
+    rows = rows.withColumn("related", F.coalesce(related, F.lit(False)))
     n = F.sum(F.col("related").cast("int")).over(W.partitionBy("session_id"))
     return rows.withColumn("n_related", n).filter(F.col("related") | (F.col("n_related") < least)).drop("n_related")

@@ -40,14 +40,17 @@ def tag_conflicts(tags: DataFrame) -> DataFrame:
     return names.groupBy(F.lower(F.trim("alias")).alias("alias")).agg(F.count_distinct("tag_id").alias("n_tags")).filter("n_tags > 1")
 
 
-def drop_repeated_blocks(blocks: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """QLT-5: blocks (page, block) without those that stand on at least max(3, pages // 2) pages of a document of three or more."""
-    norm = F.regexp_replace(F.lower(F.trim("block")), r"\s+", " ")
-    rows = blocks.withColumn("norm", norm)
-    pages = rows.groupBy(key).agg(F.count_distinct("page").alias("pages"))
-    seen = rows.groupBy(key, "norm").agg(F.count(F.lit(1)).alias("seen"))
-    joined = rows.join(seen, [key, "norm"]).join(pages, key)
-    return joined.filter((F.col("pages") < 3) | (F.col("seen") < F.greatest(F.lit(3), F.floor(F.col("pages") / 2)))).drop("norm", "seen", "pages")
+def drop_repeated_blocks(blocks: DataFrame, *, key: str = "doc_id", short: int = 120) -> DataFrame:
+    """QLT-5: blocks (page, block) without those that stand max(3, pages // 2) times or more in a document of three or more pages.
+
+    Where there is a ``kind``, header and footer blocks of at most ``short`` characters go, too.
+    """
+    rows = blocks.withColumn("norm_", F.regexp_replace(F.lower(F.trim("block")), r"\s+", " "))
+    if "kind" in blocks.columns:
+        rows = rows.filter(~(F.coalesce("kind", F.lit("")).isin("header", "footer") & (F.length("norm_") <= short)))
+    pages = rows.groupBy(key).agg(F.count_distinct("page").alias("pages_"))
+    counted = rows.withColumn("seen_", F.count(F.lit(1)).over(W.partitionBy(key, "norm_"))).join(pages, key)
+    return counted.filter((F.col("pages_") < 3) | (F.col("seen_") < F.greatest(F.lit(3), F.floor(F.col("pages_") / 2)))).drop("norm_", "seen_", "pages_")
 
 
 def drop_repeated_images(images: DataFrame, least: int, area: float) -> DataFrame:
@@ -66,18 +69,32 @@ def match_signatures(images: DataFrame, refs: DataFrame, most: int = 6, aspect:
 
 
 def contained_duplicates(paras: DataFrame, k: int = 8, least: int = 30) -> DataFrame:
-    """QLT-8: pairs of paragraphs of which one holds the other, punctuation aside.
+    """QLT-8: (inner_id, outer_id) of paragraphs of which one holds the other, punctuation aside; equal ones count under their smallest id.
 
     A contained paragraph's rarest word window is in its container too, so the join is on
-    that window alone; containers offer all of theirs.
+    the hash of that window alone; containers offer all of theirs. Texts meet only for the
+    pairs that this leaves, and are compared whole. Paragraphs of fewer than ``k`` words
+    look for their first two words.
     """
-    clean = F.regexp_replace(F.lower("body"), r"[^\p{L}\p{N}]+", " ")
-    base = paras.select("para_id", F.trim(clean).alias("t")).filter(F.length("t") >= least).dropDuplicates(["t"])
-    words = F.split("t", " ")
-    wins = base.select("para_id", "t", F.explode(F.array_distinct(F.when(F.size(words) <= k, F.array(F.col("t"))).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))))).alias("win"))
-    counts = wins.groupBy("win").agg(F.count(F.lit(1)).alias("n"))
-    rare = wins.join(counts, "win").groupBy("para_id", "t").agg(F.min(F.struct("n", "win")).alias("m")).filter("m.n > 1").select(F.col("para_id").alias("inner_id"), F.col("t").alias("inner_t"), F.col("m.win").alias("win"))
-    return rare.join(wins, "win").filter((F.col("para_id") != F.col("inner_id")) & F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), "inner_t", F.lit(" ")))).select("inner_id", F.col("para_id").alias("outer_id")).distinct()
+    clean = F.trim(F.regexp_replace(F.lower("body"), r"[^\p{L}\p{N}]+", " "))
+    base = paras.select("para_id", clean.alias("t")).filter(F.length("t") >= least).groupBy("t").agg(F.min("para_id").alias("para_id"))
+    words = base.select("para_id", F.split("t", " ").alias("w"))
+    n = F.size("w")
+
+    def grams(size):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(size), F.array_join(F.slice("w", i, F.lit(size)), " "))))
+
+    offered = words.select("para_id", F.explode(F.when(n >= k, F.array_union(grams(k), grams(2))).otherwise(grams(2))).alias("win"))
+    asked = words.select("para_id", F.explode(F.when(n >= k, grams(k)).otherwise(F.slice(grams(2), 1, 1))).alias("win"))
+    counts = offered.groupBy("win").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # A window that nobody else has rules its paragraph out: only those whose windows all recur stay.
+    own = words.select("para_id", F.size(F.when(n >= k, grams(k)).otherwise(F.slice(grams(2), 1, 1))).alias("windows"))
+    rare = asked.join(counts, "win").groupBy("para_id").agg(F.min(F.struct("n", "win")).alias("m"), F.count(F.lit(1)).alias("shared")).join(own, "para_id").filter("shared = windows")
+    pairs = rare.select(F.col("para_id").alias("inner_id"), F.col("m.win").alias("win")).join(offered, "win").filter(F.col("para_id") != F.col("inner_id")).select("inner_id", F.col("para_id").alias("outer_id"))
+    inner = base.select(F.col("para_id").alias("inner_id"), F.col("t").alias("inner_t"))
+    outer = base.select(F.col("para_id").alias("outer_id"), F.col("t").alias("outer_t"))
+    held = F.concat(F.lit(" "), "outer_t", F.lit(" ")).contains(F.concat(F.lit(" "), "inner_t", F.lit(" ")))
+    return pairs.join(inner, "inner_id").join(outer, "outer_id").filter(held).select("inner_id", "outer_id")
 
 
 def reconcile(chunks: DataFrame, docs: DataFrame) -> DataFrame:

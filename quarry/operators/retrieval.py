@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048
+from quarry.functions.text import normalise_term
+
+QUERY_BLOCK, PROBE_QUERIES = 2048, 200
 KEY = ["library_type", "doc_id"]
 
 
@@ -71,15 +73,28 @@ def knn_threshold(queries: DataFrame, chunks: DataFrame, k: int, min_score: floa
     return knn(queries, chunks, k, **options).filter(F.col("score") >= min_score)
 
 
-def ann(queries: DataFrame, chunks: DataFrame, k: int, *, cells: int = 128, probes: int = 10, train_rows: int = 50_000, seed: int = 2, query_id: str = "query_id", chunk_id: str = "chunk_pk", vector: str = "embedding") -> DataFrame:
-    """VEC-2: inverted lists. Cells are k-means centres of a bounded sample; every chunk is indexed; a query probes its nearest cells."""
+def ann(
+    queries: DataFrame, chunks: DataFrame, k: int, *, cells: int = 128, probes: int | None = None, recall: float = 0.95, train_rows: int = 50_000, cell_rows: int = 40, seed: int = 2,
+    query_id: str = "query_id", chunk_id: str = "chunk_pk", vector: str = "embedding",
+) -> DataFrame:
+    """VEC-2: inverted lists. Cells are k-means centres of a bounded sample; every chunk is indexed; a query probes its nearest cells.
+
+    Without ``probes``, so many cells are probed as hold ``recall`` of the nearest ``k`` within
+    the sample, of up to ``PROBE_QUERIES`` of its rows. A small index has fewer cells, so that
+    one holds ``cell_rows`` chunks on average.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     unit = lambda df: df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    sample = chunks.orderBy(F.xxhash64(chunk_id), chunk_id).limit(train_rows)
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit(sample))
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    sample = chunks.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(chunk_id), chunk_id).limit(train_rows)
+    drawn = np.array([r[0] for r in sample.select(F.col(vector).cast("array<float>")).collect()], np.float32)
+    if not len(drawn):
+        return top_per_key(queries.select(query_id).crossJoin(chunks.drop(vector)).withColumn("score", F.lit(0.0)).limit(0), [query_id], [F.asc(chunk_id)], k)
+    model = KMeans(k=max(2, min(cells, len(drawn) // cell_rows)), seed=seed, maxIter=10).fit(unit(sample))
+    found = np.array(model.clusterCenters(), np.float32)
+    probes = probes or _probes_for(drawn, found, k, recall)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in found])
     indexed = model.transform(unit(chunks)).withColumnRenamed("prediction", "cell").drop("features")
     near = F.transform(centres, lambda c, i: F.struct((-inner(c, F.col(vector).cast("array<double>"))).alias("d"), i.alias("cell")))
     probed = queries.select(query_id, F.col(vector).alias("query_vector_"), F.explode(F.slice(F.array_sort(near), 1, probes)["cell"]).alias("cell"))
@@ -87,6 +102,16 @@ def ann(queries: DataFrame, chunks: DataFrame, k: int, *, cells: int = 128, prob
     return top_per_key(scored.drop("query_vector_", vector, "cell"), [query_id], [F.desc("score"), F.asc(chunk_id)], k)
 
 
+def _probes_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
+    """Cells, in the order in which a query probes them, that hold a share ``recall`` of the nearest rows of some of the sample's rows."""
+    asked = sample[:PROBE_QUERIES]
+    own = ((sample[:, None, :] - centres[None]) ** 2).sum(2).argmin(1) if len(sample) * centres.size < 1 << 24 else np.concatenate([((x[:, None, :] - centres[None]) ** 2).sum(2).argmin(1) for x in np.array_split(sample, 1 + len(sample) * centres.size >> 24)])
+    nearest = np.argsort(-(asked @ sample.T), axis=1)[:, : k + 1]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
+    ranks = np.sort(np.take_along_axis(place, own[nearest], axis=1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
+
+
 def inner(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -98,27 +123,54 @@ def merge_candidates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), best).alias("best")).select(*keys, "best.*")
 
 
-def domain_rescore(cands: DataFrame, terms: str = "terms", text: str = "text", title: str = "title") -> DataFrame:
-    """VEC-5: a bonus for the share of query terms in the text and title, a malus where none matches."""
-    n = F.size(terms)
-    matched = F.size(F.filter(terms, lambda t: F.lower(F.concat_ws(" ", title, text)).contains(t)))
-    titled = F.size(F.filter(terms, lambda t: F.lower(F.col(title)).contains(t)))
+def domain_rescore(cands: DataFrame, terms: str = "terms", text: str = "text", title: str = "title", *, aliases: str | None = None, malus: float = 0.10) -> DataFrame:
+    """VEC-5: a bonus for the share of a query's terms in text and title, a malus where none matches; without terms the score stays.
+
+    ``aliases`` names a map column from a term to its other names. Blanks, underscores and
+    hyphens are alike, and case is ignored.
+    """
+    body, head = normalise_term(F.coalesce(text, F.lit(""))), normalise_term(F.coalesce(title, F.lit("")))
+    wanted = F.array_distinct(terms)
+    names = lambda t: F.array_union(F.array(t), F.coalesce(F.element_at(aliases, t), F.array().cast("array<string>"))) if aliases else F.array(t)
+    inside = lambda where, t: F.exists(names(t), lambda a: where.contains(normalise_term(a)))
+    n = F.size(wanted)
+    matched = F.size(F.filter(wanted, lambda t: inside(head, t) | inside(body, t)))
+    titled = F.size(F.filter(wanted, lambda t: inside(head, t)))
     bonus = F.least(F.lit(0.15), 0.08 + 0.06 * matched / n + 0.03 * titled / n)
-    new = F.when(n == 0, F.col("score")).when(matched > 0, F.least(F.lit(1.0), F.col("score") + bonus)).otherwise(F.greatest(F.lit(0.0), F.col("score") - 0.10))
+    new = F.when(n == 0, F.col("score")).when(matched > 0, F.least(F.lit(1.0), F.col("score") + bonus)).otherwise(F.greatest(F.lit(0.0), F.col("score") - malus))
     return cands.withColumn("rescored", new)
 
 
 def rollup_documents(cands: DataFrame, *, min_score: float = 0.5, k: int = 10, query: str = "query_id", weights: tuple[float, ...] = (0.6, 0.3, 0.1)) -> DataFrame:
-    """VEC-6: documents by the weighted mean of their best three chunks; weights renormalised where there are fewer."""
-    keys = [query, *KEY]
-    best = top_per_key(cands.filter(F.col("score") >= min_score), keys, [F.desc("score"), F.asc("chunk_pk")], len(weights), "place")
+    """VEC-6: documents by the weighted mean of their best three chunks; weights renormalised where there are fewer.
+
+    Where chunks have a ``version_id``, versions of a document of the knowledge library are
+    apart. Where they have ``section_id`` or ``image_url``, that library's documents list
+    them, distinct, by falling score of the chunk.
+    """
+    versioned = "version_id" in cands.columns
+    rows = cands.filter(F.col("score") >= min_score)
+    known = F.col("library_type") == "knowledge"
+    if versioned:
+        rows = rows.withColumn("version_id", F.when(known, F.coalesce("version_id", F.lit(0))).otherwise(F.lit(0)))
+    keys = [query, *KEY, *(["version_id"] if versioned else [])]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), F.asc("chunk_pk")))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("place"))
-    docs = best.groupBy(*keys).agg(
-        (F.sum(F.col("score") * weight) / F.sum(weight)).alias("doc_score"),
+    best = F.col("place") <= len(weights)
+    lists = {c: f"{c}s" for c in ("section_id", "image_url") if c in cands.columns}
+
+    def in_order(c: str) -> Column:
+        wanted = known & F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+        return F.array_distinct(F.array_sort(F.collect_list(F.when(wanted, F.struct("place", c))))[c])
+
+    collected = [in_order(c).alias(name) for c, name in lists.items()]
+    docs = rows.withColumn("place", place).groupBy(*keys).agg(
+        (F.sum(F.when(best, F.col("score") * F.when(best, weight))) / F.sum(F.when(best, weight))).alias("doc_score"),
         F.min_by("chunk_pk", "place").alias("best_chunk"),
-        F.count(F.lit(1)).alias("n_chunks"),
+        F.count(F.when(best, 1)).alias("n_chunks"),
+        *collected,
     )
-    return top_per_key(docs, [query], [F.desc(F.round("doc_score", 9)), F.asc("library_type"), F.asc("doc_id")], k)
+    return top_per_key(docs, [query], [F.desc(F.round("doc_score", 9)), F.asc("library_type"), F.asc("doc_id"), *([F.asc("version_id")] if versioned else [])], k)
 
 
 def rrf(lists: DataFrame, *, weights: dict[str, float], k: int = 60, query: str = "query_id", key: list[str] = KEY) -> DataFrame:
@@ -177,14 +229,55 @@ def plan_queries(levels: DataFrame, *, query: str = "query_id") -> DataFrame:
     return first.withColumn("has_original", has).withColumn("nth", nth).filter((F.col("level") != 1) | (F.col("has_original") == 0) | (F.col("nth") == 1)).select(query, "level", "kind", "text")
 
 
-def judge_sufficiency(cands: DataFrame, *, query: str = "query_id") -> DataFrame:
-    """VEC-12: aspects (terms) that candidates support, those missing, and what to do next."""
-    hit = F.filter("terms", lambda t: F.lower("text").contains(t))
-    rows = cands.withColumn("hit", hit)
-    per = rows.groupBy(query).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("supported"), F.first("terms").alias("terms"), F.count_if(F.size("hit") == 0).alias("irrelevant"), F.count(F.lit(1)).alias("n"))
-    missing = F.array_sort(F.array_except("terms", "supported"))
-    action = F.when(F.size(missing) == 0, "answer").when(F.size("supported") > 0, "refine").otherwise("replan")
-    return per.select(query, F.array_join("supported", ",").alias("supported"), F.array_join(missing, ",").alias("missing"), "irrelevant", action.alias("next_action"))
+#: Words of a cause or a remedy; the last one does not make an answer complete.
+ACTION_WORDS = ["原因", "排查", "检查", "处理", "解决", "措施", "建议"]
+
+
+def judge_sufficiency(cands: DataFrame, analyses: DataFrame, *, least: int = 1, query: str = "query_id") -> DataFrame:
+    """VEC-12: per query what its candidates support, what is missing, and whether to answer, refine or plan anew.
+
+    ``cands`` are (query, doc_id, title, text); ``analyses`` (query, primary_terms,
+    requested, symptoms, joint). A candidate supports if it has a primary term (where there
+    are any) and a word of cause or remedy (where something is requested).
+    """
+    clean = F.filter(F.transform("primary_terms", lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    asks = analyses.select(query, clean.alias("terms"), (F.trim(F.coalesce("requested", F.lit(""))) != "").alias("requested"), F.transform("symptoms", F.lower).alias("symptoms"), F.coalesce("joint", F.lit(False)).alias("joint"))
+    low = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
+    any_of = lambda words: low.rlike("|".join(words))
+    rows = cands.select(query, "doc_id", low.alias("low_"), any_of(ACTION_WORDS).alias("acts"), any_of(ACTION_WORDS[:-1]).alias("cause")).join(asks, query)
+    hit = F.filter("terms", lambda t: F.col("low_").contains(t))
+    rows = rows.withColumn("hit", hit).withColumn("primary", (F.size("terms") == 0) | (F.size("hit") > 0))
+    rows = rows.withColumn("supports", F.col("primary") & (F.col("acts") | ~F.col("requested"))).withColumn("shown", F.filter("symptoms", lambda x: F.col("low_").contains(x)))
+    docs = lambda when: F.array_sort(F.collect_set(F.when(when, F.col("doc_id"))))
+    per = rows.groupBy(query).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("matched"), docs(F.col("supports")).alias("supporting"), docs(~F.col("primary") & (F.size("terms") > 0)).alias("irrelevant"), docs(F.lit(True)).alias("all_docs"),
+        F.array_distinct(F.flatten(F.collect_set("shown"))).alias("shown"), F.bool_or(F.col("supports") & F.col("cause")).alias("caused"), F.count(F.lit(1)).alias("n"),
+    )
+    full = asks.join(per, query, "left")
+    none = F.array().cast("array<string>")
+    matched, supports = F.coalesce("matched", none), F.coalesce(F.size("supporting"), F.lit(0)) > 0
+    missing = F.array_compact(
+        F.concat(
+            F.when(F.col("joint"), F.transform(F.array_except("symptoms", F.coalesce("shown", none)), lambda x: F.concat(F.lit("symptom: "), x))).otherwise(none),
+            F.array(F.when(F.col("joint"), F.lit("joint cause")), F.when((F.size("terms") > 0) & (F.size(matched) == 0), F.lit("primary term")), F.when(F.col("requested") & supports & ~F.coalesce("caused", F.lit(False)), F.lit("cause or remedy"))),
+        )
+    )
+    rows = full.withColumn("missing", missing)
+    bare = F.size("missing") == 0
+    verdict = lambda relevance, action, rest: F.struct(relevance.alias("relevance"), action.alias("next_action"), rest.alias("missing"))
+    fill = lambda text: F.when(bare, F.array(F.lit(text))).otherwise(F.col("missing"))
+    out = (
+        F.when(F.col("n").isNull(), verdict(F.lit("none"), F.lit("refine"), F.array(F.lit("documents"))))
+        .when(supports, verdict(F.when(bare & (F.size("supporting") >= 2), "strong").otherwise("partial"), F.when(bare & (F.size("supporting") >= least), "answer").otherwise("refine"), F.col("missing")))
+        .when((F.size("terms") > 0) & (F.size(matched) > 0), verdict(F.lit("partial"), F.lit("refine"), fill("cause or remedy")))
+        .otherwise(verdict(F.lit("weak"), F.lit("replan"), fill("main entity")))
+    )
+    ids = F.array().cast(cands.select(F.array("doc_id")).schema[0].dataType)
+    weak = out["relevance"] == "weak"
+    return rows.select(
+        query, matched.alias("matched"), F.coalesce("supporting", ids).alias("supporting"), F.when(weak, F.col("all_docs")).otherwise(F.coalesce("irrelevant", ids)).alias("irrelevant"),
+        out["relevance"].alias("relevance"), out["next_action"].alias("next_action"), F.array_join(out["missing"], ",").alias("missing"),
+    )
 
 
 def refine_queries(judged: DataFrame, *, query: str = "query_id", most: int = 3) -> DataFrame:
@@ -196,16 +289,31 @@ def refine_queries(judged: DataFrame, *, query: str = "query_id", most: int = 3)
     return judged.filter("missing <> ''").select(query, F.inline(both))
 
 
+def tree_evidence(chunks: DataFrame, most: int = 8, *, query: str = "query_id") -> DataFrame:
+    """VEC-15: chunks of mind maps (query, doc_id, path, text, terms) that hold a term, by hits in text, focus and path and by shortness of the path."""
+    low, n = F.lower("text"), F.greatest(F.size("terms"), F.lit(1))
+    held = lambda where: F.size(F.filter("terms", lambda t: where.contains(F.lower(t))))
+    focus, whole = F.lower(F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(""))), F.lower(F.array_join("path", " "))
+    score = 0.4 * held(low) / n + 0.3 * held(focus) / n + 0.2 * held(whole) / n + 0.1 / F.greatest(F.lit(1), F.size("path"))
+    rows = chunks.filter(held(low) > 0).withColumn("score", F.round(score, 9))
+    return top_per_key(rows, [query, "doc_id"], [F.desc("score"), F.asc("text")], most)
+
+
 def evidence_snippets(sections: DataFrame, *, before: int = 250, after: int = 1250, most: int = 8, query: str = "query_id") -> DataFrame:
-    """VEC-15: windows around the first hit of each term, merged where they meet, the first ``most`` of a document."""
-    spots = F.array_sort(F.array_distinct(F.filter(F.transform("terms", lambda t: F.position(t, F.lower("text"))), lambda x: x > 0)))
+    """VEC-15: windows around the first hit of each term, in order, the first ``most`` of a document.
+
+    A hit inside the window before it opens none; without a hit the window is the text's
+    beginning. Texts and terms are compared in small letters; an empty text has no window.
+    """
+    low = F.lower("text")
+    hits = F.array_sort(F.array_distinct(F.filter(F.transform("terms", lambda t: F.position(F.lower(t), low)), lambda x: x > 0)))
+    spots = F.when((F.size(hits) == 0) & (F.coalesce("text", F.lit("")) != ""), F.array(F.lit(1))).otherwise(hits)
     zero = F.array().cast("array<struct<s:int,e:int>>")
 
     def step(acc, x):
-        s, e = F.greatest(F.lit(1), x - before).cast("int"), (x + after).cast("int")
+        window = F.struct(F.greatest(F.lit(1), x - before).cast("int").alias("s"), F.least(F.length("text") + 1, x + after).cast("int").alias("e"))
         last = F.try_element_at(acc, F.lit(-1))
-        meets = (F.size(acc) > 0) & (last["e"] >= s)
-        merged = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), e.alias("e"))))
-        return F.when(meets, merged).otherwise(F.concat(acc, F.array(F.struct(s.alias("s"), e.alias("e")))))
+        return F.when((F.size(acc) > 0) & (x < last["e"]), acc).otherwise(F.concat(acc, F.array(window)))
 
-    return sections.select(query, "doc_id", "text", F.posexplode(F.slice(F.aggregate(spots, zero, step), 1, most)).alias("n", "w")).select(query, "doc_id", "n", F.substring("text", F.col("w.s"), F.col("w.e") - F.col("w.s")).alias("snippet"))
+    rows = sections.filter(F.col("text").isNotNull()).select(query, "doc_id", "text", F.posexplode(F.slice(F.aggregate(spots, zero, step), 1, most)).alias("n", "w"))
+    return rows.select(query, "doc_id", "n", F.substring("text", F.col("w.s"), F.col("w.e") - F.col("w.s")).alias("snippet"))

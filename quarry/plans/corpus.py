@@ -1,16 +1,13 @@
-"""Registered corpus quality and feedback queries."""
+"""Registered corpus quality queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import feedback as fb
 from quarry.operators import quality as ql
 
-from .dashboard import FB, feedback_sec
 from .registry import query
 from .relational import TAGGED, live_docs, tagged, with_aliases
-from .retrieval import KNN, ROLLED, rolled
 
 TERMS = {"the license": "[L]", "license": "[l]", "Apache": "[A]", "§": "[S]"}
 
@@ -62,12 +59,12 @@ def qlt07(t):
     return ql.match_signatures(images, refs)
 
 
-@query("qlt08_contained", r"""with p as (select item_id * 2 as para_id, text as body from benchmark union all select doc_id * 2 + 1, text from documents where doc_id % 4 = 0),
-c as (select para_id, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) as t from p), k as (select t, count(*) as n, min(para_id) as para_id from c where length(t) >= 30 group by t)
-select count(*) > 0 as found, count(*) as n from k a join k b on a.t <> b.t and contains(concat(' ', b.t, ' '), concat(' ', a.t, ' '))""")
+@query("qlt08_contained", r"""with p as (select item_id * 2 as para_id, text as body from benchmark union all select doc_id * 2 + 1, text from documents),
+c as (select para_id, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) as t from p), k as (select t, min(para_id) as para_id from c where length(t) >= 30 group by t)
+select a.para_id as inner_id, b.para_id as outer_id from k a join k b on length(b.t) > length(a.t) and contains(concat(' ', b.t, ' '), concat(' ', a.t, ' '))""")
 def qlt08(t):
-    paras = t("benchmark").select((F.col("item_id") * 2).alias("para_id"), F.col("text").alias("body")).unionByName(t("documents").filter("doc_id % 4 = 0").select((F.col("doc_id") * 2 + 1).alias("para_id"), F.col("text").alias("body")))
-    return ql.contained_duplicates(paras).agg((F.count(F.lit(1)) > 0).alias("found"), F.count(F.lit(1)).alias("n"))
+    paras = t("benchmark").select((F.col("item_id") * 2).alias("para_id"), F.col("text").alias("body")).unionByName(t("documents").select((F.col("doc_id") * 2 + 1).alias("para_id"), F.col("text").alias("body")))
+    return ql.contained_duplicates(paras)
 
 
 @query("qlt09_reconcile", """with p as (select doc_id, string_agg(distinct title, '|' order by title) as titles, count(distinct title) as n, count(*) as chunks, min(title) as one from {index_titles} group by 1),
@@ -81,12 +78,12 @@ def qlt10(t):
     return ql.mixed_titles(t("index_titles"), t("stored_titles")).select("doc_id", F.array_join("titles", "|").alias("titles"))
 
 
-@query("qlt11_repair", """with d as (select o_orderkey as doc_id, o_custkey % 400 as path, case when o_orderkey % 3 = 0 then o_orderkey % 700 else null end as source_id from orders where o_orderkey % 9 = 0), s as (select c_custkey as source_id, c_custkey % 450 as path from customer where c_custkey % 2 = 0),
+@query("qlt11_repair", """with d as (select o_orderkey as doc_id, o_custkey % 400 as path, case when o_orderkey % 3 = 0 then o_orderkey % 700 else null end as source_id from orders), s as (select c_custkey as source_id, c_custkey % 450 as path from customer),
 n as (select *, row_number() over (partition by path order by source_id is not null desc, doc_id desc) as n from d), g as (select path, min(source_id) as first_source, count(*) as sources from s group by 1)
 select coalesce(n.path, g.path) as path, coalesce(doc_id, -1) as doc_id, case when doc_id is null then 'orphan source' when n > 1 then 'delete' when sources is null then 'orphan document' when sources > 1 then 'several sources' when source_id is distinct from first_source then 'link' else 'keep' end as action from n full join g on g.path = n.path""")
 def qlt11(t):
-    docs = t("orders").filter("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 400).alias("path"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 700).alias("source_id"))
-    return ql.repair_plan(docs, t("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") % 450).alias("path")))
+    docs = t("orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 400).alias("path"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 700).alias("source_id"))
+    return ql.repair_plan(docs, t("customer").select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") % 450).alias("path")))
 
 
 @query("qlt12_stale", "select id from {source_files} where id not in (select doc_id * 3 from documents)")
@@ -142,172 +139,3 @@ def qlt19(t):
     k = F.col("o_orderkey")
     lib = lambda n: F.when(k % n == 0, "knowledge").otherwise("breakdown")
     return ql.refile_reviews(t("orders").select(k.alias("review_id"), F.col("o_custkey").alias("owner_id"), F.col("o_orderpriority").alias("path"), lib(2).alias("library"), lib(3).alias("wanted")))
-
-
-INCOMING = "i as (select id as feedback_id, case when id % 5 = 0 then user_id + 1 else user_id end as user_id, session_id, case when id % 7 = 0 then id + 5000000 else id end as message_id, case id % 3 when 0 then 'positive' when 1 then 'correction' else 'shrug' end as feedback_type from {messages})"
-
-
-@query("fb01_ingest", f"""with {INCOMING} select feedback_id, case when feedback_type = 'shrug' then 'unknown type' when m.id is null then 'no message' when m.user_id <> i.user_id then 'foreign session' when m.role <> 0 then 'not an answer' when i.message_id % 4 = 1 then 'repeated' else 'accepted' end as outcome from i left join {{messages}} m on m.id = i.message_id""")
-def fb01(t):
-    k = F.col("id")
-    m = t("messages")
-    inc = m.select(k.alias("feedback_id"), F.when(k % 5 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"), "session_id", F.when(k % 7 == 0, k + 5000000).otherwise(k).alias("message_id"), F.when(k % 3 == 0, "positive").when(k % 3 == 1, "correction").otherwise("shrug").alias("feedback_type"))
-    return fb.ingest_feedback(inc, m, inc.filter("message_id % 4 = 1"))
-
-
-@query("fb02_analyse", """with d as (select *, case when comment = 'ok' then 'confirmation' else feedback_type end as detected from {feedback}), r as (select *, case when contains(comment, 'power') then 'high' when detected = 'correction' then 'medium' else 'low' end as risk from d)
-select feedback_id, detected, risk, case when risk = 'high' then 'review' when detected = 'confirmation' then 'reinforce' when detected = 'correction' then 'verify' else 'collect' end as action from r""")
-def fb02(t):
-    return fb.analyse_feedback(t("feedback")).select("feedback_id", "detected", "risk", "action")
-
-
-COMMENT = "case when feedback_id % 3 = 0 then concat('not the fan, it is the ', comment, '. done') else comment end"
-
-
-@query("fb03_claims", f"""select feedback_id, case when feedback_id % 3 = 0 then 'correction' when comment = 'ok' or feedback_type in ('confirmation', 'positive') then 'confirmation' when feedback_type = 'additional_information' then 'additional_information' else 'unclear' end as claim_type,
-case when feedback_id % 3 = 0 then concat('the ', comment) else comment end as claim, case when feedback_id % 3 = 0 then 'the fan' else '' end as denied from {{feedback}}""")
-def fb03(t):
-    f = t("feedback").withColumn("detected", F.when(F.col("comment") == "ok", "confirmation").otherwise(F.col("feedback_type")))
-    f = f.withColumn("comment", F.when(F.col("feedback_id") % 3 == 0, F.concat(F.lit("not the fan, it is the "), "comment", F.lit(". done"))).otherwise(F.col("comment")))
-    return fb.extract_claims(f).select("feedback_id", "claim_type", "claim", "denied")
-
-
-EVID = """c as (select item_id as claim_id, list_distinct(string_split(lower(text), ' ')[1:6]) as keywords from benchmark),
-s as (select item_id as claim_id, doc_id as source_id, case doc_id % 3 when 0 then 'cited' when 1 then 'answer' else 'case' end as source_type, text from benchmark b join (select doc_id, text as dt from documents) d on d.doc_id % 40 = b.item_id % 40, lateral (select dt as text) x)""".replace("text from benchmark b join", "d.dt as text from benchmark b join").replace(", lateral (select dt as text) x", "")
-EVID += """, r as (select c.claim_id, source_type, source_id, len(list_filter(keywords, lambda k: contains(lower(s.text), k))) / len(keywords) as relevance from c join s on s.claim_id = c.claim_id),
-e as (select *, row_number() over (partition by claim_id, source_type order by relevance desc, source_id) as n from r where relevance > 0)"""
-
-
-def evidence(t):
-    claims = t("benchmark").select(F.col("item_id").alias("claim_id"), F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 6)).alias("keywords"))
-    k = F.col("doc_id") % 3
-    docs = t("documents").select(F.col("doc_id").alias("source_id"), F.when(k == 0, "cited").when(k == 1, "answer").otherwise("case").alias("source_type"), "text", (F.col("doc_id") % 40).alias("b"))
-    sources = docs.join(t("benchmark").select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 40).alias("b")), "b").drop("b")
-    return fb.collect_evidence(claims, sources)
-
-
-@query("fb04_evidence", f"with {EVID} select claim_id, source_type, source_id, round(relevance, 6) as relevance from e where n <= 8")
-def fb04(t):
-    return evidence(t).select("claim_id", "source_type", "source_id", F.round("relevance", 6).alias("relevance"))
-
-
-@query("fb05_verdicts", f"""with {EVID}, w as (select claim_id, relevance, case source_type when 'cited' then 0.9::double when 'answer' then 0.3::double else 0.8::double end as s, case source_type when 'cited' then 0.1::double when 'answer' then 0.3::double else 0.4::double end as c from e where n <= 8),
-a as (select claim_id, least(1, sum(s * relevance)) as support, least(1, sum(c * relevance)) as contradiction, count(*) as n from w group by 1)
-select claim_id, round(support, 6) as support, round(least(1, greatest(support, contradiction) + least(0.25, n / 20)), 6) as confidence, case when greatest(support, contradiction) < 0.35 then 'insufficient' when support - contradiction >= 0.25 then 'supported' when support - contradiction <= -0.25 then 'contradicted' else 'uncertain' end as verdict from a""")
-def fb05(t):
-    return fb.verify_claims(evidence(t)).select("claim_id", F.round("support", 6).alias("support"), F.round("confidence", 6).alias("confidence"), "verdict")
-
-
-@query("fb06_anomaly", f"""with {FB}, r as (select *, list({{'s': sec, 't': feedback_type}}) over (partition by user_id order by sec, feedback_id rows between 19 preceding and 1 preceding) as b from f),
-d as (select *, list_filter(coalesce(b, []), lambda x: x.s >= sec - 86400) as day from r), n as (select *, list_reverse(list_transform(day, lambda x: x.t))[1:4] as w from d)
-select feedback_id, len(day)::int as in_day, round(greatest(0.25, least(1, (case when len(day) >= 8 then 0.7::double else 1 end) * (case when len(list_filter(day, lambda x: x.t = feedback_type)) >= 4 then 0.75::double else 1 end) * (case when len(w) = 4 and w[1] <> w[2] and w[2] <> w[3] and w[3] <> w[4] then 0.6::double else 1 end) * (case when length(trim(comment)) <= 2 then 0.85::double else 1 end))), 6) as factor from n""")
-def fb06(t):
-    return fb.anomaly_factor(feedback_sec(t)).select("feedback_id", "in_day", F.round("factor", 6).alias("factor"))
-
-
-@query("fb07_strength", "select feedback_id, round((case verifier_type when 'human' then 1.0::double when 'expert' then 0.95::double when 'rule' then 0.8::double when 'cross_case' then 0.7::double else 0.55::double end) * (0.5::double + 0.5::double * confidence), 6) as strength from {feedback}")
-def fb07(t):
-    return fb.evidence_strength(t("feedback")).select("feedback_id", F.round("strength", 6).alias("strength"))
-
-
-def reliability_events(t):
-    return fb.evidence_strength(feedback_sec(t)).filter("verification_result <> 'insufficient'").select("user_id", "feedback_id", "sec", (F.col("verification_result") == "support").alias("good"), F.col("strength").alias("weight"))
-
-
-@query("fb08_reliability")
-def fb08(t):
-    """A fold in event order; tests hold it against a plain loop and the stream."""
-    return fb.user_reliability(reliability_events(t)).select("user_id", F.round("reliability", 6).alias("reliability"), "n", "good")
-
-
-PATCH = f"""{FB}, k as (select *, case when verification_result = 'insufficient' then 'none' when verifier_type in ('human', 'expert') then 'expert' when verification_result = 'contradict' then 'demote' when feedback_type in ('positive', 'confirmation', 'correction') then 'boost' else 'other' end as kind from f),
-p as (select feedback_id, user_id, document_id, kind, case when verification_result = 'contradict' then -1 else 1 end as sign, least(case kind when 'boost' then 0.10::double when 'expert' then 0.25::double when 'demote' then 0.06::double else 0.05::double end, 0.3::double * 0.5::double * confidence) as weight, confidence,
-  sec + case kind when 'boost' then 21 when 'expert' then 45 else 7 end * 86400 as expires_sec from k where kind <> 'none'), s as (select *, case when weight >= 0.02 then 'active' else 'candidate' end as status from p)"""
-
-
-def patches(t):
-    none = t("users").filter("false").select("user_id", F.lit(0.5).alias("reliability"))
-    return fb.make_patches(feedback_sec(t), none)
-
-
-@query("fb09_patches", f"with {PATCH} select feedback_id, kind, sign, round(weight, 6) as weight, status, expires_sec from s")
-def fb09(t):
-    return patches(t).select("feedback_id", "kind", "sign", F.round("weight", 6).alias("weight"), "status", "expires_sec")
-
-
-NOW = 1706659200
-
-
-@query("fb10_expire", f"with {PATCH} select feedback_id, case when expires_sec <= {NOW} then 'expired' else status end as status from s")
-def fb10(t):
-    return fb.expire_patches(patches(t), NOW).select("feedback_id", "status")
-
-
-LIVE_PATCH = f"{PATCH}, a as (select *, row_number() over (partition by document_id, kind order by feedback_id desc) as n from s where status = 'active' and expires_sec > {NOW}), live as (select * from a where n = 1)"
-
-
-@query("fb11_applicable", f"with {LIVE_PATCH} select document_id, kind, feedback_id from live")
-def fb11(t):
-    return fb.applicable_patches(patches(t), NOW).select("document_id", "kind", "feedback_id")
-
-
-@query("fb12_apply", f"""with {KNN}, {ROLLED}, {LIVE_PATCH}, u as (select document_id, sum(sign * weight * (0.5::double + 0.5::double * confidence)) as push from live group by 1),
-m as (select query_id, doc_id, rank, doc_score, greatest(-0.25, least(0.25, coalesce(push, 0) * (0.5::double + least(0.5, doc_score)))) as raw from rolled left join u on u.document_id = doc_id),
-x as (select *, doc_score + case when raw >= 0 then least(raw, doc_score, greatest(0, 1 - doc_score)) else greatest(raw, -doc_score) end as patched from m)
-select query_id, doc_id, round(patched, 4) as patched, row_number() over (partition by query_id order by round(patched, 9) desc, rank) as new_rank from x""")
-def fb12(t):
-    return fb.apply_patches(rolled(t), fb.applicable_patches(patches(t), NOW)).select("query_id", "doc_id", F.round("patched", 4).alias("patched"), "new_rank")
-
-
-def cases(t):
-    return t("feedback").select(F.concat_ws("|", F.col("document_id").cast("string"), F.col("conversation_id").cast("string")).alias("case_key"), "feedback_id", "confidence", F.when(F.col("feedback_id") % 3 != 0, F.col("comment")).alias("component"), (F.col("verification_result") == "contradict").alias("contradicted"))
-
-
-CASES = """k as (select concat_ws('|', document_id::varchar, conversation_id::varchar) as case_key, feedback_id, confidence, case when feedback_id % 3 <> 0 then comment end as component, verification_result = 'contradict' as contradicted, case when feedback_id % 2 = 0 then 0 else 1 end as age from {feedback}),
-cs as (select case_key, max(confidence) as confidence, count(*) as n, arg_min(component, age * 1000000 + feedback_id) filter (component is not null) as component, case when bool_or(contradicted) then 'rejected' else 'candidate' end as status from k group by 1)"""
-
-
-@query("fb13_cases", f"with {CASES} select case_key, confidence, n, coalesce(component, '') as component, status from cs")
-def fb13(t):
-    c = cases(t)
-    out = fb.upsert_cases(c.filter("feedback_id % 2 = 0"), c.filter("feedback_id % 2 = 1"))
-    return out.select("case_key", "confidence", F.size("feedback_ids").cast("long").alias("n"), F.coalesce("component", F.lit("")).alias("component"), "status")
-
-
-@query("fb14_verify", f"""with {CASES}, o as (select concat_ws('|', document_id::varchar, conversation_id::varchar) as case_key, bool_or(verifier_type = 'expert') as expert from {{feedback}} where feedback_id % 4 = 1 group by 1)
-select case_key, case when expert then 'expert_verified' when status = 'rejected' then 'rejected' when expert is not null then 'verified' else status end as status, case when expert then greatest(confidence, 0.9) else confidence end as confidence from cs left join o using (case_key)""")
-def fb14(t):
-    outcomes = t("feedback").filter("feedback_id % 4 = 1").select(F.concat_ws("|", F.col("document_id").cast("string"), F.col("conversation_id").cast("string")).alias("case_key"), (F.col("verifier_type") == "expert").alias("expert"))
-    return fb.verify_cases(fb.upsert_cases(cases(t), cases(t).limit(0)), outcomes)
-
-
-@query("fb15_similar", """with q as (select tag_id as query_id, tag_id % 7 as device, case when tag_id % 2 = 0 then null else 'power' end as wanted from {tags}), r as (select query_id, feedback_id as case_id, row_number() over (partition by query_id order by feedback_id desc) as rank from q join {feedback} f on f.document_id = q.device and (wanted is null or contains(comment, wanted))) select * from r where rank <= 4""")
-def fb15(t):
-    q = t("tags").select(F.col("tag_id").alias("query_id"), (F.col("tag_id") % 7).cast("long").alias("device"), F.when(F.col("tag_id") % 2 != 0, "power").alias("wanted"))
-    return fb.similar_cases(q, t("feedback").select(F.col("document_id").alias("device"), F.col("feedback_id").alias("case_id"), F.col("comment").alias("component")), 4).select("query_id", "case_id", "rank")
-
-
-@query("fb16_promotion", """with c as (select document_id, count(distinct user_id) as n_users, avg(confidence) as confidence, count(*) filter (verification_result = 'contradict') as conflicts from {feedback} where feedback_id % 3 = 0 group by 1)
-select document_id, case when n_users >= 5 and conflicts = 0 and confidence >= 0.8 then 'global' when conflicts > 0 then 'human review' when confidence >= 0.7 and 0.75 >= 0.7 then 'expert' when n_users >= 2 then 'verified' else 'hold' end as promotion from c""")
-def fb16(t):
-    c = t("feedback").filter("feedback_id % 3 = 0").groupBy("document_id").agg(F.count_distinct("user_id").alias("n_users"), F.avg("confidence").alias("confidence"), F.count_if(F.col("verification_result") == "contradict").alias("conflicts"))
-    return fb.promotion(c.withColumn("reliability", F.lit(0.75))).select("document_id", "promotion")
-
-
-@query("fb17_memory", f"""with {FB}, k as (select *, case when feedback_type = 'correction' and verification_result = 'support' then 'correction' when verification_result = 'contradict' then 'conflict' end as kind from f where length(trim(comment)) > 2),
-r as (select *, row_number() over (partition by conversation_id, kind order by sec desc, feedback_id desc) as rank from k where kind is not null) select conversation_id, kind, feedback_id, rank from r where rank <= 3""")
-def fb17(t):
-    return fb.feedback_memory(feedback_sec(t)).select("conversation_id", "kind", "feedback_id", "rank")
-
-
-@query("fb18_audit", f"with {PATCH} select feedback_id, status as was, 'expired' as now from s where expires_sec <= {NOW} and feedback_id % 4 <> 0".replace("as was", "as was"))
-def fb18(t):
-    p = patches(t)
-    done = t("feedback").filter("feedback_id % 4 = 0").select("feedback_id", F.lit("expire").alias("action"))
-    return fb.audit_rows(p, fb.expire_patches(p, NOW), done, "expire").select("feedback_id", "was", "now")
-
-
-@query("evl09_effect", f"with {FB}, a as (select feedback_id, min(sec + 60 * (feedback_id % 50) + 5) as applied from f where feedback_id % 3 = 0 group by 1) select feedback_id, (applied - sec)::bigint as lag_sec from a join f using (feedback_id)")
-def evl09(t):
-    f = feedback_sec(t)
-    return fb.feedback_effect(f, f.filter("feedback_id % 3 = 0").select("feedback_id", (F.col("sec") + 60 * (F.col("feedback_id") % 50) + 5).alias("applied_sec")))

@@ -241,16 +241,16 @@ def ord04(t):
     return s.filter("user_id = 3").orderBy(F.desc("updated"), "session_id").offset(1).limit(5).select("session_id", "updated")
 
 
-@query("ord05_pending", "select feedback_id from (select *, case feedback_id % 3 when 0 then 'pending' when 1 then 'verifying' else 'done' end as status from {feedback}) where status in ('pending', 'verifying') order by created_at, feedback_id limit 25")
+@query("ord05_pending", "select feedback_id from (select * exclude (status), case feedback_id % 3 when 0 then 'pending' when 1 then 'verifying' else 'done' end as status from {feedback}) where status in ('pending', 'verifying') order by created_at, feedback_id limit 25")
 def ord05(t):
     status = F.when(F.col("feedback_id") % 3 == 0, "pending").when(F.col("feedback_id") % 3 == 1, "verifying").otherwise("done")
     return wi.pending(t("feedback").withColumn("status", status), ["pending", "verifying"], 25, ["created_at", "feedback_id"]).select("feedback_id")
 
 
-@query("ord06_reviews", """select review_id, coalesce(full_name, '') as full_name from (select o_orderkey as review_id, o_custkey as owner_id, o_orderdate as created from orders where o_orderkey % 40 = 1 union all select l_orderkey * 10 + l_linenumber + 1000000, l_suppkey + 1000000, l_shipdate from lineitem where l_orderkey % 400 = 3) r left join {users} u on u.user_id = r.owner_id order by created desc nulls last, review_id desc limit 60""")
+@query("ord06_reviews", """select review_id, coalesce(full_name, '') as full_name from (select o_orderkey as review_id, o_custkey as owner_id, o_orderdate as created from orders union all select l_orderkey * 10 + l_linenumber + 1000000, l_suppkey + 1000000, l_shipdate from lineitem) r left join {users} u on u.user_id = r.owner_id order by created desc nulls last, review_id desc limit 60""")
 def ord06(t):
-    a = t("orders").filter("o_orderkey % 40 = 1").select(F.col("o_orderkey").alias("review_id"), F.col("o_custkey").alias("owner_id"), F.col("o_orderdate").alias("created"))
-    b = t("lineitem").filter("l_orderkey % 400 = 3").select((F.col("l_orderkey") * 10 + F.col("l_linenumber") + 1000000).alias("review_id"), (F.col("l_suppkey") + 1000000).alias("owner_id"), F.col("l_shipdate").alias("created"))
+    a = t("orders").select(F.col("o_orderkey").alias("review_id"), F.col("o_custkey").alias("owner_id"), F.col("o_orderdate").alias("created"))
+    b = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber") + 1000000).alias("review_id"), (F.col("l_suppkey") + 1000000).alias("owner_id"), F.col("l_shipdate").alias("created"))
     return wi.review_queue(a, b, t("users")).limit(60).select("review_id", F.coalesce("full_name", F.lit("")).alias("full_name"))
 
 
@@ -259,9 +259,9 @@ def ord07(t):
     return wi.search_rows(t("users"), ["full_name"], "0012").unionByName(wi.search_rows(t("users"), ["department"], "BUILD")).distinct().orderBy("user_id").limit(30).select("user_id", "full_name")
 
 
-@query("set01_union", "select 'breakdown' as library, doc_id as id from documents where doc_id % 2 = 0 union all select 'knowledge', page_id from pages")
+@query("set01_union", "select 'breakdown' as library, doc_id as id from documents union all select 'knowledge', page_id from pages")
 def set01(t):
-    return wi.all_documents(t("documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id")), t("pages").select(F.col("page_id").alias("id"))).select("library", "id")
+    return wi.all_documents(t("documents").select(F.col("doc_id").alias("id")), t("pages").select(F.col("page_id").alias("id"))).select("library", "id")
 
 
 @query("set02_todo", "select doc_id from documents where source not in (select source from documents where doc_id % 50 = 7)")

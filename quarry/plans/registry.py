@@ -23,3 +23,15 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return register
+
+
+def files_query(name: str, sql: str | None = None):
+    """As ``query``, for a function that needs the session itself, to write files and read or stream them back: ``fn(spark, sf_dir, t)``."""
+
+    def register(fn: Callable[[SparkSession, str, Loader], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(spark, sf_dir, lambda table_name: table(spark, sf_dir, table_name))
+        if sql is not None:
+            ORACLE_SQL[name] = with_views(sql)
+        return fn
+
+    return register

@@ -107,9 +107,9 @@ def flt10(t):
     return fl.guard_refs(refs, t("versions").filter(SERVED)).select("ref_id")
 
 
-@query("flt11_confidence", f"with {KNN} select query_id, chunk_pk from ranked where score * 2 >= case when query_id % 2 = 0 then 0.5::double else 0.62::double end")
+@query("flt11_confidence", f"with {KNN} select query_id, chunk_pk from ranked where score * 2 >= case when (query_id // 50) % 2 = 0 then 0.5::double else 0.62::double end")
 def flt11(t):
-    routes = t("query_vectors").select("query_id", F.when(F.col("query_id") % 2 == 0, "knowledge_search").otherwise("chat").alias("route"))
+    routes = t("query_vectors").select("query_id", F.when(F.floor(F.col("query_id") / 50) % 2 == 0, "knowledge_search").otherwise("chat").alias("route"))
     return fl.confidence_cut(ranked(t).withColumn("score", F.col("score") * 2), routes).select("query_id", "chunk_pk")
 
 
@@ -123,11 +123,19 @@ def flt12(t):
 
 @query("flt13_device", f"""with {TAGGED}, q as (select tag_id as query_id, case when tag_id % 3 = 0 then concat('family ', (tag_id % 5)::varchar) else concat('b-', tag_id::varchar) end as device from {{tags}}),
 a as (select tag_id, lower(name) as alias from {{tags}} union select tag_id, concat('b-', tag_id::varchar) from {{tags}} union select tag_id, concat('family ', (tag_id % 5)::varchar) from {{tags}}),
-one as (select query_id, min(a.tag_id) as tag_id from q join a on a.alias = q.device group by 1 having count(distinct a.tag_id) = 1)
-select query_id, count(*) as n_docs from one join tagged on len(tag_ids) = 0 or list_contains(tag_ids, one.tag_id) group by 1""")
+one as (select query_id, min(a.tag_id) as tag_id from q join a on a.alias = q.device group by 1 having count(distinct a.tag_id) = 1),
+n as (select query_id, row_number() over (order by query_id) - 1 as place, count(*) over () as size from q), c as (select n.query_id, doc_id from tagged join n on n.place = doc_id % size or n.place = (doc_id * 7 + 3) % size)
+select query_id, doc_id from (select distinct * from c) x join one using (query_id) join tagged using (doc_id) where len(tag_ids) = 0 or list_contains(tag_ids, one.tag_id)""")
 def flt13(t):
     queries = t("tags").select(F.col("tag_id").alias("query_id"), F.when(F.col("tag_id") % 3 == 0, F.concat(F.lit("Family "), (F.col("tag_id") % 5).cast("string"))).otherwise(F.concat(F.lit("b-"), F.col("tag_id").cast("string"))).alias("device"))
-    return fl.device_scope(queries, with_aliases(t), tagged(t)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Candidates: each document for two of the queries, as a search would bring them.
+    ids = F.array_sort(F.collect_set("query_id"))
+    places = queries.agg(ids.alias("ids"))
+    docs = tagged(t)
+    size = F.size("ids")
+    both = F.array_distinct(F.array(F.element_at("ids", (F.col("doc_id") % size + 1).cast("int")), F.element_at("ids", ((F.col("doc_id") * 7 + 3) % size + 1).cast("int"))))
+    cands = docs.crossJoin(F.broadcast(places)).select(F.explode(both).alias("query_id"), "doc_id")
+    return fl.device_scope(cands, queries, with_aliases(t), docs)
 
 
 @query("flt14_low_value", r"""with c as (select event_id, case when event_id % 9 = 0 then '' when event_id % 9 = 1 then 'Hello!' when event_id % 9 = 2 then 'E 4' when event_id % 9 = 3 then 'ab' else props end as text from events)
@@ -157,12 +165,14 @@ def flt16(t):
     return noisy(t).select("doc_id", F.md5(fl.drop_contact_lines(F.col("text"), ["^Licensed under"]).cast("binary")).alias("cleaned"))
 
 
-@query("flt19_visible", "select u.user_id as viewer_id, count(*) as n from {users} u join {source_files} f on u.user_id % 500 = 0 or f.uploader_id = u.user_id group by 1")
+@query("flt19_visible", """with p as (select user_id, case when user_id % 600 = 0 then true when user_id % 700 = 1 then true when user_id % 2 = 0 and user_id % 500 = 2 then true else false end as sees from {users})
+select p.user_id as viewer_id, count(*) as n from p join {source_files} f on p.sees or f.uploader_id = p.user_id group by 1""")
 def flt19(t):
-    perms = F.when(F.col("user_id") % 500 == 0, F.array(F.lit("review"))).otherwise(F.array(F.lit("own")))
+    k = F.col("user_id")
+    groups = t("region").select(F.col("r_regionkey").alias("group_id"), F.when(F.col("r_regionkey") == 0, F.array(F.lit("admin"))).when(F.col("r_regionkey") == 1, F.array(F.lit("write"))).otherwise(F.array(F.lit("own"))).alias("permissions"))
+    users = t("users").select("user_id", F.when(k % 600 == 0, 0).when(k % 700 == 1, 1).when(k % 2 == 1, 2).cast("long").alias("group_id"), F.when((k % 500 == 2) | (k % 700 == 1), F.array(F.lit("review"))).otherwise(F.array(F.lit("own"))).alias("permissions"))
     files = t("source_files").withColumnRenamed("uploader_id", "owner_id")
-    users = t("users").withColumn("permissions", perms)
-    return fl.visible_rows(files, users, "read").groupBy("viewer_id").agg(F.count(F.lit(1)).alias("n"))
+    return fl.visible_rows(files, fl.effective_permissions(users, groups), "read").groupBy("viewer_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("jn01_question_answer", """with q as (select * from {messages} where role = 1), a as (select * from {messages} where role = 0),

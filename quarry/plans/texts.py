@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import routing as ro
 from quarry.functions import text as tx
 from quarry.operators import chunking as ch
 
@@ -20,15 +21,17 @@ def exp01(t):
     return t("documents").select("doc_id", F.array_join(tx.query_terms(F.col("text")), " ").alias("terms")).filter("terms <> ''")
 
 
-LATIN2 = r"regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9][a-z0-9_\-]*)', 1)"
+STOP2 = ", ".join(f"'{w}'" for w in tx.MEMORY_STOP)
+KEYWORDS = r"list_transform(regexp_extract_all(coalesce({0}, ''), '[A-Za-z][A-Za-z0-9_-]+|\d+(?:\.\d+)?|[一-鿿]+'), lambda w: lower(w))"
+KEYWORDS = f"flatten(list_transform({KEYWORDS}, lambda w: case when length(w) > 2 and regexp_full_match(w, '[一-鿿]+') then list_transform(range(1, length(w)), lambda j: substr(w, j, 2)) else [w] end))"
 
 
-@query("exp02_keywords", f"""with p as (select doc_id, unnest({LATIN2}) as t, generate_subscripts({LATIN2}, 1) as i from documents),
-f as (select doc_id, t, min(i) as i from p where t not in ({STOP}) group by all), r as (select *, row_number() over (partition by doc_id order by i) as n from f)
-select doc_id, md5(string_agg(t, ' ' order by n)) as keywords from r where n <= 80 group by 1""")
+@query("exp02_keywords", f"""with x as (select doc_id as id, text from documents union all select id, question from {{questions}}), p as (select id, unnest({KEYWORDS.format("text")}) as t, generate_subscripts({KEYWORDS.format("text")}, 1) as i from x),
+f as (select id, t, min(i) as i from p where t not in ({STOP2}) group by all), r as (select *, row_number() over (partition by id order by i) as n from f)
+select id, md5(string_agg(t, ' ' order by n)) as keywords from r where n <= 80 group by 1""".replace("doc_id as id", "-1 - doc_id as id"))
 def exp02(t):
-    words = F.array_join(tx.memory_keywords(F.col("text")), " ")
-    return t("documents").select("doc_id", words.alias("k")).filter("k <> ''").select("doc_id", F.md5(F.col("k").cast("binary")).alias("keywords"))
+    rows = t("documents").select((-1 - F.col("doc_id")).alias("id"), "text").unionByName(t("questions").select("id", F.col("question").alias("text")))
+    return rows.select("id", F.array_join(tx.memory_keywords(F.col("text")), " ").alias("k")).filter("k <> ''").select("id", F.md5(F.col("k").cast("binary")).alias("keywords"))
 
 
 @query("exp03_similarity", """with m as (select id, content_text as a, coalesce(lag(content_text) over (partition by session_id order by message_order, id), '') as b from {messages}),
@@ -99,11 +102,11 @@ def exp11(t):
 SLOT_TEXT = "concat('Fan X-', event_id::varchar, ' shows error ', (event_id % 900 + 100)::varchar, ' at ', round(value, 1)::varchar, ' V')"
 
 
-@query("exp12_slots", rf"""with s as (select event_id, {SLOT_TEXT} as s from events where event_id between 10 and 99999)
+@query("exp12_slots", rf"""with s as (select event_id, {SLOT_TEXT} as s from events)
 select event_id, regexp_extract(s, '\b[A-Z]{{{{1,5}}}}-?\d{{{{2,5}}}}[A-Z]?\b', 0) as device, regexp_extract(s, '(?i)\b(fan|power|board|sensor|motor|disk|cable|pump|valve)s?\b', 0) as component, regexp_extract(s, '(?i)\b(?:error|code|err|e)[ :#-]?\d{{{{2,5}}}}\b', 0) as error_code from s""".replace("{{", "{").replace("}}", "}"))
 def exp12(t):
     s = F.concat(F.lit("Fan X-"), F.col("event_id").cast("string"), F.lit(" shows error "), (F.col("event_id") % 900 + 100).cast("string"), F.lit(" at 12 V"))
-    return t("events").filter("event_id between 10 and 99999").select("event_id", tx.extract_slots(s).alias("s")).select("event_id", *[F.coalesce(f"s.{c}", F.lit("")).alias(c) for c in ("device", "component", "error_code")])
+    return t("events").select("event_id", tx.extract_slots(s).alias("s")).select("event_id", *[F.coalesce(f"s.{c}", F.lit("")).alias(c) for c in ("device", "component", "error_code")])
 
 
 @query("exp13_levels", """select doc_id, case doc_id % 5 when 0 then 2 when 1 then 3 when 2 then 1 when 3 then 0 else 1 end as level from documents""")
@@ -123,21 +126,37 @@ def exp15(t):
     return t("chunks").select("chunk_pk", code.alias("encoded"), tx.decode_id(code)["library"].alias("decoded_library"), tx.decode_id(code)["id"].alias("decoded_id"))
 
 
-RULES = [(r"(?i)how many|statistic|count", "statistics", 0.95), (r"(?i)picture|image|photo", "image", 0.9), (r"(?i)licen[sc]e", "audit", 0.8), (r"(?i)^(hi|hello|thanks)", "direct", 0.9), (r"(?i)the\b.*\bof\b", "knowledge_search", 0.75)]
+def matches(text: str, patterns: list[str], whole: bool = False) -> str:
+    """SQL: the text holds one of the patterns."""
+    inside = "|".join(f"({p})" for p in patterns)
+    return f"regexp_matches({text}, '(?i)^({inside})$')" if whole else f"regexp_matches({text}, '(?i){inside}')"
+
+
+KNOWS = " or ".join(f"contains(lower(tx), '{w.lower()}')" for w in ro.KNOWLEDGE)
+ROUTED = rf"""q0 as (select *, trim(coalesce(question, '')) as raw from {{questions}}), q1 as (select *, regexp_replace(regexp_replace(raw, '\s+', '', 'g'), '[。！？!?,，.、~～；;：:]+$', '') as tx,
+  regexp_matches(raw, '(?i)(error|err)[\s:_-]*[a-z0-9_-]|[A-Z]{{1,5}}[-_]?[0-9]{{2,}}([^a-z0-9]|$)') or {matches("raw", ["(^|[^a-z0-9_])(Q30|ECR|FIT|NSB|SBC|DNQ|G50)([^a-z0-9_]|$)"])} as named from q0),
+q2 as (select *, {matches("tx", ro.REFERENCE)} and {matches("tx", ro.FOLLOW_UP)} as follows from q1),
+q3 as (select *, case when {matches("raw", [ro.CORPUS])} and regexp_matches(raw, '{ro.QUANTITY}') then 1 when has_images then 2 when tx = '' then 3 when {matches("tx", ro.CASUAL, True)} then 4
+  when {matches("tx", ro.LOW_VALUE)} and not {matches("tx", [ro.LOW_VALUE_NOT])} then 5 when {matches("tx", ro.REANSWER)} and not {matches("tx", [ro.REANSWER_NOT])} and not follows then 6 when {matches("tx", ro.AUDIT)} then 7 when {matches("tx", ro.FEEDBACK)} then 8
+  when not named and {matches("tx", ro.EMOTIONAL)} and not {matches("tx", [ro.EMOTIONAL_NOT])} then 9 when not named and {matches("tx", ro.VAGUE)} and not {matches("tx", [ro.VAGUE_NOT])} then 10 when {matches("tx", ro.TOOL)} then 11 when follows then 12 when {matches("tx", ro.AMBIGUOUS, True)} then 13 when {KNOWS} then 14 else 15 end as rule from q2),
+routed as (select *, ['knowledge_statistics', 'knowledge_search', 'clarify', 'casual_chat', 'casual_chat', 'knowledge_search', 'answer_audit', 'emotional_feedback', 'emotional_feedback', 'emotional_feedback', 'tool_call', 'knowledge_search', 'clarify', 'knowledge_search', 'knowledge_search'][rule] as route,
+  ['knowledge_statistics', 'uploaded_image', 'empty_question', 'casual_pattern', 'low_value_feedback', 'contextual_retry', 'answer_audit_pattern', 'feedback_pattern', 'emotional_feedback_pattern', 'vague_domain_chat', 'tool_pattern', 'contextual_followup', 'ambiguous_reference', 'knowledge_signal', 'no_match'][rule] as reason,
+  [0.99, 0.99, 1.0, 0.98, 0.97, 0.97, 0.97, 0.97, 0.97, 0.96, 0.95, 0.96, 0.92, 0.94, 0.0]::double[][rule] as confidence from q3)""".replace("::double[][rule]", "[rule]::double")
 
 
-@query("exp16_routes", "select id, case " + " ".join(f"when regexp_matches(content_text, '{p}') then '{r}'" for p, r, _ in RULES) + " else 'chat' end as route, case " + " ".join(f"when regexp_matches(content_text, '{p}') then {c}" for p, _, c in RULES) + " else 0.5 end::double as confidence from {messages} where role = 1")
+@query("exp16_routes", f"with {ROUTED} select id, route, reason, confidence from routed")
 def exp16(t):
-    r = tx.route_questions(F.col("content_text"), RULES, ("chat", 0.5))
-    return t("messages").filter("role = 1").select("id", r["route"].alias("route"), r["confidence"].alias("confidence"))
+    return t("questions").select("id", ro.route_questions(F.col("question"), F.col("has_images")).alias("r")).select("id", "r.*")
 
 
-@query("exp17_plans", """with p as (select id, case when id % 11 = 0 then 'audit' when id % 13 = 0 then 'direct' when message_order > 3 then 'contextual' when token_count >= 300 then 'complex' when token_count <= 60 then 'simple' else 'standard' end as mode from {messages}),
-k as (select *, case mode when 'direct' then 0 when 'simple' then 8 when 'standard' then 15 else 24 end as top_k from p) select id, mode, top_k, least(top_k // 3, 6) as top_docs from k""")
+@query("exp17_plans", rf"""with {ROUTED}, p as (select *, regexp_replace(coalesce(question, ''), '\s+', '', 'g') as sq from routed),
+m as (select id, case when route = 'answer_audit' then 'audit' when route <> 'knowledge_search' then 'simple' when reason in ('contextual_followup', 'contextual_retry') and context_action <> 'switch' then 'contextual'
+  when has_images or length(sq) >= 60 or regexp_matches(sq, '{ro.COMPLEX}') or (has_context and (contains(sq, '继续') or contains(sq, '进一步') or contains(sq, '再分析') or contains(sq, '复盘'))) then 'complex' when sq <> '' and length(sq) <= 28 then 'simple_knowledge' else 'standard' end as complexity from p)
+select id, case complexity when 'audit' then 'answer_audit' when 'simple' then 'direct' when 'contextual' then 'contextual_rag' when 'complex' then 'react_rag' else 'rag_once' end as strategy, complexity, case complexity when 'complex' then 16 when 'simple_knowledge' then 6 else -1 end as top_k, case complexity when 'complex' then 4 when 'simple_knowledge' then 1 else -1 end as top_docs from m""")
 def exp17(t):
-    route = F.when(F.col("id") % 11 == 0, "audit").when(F.col("id") % 13 == 0, "direct").otherwise("chat")
-    terms = F.when(F.col("token_count") >= 300, 12).when(F.col("token_count") <= 60, 3).otherwise(6)
-    return t("messages").select("id", tx.plan_retrieval(route, terms, F.col("message_order") > 3).alias("p")).select("id", "p.*")
+    rows = t("questions").withColumn("r", ro.route_questions(F.col("question"), F.col("has_images")))
+    plan = ro.plan_retrieval(F.col("question"), F.col("r.route"), F.col("r.reason"), F.col("has_images"), F.col("has_context"), F.col("context_action"))
+    return rows.select("id", plan.alias("p")).select("id", "p.*")
 
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')"
@@ -149,9 +168,14 @@ def chk01(t):
     return ch.window_chunks(t("documents"), 100, 20).withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
 
 
-@query("chk02_paragraphs")
+@query("chk02_paragraphs", r"""with recursive l as (select doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), lambda p: trim(p, ' ')), lambda p: p <> '') as ps from documents),
+c as (select doc_id, ps, list_transform(ps, lambda p: len(regexp_extract_all(p, '[\pL\pN]+|[^\s\pL\pN]'))) as ns from l where len(ps) > 0),
+f as (select doc_id, ps, ns, 1 as i, 0 as k, ns[1] as n from c union all select doc_id, ps, ns, i + 1, case when n + ns[i + 1] > 60 then k + 1 else k end, case when n + ns[i + 1] > 60 then ns[i + 1] else n + ns[i + 1] end from f where i < len(ps)),
+g as (select doc_id, k, string_agg(ps[i], chr(10) order by i) as t, sum(ns[i]) as n from f group by 1, 2),
+cut as (select doc_id, k, regexp_extract(t, '^(\s*([\pL\pN]+|[^\s\pL\pN])){0,60}', 0) as chunk from g)
+select doc_id, k as chunk_index, length(chunk) as n_chars, md5(chunk) as chunk from cut""")
 def chk02(t):
-    return ch.pack_paragraphs(t("documents"), 600).select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk"))
+    return ch.pack_paragraphs(t("documents"), 60).select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk"))
 
 
 @query("chk03_lossless", "select doc_id, md5(text) as whole, true as fits from documents where text <> ''")
@@ -161,7 +185,9 @@ def chk03(t):
     return parts.groupBy("doc_id").agg(F.md5(whole.cast("binary")).alias("whole"), (F.max(F.length("chunk")) <= 600).alias("fits"))
 
 
-@query("chk04_overlap")
+@query("chk04_overlap", r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') as ws from documents),
+f as (select doc_id, ws, 1 as i, 0 as k, ws[1] as cur from w where len(ws) > 0 union all select doc_id, ws, i + 1, case when length(cur) + length(ws[i + 1]) + 1 > 1800 then k + 1 else k end, case when length(cur) + length(ws[i + 1]) + 1 > 1800 then concat(right(cur, 180), ' ', ws[i + 1]) else concat(cur, ' ', ws[i + 1]) end from f where i < len(ws)),
+c as (select doc_id, k, arg_max(cur, i) as chunk from f group by 1, 2) select doc_id, k as chunk_index, length(chunk) as n_chars, md5(chunk) as chunk from c""".replace("ws[1] as cur", "ws[1] as cur"))
 def chk04(t):
     return ch.overlap_split(t("documents"), 1800, 180).select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk"))
 
@@ -182,15 +208,17 @@ def chk06(t):
     return ch.table_chunks(rows, ["name", "type"]).withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
 
 
-@query("chk07_batches")
+@query("chk07_batches", """with recursive r as (select p_brand as b, p_partkey as n, length(concat_ws(' ', p_name, p_type)) as c, row_number() over (partition by p_brand order by p_partkey) as i from part),
+f as (select b, i, n, 0 as batch, 1 as k, c as chars from r where i = 1 union all select r.b, r.i, r.n, case when f.k >= 20 or f.chars + r.c > 400 then f.batch + 1 else f.batch end, case when f.k >= 20 or f.chars + r.c > 400 then 1 else f.k + 1 end, case when f.k >= 20 or f.chars + r.c > 400 then r.c else f.chars + r.c end from f join r on r.b = f.b and r.i = f.i + 1)
+select b as "table", batch, min(n) as first, count(*) as n_rows from f group by 1, 2""")
 def chk07(t):
     return ch.batch_rows(t("part").select(F.col("p_brand").alias("table"), F.col("p_partkey").alias("n"), F.concat_ws(" ", "p_name", "p_type").alias("t")), 20, 400)
 
 
-@query("chk08_assemble", """with k as (select chunk_pk, doc_id, chunk_index, library_type from {chunks} where doc_id % 17 <> 0)
+@query("chk08_assemble", """with k as (select chunk_pk, doc_id, chunk_index, library_type from {chunks} where doc_id in (select doc_id from documents))
 select k.doc_id, chunk_index, left(sha1(concat_ws('|', library_type, k.doc_id::varchar, chunk_index::varchar)), 16) as chunk_id, concat('Title: doc ', k.doc_id::varchar, chr(10), 'chunk ', chunk_pk::varchar) as text from k where library_type = 'knowledge'""")
 def chk08(t):
-    pieces = t("chunks").filter("library_type = 'knowledge' and doc_id % 17 <> 0").select("doc_id", "chunk_index", F.concat(F.lit("chunk "), F.col("chunk_pk").cast("string")).alias("chunk"))
+    pieces = t("chunks").filter("library_type = 'knowledge'").select("doc_id", "chunk_index", F.concat(F.lit("chunk "), F.col("chunk_pk").cast("string")).alias("chunk"))
     docs = t("documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.lit("knowledge").alias("library"))
     return ch.assemble_chunks(pieces, docs).drop("metadata")
 
@@ -223,7 +251,10 @@ def chk12(t):
     return ch.heading_blocks(ch.lines_of(t("documents")), F.col("line") % 4 == 0, 700).drop("title")
 
 
-@query("chk13_markers")
+@query("chk13_markers", """with recursive s as (select session_id as doc_id, message_order as position, (token_count % 3 + 1)::int as level, row_number() over (partition by session_id order by message_order) as i from {messages}),
+f as (select doc_id, position, i, level, case when level = 1 then 1 else 1 end as a, case when level = 1 then 0 when level = 2 then 1 else 1 end as b, case when level = 3 then 1 else 0 end as c from s where i = 1
+  union all select s.doc_id, s.position, s.i, s.level, case when s.level = 1 then f.a + 1 else greatest(f.a, 1) end, case when s.level = 1 then 0 when s.level = 2 then f.b + 1 else greatest(f.b, 1) end, case when s.level = 3 then f.c + 1 else 0 end from f join s on s.doc_id = f.doc_id and s.i = f.i + 1)
+select doc_id, position, case level when 1 then a::varchar when 2 then concat(a::varchar, '.', b::varchar) else concat(a::varchar, '.', b::varchar, '.', c::varchar) end as marker from f""")
 def chk13(t):
     return ch.fill_markers(t("messages").select(F.col("session_id").alias("doc_id"), F.col("message_order").alias("position"), (F.col("token_count") % 3 + 1).alias("level")))
 

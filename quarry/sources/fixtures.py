@@ -22,6 +22,27 @@ select conv_id * 1000 + turn as id, conv_id as session_id, conv_id % 15 as user_
     as ai_reference_doc_ids,
   length(text) as token_count
 from conversations
+""",
+    "turns": """
+select conv_id as session_id, turn + 1 as turn_no, conv_id * 1000 + turn as id,
+  case (conv_id * 3 + turn) % 11 when 0 then 'DL-T7 测序仪 报警 E102，怎么处理？' when 1 then '这个问题的原因是什么'
+       when 2 then '已经检查过电源，没有异常' when 3 then '另一个 G50 设备漏液' when 4 then '谢谢'
+       when 5 then '继续排查步骤' when 6 then '泵堵塞，压力异常 ERR-7' when 7 then 'DL-T7 报警 E102 阈值多少?'
+       when 8 then '换个问题，笔记本不启动' when 9 then '总结一下' else text end as text,
+  concat(case (conv_id + turn) % 5 when 0 then '- 确认报警 E102' when 1 then '1. 检查电源 并重启' when 2 then '可能是主板问题，请补充型号'
+       when 3 then 'ok' else '没有发现异常' end, chr(10), '---', chr(10), text) as answer,
+  (conv_id + turn) % 3 as n_docs, (conv_id * 7 + turn) % 20 as doc_a, turn % 5 as doc_b
+from conversations
+""",
+    "questions": """
+select conv_id * 1000 + turn as id, (conv_id + turn) % 29 = 3 as has_images, turn % 4 = 1 as has_context,
+  case turn % 3 when 0 then 'switch' else 'continue' end as context_action,
+  case (conv_id * 5 + turn) % 23 when 0 then '知识库里有多少篇文档？' when 1 then '你好呀！' when 2 then '这个回答对吗？' when 3 then '请重新回答我的问题'
+       when 4 then '为什么两次回答不一样' when 5 then '你的回答不对' when 6 then '你们的设备故障太多了，无语' when 7 then '你们的设备质量怎么样'
+       when 8 then '查一下今天的天气' when 9 then '上面这个问题怎么解决' when 10 then '怎么办' when 11 then 'DNBSEQ 报警的处理'
+       when 12 then '   ' when 13 then 'hello' when 14 then '结合日志和曲线，综合分析 Q30 下降的根因' when 15 then 'error 42 设备老是坏' when 16 then '重新检查答案的依据'
+       when 17 then '再详细说一下刚才的步骤' when 18 then '真的吗' when 19 then '我要投诉' when 20 then concat('继续 ', text) else text end as question
+from conversations
 """,
     "usage_log": """
 select event_id as id, user_id,
@@ -37,15 +58,24 @@ from events
 """,
     "feedback": """
 select event_id as feedback_id, user_id, event_id % 20 as conversation_id,
-  case event_type when 'purchase' then 'positive' when 'view' then 'confirmation'
-       when 'click' then 'correction' when 'signup' then 'additional_information'
+  case when event_id % 23 = 0 then 'suspicious' when event_id % 19 = 0 then 'irrelevant'
+       when event_type = 'purchase' then 'positive' when event_type = 'view' then 'confirmation'
+       when event_type = 'click' then 'correction' when event_type = 'signup' then 'additional_information'
        else 'negative' end as feedback_type,
-  case when event_id % 7 = 0 then 'ok'
-       else concat('fan power ', cast(event_id % 4 as string)) end as comment,
-  case event_id % 4 when 1 then 'contradict' when 2 then 'insufficient'
+  case event_id % 12 when 0 then 'ok' when 1 then '不是风扇，是电源模块' when 2 then '故障根因不是电源, 而是主板'
+       when 3 then '已经确认 A102 power module' when 4 then '文档 17 是正确的参考'
+       when 5 then concat('fan power ', cast(event_id % 4 as string)) when 6 then '回答错误，所有设备都这样'
+       when 7 then 'unrelated to my question' when 8 then 'correct basis: the fan' when 9 then null
+       when 10 then 'fan noise again' else '该设备温度异常' end as comment,
+  case when event_id % 3 = 0 then '' else concat('the fan is confirmed ', cast(event_id % 5 as string)) end as answer_text,
+  case event_id % 5 when 1 then 'contradict' when 2 then 'insufficient' when 3 then 'uncertain'
        else 'support' end as verification_result,
-  case event_id % 5 when 0 then 'human' when 1 then 'expert' when 2 then 'rule'
-       when 3 then 'llm' else 'cross_case' end as verifier_type,
+  case event_id % 8 when 0 then 'human' when 1 then 'expert' when 2 then 'rule' when 3 then 'llm'
+       when 4 then 'cross_case' when 5 then 'maintenance_outcome' when 6 then 'retrieval' else 'other' end as verifier_type,
+  case event_id % 6 when 0 then '' when 1 then 'document' when 2 then 'fault_case,answer'
+       when 3 then 'conversation_context' when 4 then 'working_memory' else 'answer' end as evidence_types,
+  case event_id % 9 when 0 then 'verified' when 1 then 'rejected' when 2 then 'promoted' else 'pending' end as status,
+  case when event_id % 4 = 3 then null else concat('X-', cast(user_id % 3 as string)) end as device,
   cast(event_id % 10 as double) / 10 as confidence,
   event_id % 40 as document_id, ts as created_at
 from events
@@ -54,16 +84,16 @@ from events
 select vec_id as chunk_pk, cast(floor(vec_id / 5) as bigint) as doc_id,
   case when label % 2 = 0 then 'knowledge' else 'breakdown' end as library_type,
   vec_id % 5 as chunk_index, label, embedding
-from embeddings where vec_id >= 20
+from embeddings
 """,
     "query_vectors": """
-select vec_id as query_id, label, embedding from embeddings where vec_id < 20
+select vec_id as query_id, label, embedding from embeddings where vec_id % 50 = 0
 """,
     "qrels": """
 select distinct q.vec_id as query_id, cast(floor(c.vec_id / 5) as bigint) as doc_id,
   case when c.label % 2 = 0 then 'knowledge' else 'breakdown' end as library_type
 from embeddings q join embeddings c on q.label = c.label
-where q.vec_id < 20 and c.vec_id >= 20
+where q.vec_id % 50 = 0
 """,
     "users": """
 select c_custkey as user_id, c_name as full_name, c_mktsegment as department,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quarry.operators.feedback import PRIOR, STEP_CAP, WEEK
+from quarry.operators.feedback import RELIABILITY, START, reliability_row, reliability_step
 
 WATERMARK = "1 day"
 
@@ -38,27 +38,25 @@ class ReliabilityProcessor(StatefulProcessor):
     """STR-2: the fold of FB-8, one event after the other, with its accumulator as state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("reliability", "score double, n int, sec double, good int")
+        self.state = handle.getValueState("reliability", "score double, n long, last double, verified long, rejected long, corrections long, right_corrections long, verified_weight double, rejected_weight double, correction_weight double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        score, n, last, good = self.state.get() if self.state.exists() else (PRIOR, 0, 0.0, 0)
+        state = tuple(self.state.get()) if self.state.exists() else START
         events = pd.concat(list(rows)).sort_values(["sec", "feedback_id"])
-        for sec, ok, weight in zip(events["sec"], events["good"], events["weight"]):
-            idle = max(0.0, (sec - last) / WEEK) if n else 0.0
-            prior, weight = min(12.0, 2.0 + 0.25 * n) * 0.98**idle, max(0.05, weight)
-            target = (score * prior + (weight if ok else 0.0)) / (prior + weight)
-            score += max(-STEP_CAP, min(STEP_CAP, target - score))
-            n, last, good = n + 1, float(sec), good + int(ok)
-        self.state.update((score, n, last, good))
-        yield pd.DataFrame({"user_id": [key[0]], "reliability": [score], "n": [n], "good": [good]})
+        for event in zip(*(events[c] for c in ("sec", "direction", "weight", "correction"))):
+            state = reliability_step(state, *event)
+        state = tuple(kind(x) for kind, x in zip((float, int, float, int, int, int, int, float, float, float), state))
+        self.state.update(state)
+        yield pd.DataFrame([reliability_row(key[0], state)])
 
     def close(self) -> None:
         pass
 
 
 def reliability_stream(events: DataFrame) -> DataFrame:
-    """STR-2: running reliability per user (update mode); needs the RocksDB state store."""
-    return events.groupBy("user_id").transformWithStateInPandas(ReliabilityProcessor(), "user_id long, reliability double, n int, good int", "Update", "None")
+    """STR-2: running reliability per user (update mode); events without direction or weight are skipped; needs the RocksDB state store."""
+    good = events.filter("direction <> 0 and weight > 0")
+    return good.groupBy("user_id").transformWithStateInPandas(ReliabilityProcessor(), RELIABILITY, "Update", "None")
 
 
 class StaleProcessor(StatefulProcessor):

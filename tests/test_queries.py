@@ -46,4 +46,4 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_other_queries_run(spark, name):
-    assert plans.QUERIES[name](spark, SF).columns
+    assert plans.QUERIES[name](spark, SF).collect() is not None
