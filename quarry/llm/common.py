@@ -2,37 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.lineage import materialise, shared_dir
+
+__all__ = ["bound_batches", "documents", "fold", "hash_sample", "lower_ascii", "materialise", "shared_dir", "slices", "smallest_hashes", "text_bytes", "unused_names"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quarry-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+BATCH_BYTES = 4 << 20
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the bytes of an Arrow batch to ``BATCH_BYTES``, where the session allows more; only memory depends on it.
 
+    Spark reads the setting when a job starts, so it cannot be put back when an operator
+    returns. It is one constant, so the order of calls does not matter.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("bB"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
-def slices(batches, rows: int = 500, size: int = 8 << 20):
-    """Arrow batches cut to at most ``rows`` rows and some ``size`` bytes: what a worker expands at once.
 
-    Spark itself bounds the bytes of the batches that it sends (maxBytesPerBatch).
-    """
+def slices(batches, rows: int = 500, size: int = 8 << 20):
+    """Arrow batches cut to at most ``rows`` rows and some ``size`` bytes: what a worker expands at once."""
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
         for i in range(0, batch.num_rows, step):
@@ -76,3 +73,15 @@ def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def unused_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for inner columns that no column of ``df`` has, whatever its letters' case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

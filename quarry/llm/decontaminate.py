@@ -1,30 +1,40 @@
 """Benchmark decontamination: a prefix-filtered join of documents with item windows.
 
-A window is ``size`` consecutive words of an item (all its words if it has fewer). A
-document contains a window only if it contains every token of it, so the window's rarest
-token (by its count over the whole corpus) is a necessary prefix of length one. The join
-is on that token; its place in the window fixes where the window would start, which gives
-the positional and length bounds; what is left is verified word for word.
-
-Items come in blocks of at most ``block_windows`` windows, so what a task holds is bounded
-whatever the number of items; documents are never shuffled.
+A window is ``size`` consecutive words of an item (all its words if it has fewer).
+
+1. The words of all items are counted over all documents; in each window the word that is
+   rarest in the corpus is its prefix. A document that contains the window contains it.
+2. One pass over the documents looks for prefix words. Only windows that lie around one,
+   within the document and of a length that some item window has, are candidates; those
+   whose hash no item window has are dropped. Both tests are bitmaps of bounded size that
+   let some too many through, never too few.
+3. What is left, a document's places with their words, is joined with the item windows,
+   word for word, and its spans are united.
+
+Items and their windows stay in Spark throughout: neither they nor the candidates pass
+through the driver, and the documents are read twice whatever the number of items.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, slices, text_bytes
+from . import anchors
+from .common import bound_batches, lower_ascii, materialise, slices, text_bytes, unused_names
+from .maxent import _counted
+from .sketch import scramble, word_hashes
 
 #: The separators of the contract's words, in hexadecimal ranges.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SIZE, BLOCK_WINDOWS = 13, 400_000
+SIZE = 13
+#: A bitmap has so many bits for each entry, and as a power of two so many in all.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 28
+BROADCAST_ROWS, SALTS = 100_000, 16
 
+_GAPS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -48,164 +58,187 @@ def item_windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFr
     )
 
 
-class _Block:
-    """One block of windows as arrays: what a task needs to find them in a batch of documents."""
-
-    def __init__(self, windows: list[tuple[list[str], list[str]]]):
-        vocabulary: dict[bytes, int] = {}
-        self.length = np.array([len(w) for w, _ in windows], np.int64)
-        self.rows = np.full((len(windows), int(self.length.max())), -2, np.int32)
-        for i, (window, _) in enumerate(windows):
-            self.rows[i, : len(window)] = [vocabulary.setdefault(w.encode(), len(vocabulary)) for w in window]
-        self.items = [tuple(items) for _, items in windows]
-        self.vocabulary = vocabulary
-
-    def order(self, counts: np.ndarray) -> None:
-        """Choose each window's rarest token (ties by token number) and index windows by it."""
-        tokens = len(self.vocabulary)
-        rank = np.empty(tokens + 1, np.int64)
-        rank[np.lexsort((np.arange(tokens), counts))] = np.arange(tokens)
-        rank[tokens] = np.iinfo(np.int64).max
-        ranked = rank[np.where(self.rows >= 0, self.rows, tokens)]
-        self.offset = ranked.argmin(axis=1)
-        prefix = self.rows[np.arange(len(self.rows)), self.offset]
-        self.by_token = np.argsort(prefix, kind="stable")
-        self.first = np.searchsorted(prefix[self.by_token], np.arange(tokens + 1))
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
-
-    def find(self, ids: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and window numbers of every occurrence in the concatenated documents."""
-        at = np.flatnonzero(ids >= 0)
-        width = self.first[ids[at] + 1] - self.first[ids[at]]
-        at, width = at[width > 0], width[width > 0]
-        pos = np.repeat(at, width)
-        nth = np.arange(len(pos)) - np.repeat(np.cumsum(width) - width, width)
-        win = self.by_token[self.first[ids[pos]] + nth]
-        start = pos - self.offset[win]
-        begins = ends[doc[pos]] - np.diff(ends, prepend=0)[doc[pos]]
-        ok = (start >= begins) & (start + self.length[win] <= ends[doc[pos]])
-        start, win = start[ok], win[ok]
-        for j in range(self.rows.shape[1]):
-            inside = self.length[win] > j
-            same = ~inside | (ids[np.where(inside, start + j, 0)] == self.rows[win, j])
-            start, win = start[same], win[same]
-        return start, win
-
-
-def _batches(batch: pa.RecordBatch):
-    split = [words_of(raw) for raw in batch.column("raw").to_pylist()]
-    sizes = np.array([len(w) for w in split], np.int64)
-    return [w for words in split for w in words], sizes
-
-
-def _count(block):
-    def run(batches):
-        total = np.zeros(len(block.value.vocabulary), np.int64)
+def window_hashes(tokens: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the runs of ``length`` word hashes from each start on."""
+    powers, inverse = anchors._powers(0, len(tokens) + 1)
+    sums = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(tokens * powers[:-1], out=sums[1:])
+    return scramble((sums[start + length] - sums[start]) * inverse[start] + np.uint64(length))
+
+
+class Bitmap:
+    """A set of hashes, of which two bits each are kept; it may say yes too often, never no."""
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.data = bits, data
+
+    @staticmethod
+    def places(hashes: np.ndarray, bits: int) -> np.ndarray:
+        other = scramble(hashes ^ np.uint64(0x5851F42D4C957F2D))
+        return np.concatenate([hashes >> np.uint64(64 - bits), other >> np.uint64(64 - bits)]).astype(np.int64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.places(hashes, self.bits)
+        seen = (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return seen[: len(hashes)] & seen[len(hashes) :]
+
+
+def bitmap(hashes: DataFrame, most: int) -> Bitmap:
+    """The bitmap of a column ``hash`` of at most ``most`` different values, of which Spark makes 64 bits at a time."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * max(1, most)).bit_length()))
+
+    def places(batches):
+        for batch in slices(batches, 100_000):
+            at = np.unique(Bitmap.places(batch.column("hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(at >> 6), "mask": pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))})
+
+    data = np.zeros(1 << bits - 6, np.int64)
+    for r in hashes.mapInArrow(places, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+        data[r["word"]] = r["mask"]
+    return Bitmap(bits, data.view(np.uint8))
+
+
+def _hashed_windows(batches):
+    """Windows as the documents' side writes them: words joined by blanks, and the hashes of the window and of its words."""
+    for batch in slices(batches, 5000):
+        windows = [[w.encode() for w in window] for window in batch.column("window").to_pylist()]
+        flat, sizes = word_hashes([b" ".join(window) for window in windows], _GAPS)
+        first, found = np.cumsum(sizes) - sizes, np.empty(len(windows), np.uint64)
+        for length in np.unique(sizes).tolist():
+            at = sizes == length
+            found[at] = window_hashes(flat, first[at], length)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "key": pa.array(found.view(np.int64)),
+                "words": pa.array([b" ".join(w) for w in windows], pa.binary()),
+                "n": pa.array(sizes.astype(np.int32)),
+                "tokens": pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)).astype(np.int32)), pa.array(flat.view(np.int64))),
+                "items": batch.column("items"),
+            }
+        )
+
+
+def _count(vocabulary):
+    """Counts of the items' words, and of the few others that the bitmap lets through."""
+
+    def parts(batches):
         for batch in slices(batches):
-            words, _ = _batches(batch)
-            ids = block.value.ids(words)
-            total += np.bincount(ids[ids >= 0], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"token": pa.array(seen, pa.int64()), "n": pa.array(total[seen])})
+            tokens, _ = word_hashes(batch.column("raw").to_pylist(), _GAPS)
+            yield np.unique(tokens[vocabulary.value.has(tokens)], return_counts=True)
 
-    return run
+    def run(batches):
+        for columns in _counted(parts(batches), "token"):
+            yield pa.RecordBatch.from_pydict(columns)
 
+    return run
 
-def _merged(spans: list[int]) -> list[int]:
-    """Start, end, start, end ... of the union of spans that come in any order."""
-    out: list[int] = []
-    for s, e in sorted(zip(spans[::2], spans[1::2])):
-        if out and s <= out[-1]:
-            out[-1] = max(e, out[-1])
-        else:
-            out += [s, e]
-    return out
 
+def _candidates(prefixes, windows, lengths: list[int]):
+    """Per document its number of words and the places that may hold an item window, with their words."""
 
-def _search(block):
     def run(batches):
         for batch in slices(batches):
-            words, sizes = _batches(batch)
-            ends, doc = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
-            found = block.value
-            start, win = found.find(found.ids(words), doc, ends)
+            raws = batch.column("raw").to_pylist()
+            tokens, sizes = word_hashes(raws, _GAPS)
+            ends = np.cumsum(sizes)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            near = np.concatenate([[0], np.cumsum(prefixes.value.has(tokens))])
+            found = []
+            for length in lengths:
+                start = np.arange(max(0, len(tokens) - length + 1))
+                start = start[(near[start + length] > near[start]) & (start + length <= ends[doc[start]])]
+                key = window_hashes(tokens, start, length)
+                ok = windows.value.has(key)
+                found.append((start[ok], key[ok], np.full(int(ok.sum()), length)))
+            start, key, length = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(start, kind="stable")
-            start, win = start[order], win[order]
-            spans: list[list[int]] = batch.column("spans").to_pylist()
-            items: list[list[str]] = batch.column("items").to_pylist()
-            begins = ends - sizes
-            for s, w, d in zip(start.tolist(), win.tolist(), doc[start].tolist()):
-                s -= int(begins[d])
-                spans[d] += [s, s + int(found.length[w])]
-                items[d] += found.items[w]
-            spans = [_merged(x) if x else x for x in spans]
-            columns = {name: batch.column(name) for name in batch.schema.names}
-            columns |= {
-                "n_words": pa.array(sizes),
-                "n_hit": pa.array([sum(x[1::2]) - sum(x[::2]) for x in spans], pa.int64()),
-                "spans": pa.array(spans, pa.list_(pa.int32())),
-                "items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
+            start, key, length = start[order], key[order], length[order]
+            own = start - (ends - sizes)[doc[start]]
+            split = {d: words_of(raws[d]) for d in np.unique(doc[start]).tolist()}
+            text = [b" ".join(split[d][s : s + n]) for d, s, n in zip(doc[start].tolist(), own.tolist(), length.tolist())]
+            places = pa.StructArray.from_arrays([pa.array(own.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(text, pa.binary())], ["start", "n", "key", "words"])
+            offsets = np.searchsorted(start, np.append(ends - sizes, len(tokens))).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "h": batch.column("h"), "n_words": pa.array(sizes), "places": pa.ListArray.from_arrays(pa.array(offsets), places)})
 
     return run
 
 
-def find_contamination(
-    docs: DataFrame,
-    items: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    size: int = SIZE,
-    block_windows: int = BLOCK_WINDOWS,
-) -> DataFrame:
+def _united(batches):
+    """Union of a document's spans, which come in any order: start, end, start, end ..."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("found").to_pylist():
+            one: list[int] = []
+            for s in sorted((s["start"], s["n"]) for s in spans):
+                if one and s[0] <= one[-1]:
+                    one[-1] = max(one[-1], s[0] + s[1])
+                else:
+                    one += [s[0], s[0] + s[1]]
+            out.append(one)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "row": batch.column("row"),
+                "n_hit": pa.array([sum(x[1::2]) - sum(x[::2]) for x in out], pa.int64()),
+                "spans": pa.array(out, pa.list_(pa.int32())),
+                "items": batch.column("items"),
+            }
+        )
+
+
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, size: int) -> DataFrame:
+    """Per document row: id, h (a hash of its text), n_words, n_hit, spans and items, the last three null where nothing is hit."""
+    bound_batches(docs.sparkSession)
+    send = docs.sparkSession.sparkContext.broadcast
+    cut = item_windows(items, item_id, item_text, size)
+    windows = materialise(cut.mapInArrow(_hashed_windows, "key long, words binary, n int, tokens array<long>, items array<string>"), "windows")
+    raw = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), text_bytes(text_col).alias("raw"))
+    id_type = raw.schema["id"].dataType.simpleString()
+
+    size_of = windows.agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("words"), F.sort_array(F.collect_set("n")).alias("lengths")).first()
+    lengths = size_of["lengths"] or [size]  # at most ``size`` of them
+    words = bitmap(windows.select(F.explode("tokens").alias("hash")), size_of["words"] or 0)
+    counted = raw.select("raw").mapInArrow(_count(send(words)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    # A word may be in a third of all windows: its windows look in several copies of its count.
+    copies = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = windows.select("key", "words", F.explode("tokens").alias("token"), F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
+    ranked = placed.join(copies, ["token", "salt"], "left").groupBy("key", "words").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("hash"))
+    sent = send(bitmap(ranked.select("hash"), size_of["windows"])), send(bitmap(windows.select(F.col("key").alias("hash")), size_of["windows"]))
+    schema = f"id {id_type}, h long, n_words long, places array<struct<start:int,n:int,key:long,words:binary>>"
+    rows = materialise(raw.mapInArrow(_candidates(*sent, lengths), schema).withColumn("row", F.monotonically_increasing_id()), "candidates")
+
+    places = rows.select("row", F.inline("places"))
+    # Windows that occur, each once: tasks drop repeats before the shuffle, so a common passage is no hot key here.
+    met = materialise(places.select("key", "words").distinct().join(windows.select("key", "words", "items"), ["key", "words"]), "met")
+    if met.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hits = places.join(F.broadcast(met), ["key", "words"])
+    else:
+        # Each place looks in one of several copies of the windows that occur, so a common passage is spread.
+        copies = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = places.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(copies, ["key", "words", "salt"])
+    per = hits.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    united = per.mapInArrow(_united, "row long, n_hit long, spans array<int>, items array<string>")
+    return rows.drop("places").join(united, "row", "left").drop("row")
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE) -> DataFrame:
     """One row per document row: id, n_words, n_hit, items (sorted ids), spans (start, end, ... of hit words).
 
     Null and wordless texts have no words and no hits; items without words or id have no
     windows; repeated rows each get their row; other columns are ignored.
     """
-    spark = docs.sparkSession
-    windows = item_windows(items, item_id, item_text, size)
-    blocks = max(1, -(-windows.count() // block_windows))
-    found = docs.select(
-        F.col(id_col).alias("id"),
-        text_bytes(text_col).alias("raw"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_hit"),
-        F.array().cast("array<int>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
+    found = _found(docs, items, id_col, text_col, item_id, item_text, size)
+    return found.select(
+        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<int>")).alias("spans")
     )
-    raw = found.select("raw")
-    blocked = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    for b in range(blocks):
-        rows = blocked.filter(F.col("block") == b).collect()
-        if not rows:
-            rows = [([" "], [])]  # a word that no text has
-        else:
-            rows = sorted((r["window"], r["items"]) for r in rows)
-        block = _Block(rows)
-        sent = spark.sparkContext.broadcast(block)
-        counted = raw.mapInArrow(_count(sent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros(len(block.vocabulary), np.int64)
-        for token, n in counted:
-            counts[token] = n
-        block.order(counts)
-        found = found.mapInArrow(_search(spark.sparkContext.broadcast(block)), found.schema)
-    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans")
-
-
-def contaminated(n_hit="n_hit", n_words="n_words"):
+
+
+def contaminated(n_hit="n_hit", n_words="n_words") -> Column:
     """The contract's rule: at least a twentieth of the words lie in item windows."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The contract's digest columns of ``find_contamination``."""
+    """The contract's digest columns of ``find_contamination``, which says what odd rows give."""
     found = find_contamination(docs, items)
     return found.select(
         "doc_id",
@@ -217,11 +250,15 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """Documents without the contaminated ones; the columns stay as they are.
 
-    The whole row travels along as the id, so a repeated id does no harm and no text is shuffled.
+    A row goes if its id and text are those of a contaminated one; null and wordless texts
+    stay, and so does everything where there are no items.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    found = find_contamination(packed, items, id_col="row", text_col="text")
-    return found.filter(~contaminated()).select("row.*")
+    found = _found(docs, items, id_col, text_col, "item_id", "text", size)
+    names = unused_names(docs, "gone_id", "gone_text")
+    gone = materialise(found.filter(contaminated()).select(F.col("id").alias(names[0]), F.col("h").alias(names[1])).distinct(), "gone")
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1])), "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import bound_batches, slices, text_bytes
 
 WIDTH, ROWS, UNIT, DELAY, MOST_PIXELS = 192, 64, 192, 10, 1 << 27
 FRAME = "index int, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, pixels binary, histogram array<long>"
@@ -284,6 +284,7 @@ def payload_of(raw: bytes, unit: int = UNIT) -> bytes:
 
 def with_media(docs: DataFrame, *, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """``docs`` with each text's UTF-8 bytes (null: none), padded, stored as a GIF in ``media_col``."""
+    bound_batches(docs.sparkSession)
     def run(batches):
         for batch in slices(batches):
             media = pa.array([encode(payload_of(raw)) for raw in batch.column(at).to_pylist()], pa.binary())
@@ -299,6 +300,7 @@ def with_frames(df: DataFrame, *, media_col: str = "media", frames_col: str = "f
 
     Null media have null frames; a broken file keeps the frames before the fault.
     """
+    bound_batches(df.sparkSession)
     at = df.columns.index(media_col)
     kind_name = "array<struct<" + ",".join(x.replace(" ", ":") for x in FRAME.split(", ")) + ">>"
     schema = df.withColumn(frames_col, F.lit(None).cast(kind_name)).withColumn(error_col, F.lit(None).cast("string")).schema

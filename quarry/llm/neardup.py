@@ -23,24 +23,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import materialise, slices, text_bytes
+from .common import bound_batches, materialise, slices, text_bytes, unused_names
 from .graph import components
 
 BAND, SLACK, BLOCK, BROADCAST_IDS = 4, 0.2, 500, 1_000_000
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return raw.lower().split()
+def _shingle_sets(batch: pa.RecordBatch, k: int):
+    """The shingle set of each text of a batch. Words lie between ASCII white space; A-Z are lower-cased."""
+    words, sizes = sketch.word_hashes(batch.column("raw").to_pylist())
+    ends = np.cumsum(sizes)
+    return (sketch.shingles(words[end - size : end], k) for end, size in zip(ends.tolist(), sizes.tolist()))
 
 
 def _sketches(k: int):
     def run(batches):
-        hashes = sketch.WordHashes()
         for batch in slices(batches):
             n, one, two, regs = [], [], [], []
-            for raw in batch.column("raw").to_pylist():
-                x = sketch.shingles(words_of(raw), hashes, k)
+            for x in _shingle_sets(batch, k):
                 n.append(len(x))
                 one.append(int(np.add.reduce(x).view(np.int64)) if len(x) else 0)
                 two.append(int(np.bitwise_xor.reduce(sketch.scramble(x)).view(np.int64)) if len(x) else 0)
@@ -54,9 +54,8 @@ def _sketches(k: int):
 
 def _sets(k: int):
     def run(batches):
-        hashes = sketch.WordHashes()
         for batch in slices(batches):
-            sets = [sketch.shingles(words_of(raw), hashes, k) for raw in batch.column("raw").to_pylist()]
+            sets = list(_shingle_sets(batch, k))
             regs = [sketch.registers(x).tobytes() for x in sets]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "regs": pa.array(regs, pa.binary()), "set": pa.array([x.tobytes() for x in sets], pa.binary())})
 
@@ -125,6 +124,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     integer type. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     raw = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw"))
     id_type = raw.schema["id"].dataType.simpleString()
     known = materialise(raw.mapInArrow(_sketches(k), f"id {id_type}, n long, h1 long, h2 long, regs binary"), "sketch")
@@ -172,9 +172,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of its component; repeated rows of an id stay together."""
+    """The rows whose id is the smallest of its component; repeated rows of an id stay together, and so do rows with a null id or without words."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, k=k, percent=percent)
-    gone = materialise(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")), "gone")
+    (name,) = unused_names(docs, "gone_id")
+    gone = materialise(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct(), "gone")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

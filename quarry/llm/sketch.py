@@ -10,14 +10,12 @@ smaller and equal registers give the similarity by maximum likelihood.
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 BASE, RATE, REGISTERS, CHUNK = 1.001, 20.0, 112, 2048
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 2**63, size=(REGISTERS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**64, size=(REGISTERS, 1), dtype=np.uint64, endpoint=False)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_LIMIT = 500_000
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -26,24 +24,80 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; emptied when it has grown beyond a fixed size."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
-    """The sorted distinct 64-bit shingles; the whole sequence as one if it has fewer than ``k`` words."""
-    if not words:
+_BYTE = _rng.integers(0, 2**64, size=256, dtype=np.uint64, endpoint=False)
+_BASE = int(_rng.integers(2**40, 2**63)) | 1
+_POWERS: list[np.ndarray] = []
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: White space of the contracts' words.
+BLANKS = np.isin(np.arange(256), [32, *range(9, 14)])
+PIECE = 1 << 18
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(1 << 19, 1 << (n - 1).bit_length())
+        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        for p in _POWERS:
+            np.multiply.accumulate(p, out=p)
+    return _POWERS
+
+
+def _piece_hashes(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b" ".join([*texts, b""]).translate(_LOWER), np.uint8)
+    gap = separators[data]
+    start = np.flatnonzero(~gap & np.append(True, gap[:-1]))
+    end = np.flatnonzero(gap & np.append(False, ~gap[:-1]))
+    powers, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(np.take(_BYTE, data) * powers[: len(data)], out=sums[1:])
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return scramble((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD[3]), np.diff(np.searchsorted(start, bounds))
+
+
+def _parts(text: bytes, separators: np.ndarray):
+    """A very long text in pieces that end between words."""
+    at = 0
+    while len(text) - at > 16 * PIECE:
+        gaps = np.flatnonzero(separators[np.frombuffer(text, np.uint8, 8 * PIECE, at + 8 * PIECE)])
+        if not len(gaps):
+            break
+        cut = at + 8 * PIECE + int(gaps[0])
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def word_hashes(texts: list[bytes], separators: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, and the number of words of each text.
+
+    Words are what lies between separator bytes, of which the blank is one. Their hashes are
+    differences of running sums over the bytes, so that no word is an object of its own.
+    """
+    hashes, sizes, held, size = [], np.zeros(len(texts), np.int64), [], 0
+
+    def flush():
+        found, counts = _piece_hashes([t for _, t in held], separators)
+        hashes.append(found)
+        np.add.at(sizes, [i for i, _ in held], counts)
+        held.clear()
+
+    for i, text in enumerate(texts):
+        for part in _parts(text, separators):
+            held.append((i, part))
+            size += len(part)
+            if size >= PIECE:
+                flush()
+                size = 0
+    if held:
+        flush()
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), sizes
+
+
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """The sorted distinct 64-bit shingles of word hashes; the whole sequence as one if it has fewer than ``k`` words."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = hashes.of(words)
     k = min(k, len(h))
     x = np.full(len(h) - k + 1, np.uint64(k))
     for i in range(k):

@@ -62,3 +62,65 @@ def near(docs: dict, k: int, percent: int = 80):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(sets[i]), find(i)) for i in docs}
+
+
+def gif_samples(media: bytes) -> list[bytes]:
+    """Palette indices of each frame of a GIF without interlacing, code by code and bit by bit."""
+    at = 13 + (3 << (media[10] & 7) + 1 if media[10] & 0x80 else 0)
+    out = []
+    while media[at] != 0x3B:
+        if media[at] == 0x21:
+            at += 2
+            while media[at]:
+                at += media[at] + 1
+            at += 1
+            continue
+        flags = media[at + 9]
+        at += 10 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
+        size, at, stream = media[at], at + 1, b""
+        while media[at]:
+            stream, at = stream + media[at + 1 : at + 1 + media[at]], at + media[at] + 1
+        at += 1
+        bits = "".join(f"{b:08b}"[::-1] for b in stream)
+        clear, place, samples, table, width, before = 1 << size, 0, b"", [], size + 1, None
+        while True:
+            code, place = int(bits[place : place + width][::-1], 2), place + width
+            if code == clear:
+                table, width, before = [bytes([i]) for i in range(clear)] + [b"", b""], size + 1, None
+                continue
+            if code == clear + 1:
+                break
+            text = table[code] if code < len(table) else before + before[:1]
+            if before is not None and len(table) < 4096:
+                table.append(before + text[:1])
+            samples, before = samples + text, text
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        out.append(samples)
+    return out
+
+
+def log_probability(model, words, tail, text_tokens) -> float:
+    """log P of one text's word hashes by the language model's weights, token by token."""
+    import numpy as np
+
+    place = {int(w): i for i, w in enumerate(model.order)}
+    wide, tails, end = 32, 2, text_tokens[-1]
+    kind = lambda w: int(model.kind[place[w]]) if w in place else wide - tails + (w >> 40) % tails
+    total = 0.0
+    for i, w in enumerate(text_tokens):
+        back = [text_tokens[i - n] if i >= n else end for n in (1, 2, 3)]
+        c = [kind(b) for b in back]
+        rows = [model._row(np.array([x], np.uint64), f)[0] for f, x in enumerate((back[0], back[1], c[0] << 8 | c[1], c[1] << 8 | c[2]))]
+        z = sum(model.weights[r].astype(float) for r in rows) + model.weights[1 << model.bits]
+        total += z[kind(w)] - np.log(np.exp(z).sum())
+        if w in place:
+            own = kind(w) * 0xD6E8FEB86659FD93
+            rows = [model._row(np.array([(x + own) % 2**64], np.uint64), f)[0] for f, x in ((4, back[0]), (5, back[1]))]
+            z = sum(model.weights[r].astype(float) for r in rows) + model.weights[(1 << model.bits) + 1 + kind(w)]
+            total += z[model.sub[place[w]]] - np.log(np.exp(z).sum()) + model.inside[place[w]]
+        else:
+            t = (w >> 40) % tails
+            count, known = words.get(w, (0, {}))
+            total += known[c[0]] if c[0] in known else np.log((count + 0.5) / tail.size[t] / tail.norms[-1][t * wide + c[0]])
+    return total
