@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-MOST_ROUNDS = 100
-
 
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) for every node that ``links`` (a, b) name.
@@ -18,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    for _ in range(MOST_ROUNDS):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         jump = labels.select(F.col("node").alias("j"), F.col("component").alias("far"))
@@ -28,4 +26,3 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "component")
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

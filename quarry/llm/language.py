@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_bytes
+from .common import bound_batches, materialise, slices, text_bytes
 
-BINS, EFFECTIVE, SMOOTH, PRIOR, FLOOR, BROADCAST_HOSTS = 1 << 14, 60.0, 0.5, 8.0, 1e-4, 100_000
+BINS, EFFECTIVE, SMOOTH, PRIOR, FLOOR, BROADCAST_HOSTS, MOST_LANGS, SALTS = 1 << 14, 60.0, 0.5, 8.0, 1e-4, 100_000, 500, 16
 _ODD = np.uint32(0x9E3779B1)
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -44,9 +44,12 @@ def _count(batches):
 
 def text_model(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram probabilities, from all documents that name a language."""
+    bound_batches(docs.sparkSession)
     raw = docs.select(F.lower(F.trim(F.col(lang_col))).alias("lang"), text_bytes(text_col).alias("raw")).filter("lang <> ''")
     rows = raw.mapInArrow(_count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{len(langs)} different languages: a label column of languages has {MOST_LANGS} at most")
     counts = np.full((len(langs), BINS), SMOOTH)
     counts[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), rows["bin"].to_numpy(int)] += rows["n"].to_numpy()
     return langs, np.log(counts / counts.sum(1, keepdims=True))
@@ -100,7 +103,9 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
 
     A null or wordless page has a uniform text likelihood and goes by declaration and host; a
     null or odd address has the empty host. Ties go to the first language in order. Without
-    labelled documents there are no languages and the result's lang is null.
+    labelled documents there are no languages and the result's lang is null. Repeated rows
+    each get their row and weigh on their host; other columns are ignored. Over
+    ``MOST_LANGS`` different labels are an error.
     """
     spark = pages.sparkSession
     langs, logs = text_model(docs, text_col=text_col, lang_col=lang_col)
@@ -126,10 +131,14 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
     hosts = level(by_host, "h").join(level(by_domain, "d"), "domain").join(level(by_suffix, "s"), "suffix").crossJoin(F.broadcast(level(whole, "w")))
     # P(declared | language), from the pages' text posteriors; a count for each declaration seen.
     said = level(scored.groupBy("declared").agg(*sums), "c")
-    if by_host.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        hosts = F.broadcast(hosts)
     kinds = said.count()
-    rows = scored.join(hosts, "host", "left").join(said, "declared", "left")
+    if by_host.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        rows = scored.join(F.broadcast(hosts), "host", "left")
+    else:
+        # A host may hold a third of all pages: its pages look in several copies of its sums.
+        copies = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = scored.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(copies, ["host", "salt"], "left")
+    rows = rows.join(F.broadcast(said), "declared", "left")  # codes of two or three letters: some 18,000 at most
 
     def smoothed(tags: str) -> list[Column]:
         """Shares of each language at the first tag's level, its own page taken out, with the coarser levels as prior."""

@@ -1,11 +1,12 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, all of it on the JVM.
 
-A candidate is a paragraph (a line) with a licence term. Candidates are scored by a
-multinomial logistic regression over unigrams and bigrams; the least probability at which
-a family is believed is calibrated on paragraphs that are none, so that the rest is
-``unknown``; and a believed family must share enough bigrams with one of its templates.
-Training rows are variants of the templates, a few near misses, and a bounded sample of
-the corpus's own plain paragraphs. No Python runs on the executors.
+A paragraph is a line. Paragraphs that share a word pair with a template are scored by a
+multinomial logistic regression over unigrams and bigrams; a believed family must share
+enough pairs with one of its templates, so a paragraph without any is unknown whatever its
+score, and is not scored. The least probability at which a family is believed is what the
+scanned corpus's own near misses (scored paragraphs that no template confirms) seldom
+reach. Training rows are variants of the templates, a few near misses, and a bounded
+sample of the corpus's plain paragraphs. No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -18,13 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, materialise
 
-#: Documents that give plain paragraphs, quantile of their scores that is still unknown, least share of bigrams.
-PLAIN_DOCS, QUANTILE, LEAST_BELIEF, LEAST_SHARED = 400, 0.999, 0.5, 0.6
+#: Documents that give plain paragraphs for training, quantile of near misses' scores that is still unknown, least share of bigrams.
+PLAIN_DOCS, QUANTILE, LEAST_BELIEF, LEAST_SHARED, MOST_BAR = 400, 0.999, 0.5, 0.6, 0.95
 UNKNOWN = "unknown"
 
-#: Words of which a licence paragraph has at least one.
-TERMS = ["licen", "copyright", "spdx", "gnu ", "copyleft", "public domain", "creative commons", "permission is hereby", "redistribution", "warranty", "cc by", "cc-by", "cc0"]
-
 #: Notices by family, as they are commonly written.
 TEMPLATES = {
     "mit": [
@@ -79,7 +77,7 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.",
     ],
 }
-#: Paragraphs with licence terms that name no family.
+#: Paragraphs that speak of licences and name no family.
 NEAR_MISSES = [
     "He lost his driving license on the way home.",
     "The license plate of the car was covered in mud.",
@@ -108,14 +106,6 @@ def bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.slice(pairs, F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<string>"))
 
 
-def has_term(text: Column) -> Column:
-    low = F.lower(text)
-    found = low.contains(TERMS[0])
-    for term in TERMS[1:]:
-        found = found | low.contains(term)
-    return found
-
-
 def _rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small table of literals."""
     structs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
@@ -127,55 +117,55 @@ def _paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Scanner:
-    """A fitted classifier with its calibrated bar and its templates."""
+    """A fitted classifier with its templates."""
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"):
         spark = docs.sparkSession
         self.families = [*TEMPLATES, UNKNOWN]
         templates = _rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], ["family", "template"])
+        grams = F.array_distinct(bigrams(tokens(F.col("template"))))
+        self.templates = templates.select("family", grams.alias("grams_of")).groupBy("family").agg(F.collect_list("grams_of").alias("family_templates"))
+        self.pairs = sorted(r[0] for r in templates.select(F.explode(grams)).distinct().collect())  # of the templates above: a fixed set
         around = _rows(spark, [(b, a) for b in _BEFORE for a in _AFTER], ["before", "after"])
         known = templates.crossJoin(F.broadcast(around)).select("family", F.concat("before", "template", "after").alias("paragraph"))
         misses = _rows(spark, [(UNKNOWN, b + m) for m in NEAR_MISSES for b in _BEFORE[:3]], ["family", "paragraph"])
         sample = hash_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", PLAIN_DOCS)
-        plain = _paragraphs(sample, "id", "text").filter(~has_term(F.col("paragraph")) & (F.length("paragraph") > 0)).select("id", F.lit(UNKNOWN).alias("family"), "paragraph")
-        plain = materialise(plain, "plain")
+        plain = self._grams(_paragraphs(sample, "id", "text").filter(F.length("paragraph") > 0)).filter(~self._near("pairs")).select(F.lit(UNKNOWN).alias("family"), "paragraph")
         label = F.array_position(F.array(*[F.lit(f) for f in self.families]), F.col("family")).cast("double") - 1
-        even = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
-        train = known.unionByName(misses).unionByName(plain.filter(even).drop("id")).withColumn("label", label)
-        train = materialise(self._grams(train), "licence-train")
+        train = materialise(self._grams(known.unionByName(misses).unionByName(plain).withColumn("label", label)), "licence-train")
         self.counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(train.filter(F.col("family") != UNKNOWN))
         self.model = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60, standardization=False).fit(self.counts.transform(train))
-        # The bar: what plain paragraphs that training has not seen, and the near misses, do not reach.
-        others = self._grams(plain.filter(~even).drop("id").unionByName(misses))
-        bar = self._predict(others).filter(F.col("family_guess") != UNKNOWN).agg(F.percentile_approx("probability_of", QUANTILE)).first()[0]
-        self.bar = max(LEAST_BELIEF, min(bar or 0.0, 0.95))
-        grams = F.array_distinct(bigrams(tokens(F.col("template"))))
-        self.templates = templates.select("family", grams.alias("grams_of")).groupBy("family").agg(F.collect_list("grams_of").alias("family_templates"))
 
     @staticmethod
     def _grams(df: DataFrame) -> DataFrame:
         words = tokens(F.col("paragraph"))
         return df.withColumn("words", words).withColumn("pairs", bigrams(F.col("words"))).withColumn("grams", F.concat("words", "pairs"))
 
+    def _near(self, pairs: str) -> Column:
+        """Whether some word pair is one of a template's."""
+        return F.arrays_overlap(pairs, F.array(*[F.lit(x) for x in self.pairs]))
+
     def _predict(self, df: DataFrame) -> DataFrame:
         scored = self.model.transform(self.counts.transform(df)).withColumn("p", vector_to_array("probability"))
         guess = F.element_at(F.array(*[F.lit(f) for f in self.families]), F.col("prediction").cast("int") + 1)
         return scored.withColumn("family_guess", guess).withColumn("probability_of", F.array_max("p"))
 
     def paragraphs(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """One row per candidate paragraph: id, line (from 0), paragraph, family, probability and shared.
+        """One row per paragraph that shares a word pair with a template: id, line (from 0), paragraph, family, probability, shared.
 
-        ``family`` is unknown where belief is under the bar or the templates do not confirm it.
+        ``family`` is unknown where belief is under the bar, which the paragraphs that no
+        template confirms set for all documents at once, or where no template confirms it.
         """
-        lines = _paragraphs(docs.filter(has_term(F.col(text_col))), id_col, text_col).filter(has_term(F.col("paragraph")))
-        scored = self._predict(self._grams(lines)).join(F.broadcast(self.templates), F.col("family_guess") == F.col("family"), "left")
+        near = self._grams(_paragraphs(docs, id_col, text_col)).filter(self._near("pairs"))
+        scored = self._predict(near).join(F.broadcast(self.templates), F.col("family_guess") == F.col("family"), "left")
         own = F.array_distinct("pairs")
         share = F.transform("family_templates", lambda t: F.size(F.array_intersect(t, own)) / F.greatest(F.least(F.size(t), F.size(own)), F.lit(1)))
-        shared = F.coalesce(F.array_max(share), F.lit(0.0))
-        sure = (F.col("probability_of") >= self.bar) & (F.col("shared") >= LEAST_SHARED) & (F.col("family_guess") != UNKNOWN)
-        return scored.withColumn("shared", shared).select(
-            "id", "line", "paragraph", F.when(sure, F.col("family_guess")).otherwise(UNKNOWN).alias("family"), F.col("probability_of").alias("probability"), "shared"
-        )
+        rows = scored.select("id", "line", "paragraph", "family_guess", "probability_of", F.coalesce(F.array_max(share), F.lit(0.0)).alias("shared"))
+        rows = materialise(rows, "licence-scan")
+        believed = F.col("family_guess") != UNKNOWN
+        bar = rows.filter(believed & (F.col("shared") < LEAST_SHARED)).agg(F.percentile_approx("probability_of", QUANTILE)).first()[0]
+        sure = believed & (F.col("shared") >= LEAST_SHARED) & (F.col("probability_of") >= max(LEAST_BELIEF, min(bar or 0.0, MOST_BAR)))
+        return rows.select("id", "line", "paragraph", F.when(sure, F.col("family_guess")).otherwise(UNKNOWN).alias("family"), F.col("probability_of").alias("probability"), "shared")
 
 
 def report(docs: DataFrame) -> DataFrame:

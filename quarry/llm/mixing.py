@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused_names
+
 SEED, POWER, BROADCAST_SOURCES = "mix-1", 0.5, 10_000
 #: From here on Stirling's series is exact to a double, and a table may start there.
 LEAST_START = 100
@@ -71,28 +73,33 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
 
     Rows come out in the order of a global shuffle: dealt to partitions by hash and sorted
     by ``mix_key`` inside. A null source is a source of its own; equal ids get equal
-    counts; an empty table stays empty. ``docs`` must not have columns named mix_*.
+    counts, a null id is the id "null"; an empty table stays empty. Columns of ``docs`` that
+    have the names of the four new ones are replaced; any other name may occur.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("mix_rate", "mix_copies", "mix_copy", "mix_key")])
+    source, first, cdf, u = unused_names(docs, "mix_source", "mix_first", "mix_cdf", "mix_u")
     rates = source_rates(docs, source_col=source_col, power=power, weights=weights, size=size)
-    if rates.select("mix_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    rates = rates.select(F.col("mix_source").alias(source), F.col("rate").alias("mix_rate"), F.col("first").alias(first), F.col("cdf").alias(cdf))
+    if rates.select(source).limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    copies = F.col("first") + F.size(F.filter("cdf", lambda c: c <= F.col("mix_u")))
+    copies = F.col(first) + F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    one = F.lit(1).cast("long")
     dealt = (
-        docs.join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")), "inner")
-        .withColumn("mix_u", uniform(F.lit(seed), F.col(id_col)))
+        docs.join(rates, F.col(source_col).eqNullSafe(F.col(source)), "inner")
+        .withColumn(u, uniform(F.lit(seed), F.col(id_col)))
         .withColumn("mix_copies", copies.cast("long"))
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("mix_copies", F.lit(1).cast("long")))))
+        .withColumn("mix_copy", F.explode(F.sequence(one, F.greatest("mix_copies", one))))
         .filter("mix_copy <= mix_copies")  # a filter on mix_copies alone is pushed through the lambda into a join without the id
         .withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(id_col).cast("string"), F.col("mix_copy").cast("string")).cast("binary")))
     )
-    return (
-        dealt.select(*docs.columns, F.col("rate").alias("mix_rate"), "mix_copies", "mix_copy", "mix_key")
-        .repartition(F.col("mix_key"))
-        .sortWithinPartitions("mix_key", "mix_copy")
-    )
+    return dealt.select(*docs.columns, "mix_rate", "mix_copies", "mix_copy", "mix_key").repartition(F.col("mix_key")).sortWithinPartitions("mix_key", "mix_copy")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Every copy of every document: its source's rate, its count and its place in the shuffle."""
+    """Every copy of every document: its source's rate, its count and its place in the shuffle.
+
+    Odd rows are those of ``mix``: null sources count as one, repeated rows each get their
+    copies, texts do not matter.
+    """
     mixed = mix(docs.select("doc_id", "source"))
     return mixed.select("doc_id", "source", F.round("mix_rate", 9).alias("rate"), F.col("mix_copies").alias("copies"), F.col("mix_copy").alias("copy"), F.col("mix_key").alias("shuffle_key"))

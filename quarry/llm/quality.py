@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, smallest_hashes
+from .common import bound_batches, fold, slices, smallest_hashes, unused_names
 
 #: At most so many labelled rows per class are used, those with the smallest hash of their id.
 TRAIN_ROWS, SHRINK, CUT = 20_000, (0.10, 0.05), 0.3
@@ -112,6 +112,7 @@ def _vectors(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", train_rows: int = TRAIN_ROWS, **columns: str) -> Discriminant | None:
     """Fit on at most ``train_rows`` labelled rows of each class; None without two rows of each."""
+    bound_batches(docs.sparkSession)
     sample = training_sample(docs, labels, label_col, train_rows, **columns).select("text", "y")
     rows = sample.mapInArrow(_vectors, "y int, x array<double>").toPandas().sort_values("y", kind="stable")
     if min((rows["y"] == 0).sum(), (rows["y"] == 1).sum()) < 2:
@@ -123,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", train
 
 def with_score(docs: DataFrame, model: Discriminant | None, name: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` with one more column, the score; 0.5 everywhere where there is no model."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -148,6 +150,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, cut: float = CUT) -> DataFrame:
-    """The rows that score at least ``cut``, all columns as they are."""
-    scored = with_score(docs, fit(docs, labels), "quality_score_")
-    return scored.filter(F.col("quality_score_") >= cut).drop("quality_score_")
+    """The rows that score at least ``cut``, all columns as they are; null and empty texts have a score as any other."""
+    (name,) = unused_names(docs, "quality_score")
+    scored = with_score(docs, fit(docs, labels), name)
+    return scored.filter(F.col(name) >= cut).drop(name)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .anchors import SPAN, mix
-from .common import materialise, slices, text_bytes
+from .common import bound_batches, materialise, slices, text_bytes, unused_names
 
 PIECE, SEEN = 1 << 20, 200_000
 DUP, OPEN, HOT, MARKED = 0, 1, 2, 3
@@ -241,6 +241,7 @@ def _factor(batches, limits: Limits):
 def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """(id, raw) of every row, and (id, spans) of those with later copies; spans hold runs of starts (a, n)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     raw = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("raw"))
     dealt = raw.filter("id is not null").mapInArrow(lambda b: _runs(b, limits), _ROW).repartition("k").sortWithinPartitions("k", "g", "id", "a")
     plan = materialise(dealt.mapInArrow(lambda b: _settle(b, limits), "id long, kind int, a long, n long, k long"), "runs")
@@ -288,7 +289,7 @@ def report(docs: DataFrame, *, limits: Limits = Limits()) -> DataFrame:
 
     Null texts are empty and lose nothing, as do texts under 100 bytes and rows without an
     id, which are no sources either. Ids must name one text: repeated rows of an id are one
-    document, and get equal results.
+    document, and get equal results. Ids are whole numbers.
     """
     raw, spans = removed_spans(docs, limits=limits)
     return raw.join(spans, "id", "left").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -302,19 +303,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     _, spans = removed_spans(docs, id_col=id_col, text_col=text_col)
     names = docs.columns
+    id_name, spans_name = unused_names(docs, "repeat_id", "repeat_spans")
     at = names.index(text_col)
 
     def run(batches):
         for batch in slices(batches):
             texts = [
                 text if text is None or not starts else cut(text.encode(), starts)[0].decode(errors="ignore")
-                for text, starts in zip(batch.column(at).to_pylist(), _starts(batch, "repeat_spans_"))
+                for text, starts in zip(batch.column(at).to_pylist(), _starts(batch, spans_name))
             ]
             columns = list(batch.columns)[: len(names)]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    marked = docs.join(spans.select(F.col("id").alias("repeat_id_"), F.col("spans").alias("repeat_spans_")), F.col(id_col) == F.col("repeat_id_"), "left").drop("repeat_id_")
+    marked = docs.join(spans.select(F.col("id").alias(id_name), F.col("spans").alias(spans_name)), F.col(id_col) == F.col(id_name), "left").drop(id_name)
     out = marked.mapInArrow(run, docs.schema)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))

@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, slices
+from .common import bound_batches, fold, materialise, slices
 from .quality import training_sample
 
 #: Labelled rows per class, lexicon entries, and an entry's least texts, least log-odds and standard errors taken off.
@@ -139,6 +139,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     as empty ones; repeated rows get equal scores; where a part lacks a class all score 0.5.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     sample = materialise(training_sample(docs, labels, label_col, train_rows, id_col=id_col, text_col=text_col).withColumn("part", fold("id")), "toxic-sample")
     found = {(r["part"], r["y"]) for r in sample.groupBy("part", "y").count().collect()}
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -62,3 +62,16 @@ def test_mixing_repeats_whole_rows(stages):
     known = by_id(before)
     assert after and all(r.text == known[r.doc_id].text and 1 <= r.mix_copy <= r.mix_copies for r in after)
     assert len({(r.doc_id, r.mix_copy) for r in after}) == len(after)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_of_odd_tables(spark, empty):
+    """Null, blank, tied and long texts and repeated rows: each stage keeps the columns and, but for the last, no row twice as often."""
+    rows = [] if empty else [(1, None), (2, ""), (3, " \n"), (4, "one"), (4, "one"), (5, "one"), (6, "x " * 20_000)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        found = [r.doc_id for r in out.collect()]
+        assert set(found) <= {i for i, _ in rows} and (name == "mixing" or (out.columns == docs.columns and len(found) <= len(rows)))
+        if name in ("near_duplicates", "decontamination") and not empty:
+            assert {1, 2, 3, 4} <= set(found) and (name == "decontamination" or 5 not in found)
