@@ -134,7 +134,7 @@ def matches(text: str, patterns: list[str], whole: bool = False) -> str:
 
 KNOWS = " or ".join(f"contains(lower(tx), '{w.lower()}')" for w in ro.KNOWLEDGE)
 ROUTED = rf"""q0 as (select *, trim(coalesce(question, '')) as raw from {{questions}}), q1 as (select *, regexp_replace(regexp_replace(raw, '\s+', '', 'g'), '[。！？!?,，.、~～；;：:]+$', '') as tx,
-  regexp_matches(raw, '(?i)(error|err)[\s:_-]*[a-z0-9_-]|[A-Z]{{1,5}}[-_]?[0-9]{{2,}}([^a-z0-9]|$)') or {matches("raw", ["(^|[^a-z0-9_])(Q30|ECR|FIT|NSB|SBC|DNQ|G50)([^a-z0-9_]|$)"])} as named from q0),
+  regexp_matches(raw, '(?i)(error|err)[\s:_-]*[a-z0-9_-]|[A-Z]{{1,5}}[-_]?[0-9]{{2,}}([^a-z0-9]|$)') or {matches("raw", ["(^|[^a-z0-9_])(Q30|ECR|FIT|NSB|SBC|DNQ|K50)([^a-z0-9_]|$)"])} as named from q0),
 q2 as (select *, {matches("tx", ro.REFERENCE)} and {matches("tx", ro.FOLLOW_UP)} as follows from q1),
 q3 as (select *, case when {matches("raw", [ro.CORPUS])} and regexp_matches(raw, '{ro.QUANTITY}') then 1 when has_images then 2 when tx = '' then 3 when {matches("tx", ro.CASUAL, True)} then 4
   when {matches("tx", ro.LOW_VALUE)} and not {matches("tx", [ro.LOW_VALUE_NOT])} then 5 when {matches("tx", ro.REANSWER)} and not {matches("tx", [ro.REANSWER_NOT])} and not follows then 6 when {matches("tx", ro.AUDIT)} then 7 when {matches("tx", ro.FEEDBACK)} then 8

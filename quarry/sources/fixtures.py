@@ -25,9 +25,9 @@ from conversations
 """,
     "turns": """
 select conv_id as session_id, turn + 1 as turn_no, conv_id * 1000 + turn as id,
-  case (conv_id * 3 + turn) % 11 when 0 then 'DL-T7 测序仪 报警 E102，怎么处理？' when 1 then '这个问题的原因是什么'
-       when 2 then '已经检查过电源，没有异常' when 3 then '另一个 G50 设备漏液' when 4 then '谢谢'
-       when 5 then '继续排查步骤' when 6 then '泵堵塞，压力异常 ERR-7' when 7 then 'DL-T7 报警 E102 阈值多少?'
+  case (conv_id * 3 + turn) % 11 when 0 then 'AX-7 测序仪 报警 E102，怎么处理？' when 1 then '这个问题的原因是什么'
+       when 2 then '已经检查过电源，没有异常' when 3 then '另一个 K50 设备漏液' when 4 then '谢谢'
+       when 5 then '继续排查步骤' when 6 then '泵堵塞，压力异常 ERR-7' when 7 then 'AX-7 报警 E102 阈值多少?'
        when 8 then '换个问题，笔记本不启动' when 9 then '总结一下' else text end as text,
   concat(case (conv_id + turn) % 5 when 0 then '- 确认报警 E102' when 1 then '1. 检查电源 并重启' when 2 then '可能是主板问题，请补充型号'
        when 3 then 'ok' else '没有发现异常' end, chr(10), '---', chr(10), text) as answer,
@@ -39,7 +39,7 @@ select conv_id * 1000 + turn as id, (conv_id + turn) % 29 = 3 as has_images, tur
   case turn % 3 when 0 then 'switch' else 'continue' end as context_action,
   case (conv_id * 5 + turn) % 23 when 0 then '知识库里有多少篇文档？' when 1 then '你好呀！' when 2 then '这个回答对吗？' when 3 then '请重新回答我的问题'
        when 4 then '为什么两次回答不一样' when 5 then '你的回答不对' when 6 then '你们的设备故障太多了，无语' when 7 then '你们的设备质量怎么样'
-       when 8 then '查一下今天的天气' when 9 then '上面这个问题怎么解决' when 10 then '怎么办' when 11 then 'DNBSEQ 报警的处理'
+       when 8 then '查一下今天的天气' when 9 then '上面这个问题怎么解决' when 10 then '怎么办' when 11 then 'AX-7 报警的处理'
        when 12 then '   ' when 13 then 'hello' when 14 then '结合日志和曲线，综合分析 Q30 下降的根因' when 15 then 'error 42 设备老是坏' when 16 then '重新检查答案的依据'
        when 17 then '再详细说一下刚才的步骤' when 18 then '真的吗' when 19 then '我要投诉' when 20 then concat('继续 ', text) else text end as question
 from conversations

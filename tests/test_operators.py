@@ -66,7 +66,7 @@ def test_claims_of_literal_comments(spark):
 
 
 def test_context_goes_on_and_switches(spark):
-    said = ["DL-T7 报警 E102", "这个故障的原因", "已经检查过，没有异常", "另一个 G50 设备", "谢谢"]
+    said = ["AX-7 报警 E102", "这个故障的原因", "已经检查过，没有异常", "另一个 K50 设备", "谢谢"]
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate(said)], "session_id int, turn_no int, text string")
     got = {r.turn_no: (r.transition, r.score, r.device) for r in memory.context_transition(df).collect()}
     assert got[0][0] == "new" and got[1][:2] == ("continue", pytest.approx(0.67)) and got[3][0] == "switch" and got[4][:2] == ("continue", pytest.approx(0.35))
