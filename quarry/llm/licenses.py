@@ -1,9 +1,9 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, all of it on the JVM.
 
-A paragraph is a line. Paragraphs that share a word pair with a template are scored by a
-multinomial logistic regression over unigrams and bigrams; a believed family must share
-enough pairs with one of its templates, so a paragraph without any is unknown whatever its
-score, and is not scored. The least probability at which a family is believed is what the
+A paragraph is a line. Paragraphs that share a telling word pair (not of two function words)
+with a template are scored by a multinomial logistic regression over unigrams and bigrams;
+a believed family must share enough such pairs with one of its templates, so a paragraph
+without any is unknown whatever its score, and is not scored. The least probability at which a family is believed is what the
 scanned corpus's own near misses (scored paragraphs that no template confirms) seldom
 reach. Training rows are variants of the templates, a few near misses, and a bounded
 sample of the corpus's plain paragraphs. No Python runs on the executors.
@@ -92,6 +92,8 @@ NEAR_MISSES = [
     "All photographs are copyright of their owners.",
     "The version of the public license office was published in general terms.",
 ]
+#: Function words, of which two make no telling pair.
+FUNCTION = "a an and any are as at be by can for from in is it may not of on or that the this to you with".split()
 _BEFORE = ["", "Copyright 2020 the authors. ", "Note: ", "Code and data: ", "This file is part of the project. ", "(c) 2019 Example Ltd. "]
 _AFTER = ["", " See the file LICENSE for details.", " All rights reserved.", " No warranty is given.", " and more text follows here in the same paragraph"]
 
@@ -106,6 +108,22 @@ def bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.slice(pairs, F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<string>"))
 
 
+def telling(pairs: Column) -> Column:
+    """Word pairs that are not of two function words."""
+    common = lambda p, i: F.split(p, " ")[i].isin(FUNCTION)
+    return F.filter(pairs, lambda p: ~(common(p, 0) & common(p, 1)))
+
+
+def _pattern(pairs: list[str]) -> str:
+    """What a text in small letters holds if two neighbouring tokens of it are one of the pairs."""
+    quoted = lambda word: "\\Q" + word + "\\E"
+    after: dict[str, list[str]] = {}
+    for pair in pairs:
+        first, second = pair.split(" ")
+        after.setdefault(first, []).append(quoted(second))
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(quoted(first) + r"[^\p{L}\p{N}]+(?:" + "|".join(rest) + ")" for first, rest in after.items()) + ")"
+
+
 def _rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small table of literals."""
     structs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
@@ -123,7 +141,7 @@ class Scanner:
         spark = docs.sparkSession
         self.families = [*TEMPLATES, UNKNOWN]
         templates = _rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], ["family", "template"])
-        grams = F.array_distinct(bigrams(tokens(F.col("template"))))
+        grams = F.array_distinct(telling(bigrams(tokens(F.col("template")))))
         self.templates = templates.select("family", grams.alias("grams_of")).groupBy("family").agg(F.collect_list("grams_of").alias("family_templates"))
         self.pairs = sorted(r[0] for r in templates.select(F.explode(grams)).distinct().collect())  # of the templates above: a fixed set
         around = _rows(spark, [(b, a) for b in _BEFORE for a in _AFTER], ["before", "after"])
@@ -142,23 +160,28 @@ class Scanner:
         return df.withColumn("words", words).withColumn("pairs", bigrams(F.col("words"))).withColumn("grams", F.concat("words", "pairs"))
 
     def _near(self, pairs: str) -> Column:
-        """Whether some word pair is one of a template's."""
+        """Whether some word pair is a telling one of a template."""
         return F.arrays_overlap(pairs, F.array(*[F.lit(x) for x in self.pairs]))
 
+    def _may_be_near(self, text: str) -> Column:
+        """True wherever ``_near`` is, and seldom elsewhere: it needs no tokens."""
+        return F.lower(text).rlike(_pattern(self.pairs))
+
     def _predict(self, df: DataFrame) -> DataFrame:
         scored = self.model.transform(self.counts.transform(df)).withColumn("p", vector_to_array("probability"))
         guess = F.element_at(F.array(*[F.lit(f) for f in self.families]), F.col("prediction").cast("int") + 1)
         return scored.withColumn("family_guess", guess).withColumn("probability_of", F.array_max("p"))
 
     def paragraphs(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """One row per paragraph that shares a word pair with a template: id, line (from 0), paragraph, family, probability, shared.
+        """One row per paragraph that shares a telling word pair with a template: id, line (from 0), paragraph, family, probability, shared.
 
         ``family`` is unknown where belief is under the bar, which the paragraphs that no
         template confirms set for all documents at once, or where no template confirms it.
         """
-        near = self._grams(_paragraphs(docs, id_col, text_col)).filter(self._near("pairs"))
+        lines = _paragraphs(docs.filter(self._may_be_near(text_col)), id_col, text_col).filter(self._may_be_near("paragraph"))
+        near = self._grams(lines).filter(self._near("pairs"))
         scored = self._predict(near).join(F.broadcast(self.templates), F.col("family_guess") == F.col("family"), "left")
-        own = F.array_distinct("pairs")
+        own = F.array_distinct(telling(F.col("pairs")))
         share = F.transform("family_templates", lambda t: F.size(F.array_intersect(t, own)) / F.greatest(F.least(F.size(t), F.size(own)), F.lit(1)))
         rows = scored.select("id", "line", "paragraph", "family_guess", "probability_of", F.coalesce(F.array_max(share), F.lit(0.0)).alias("shared"))
         rows = materialise(rows, "licence-scan")
