@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, gif, language, licenses, maxent, mixing, neardup, quality, repeats, sql, toxicity
+from . import conversations, decontaminate, gif, language, licenses, maxent, mixing, neardup, quality, repeats, sql, toxicity
 from .common import documents
 
 
@@ -50,6 +50,10 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(documents(spark, sf_dir))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_gif": op1_gif,
     "op2_maxent": op2_maxent,
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_neardup": op10_neardup,
+    "op11_conversations": op11_conversations,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -124,3 +124,56 @@ def log_probability(model, words, tail, text_tokens) -> float:
             count, known = words.get(w, (0, {}))
             total += known[c[0]] if c[0] in known else np.log((count + 0.5) / tail.size[t] / tail.norms[-1][t * wide + c[0]])
     return total
+
+
+def conversations(rows: list[tuple]) -> dict:
+    """conv_id -> (gaps, blank, duplicate, truncated, illegal, cost, audit, sha256) of damaged conversations, by a table of states."""
+    import zlib
+
+    spaces, talks = " \t\n\x0b\x0c\r", {}
+    for conv, turn, role, text in rows:
+        show = lambda x: " " if x is None else str(x)
+        kind = zlib.crc32(f"{show(conv)}:{show(turn)}".encode()) % 20
+        role, text = show(role), show(text)
+        text = "" if kind == 1 else "".join(c for c in text if c not in ".!?") if kind == 2 else text
+        talks.setdefault(conv, []).extend([(turn, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1))
+    follow = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    out = {}
+    for conv, talk in talks.items():
+        talk.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        turns = [t for t, _, _ in talk if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        counts, seen, faults = [0, 0, 0], set(), []
+        for _, role, text in talk:
+            bare = text.strip(spaces)
+            fault = 0 if not bare else 1 if (role, text) in seen else 2 if bare[-1] not in ".!?" else 3
+            seen.add((role, text))
+            faults.append(fault)
+            if fault < 3:
+                counts[fault] += 1
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(talk, talk[1:]))
+
+        def insert(states):
+            for _ in range(4):
+                for s, (cost, audit, lines) in list(states.items()):
+                    r = "a" if s == "u" else "u"
+                    x = cost + 2, audit + "I", (*lines, {"u": "user:", "a": "assistant:"}[r])
+                    states[r] = min(states.get(r, x), x)
+            return states
+
+        states = {"": (0, "", ())}
+        for (_, role, text), fault in zip(talk, faults):
+            after = {}
+            for s, (cost, audit, lines) in insert(states).items():
+                ways = [(s, (cost + 3, audit + "D", lines))]
+                if fault > 1:
+                    if (s, role[:1]) in follow:
+                        ways.append((role[:1], (cost + (fault == 2), audit + "K", (*lines, f"{role}:{text}"))))
+                    r = "a" if s == "u" else "u"
+                    ways.append((r, (cost + 2 + (fault == 2), audit + "R", (*lines, f"{'user' if r == 'u' else 'assistant'}:{text}"))))
+                for to, way in ways:
+                    after[to] = min(after.get(to, way), way)
+            states = after
+        cost, audit, lines = min(v for s, v in insert(states).items() if s in ("", "a"))
+        out[conv] = (gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
