@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import conversations, decontaminate, gif, language, licenses, maxent, mixing, neardup, quality, repeats, sql, toxicity
+from . import collocations, conversations, decontaminate, gif, language, licenses, maxent, mixing, neardup, quality, repeats, rules, sql, toxicity
 from .common import documents
 
 
@@ -54,6 +54,14 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_gif": op1_gif,
     "op2_maxent": op2_maxent,
@@ -66,6 +74,8 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_neardup": op10_neardup,
     "op11_conversations": op11_conversations,
+    "op12_rules": op12_rules,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -74,4 +84,5 @@ ORACLE_SQL = {
     "op8_mixing": sql.OP8,
     "op9_suffix_dedup": sql.OP9,
     "op10_neardup": sql.OP10,
+    "op13_collocations": sql.OP13,
 }

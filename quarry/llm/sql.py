@@ -67,3 +67,23 @@ select doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint)
   sha256(unhex(case when last is null then h else concat(x, substr(h, 2 * last + 1)) end)) as kept_sha256
 from d left join per using (doc_id)
 """
+
+OP13 = rf"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {ALPHABET}), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+n as materialized (select lang, sum(len(w)) as n from w group by lang),
+f as materialized (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 6) t(k) where len(w) >= k)
+  group by all having count(*) >= 100),
+c as materialized (select lang, k as size, phrase, f, string_split(phrase, ' ') as w from f where k > 1),
+inner_phrases as (select lang, array_to_string(w[i:i + k - 1], ' ') as phrase, max(f) as most
+  from (select lang, w, f, k, unnest(range(1, size - k + 2)) as i from (select *, unnest(range(2, size)) as k from c)) group by all),
+kept as (select c.* from c left join inner_phrases using (lang, phrase) where most is null or 100 * most < 100 * f),
+cuts as (select lang, phrase, f as a, k, array_to_string(w[1:k], ' ') as x, array_to_string(w[k + 1:], ' ') as y from (select *, unnest(range(1, size)) as k from kept)),
+scored as (select cuts.lang, cuts.phrase, a, cuts.k, p.f as l, q.f as r, n, cast(1000::hugeint * a * n // (p.f::hugeint * q.f) as bigint) as score
+  from cuts join f p on p.lang = cuts.lang and p.phrase = x join f q on q.lang = cuts.lang and q.phrase = y join n on n.lang = cuts.lang),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from lowest)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked where rank <= 2000
+"""
