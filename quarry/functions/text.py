@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .blanks import single, squeeze, strip
+
 CJK = r"一-鿿"
 #: Words that carry no meaning of their own in a question.
 STOP = "the a an of to in is are was and or how what why who for with on at by be it this that".split()
@@ -37,7 +39,8 @@ def memory_keywords(column: Column, most: int = 80) -> Column:
 
 
 def compact(column: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"\s+", "")
+    """Small letters without white space."""
+    return squeeze(F.lower(column))
 
 
 def text_similarity(a: Column, b: Column, keys_a: Column, keys_b: Column) -> Column:
@@ -103,7 +106,7 @@ def query_key(column: Column) -> Column:
 
 def clean_title(column: Column, fallback: str = "untitled") -> Column:
     """EXP-11: trimmed and squeezed, at most 100 characters, never empty."""
-    text = F.left(F.regexp_replace(F.trim(F.coalesce(column, F.lit(""))), r"\s+", " "), F.lit(100))
+    text = F.left(single(column), F.lit(100))
     return F.when(text == "", fallback).otherwise(text)
 
 
@@ -113,21 +116,32 @@ def han_part(column: Column) -> Column:
     return F.when(F.size(parts) == 1, parts[0]).otherwise(column)
 
 
-def extract_slots(column: Column) -> Column:
-    """EXP-12: device, component, error code and metric by first match."""
-    first = lambda pattern: F.nullif(F.regexp_extract(column, pattern, 0), F.lit(""))
-    return F.struct(
-        first(r"\b[A-Z]{1,5}-?\d{2,5}[A-Z]?\b").alias("device"),
-        first(r"(?i)\b(fan|power|board|sensor|motor|disk|cable|pump|valve)s?\b").alias("component"),
-        first(r"(?i)\b(?:error|code|err|e)[ :#-]?\d{2,5}\b").alias("error_code"),
-        first(r"(?i)\b\d+(?:\.\d+)?\s?(?:v|a|w|hz|mm|%|rpm|ms)(?![a-z])").alias("metric"),
-    )
+_HAN = "一二三四五六七八九"
+
+
+def _han_number(text: Column) -> Column:
+    """1 to 99 in Han numerals; null for anything else."""
+    digit = lambda c: F.when(F.length(c) == 1, F.nullif(F.instr(F.lit(_HAN), c), F.lit(0)))
+    tens, ones = F.substring_index(text, "十", 1), F.substring_index(text, "十", -1)
+    with_ten = F.coalesce(digit(tens), F.when(tens == "", 1), F.lit(0)) * 10 + F.coalesce(digit(ones), F.lit(0))
+    return F.when(text.contains("十"), with_ten).otherwise(digit(text))
+
 
+def section_marker(column: Column) -> Column:
+    """EXP-13: (marker, level) of a heading.
 
-def section_level(column: Column) -> Column:
-    """EXP-13: depth of a heading: number signs, dotted numbers, or a Han numeral; 0 for plain text."""
-    hashes, dotted = F.regexp_extract(column, r"^(#{1,6})\s", 1), F.regexp_extract(column, r"^(\d+(?:\.\d+)*)[.\s、]", 1)
-    return F.when(hashes != "", F.length(hashes)).when(dotted != "", F.size(F.split(dotted, r"\."))).when(column.rlike(r"^[一二三四五六七八九十]{1,3}、"), 1).otherwise(0)
+    The marker is a dotted number (wide dots as plain ones) or a Han numeral as digits, where a
+    mark or blank follows; else empty. The level is the count of number signs, or of the number's
+    parts, 6 at most, else 1.
+    """
+    text = strip(column)
+    hashes = F.regexp_extract(text, r"(?U)\A(#{1,6})\s", 1)
+    dotted = F.translate(F.regexp_extract(text, r"(?U)\A(\d+(?:[.．]\d+)*)[、.．\s]", 1), "．", ".")
+    han = _han_number(F.regexp_extract(text, r"(?U)\A([一二三四五六七八九十]+)[、.．\s]", 1))
+    marker = F.when(dotted != "", dotted).otherwise(F.coalesce(F.nullif(han, F.lit(0)).cast("string"), F.lit("")))
+    parts = F.least(F.size(F.split(dotted, r"\.")), F.lit(6))
+    level = F.when(hashes != "", F.length(hashes)).when(dotted != "", parts).otherwise(1)
+    return F.struct(marker.alias("marker"), level.alias("level"))
 
 
 def document_code(column: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.blanks import strip
+
 #: Feedback types, what a given type stands for, and words that mark a scope, a conflict or a kind of text.
 TYPES = ["positive", "negative", "correction", "confirmation", "additional_information"]
 MEANING = {
@@ -30,7 +32,7 @@ MENTIONS = ["fan", "power", "module", "风扇", "电源", "模块", "a102"]
 
 def text_of(column: Column | str) -> Column:
     """Trimmed text; null is empty."""
-    return F.trim(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")))
+    return strip(column)
 
 
 def has(text: Column, words: list[str]) -> Column:

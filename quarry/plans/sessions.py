@@ -15,11 +15,20 @@ from quarry.streaming import jobs
 from .registry import query
 from .retrieval import KNN, ranked
 
-SLOTS = "device component error_code symptom".split()
+DEVICES = ["AX[-_]?7", "K50"]
+#: Fixed values, stated for the SQL by itself.
+SLOT_SQL = {
+    "device": "regexp_extract(tx, '(?i)(?:AX[-_]?7|K50|ECR|Q30|FIT|NSB|SBC|DNQ|PLC|CNC|测序仪|清洗机|洗衣机|洗碗机|烘干机|干衣机|笔记本|电脑|电视|耳机|设备|仪器)')",
+    "component": "regexp_extract(tx, '(?i)(?:清洗泵|注射泵|泵|阀|管路|相机|温控|电源|电机|传感器|芯片|试剂|barcode|激光|主板|屏幕|电池|压缩机|排水泵)')",
+    "error_code": "upper(regexp_extract(tx, '(?i)(^|[^\\pL\\pN_])([A-Z]{1,6}[-_]?\\d{2,}|E\\d{2,}|ERR[-_]?[A-Z0-9]+)([^\\pL\\pN_]|$)', 2))",
+    "symptom": "regexp_extract(tx, '(?:报警|报错|异常|失败|超时|堵塞|漏液|漏水|不启动|无法启动|不工作|卡顿|噪音|压力|温度|信号|断开|连接不上|脱水|不排水|不加热)')",
+}
+FOCUS_SQL = "解决方案|解决办法|处理方法|怎么解决|怎么处理|怎么办|修复|恢复|原因|为什么|根因|成因|排查|检查步骤|操作步骤|步骤|怎么查|定位|总结|复盘|概括|简述|图片|图|照片|示意|截图|参数|阈值|范围|指标|多少"
+EXCLUDED_SQL, ANSWER_EXCLUDED_SQL = "没有|没|不是|排除|未发现|无.*异常|不堵|没堵", "排除|不是|未发现|未检出|无.*异常|没有|没"
 SIG = f"""recursive s0 as (select *, trim(coalesce(text, '')) as tx, regexp_replace(trim(coalesce(text, '')), '\\s+', '', 'g') as tight from {{turns}}),
-s1 as (select *, row_number() over (partition by session_id order by turn_no) as i, {", ".join(("upper(" if k == "error_code" else "trim(") + f"regexp_extract(tx, '(?i){me.SLOT[k]}'))" + f" as {k}" for k in SLOTS)},
-  regexp_matches(tight, '{me.CUE}') as cue, regexp_matches(tight, '{me.SWITCH}') as sw, regexp_matches(tight, '{me.FOCUS}') as foc, tight = '' or regexp_matches(tight, '(?i){me.LOW_VALUE}') as low,
-  (regexp_matches(tx, '{me.CONFIRMED}') or regexp_matches(tx, '{me.EXCLUDED}')) and regexp_replace(tx, '[,，。！？!?\\s]', '', 'g') <> '' as facts,
+s1 as (select *, row_number() over (partition by session_id order by turn_no) as i, {", ".join(f"{x} as {k}" for k, x in SLOT_SQL.items())},
+  regexp_matches(tight, '{me.CUE}') as cue, regexp_matches(tight, '{me.SWITCH}') as sw, regexp_matches(tight, '{FOCUS_SQL}') as foc, tight = '' or regexp_matches(tight, '(?i){me.LOW_VALUE}') as low,
+  (regexp_matches(tx, '{me.CONFIRMED}') or regexp_matches(tx, '{EXCLUDED_SQL}')) and regexp_replace(tx, '[,，。！？!?\\s]', '', 'g') <> '' as facts,
   list_transform(list_filter(regexp_extract_all(regexp_replace(tx, '[，。！？、；：,.!?;:()\\[\\]【】"''“”‘’]', ' ', 'g'), '[A-Za-z][A-Za-z0-9_-]+|[一-鿿]{{2,}}'), lambda w: w not in ({", ".join(f"'{w}'" for w in me.CONTEXT_STOP)})), lambda w: lower(w))[1:50] as words from s0),
 fold as (select session_id, i, turn_no, 0.0::double as score, 'new' as action, '' as conflicts, device, component, error_code, symptom, words as issue, words as asked, case when symptom <> '' then [lower(symptom)] else words end as sw_words from s1 where i = 1
   union all select session_id, i, turn_no, score, action, conflicts, case when device <> '' then device when action = 'switch' then '' else d0 end, case when component <> '' then component when action = 'switch' then '' else c0 end, case when error_code <> '' then error_code when action = 'switch' then '' else e0 end, case when symptom <> '' then symptom when action = 'switch' then '' else y0 end,
@@ -34,22 +43,22 @@ fold as (select session_id, i, turn_no, 0.0::double as score, 'new' as action, '
 
 @query("mem01_transition", f"with {SIG} select session_id, turn_no, round(score, 6) as score, action as transition, conflicts from fold")
 def mem01(t):
-    return me.context_transition(t("turns")).select("session_id", "turn_no", F.round("score", 6).alias("score"), "transition", "conflicts")
+    return me.context_transition(t("turns"), DEVICES).select("session_id", "turn_no", F.round("score", 6).alias("score"), "transition", "conflicts")
 
 
 @query("mem02_segments", f"with {SIG} select session_id, turn_no, sum(case when action in ('new', 'switch') then 1 else 0 end) over (partition by session_id order by turn_no)::bigint as segment from fold")
 def mem02(t):
-    return me.segment_sessions(me.context_transition(t("turns"))).select("session_id", "turn_no", "segment")
+    return me.segment_sessions(me.context_transition(t("turns"), DEVICES)).select("session_id", "turn_no", "segment")
 
 
 SQUEEZE = "regexp_replace(trim({}), '\\s+', ' ', 'g')"
 LINE = "rtrim(left(trim(regexp_replace({}, '^[\\-\\*\\d\\.\\)、）\\s]+', '')), {}))"
 FACT = "left(regexp_replace(" + SQUEEZE.format("text") + ", '^[,，。！？!?\\s]+|[,，。！？!?\\s]+$', '', 'g'), 160)"
 EXTRACT = f"""x as (select session_id, turn_no, coalesce(text, '') as text, answer, (case when doc_a = doc_b then [doc_a] else [doc_a, doc_b] end)[1:n_docs] as ids, n_docs from {{turns}}), x1 as (select *, {FACT} as fact from x),
-u as (select session_id, turn_no, ids, 0 as place, {LINE.format("fact", 260)} as text, unnest([case when regexp_matches(fact, '{me.CONFIRMED}') then 'confirmed_facts' end, case when regexp_matches(fact, '{me.EXCLUDED}') then 'excluded_causes' end, case when contains(text, '?') or contains(text, '？') then 'pending_questions' end]) as category, unnest([0.9::double, 0.92::double, 0.74::double]) as confidence, unnest(['active', 'active', 'open']) as status from x1),
+u as (select session_id, turn_no, ids, 0 as place, {LINE.format("fact", 260)} as text, unnest([case when regexp_matches(fact, '{me.CONFIRMED}') then 'confirmed_facts' end, case when regexp_matches(fact, '{EXCLUDED_SQL}') then 'excluded_causes' end, case when contains(text, '?') or contains(text, '？') then 'pending_questions' end]) as category, unnest([0.9::double, 0.92::double, 0.74::double]) as confidence, unnest(['active', 'active', 'open']) as status from x1),
 l0 as (select session_id, turn_no, ids, list_filter(list_transform(string_split(answer, chr(10)), lambda z: {LINE.format(SQUEEZE.format("z"), 220)}), lambda z: z <> '' and z <> '---')[1:40] as lines from x),
 l1 as (select session_id, turn_no, ids, unnest(range(1, len(lines) + 1)) as place, lines from l0), l as (select *, lines[place] as text from l1),
-a as (select session_id, turn_no, ids, place, text, unnest([case when regexp_matches(text, '{me.ANSWER_FACT}') or regexp_matches(text, '{me.UNCERTAIN}') or regexp_matches(text, '{me.ANSWER_EXCLUDED}') then 'candidate_facts' end, case when regexp_matches(text, '{me.STEP}') then 'suggested_steps' end, case when right(text, 1) in ('?', '？') or regexp_matches(text, '{me.PENDING}') then 'pending_questions' end]) as category,
+a as (select session_id, turn_no, ids, place, text, unnest([case when regexp_matches(text, '{me.ANSWER_FACT}') or regexp_matches(text, '{me.UNCERTAIN}') or regexp_matches(text, '{ANSWER_EXCLUDED_SQL}') then 'candidate_facts' end, case when regexp_matches(text, '{me.STEP}') then 'suggested_steps' end, case when right(text, 1) in ('?', '？') or regexp_matches(text, '{me.PENDING}') then 'pending_questions' end]) as category,
   unnest(case when len(ids) > 0 then [0.64::double, 0.68::double, 0.76::double] else [0.52::double, 0.56::double, 0.76::double] end) as confidence, unnest(['candidate', 'proposed', 'open']) as status from l),
 d0 as (select session_id, turn_no, ids, unnest(range(0, len(ids))) as place from x), d as (select session_id, turn_no, [ids[place + 1]] as ids, place, concat('doc ', ids[place + 1]::varchar) as text, 'cited_docs' as category, 0.9::double as confidence, 'active' as status from d0),
 al as (select * from u union all select * from a union all select * from d),
@@ -128,7 +137,7 @@ c as (select *, case when slot = 'device' and turn_no % 2 = 0 then 0.85::double
 select session_id, turn_no, slot, value, round(case when list_contains(string_split(conflicts, ','), slot) then greatest(0.35::double, up - 0.25::double) else up end, 2) as confidence from u""")
 def mem09(t):
     given = F.when(F.col("turn_no") % 2 == 0, F.array(F.lit("device"))).otherwise(F.array().cast("array<string>"))
-    return me.slot_confidence(me.context_transition(t("turns")).withColumn("given", given)).select("session_id", "turn_no", "slot", "value", "confidence")
+    return me.slot_confidence(me.context_transition(t("turns"), DEVICES).withColumn("given", given)).select("session_id", "turn_no", "slot", "value", "confidence")
 
 
 @query("str04_usage", """select strftime(date_trunc('hour', created_time), '%Y-%m-%d %H') as hour, case when request_type like 'parse%' then 'parse' else 'qa' end as business, sum(total_tokens)::bigint as tokens, count(*) as calls from {usage_log} group by all""")

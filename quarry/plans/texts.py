@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import routing as ro
+from quarry.functions import slots as sl
 from quarry.functions import text as tx
 from quarry.operators import chunking as ch
 
@@ -99,20 +99,34 @@ def exp11(t):
     return t("documents").select("doc_id", tx.clean_title(F.col("text")).alias("title"))
 
 
-SLOT_TEXT = "concat('Fan X-', event_id::varchar, ' shows error ', (event_id % 900 + 100)::varchar, ' at ', round(value, 1)::varchar, ' V')"
 
+SLOT_SQL = r"""select session_id, turn_no, regexp_extract(text, '(?i)(?:AX[-_]?7|K50|ECR|Q30|FIT|NSB|SBC|DNQ|PLC|CNC|测序仪|清洗机|洗衣机|洗碗机|烘干机|干衣机|笔记本|电脑|电视|耳机|设备|仪器)') as device,
+  regexp_extract(text, '(?i)(?:清洗泵|注射泵|泵|阀|管路|相机|温控|电源|电机|传感器|芯片|试剂|barcode|激光|主板|屏幕|电池|压缩机|排水泵)') as component,
+  upper(regexp_extract(text, '(?i)(^|[^\pL\pN_])([A-Z]{1,6}[-_]?\d{2,}|E\d{2,}|ERR[-_]?[A-Z0-9]+)([^\pL\pN_]|$)', 2)) as error_code,
+  regexp_extract(text, '报警|报错|异常|失败|超时|堵塞|漏液|漏水|不启动|无法启动|不工作|卡顿|噪音|压力|温度|信号|断开|连接不上|脱水|不排水|不加热') as symptom,
+  upper(regexp_extract(text, '(?i)(^|[^\pL\pN_])(Q30|ECR|FIT|NSB|SBC|DNQ|K50)([^\pL\pN_]|$)', 2)) as metric,
+  case when regexp_matches(t, '解决方案|解决办法|处理方法|怎么解决|怎么处理|怎么办|修复|恢复') then 'solution' when regexp_matches(t, '原因|为什么|根因|成因') then 'reason'
+    when regexp_matches(t, '排查|检查步骤|操作步骤|步骤|怎么查|定位') then 'troubleshooting' when regexp_matches(t, '总结|复盘|概括|简述') then 'summary'
+    when regexp_matches(t, '图片|图|照片|示意|截图') then 'image' when regexp_matches(t, '参数|阈值|范围|指标|多少') then 'parameter' else '' end as focus
+from (select *, regexp_replace(text, '[\s\x{3000}]+', '', 'g') as t from {turns})"""
 
-@query("exp12_slots", rf"""with s as (select event_id, {SLOT_TEXT} as s from events)
-select event_id, regexp_extract(s, '\b[A-Z]{{{{1,5}}}}-?\d{{{{2,5}}}}[A-Z]?\b', 0) as device, regexp_extract(s, '(?i)\b(fan|power|board|sensor|motor|disk|cable|pump|valve)s?\b', 0) as component, regexp_extract(s, '(?i)\b(?:error|code|err|e)[ :#-]?\d{{{{2,5}}}}\b', 0) as error_code from s""".replace("{{", "{").replace("}}", "}"))
+
+@query("exp12_slots", SLOT_SQL)
 def exp12(t):
-    s = F.concat(F.lit("Fan X-"), F.col("event_id").cast("string"), F.lit(" shows error "), (F.col("event_id") % 900 + 100).cast("string"), F.lit(" at 12 V"))
-    return t("events").select("event_id", tx.extract_slots(s).alias("s")).select("event_id", *[F.coalesce(f"s.{c}", F.lit("")).alias(c) for c in ("device", "component", "error_code")])
+    found = sl.extract_slots("text", devices=["AX[-_]?7", "K50"], metrics=["K50"])
+    return t("turns").select("session_id", "turn_no", found.alias("s")).select("session_id", "turn_no", "s.*")
+
+
+HAN = "一二三四五六七八九"
 
 
-@query("exp13_levels", """select doc_id, case doc_id % 5 when 0 then 2 when 1 then 3 when 2 then 1 when 3 then 0 else 1 end as level from documents""")
+@query("exp13_levels", rf"""with m as (select *, regexp_extract(line, '^(#{{1,6}})[\s\x{{3000}}]', 1) as h, replace(regexp_extract(line, '^(\d+([.．]\d+)*)[、.．\s\x{{3000}}]', 1), '．', '.') as n, regexp_extract(line, '^([一二三四五六七八九十]+)[、.．\s\x{{3000}}]', 1) as z
+  from (select *, trim(heading, chr(12288) || ' ' || chr(9)) as line from {{headings}}))
+select doc_id, line_no, case when n <> '' then n when z = '' then '' when contains(z, '十') then
+    cast(case when left(z, 1) = '十' then 10 else 10 * instr('{HAN}', left(z, 1)) end + case when right(z, 1) = '十' then 0 else instr('{HAN}', right(z, 1)) end as varchar) when length(z) = 1 then cast(instr('{HAN}', z) as varchar) else '' end as marker,
+  case when h <> '' then length(h) when n <> '' then least(6, 1 + length(n) - length(replace(n, '.', ''))) else 1 end as level from m""")
 def exp13(t):
-    s = F.element_at(F.array(*[F.lit(x) for x in ("## Two", "1.2.3 Three", "4. One", "plain 1.2", "三、One")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return t("documents").select("doc_id", tx.section_level(s).alias("level"))
+    return t("headings").select("doc_id", "line_no", tx.section_marker(F.col("heading")).alias("s")).select("doc_id", "line_no", "s.marker", "s.level")
 
 
 @query("exp14_codes", "select doc_id, concat('KB-', lpad(doc_id::varchar, 6, '0')) as code from documents")
@@ -126,39 +140,6 @@ def exp15(t):
     return t("chunks").select("chunk_pk", code.alias("encoded"), tx.decode_id(code)["library"].alias("decoded_library"), tx.decode_id(code)["id"].alias("decoded_id"))
 
 
-def matches(text: str, patterns: list[str], whole: bool = False) -> str:
-    """SQL: the text holds one of the patterns."""
-    inside = "|".join(f"({p})" for p in patterns)
-    return f"regexp_matches({text}, '(?i)^({inside})$')" if whole else f"regexp_matches({text}, '(?i){inside}')"
-
-
-KNOWS = " or ".join(f"contains(lower(tx), '{w.lower()}')" for w in ro.KNOWLEDGE)
-ROUTED = rf"""q0 as (select *, trim(coalesce(question, '')) as raw from {{questions}}), q1 as (select *, regexp_replace(regexp_replace(raw, '\s+', '', 'g'), '[。！？!?,，.、~～；;：:]+$', '') as tx,
-  regexp_matches(raw, '(?i)(error|err)[\s:_-]*[a-z0-9_-]|[A-Z]{{1,5}}[-_]?[0-9]{{2,}}([^a-z0-9]|$)') or {matches("raw", ["(^|[^a-z0-9_])(Q30|ECR|FIT|NSB|SBC|DNQ|K50)([^a-z0-9_]|$)"])} as named from q0),
-q2 as (select *, {matches("tx", ro.REFERENCE)} and {matches("tx", ro.FOLLOW_UP)} as follows from q1),
-q3 as (select *, case when {matches("raw", [ro.CORPUS])} and regexp_matches(raw, '{ro.QUANTITY}') then 1 when has_images then 2 when tx = '' then 3 when {matches("tx", ro.CASUAL, True)} then 4
-  when {matches("tx", ro.LOW_VALUE)} and not {matches("tx", [ro.LOW_VALUE_NOT])} then 5 when {matches("tx", ro.REANSWER)} and not {matches("tx", [ro.REANSWER_NOT])} and not follows then 6 when {matches("tx", ro.AUDIT)} then 7 when {matches("tx", ro.FEEDBACK)} then 8
-  when not named and {matches("tx", ro.EMOTIONAL)} and not {matches("tx", [ro.EMOTIONAL_NOT])} then 9 when not named and {matches("tx", ro.VAGUE)} and not {matches("tx", [ro.VAGUE_NOT])} then 10 when {matches("tx", ro.TOOL)} then 11 when follows then 12 when {matches("tx", ro.AMBIGUOUS, True)} then 13 when {KNOWS} then 14 else 15 end as rule from q2),
-routed as (select *, ['knowledge_statistics', 'knowledge_search', 'clarify', 'casual_chat', 'casual_chat', 'knowledge_search', 'answer_audit', 'emotional_feedback', 'emotional_feedback', 'emotional_feedback', 'tool_call', 'knowledge_search', 'clarify', 'knowledge_search', 'knowledge_search'][rule] as route,
-  ['knowledge_statistics', 'uploaded_image', 'empty_question', 'casual_pattern', 'low_value_feedback', 'contextual_retry', 'answer_audit_pattern', 'feedback_pattern', 'emotional_feedback_pattern', 'vague_domain_chat', 'tool_pattern', 'contextual_followup', 'ambiguous_reference', 'knowledge_signal', 'no_match'][rule] as reason,
-  [0.99, 0.99, 1.0, 0.98, 0.97, 0.97, 0.97, 0.97, 0.97, 0.96, 0.95, 0.96, 0.92, 0.94, 0.0]::double[][rule] as confidence from q3)""".replace("::double[][rule]", "[rule]::double")
-
-
-@query("exp16_routes", f"with {ROUTED} select id, route, reason, confidence from routed")
-def exp16(t):
-    return t("questions").select("id", ro.route_questions(F.col("question"), F.col("has_images")).alias("r")).select("id", "r.*")
-
-
-@query("exp17_plans", rf"""with {ROUTED}, p as (select *, regexp_replace(coalesce(question, ''), '\s+', '', 'g') as sq from routed),
-m as (select id, case when route = 'answer_audit' then 'audit' when route <> 'knowledge_search' then 'simple' when reason in ('contextual_followup', 'contextual_retry') and context_action <> 'switch' then 'contextual'
-  when has_images or length(sq) >= 60 or regexp_matches(sq, '{ro.COMPLEX}') or (has_context and (contains(sq, '继续') or contains(sq, '进一步') or contains(sq, '再分析') or contains(sq, '复盘'))) then 'complex' when sq <> '' and length(sq) <= 28 then 'simple_knowledge' else 'standard' end as complexity from p)
-select id, case complexity when 'audit' then 'answer_audit' when 'simple' then 'direct' when 'contextual' then 'contextual_rag' when 'complex' then 'react_rag' else 'rag_once' end as strategy, complexity, case complexity when 'complex' then 16 when 'simple_knowledge' then 6 else -1 end as top_k, case complexity when 'complex' then 4 when 'simple_knowledge' then 1 else -1 end as top_docs from m""")
-def exp17(t):
-    rows = t("questions").withColumn("r", ro.route_questions(F.col("question"), F.col("has_images")))
-    plan = ro.plan_retrieval(F.col("question"), F.col("r.route"), F.col("r.reason"), F.col("has_images"), F.col("has_context"), F.col("context_action"))
-    return rows.select("id", plan.alias("p")).select("id", "p.*")
-
-
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')"
 
 

@@ -37,12 +37,20 @@ from conversations
     "questions": """
 select conv_id * 1000 + turn as id, (conv_id + turn) % 29 = 3 as has_images, turn % 4 = 1 as has_context,
   case turn % 3 when 0 then 'switch' else 'continue' end as context_action,
-  case (conv_id * 5 + turn) % 23 when 0 then '知识库里有多少篇文档？' when 1 then '你好呀！' when 2 then '这个回答对吗？' when 3 then '请重新回答我的问题'
+  case (conv_id * 5 + turn) % 29 when 0 then '知识库里有多少篇文档？' when 1 then '你好呀！' when 2 then '这个回答对吗？' when 3 then '请重新回答我的问题'
        when 4 then '为什么两次回答不一样' when 5 then '你的回答不对' when 6 then '你们的设备故障太多了，无语' when 7 then '你们的设备质量怎么样'
        when 8 then '查一下今天的天气' when 9 then '上面这个问题怎么解决' when 10 then '怎么办' when 11 then 'AX-7 报警的处理'
        when 12 then '   ' when 13 then 'hello' when 14 then '结合日志和曲线，综合分析 Q30 下降的根因' when 15 then 'error 42 设备老是坏' when 16 then '重新检查答案的依据'
-       when 17 then '再详细说一下刚才的步骤' when 18 then '真的吗' when 19 then '我要投诉' when 20 then concat('继续 ', text) else text end as question
+       when 17 then '再详细说一下刚才的步骤' when 18 then '真的吗' when 19 then '我要投诉' when 20 then concat('继续 ', text)
+       when 21 then concat('　', chr(9), '你好', chr(10)) when 22 then concat('设备　K50 问题', chr(160), '很多！。') when 23 then '请用测序仪Q30异常太多了' when 24 then '先看报表，　再对比两次的曲线'
+       when 25 then '资料库里目前一共有多少？' when 26 then '查询一下最近的天气' when 27 then null else text end as question
 from conversations
+""",
+    "headings": """
+select doc_id, k as line_no, case (doc_id + k) % 13 when 0 then concat('## ', w) when 1 then concat('1.2.3 ', w) when 2 then concat('4．5、', w) when 3 then concat('三、', w)
+       when 4 then concat('十二．', w) when 5 then concat('二十、', w) when 6 then concat('九十九 ', w) when 7 then concat('1.1.1.1.1.1.1.1 ', w) when 8 then concat('#######', w)
+       when 9 then concat('　5　', w) when 10 then concat('一二、', w) when 11 then concat('3x ', w) else w end as heading
+from (select doc_id, k, substring(coalesce(text, ''), k * 40 + 1, 30) as w from documents cross join (select 0 as k union all select 1 union all select 2) t) x
 """,
     "usage_log": """
 select event_id as id, user_id,
