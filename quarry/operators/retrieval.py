@@ -2,70 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import normalise_term
 
-QUERY_BLOCK, PROBE_QUERIES = 2048, 200
-KEY = ["library_type", "doc_id"]
-
-
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each key with their rank; Spark cuts each partition before the shuffle."""
-    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
+from .vectors import ann, inner, knn, top_per_key
 
-
-def knn(queries: DataFrame, chunks: DataFrame, k: int, *, allow: DataFrame | None = None, on: list[str] | None = None, query_id: str = "query_id", chunk_id: str = "chunk_pk", vector: str = "embedding") -> DataFrame:
-    """Exact top ``k`` chunks of every query (VEC-1): query_id, the chunk's columns, score, rank.
-
-    Queries go out in blocks of bounded size. A task multiplies its chunks with a block and
-    keeps each query's best ``k`` before anything is shuffled. ``allow`` restricts chunks by
-    a semi join on ``on``. Ties go to the smaller chunk id.
-    """
-    spark = chunks.sparkSession
-    if allow is not None:
-        chunks = chunks.join(allow.select(*on).distinct(), on, "left_semi")
-    rest = [c for c in chunks.columns if c != vector]
-    base = chunks.select(*rest, F.col(vector).cast("array<double>").alias("vector_"))
-    out = base.drop("vector_").withColumn(query_id, F.lit(None).cast(queries.schema[query_id].dataType)).withColumn("score", F.lit(0.0))
-    names = out.columns
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).select(query_id, F.col(vector).cast("array<double>")).collect()
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows])))
-
-        def run(batches, sent=sent):
-            ids, matrix = sent.value
-            for batch in batches:
-                at = batch.schema.get_field_index("vector_")
-                if not batch.num_rows:
-                    continue
-                vectors = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                score = matrix @ vectors.T
-                tie = np.array(batch.column(chunk_id).to_pylist())
-                q, c = [], []
-                for i in range(len(ids)):
-                    s = score[i]
-                    near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                    near = near[np.lexsort((tie[near], -s[near]))][:k]
-                    q += [i] * len(near)
-                    c.append(near)
-                c = np.concatenate(c)
-                columns = [x.take(pa.array(c)) for j, x in enumerate(batch.columns) if j != at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([ids[i] for i in q]), pa.array(score[q, c])], names)
-
-        part = base.mapInArrow(run, out.schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = out.limit(0)
-    return top_per_key(found, [query_id], [F.desc("score"), F.asc(chunk_id)], k)
+__all__ = ["ann", "inner", "knn", "top_per_key"]
+KEY = ["library_type", "doc_id"]
 
 
 def knn_threshold(queries: DataFrame, chunks: DataFrame, k: int, min_score: float, **options) -> DataFrame:
@@ -73,49 +19,6 @@ def knn_threshold(queries: DataFrame, chunks: DataFrame, k: int, min_score: floa
     return knn(queries, chunks, k, **options).filter(F.col("score") >= min_score)
 
 
-def ann(
-    queries: DataFrame, chunks: DataFrame, k: int, *, cells: int = 128, probes: int | None = None, recall: float = 0.95, train_rows: int = 50_000, cell_rows: int = 40, seed: int = 2,
-    query_id: str = "query_id", chunk_id: str = "chunk_pk", vector: str = "embedding",
-) -> DataFrame:
-    """VEC-2: inverted lists. Cells are k-means centres of a bounded sample; every chunk is indexed; a query probes its nearest cells.
-
-    Without ``probes``, so many cells are probed as hold ``recall`` of the nearest ``k`` within
-    the sample, of up to ``PROBE_QUERIES`` of its rows. A small index has fewer cells, so that
-    one holds ``cell_rows`` chunks on average.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df: df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    sample = chunks.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(chunk_id), chunk_id).limit(train_rows)
-    drawn = np.array([r[0] for r in sample.select(F.col(vector).cast("array<float>")).collect()], np.float32)
-    if not len(drawn):
-        return top_per_key(queries.select(query_id).crossJoin(chunks.drop(vector)).withColumn("score", F.lit(0.0)).limit(0), [query_id], [F.asc(chunk_id)], k)
-    model = KMeans(k=max(2, min(cells, len(drawn) // cell_rows)), seed=seed, maxIter=10).fit(unit(sample))
-    found = np.array(model.clusterCenters(), np.float32)
-    probes = probes or _probes_for(drawn, found, k, recall)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in found])
-    indexed = model.transform(unit(chunks)).withColumnRenamed("prediction", "cell").drop("features")
-    near = F.transform(centres, lambda c, i: F.struct((-inner(c, F.col(vector).cast("array<double>"))).alias("d"), i.alias("cell")))
-    probed = queries.select(query_id, F.col(vector).alias("query_vector_"), F.explode(F.slice(F.array_sort(near), 1, probes)["cell"]).alias("cell"))
-    scored = indexed.join(probed, "cell").withColumn("score", inner(F.col(vector).cast("array<double>"), F.col("query_vector_").cast("array<double>")))
-    return top_per_key(scored.drop("query_vector_", vector, "cell"), [query_id], [F.desc("score"), F.asc(chunk_id)], k)
-
-
-def _probes_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
-    """Cells, in the order in which a query probes them, that hold a share ``recall`` of the nearest rows of some of the sample's rows."""
-    asked = sample[:PROBE_QUERIES]
-    own = ((sample[:, None, :] - centres[None]) ** 2).sum(2).argmin(1) if len(sample) * centres.size < 1 << 24 else np.concatenate([((x[:, None, :] - centres[None]) ** 2).sum(2).argmin(1) for x in np.array_split(sample, 1 + len(sample) * centres.size >> 24)])
-    nearest = np.argsort(-(asked @ sample.T), axis=1)[:, : k + 1]
-    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
-    ranks = np.sort(np.take_along_axis(place, own[nearest], axis=1).ravel())
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
-
-
-def inner(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def merge_candidates(df: DataFrame, keys: list[str]) -> DataFrame:
     """VEC-4: one row per key, the one with the greatest score (ties: smallest chunk id)."""
     best = F.struct(F.col("score"), -F.col("chunk_pk"))
