@@ -11,6 +11,7 @@ deferred, the table stays full and 12-bit codes are read on, array by array.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 
@@ -208,12 +209,14 @@ def _bins(colours: np.ndarray) -> np.ndarray:
     return top[:, 0].astype(np.int64) << 4 | top[:, 1] << 2 | top[:, 2]
 
 
-def frames(media: bytes, canvases: bool = False, most_pixels: int = MOST_PIXELS):
+def frames(media: bytes, canvases: bool = False, most_pixels: float | None = None):
     """Yield frames as dicts, with the composed RGB canvas where ``canvases`` asks; ValueError on a bad file.
 
-    The canvas, and all frames together, may hold ``most_pixels`` pixels; a header that
-    claims more is a fault, reported before anything is allocated.
+    The canvas, and all frames together, may hold ``most_pixels`` pixels (``MOST_PIXELS``
+    unless given); a header that claims more is a fault, reported before anything is
+    allocated. Files of one's own making are as large as their texts and need no bound.
     """
+    most_pixels = MOST_PIXELS if most_pixels is None else most_pixels
     read = _Reader(media)
     if read.take(6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
@@ -329,7 +332,7 @@ def _digest(batches):
     for batch in slices(batches):
         out = {name: [] for name in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "histogram")}
         for media in batch.column("media").to_pylist():
-            found = list(frames(media))
+            found = list(frames(media, most_pixels=math.inf))
             payload = b"".join(f["pixels"] for f in found)
             histogram = np.sum([f["histogram"] for f in found], axis=0)
             row = (
