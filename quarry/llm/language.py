@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialise, slices, text_bytes
 
 BINS, EFFECTIVE, SMOOTH, PRIOR, FLOOR, BROADCAST_HOSTS, MOST_LANGS, SALTS = 1 << 14, 60.0, 0.5, 8.0, 1e-4, 100_000, 500, 16
+OTHERS = "other languages"
 _ODD = np.uint32(0x9E3779B1)
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -42,14 +43,20 @@ def _count(batches):
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bin": pa.array(at), "n": pa.array(counts[at])})
 
 
-def text_model(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their log trigram probabilities, from all documents that name a language."""
+def text_model(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most_langs: int = MOST_LANGS) -> tuple[list[str], np.ndarray]:
+    """Languages and their log trigram probabilities, from all documents that name a language.
+
+    Each label is a language of its own. Past ``most_langs`` labels those with the fewest
+    documents (ties: the last in order) are one language, ``OTHERS``, with all their texts.
+    """
     bound_batches(docs.sparkSession)
     raw = docs.select(F.lower(F.trim(F.col(lang_col))).alias("lang"), text_bytes(text_col).alias("raw")).filter("lang <> ''")
+    rows = raw.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs + 1).collect()
+    if len(rows) > most_langs:
+        own = [r["lang"] for r in rows[: most_langs - 1]]
+        raw = raw.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(OTHERS))
     rows = raw.mapInArrow(_count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"{len(langs)} different languages: a label column of languages has {MOST_LANGS} at most")
     counts = np.full((len(langs), BINS), SMOOTH)
     counts[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), rows["bin"].to_numpy(int)] += rows["n"].to_numpy()
     return langs, np.log(counts / counts.sum(1, keepdims=True))
@@ -98,17 +105,17 @@ def _posterior(model):
     return run
 
 
-def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang", most_langs: int = MOST_LANGS) -> DataFrame:
     """One row per page row: id, lang, probability, text_lang, text_probability, declared, host.
 
     A null or wordless page has a uniform text likelihood and goes by declaration and host; a
     null or odd address has the empty host. Ties go to the first language in order. Without
     labelled documents there are no languages and the result's lang is null. Repeated rows
-    each get their row and weigh on their host; other columns are ignored. Over
-    ``MOST_LANGS`` different labels are an error.
+    each get their row and weigh on their host; other columns are ignored. Labels past
+    ``most_langs`` are one language (``text_model``).
     """
     spark = pages.sparkSession
-    langs, logs = text_model(docs, text_col=text_col, lang_col=lang_col)
+    langs, logs = text_model(docs, text_col=text_col, lang_col=lang_col, most_langs=most_langs)
     html, url = F.coalesce(F.col(html_col), F.lit("")), F.coalesce(F.col(url_col), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), declared(html).alias("declared"), text_bytes(visible_text(html)).alias("raw"))
     if not langs:
