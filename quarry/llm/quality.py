@@ -142,11 +142,11 @@ def with_score(docs: DataFrame, model: Discriminant | None, name: str, *, text_c
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row.
 
-    Rows whose crc32 fold of five is 0 are held out and never give a label. Null texts
+    Rows whose crc32 fold of five is 0 are held out and never give a label; a row without an id is neither. Null texts
     score as empty ones; repeated rows get equal scores; with too few labels all score 0.5.
     """
     scored = with_score(docs.select("doc_id", "text"), fit(docs, labels), "score")
-    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, cut: float = CUT) -> DataFrame:

@@ -512,6 +512,31 @@ def test_language_of_odd_tables(spark):
     rows = language.identify(pages, docs).collect()
     assert sorted(r.page_id for r in rows) == [1, 1, 2, 3] and {r.page_id: r.lang for r in rows}[2] == "de"
     assert language.identify(pages.limit(0), docs).count() == 0
-    many = spark.range(language.MOST_LANGS + 1).select(F.lit("a b c").alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"))
-    with pytest.raises(ValueError, match="languages"):
-        language.identify(pages, many)
+    many = docs.filter("lang is not null").unionByName(spark.createDataFrame([(i, "le chat", "fr") for i in range(3)] + [(9, "il gatto", "it")], docs.schema))
+    langs, logs = language.text_model(many, most_langs=3)
+    assert langs == ["en", "fr", language.OTHERS] or langs == sorted(["de", "fr", language.OTHERS])
+    whole = language.text_model(many.withColumn("lang", F.when(F.col("lang") == langs[0], langs[0]).when(F.col("lang") == "fr", "fr").otherwise(language.OTHERS)))
+    assert whole[0] == langs and (whole[1] == logs).all()
+    assert {r.lang for r in language.identify(pages, many, most_langs=3).collect()} <= set(langs)
+
+
+def test_own_gifs_have_no_bound(monkeypatch):
+    """A text whose frames pass the bound for foreign files is still read back whole."""
+    import pyarrow as pa
+
+    text = b"abc " * 5000
+    monkeypatch.setattr(gif, "MOST_PIXELS", 1000)
+    media = gif.encode(text + b" " * (-len(text) % 192))
+    with pytest.raises(ValueError, match="too large"):
+        list(gif.frames(media))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "n_bytes": [len(text)], "media": [media]})
+    (out,) = gif._digest(iter([batch]))
+    payload = text + b" " * (-len(text) % 192)
+    assert out.to_pylist()[0]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and out.to_pylist()[0]["payload_bytes"] == len(payload)
+
+
+def test_rows_without_an_id_are_not_held_out(spark):
+    docs = spark.createDataFrame([(None, "a text of some words"), (1, "another")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for report in (quality.report, toxicity.report):
+        assert {r.doc_id: r.held_out for r in report(docs, none).collect()}[None] is False
