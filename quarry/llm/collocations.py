@@ -28,7 +28,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words with ids of their own, broadcast: the most frequent. Phrases with others that reach the threshold are counted as text.
 TABLE = 1 << 19
 #: Bits of a bitmap at most (16 MB); occurrences a slice of the filters has at most, on average; n-grams a task counts before it sends a filter.
-MOST_BITS, SLICE, HELD = 1 << 27, 1 << 22, 1 << 22
+MOST_BITS, SLICE, HELD = 1 << 27, 1 << 22, 1 << 21
 _MARKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * 10)
 _CUT = b"\xff"  # in no UTF-8 text
 
@@ -57,7 +57,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 held.setdefault(lang, Counter()).update(tokens(text))
-            if sum(map(len, held.values())) > 500_000:
+            if sum(map(len, held.values())) > 250_000:
                 yield from send()
         yield from send()
 
