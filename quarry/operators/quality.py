@@ -127,7 +127,7 @@ def stale_links(sources: DataFrame, docs: DataFrame) -> DataFrame:
 
 def index_backlog(versions: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """QLT-13: served versions whose index is missing, of live documents, the first ``n``."""
-    want = versions.filter("workflow_status = 'published' and validity_status = 'active' and index_status in ('pending', 'failed')")
+    want = versions.filter("workflow_status = 'published' and validity_status in ('active', 'legacy_active') and index_status in ('pending', 'failed')")
     return want.join(docs.select("document_id"), "document_id", "left_semi").orderBy("version_id").limit(n)
 
 

@@ -91,7 +91,7 @@ def qlt12(t):
     return ql.stale_links(t("source_files").withColumn("doc_id", F.col("id")), t("documents").select((F.col("doc_id") * 3).alias("doc_id"))).select("id")
 
 
-@query("qlt13_backlog", "select version_id from {versions} where workflow_status = 'published' and validity_status = 'active' and index_status in ('pending', 'failed') and document_id in (select c_custkey from customer where c_custkey % 7 <> 0) order by version_id limit 20")
+@query("qlt13_backlog", "select version_id from {versions} where workflow_status = 'published' and validity_status in ('active', 'legacy_active') and index_status in ('pending', 'failed') and document_id in (select c_custkey from customer where c_custkey % 7 <> 0) order by version_id limit 20")
 def qlt13(t):
     return ql.index_backlog(t("versions"), live_docs(t), 20).select("version_id")
 

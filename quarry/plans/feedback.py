@@ -153,11 +153,13 @@ s as (select feedback_id, user_id, document_id, conversation_id, low, patch_type
   'conversation:' || left(sha1('{{"query": "' || low || '", "scope": "conversation", "values": {{"conversation_id": ' || conversation_id::varchar || '}}}}'), 24) as signature from p2)"""
 
 
-def patches(t):
-    f = feedback_sec(t)
+def patch_users(t):
     good = F.col("verification_result") == "support"
-    known = f.filter("user_id % 2 = 0").groupBy("user_id").agg(F.avg(F.when(good, 1.0).otherwise(0.0)).alias("reliability"), F.count_if(good).alias("verified"))
-    return fb.make_patches(f, known)
+    return t("feedback").filter("user_id % 2 = 0").groupBy("user_id").agg(F.avg(F.when(good, 1.0).otherwise(0.0)).alias("reliability"), F.count_if(good).alias("verified"))
+
+
+def patches(t):
+    return fb.make_patches(feedback_sec(t), patch_users(t))
 
 
 @query("fb09_patches", f"with {PATCH} select feedback_id, patch_type, sign, round(weight, 6) as weight, status, expires_sec, signature from s")

@@ -122,9 +122,10 @@ from orders
 select o_orderkey as version_id, o_custkey as document_id,
   case o_orderstatus when 'F' then 'published' when 'O' then 'draft' else 'superseded' end
     as workflow_status,
-  case when o_orderstatus = 'F' and o_orderkey % 6 <> 0 then 'active' else 'inactive' end
+  case when o_orderstatus = 'F' and o_orderkey % 6 <> 0 then 'active'
+       when o_orderstatus = 'F' and o_orderkey % 12 = 0 then 'legacy_active' else 'inactive' end
     as validity_status,
-  case when o_orderkey % 9 = 0 then 'failed' else 'indexed' end as index_status,
+  case when o_orderkey % 9 = 0 then 'failed' when o_orderkey % 9 = 3 then 'pending' else 'indexed' end as index_status,
   case when o_orderkey % 5 = 0 then null else o_orderpriority end as hardware_version,
   case when o_orderkey % 4 = 0 then null else o_orderkey % 3 end as machine_model_id,
   o_orderdate as effective_from,
