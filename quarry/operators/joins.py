@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,25 +35,66 @@ def searchable(docs: DataFrame, versions: DataFrame, served: DataFrame) -> DataF
     return free.unionByName(docs.join(served.select("document_id", "version_id"), "document_id"))
 
 
+#: Days from ``DAY_ZERO`` that intervals are compared by, as a power of two; what lies beyond counts as the first or last day.
+DAY_BITS, DAY_ZERO = 17, "1850-01-01"
+
+
+def _day(column: Column, missing: int) -> Column:
+    day = F.datediff(column, F.lit(DAY_ZERO).cast("date"))
+    return F.when(column.isNull(), missing).otherwise(F.greatest(F.lit(0), F.least(day, F.lit((1 << DAY_BITS) - 1))))
+
+
+def _cover(start: Column, end: Column) -> Column:
+    """The largest aligned blocks (level, index) that make up the days from ``start`` to before ``end``: two a level at most."""
+
+    def at(n: int):
+        size, level = 1 << n, F.lit(n)
+        i, j = F.ceil(start / size).cast("int"), (F.floor(end / size) - 1).cast("int")
+        left = ((i + 1) * size <= end) & ((i % 2 == 1) | ((i + 2) * size > end))
+        right = (j * size >= start) & ((j % 2 == 0) | ((j - 1) * size < start)) & (i != j)
+        return F.array(F.when(left, F.struct(level.alias("level"), i.alias("index"))), F.when(right, F.struct(level.alias("level"), j.alias("index"))))
+
+    return F.array_compact(F.flatten(F.array(*[at(n) for n in range(DAY_BITS + 1)])))
+
+
+def _blocks_of(day: Column) -> Column:
+    """The aligned block of each level that holds the day."""
+    return F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(day, n).alias("index")) for n in range(DAY_BITS + 1)])
+
+
+def overlapping_pairs(scopes: DataFrame, keys: list[str], wild: list[str] = (), *, row_id: str = "version_id", start: str = "effective_from", end: str = "effective_to") -> DataFrame:
+    """(left_id, right_id) of rows with equal ``keys`` (null equals null), no different value in ``wild`` columns where both are set, and overlapping ranges.
+
+    Of two ranges that overlap, the later start lies in the other range. A range is cut into
+    the largest aligned blocks of days, a start is looked up in the block of each level that
+    holds it: one block is common where the day is in the range, and none otherwise. So the
+    join brings only pairs that belong together (up to the time of day), and no key compares
+    all its rows. A wildcard row has a key for each set of columns that a partner may have
+    set. A missing start or end is open; equal rows pair once, under the smaller id first.
+    """
+    mask = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(wild)), F.lit(0))
+    rows = scopes.select(F.col(row_id).alias("id"), F.struct(*[F.col(k) for k in keys]).alias("key"), F.array(*[F.col(c).cast("string") for c in wild]).cast("array<string>").alias("wild"), mask.alias("mask"), F.col(start).alias("s"), F.col(end).alias("e"))
+    rows = rows.withColumns({"from": _day(F.col("s"), 0), "to": _day(F.col("e"), (1 << DAY_BITS) - 1) + 1})
+    seen = [r[0] for r in rows.select("mask").distinct().collect()] if wild else [0]  # 2 to the number of wild columns at most
+    both = lambda own, other: F.transform(own, lambda x, i: F.when(F.call_function("shiftright", F.col("mask").bitwiseAND(other), i) % 2 == 1, x))
+    partner = rows.withColumn("other", F.explode(F.array(*[F.lit(m) for m in seen]))).withColumn("shared", F.array_join(both(F.col("wild"), F.col("other")), "\x01", "\x00"))
+    held = partner.select(F.col("id").alias("a"), "key", F.col("mask").alias("m"), F.col("other").alias("n"), "shared", F.col("s").alias("s1"), F.col("e").alias("e1"), F.explode(_cover(F.col("from"), F.col("to"))).alias("block"))
+    points = partner.select(F.col("id").alias("b"), "key", F.col("other").alias("m"), F.col("mask").alias("n"), "shared", F.col("s").alias("s2"), F.col("e").alias("e2"), F.explode(_blocks_of(F.col("from"))).alias("block"))
+    pairs = held.join(points, ["key", "m", "n", "shared", "block"])
+    first = (F.col("s1").isNull() & F.col("s2").isNotNull()) | F.coalesce(F.col("s1") < F.col("s2"), F.lit(False)) | (F.col("s1").eqNullSafe(F.col("s2")) & (F.col("a") < F.col("b")))
+    before = lambda s, e: F.coalesce(F.col(s) < F.col(e), F.lit(True))
+    pairs = pairs.filter(first & before("s1", "e2") & before("s2", "e1"))
+    return pairs.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
+
+
 def validity_conflicts(scopes: DataFrame, keys: list[str]) -> DataFrame:
-    """JN-5: pairs of scopes with equal keys (null equals null) whose validity overlaps; a missing end is open."""
-    a, b = scopes.alias("a"), scopes.alias("b")
-    on = F.col("a.version_id") < F.col("b.version_id")
-    for k in keys:
-        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    open_ = lambda s, e: F.col(f"{e}.effective_to").isNull() | (F.col(f"{s}.effective_from") < F.col(f"{e}.effective_to"))
-    return a.join(b, on & open_("a", "b") & open_("b", "a")).select(F.col("a.version_id").alias("left_id"), F.col("b.version_id").alias("right_id"))
+    """JN-5: pairs of scopes with equal keys (null equals null) whose validity overlaps; a missing start or end is open."""
+    return overlapping_pairs(scopes, keys)
 
 
 def scope_overlaps(scopes: DataFrame, key: str, wild: list[str]) -> DataFrame:
     """JN-6: pairs of one document whose wildcard columns do not differ where both are set, and whose ranges overlap."""
-    a, b = scopes.alias("a"), scopes.alias("b")
-    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.version_id") < F.col("b.version_id"))
-    for k in wild:
-        on = on & (F.col(f"a.{k}").isNull() | F.col(f"b.{k}").isNull() | (F.col(f"a.{k}") == F.col(f"b.{k}")))
-    for s, e in (("a", "b"), ("b", "a")):
-        on = on & (F.col(f"{e}.effective_to").isNull() | (F.col(f"{s}.effective_from") < F.col(f"{e}.effective_to")))
-    return a.join(b, on).select(F.col("a.version_id").alias("left_id"), F.col("b.version_id").alias("right_id"))
+    return overlapping_pairs(scopes.filter(F.col(key).isNotNull()), [key], wild)
 
 
 def coexistence_violations(versions: DataFrame) -> DataFrame:

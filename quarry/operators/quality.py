@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,19 +23,73 @@ def mask_text(column: Column, terms: dict[str, str]) -> Column:
     return column
 
 
+def _masked(value, rules: list[tuple], skip: set[str]):
+    """A parsed JSON value with its texts masked at any depth; what lies under a skipped key stays."""
+    if isinstance(value, str):
+        for pattern, mask in rules:
+            value = pattern.sub(lambda _, mask=mask: mask, value)
+        return value
+    if isinstance(value, list):
+        return [_masked(x, rules, skip) for x in value]
+    if isinstance(value, dict):
+        return {k: x if k in skip else _masked(x, rules, skip) for k, x in value.items()}
+    return value
+
+
 def mask_json(column: Column, terms: dict[str, str], skip: list[str]) -> Column:
-    """QLT-2: the string values of a flat JSON object masked, some keys left alone; other text stays as it is."""
-    parsed = F.from_json(column, "map<string,string>")
-    masked = F.map_from_entries(F.transform(F.map_entries(parsed), lambda e: F.struct(e["key"].alias("key"), F.when(e["key"].isin(skip), e["value"]).otherwise(mask_text(e["value"], terms)).alias("value"))))
-    return F.when(parsed.isNull(), column).otherwise(F.to_json(masked))
+    """QLT-2: the texts in a JSON object or list masked as ``mask_text`` does, at any depth; numbers, nesting and what skipped keys hold stay.
+
+    A value of unknown shape has no schema, so this runs in Arrow batches of Python. The result
+    is written with a blank after commas and colons, other scripts as they are. Text that is
+    no JSON object or list stays as it is, and so do null and values nested too deeply to be read.
+    """
+    rules = [(re.compile(re.escape(t), re.IGNORECASE if re.search("[A-Za-z]", t) else 0), terms[t]) for t in sorted(terms, key=lambda t: (-len(t), t))]
+    left = set(skip)
+
+    def one(text):
+        if text is None or not text.strip().startswith(("[", "{")):
+            return text
+        try:
+            return json.dumps(_masked(json.loads(text), rules, left), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return text
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
 
+    return run(column)
 
-def assign_tags(files: DataFrame, tags: DataFrame, *, most_tags: int = 100_000) -> DataFrame:
-    """QLT-3: the tags whose name stands alone in a file's name; the tag list is a checked, bounded rule set."""
-    if tags.limit(most_tags + 1).count() > most_tags:
-        raise ValueError("too many tags for one rule set")
-    hit = files.join(F.broadcast(tags), alias_match(F.col("file_name"), F.col("name")))
-    return hit.groupBy("file_id").agg(F.array_sort(F.collect_set("tag_id")).alias("tag_ids"))
+
+#: A file name that begins with a short model number.
+SHORT_MODEL = r"(?i)\A\(\s*([^()]+?)\s*-\s*TS相关\s*-\s*NCMR\s*报告"
+
+
+def assign_tags(files: DataFrame, tags: DataFrame, *, aliases: str | None = None, short_model: str = SHORT_MODEL) -> DataFrame:
+    """QLT-3: tags (tag_id, name, and a column of other names) of files (file_id, file_name).
+
+    A tag is a file's where one of its names stands alone in the file's name (``alias_match``).
+    Where none does, the short model number in front (group 1 of ``short_model``) gives the tags
+    of which a name ends in it after its last hyphen. A name meets only files that have one of
+    its words, the one that the fewest names have; names without Latin letters and digits meet
+    files with their first character. Files without tags have no row.
+    """
+    given = F.array("name") if aliases is None else F.array_union(F.array("name"), F.coalesce(F.col(aliases), F.array().cast("array<string>")))
+    names = tags.select("tag_id", F.explode(given).alias("alias")).select("tag_id", F.trim("alias").alias("alias")).filter("alias <> ''").distinct()
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9+]+)"), F.lit(1)))
+    words = names.select("alias", "tag_id", F.explode_outer(runs("alias")).alias("word"))
+    often = words.filter("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    rare = words.join(often, "word", "left").groupBy("tag_id", "alias").agg(F.min_by("word", F.struct("often", -F.length("word"), "word")).alias("word"))
+    keyed = rare.select("tag_id", "alias", F.coalesce("word", F.left(F.lower("alias"), F.lit(1))).alias("key"))
+    stem = F.substring_index(F.translate("file_name", "\\", "/"), "/", -1)
+    files = files.select("file_id", F.regexp_replace(stem, r"(?s)(.)\.[^.]*\z", "$1").alias("file_name"))
+    low = F.lower("file_name")
+    others = F.array_distinct(F.split(F.regexp_replace(low, "[a-z0-9+]", ""), ""))
+    asked = files.select("file_id", "file_name", F.explode(F.array_union(runs("file_name"), others)).alias("key")).filter("key <> ''")
+    hit = asked.join(keyed, "key").filter(alias_match(F.col("file_name"), F.col("alias"))).select("file_id", "tag_id")
+    model = files.select("file_id", F.lower(F.regexp_extract("file_name", short_model, 1)).alias("model")).filter("model <> ''").join(hit.select("file_id").distinct(), "file_id", "left_anti")
+    short = model.join(names.select("tag_id", F.lower(F.substring_index("alias", "-", -1)).alias("model")), "model").select("file_id", "tag_id")
+    return hit.unionByName(short).groupBy("file_id").agg(F.array_sort(F.collect_set("tag_id")).alias("tag_ids"))
 
 
 def tag_conflicts(tags: DataFrame) -> DataFrame:
@@ -59,13 +117,26 @@ def drop_repeated_images(images: DataFrame, least: int, area: float) -> DataFram
     return images.filter(F.col("area") > area).unionByName(images.filter(F.col("area") <= area).join(common, ["doc_id", "sha1"], "left_anti"))
 
 
-def match_signatures(images: DataFrame, refs: DataFrame, most: int = 6, aspect: float = 0.30, *, most_refs: int = 10_000) -> DataFrame:
-    """QLT-7: the nearest reference within a Hamming distance and an aspect ratio; references are a bounded, checked set."""
-    if refs.limit(most_refs + 1).count() > most_refs:
-        raise ValueError("too many reference signatures")
+def match_signatures(images: DataFrame, refs: DataFrame, most: int = 6, aspect: float = 0.30) -> DataFrame:
+    """QLT-7: image_id, ref_id and distance of the nearest reference within ``most`` different bits of 64 and an aspect's log ratio of ``aspect``.
+
+    The bits are cut into ``most`` + 1 bands: two signatures that differ in ``most`` bits agree in
+    one band, so they are joined on band and aspect range, and compared in full. Equal images
+    are looked up once. Ties go to the smaller reference; images without signature or with an
+    aspect of 0 or less match nothing.
+    """
+    bands = most + 1
+    edges = [64 * i // bands for i in range(bands + 1)]
+    band = lambda s: F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(s, a).bitwiseAND((1 << b - a) - 1).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+    step = F.floor(F.log("aspect") / aspect)
+    good = images.filter("signature is not null and aspect > 0")
+    asked = good.select(F.col("signature").cast("bigint").alias("signature"), F.col("aspect").cast("double").alias("aspect")).distinct().withColumns({"step": step, "key": F.explode(band(F.col("signature")))})
+    known = refs.select("ref_id", F.col("ref_signature").cast("bigint").alias("ref_signature"), F.col("ref_aspect").cast("double").alias("aspect")).filter("ref_signature is not null and aspect > 0")
+    known = known.withColumn("step", F.explode(F.array(step - 1, step, step + 1))).withColumnRenamed("aspect", "ref_aspect").withColumn("key", F.explode(band(F.col("ref_signature"))))
     distance = F.bit_count(F.col("signature").bitwiseXOR(F.col("ref_signature")))
-    near = images.join(F.broadcast(refs), (distance <= most) & (F.abs(F.log(F.col("aspect") / F.col("ref_aspect"))) <= aspect))
-    return near.withColumn("distance", distance).groupBy("image_id").agg(F.min(F.struct("distance", "ref_id")).alias("m")).select("image_id", "m.ref_id", "m.distance")
+    near = asked.join(known, ["step", "key"]).withColumn("distance", distance).filter((F.col("distance") <= most) & (F.abs(F.log(F.col("aspect") / F.col("ref_aspect"))) <= aspect))
+    best = near.groupBy("signature", "aspect").agg(F.min(F.struct("distance", "ref_id")).alias("m")).select(F.col("signature").alias("s_"), F.col("aspect").alias("a_"), "m.ref_id", "m.distance")
+    return good.join(best, (F.col("signature").cast("bigint") == F.col("s_")) & (F.col("aspect").cast("double") == F.col("a_"))).select("image_id", "ref_id", "distance")
 
 
 def contained_duplicates(paras: DataFrame, k: int = 8, least: int = 30) -> DataFrame:

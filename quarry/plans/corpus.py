@@ -17,15 +17,31 @@ def qlt01(t):
     return t("documents").select("doc_id", F.md5(ql.mask_text(F.col("text"), TERMS).cast("binary")).alias("masked"))
 
 
-@query("qlt02_mask_json", """select event_id, case when event_id % 10 = 0 then 'not json' else concat('{"a":"big [C]","b":"', event_type, '"}') end as masked from events""")
-def qlt02(t):
-    s = F.when(F.col("event_id") % 10 == 0, "not json").otherwise(F.concat(F.lit('{"a":"big CLICK","b":"'), "event_type", F.lit('"}')))
-    return t("events").select("event_id", ql.mask_json(s, {"click": "[C]"}, ["b"]).alias("masked"))
+#: A nested record of an event; what its SQL expects is put together by hand.
+MASKED = """case event_id % 6 when 0 then 'not json click' when 1 then concat('{"a": click', event_type) when 2 then concat('["', case when event_type = 'click' then '[C]' else event_type end, '", ["a [C]", ', cast(event_id as varchar), ']]')
+  when 3 then null when 4 then '7' else concat('{"a": {"b": ["big [C]", 7, {"keep": {"x": "click"}, "x": "[C] me", "n": ', cast(event_id as varchar), '}]}, "keep": {"y": ["click"]}, "f": 1.5, "t": true, "z": null, "设备": "[D]-', case when event_type = 'click' then '[C]' else event_type end, '"}') end"""
 
 
-@query("qlt03_assign", r"""select f.file_id, array_to_string(list_sort(list(g.tag_id)), ',') as tag_ids from {tagged_files} f join {tags} g on regexp_matches(concat(' ', f.file_name, ' '), concat('(?i)[^A-Z0-9+]', replace(g.name, '#', '\#'), '[^A-Z0-9+]')) group by 1""")
+@query("qlt02_mask_json", f"select event_id, {MASKED} as masked from events")
+def qlt02(t):
+    k, kind = F.col("event_id").cast("string"), F.col("event_type")
+    nested = F.concat(F.lit('{"a":{"b":["big CLICK",7,{"keep":{"x":"click"},"x":"Click me","n":'), k, F.lit('}]},"keep":{"y":["click"]},"f":1.5,"t":true,"z":null,"设备":"设备-'), kind, F.lit('"}'))
+    by = F.col("event_id") % 6
+    s = F.when(by == 0, "not json click").when(by == 1, F.concat(F.lit('{"a": click'), kind)).when(by == 2, F.concat(F.lit('  ["'), kind, F.lit('",["a cLick",'), k, F.lit("]]"))).when(by == 4, "7").when(by == 5, nested)
+    return t("events").select("event_id", ql.mask_json(s, {"click": "[C]", "设备": "[D]"}, ["keep"]).alias("masked"))
+
+
+@query("qlt03_assign", r"""with f as (select file_id, case file_id % 10 when 0 then concat('(', (file_id % 60)::varchar, '-TS相关-NCMR报告) ', file_id::varchar) when 1 then concat('设备 手册 ', file_name) else file_name end as file_name from {tagged_files}),
+g as (select tag_id, name as alias from {tags} union all select tag_id, concat('设备 ', case when tag_id % 2 = 0 then '手册' else '图' end) from {tags} union all select tag_id, concat('M-', tag_id::varchar) from {tags}),
+hit as (select f.file_id, g.tag_id from f join g on regexp_matches(concat(' ', f.file_name, ' '), concat('(?i)[^A-Z0-9+]', replace(g.alias, '#', '\#'), '[^A-Z0-9+]'))),
+short as (select f.file_id, g.tag_id from f join g on lower(regexp_extract(f.file_name, '^\(([A-Z0-9+]+)-TS相关-NCMR报告', 1)) = lower(split_part(g.alias, '-', -1)) where f.file_id not in (select file_id from hit))
+select file_id, array_to_string(list_sort(list_distinct(list(tag_id))), ',') as tag_ids from (select * from hit union all select * from short) group by 1""")
 def qlt03(t):
-    return ql.assign_tags(t("tagged_files"), t("tags")).select("file_id", F.array_join(F.transform("tag_ids", lambda x: x.cast("string")), ",").alias("tag_ids"))
+    k, n = F.col("file_id"), F.col("tag_id")
+    name = F.when(k % 10 == 0, F.concat(F.lit("("), (k % 60).cast("string"), F.lit("-TS相关-NCMR报告) "), k.cast("string"))).when(k % 10 == 1, F.concat(F.lit("设备 手册 "), "file_name")).otherwise(F.col("file_name"))
+    others = F.array(F.concat(F.lit("设备 "), F.when(n % 2 == 0, "手册").otherwise("图")), F.concat(F.lit("M-"), n.cast("string")))
+    tagged = ql.assign_tags(t("tagged_files").select("file_id", name.alias("file_name")), t("tags").withColumn("others", others), aliases="others")
+    return tagged.select("file_id", F.array_join(F.transform("tag_ids", lambda x: x.cast("string")), ",").alias("tag_ids"))
 
 
 @query("qlt04_conflicts", "select concat('family ', (tag_id % 5)::varchar) as alias, count(*) as n_tags from {tags} group by 1 having count(*) > 1")
@@ -47,13 +63,15 @@ def qlt06(t):
     return ql.drop_repeated_images(images, 5, 40).select("image_id")
 
 
-SIGN = "((p_partkey * 2654435761) % 4294967296)"
+SIGN = "xor((p_partkey * 2654435761) % 4294967296, case when p_partkey % 3 = 0 then (p_partkey % 8) * 576460752303423488 else 0 end)"
 
 
 @query("qlt07_signatures", f"""with i as (select p_partkey as image_id, {SIGN} as s, 1.0::double + p_size / 10.0::double as a from part where p_partkey % 20 <> 0), r as (select p_partkey as ref_id, {SIGN} as s, 1.0::double + p_size / 10.0::double as a from part where p_partkey % 20 = 0),
 m as (select image_id, ref_id, bit_count(xor(i.s, r.s))::bigint as d from i join r on bit_count(xor(i.s, r.s)) <= 6 and abs(ln(i.a / r.a)) <= 0.30) select image_id, ref_id, d as distance from (select *, row_number() over (partition by image_id order by d, ref_id) as n from m) where n = 1""")
 def qlt07(t):
-    base = t("part").select("p_partkey", ((F.col("p_partkey") * 2654435761) % 4294967296).alias("s"), (1.0 + F.col("p_size") / 10.0).alias("a"))
+    k = F.col("p_partkey")
+    high = F.when(k % 3 == 0, (k % 8) * (1 << 59)).otherwise(0)
+    base = t("part").select("p_partkey", ((k * 2654435761) % 4294967296).bitwiseXOR(high).alias("s"), (1.0 + F.col("p_size") / 10.0).alias("a"))
     images = base.filter("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("image_id"), F.col("s").alias("signature"), F.col("a").alias("aspect"))
     refs = base.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("ref_id"), F.col("s").alias("ref_signature"), F.col("a").alias("ref_aspect"))
     return ql.match_signatures(images, refs)
