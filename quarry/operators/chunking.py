@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.blanks import squeeze
 from quarry.sources.lineage import materialise
 
 
@@ -98,20 +99,13 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(doc_id, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "s"))
 
 
-def extract_tables(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
-    """CHK-5: runs of lines with bars: doc_id, table_no, first line and number of lines (gaps and islands)."""
+def table_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
+    """Runs of lines with bars: doc_id, table_no, first line and number of lines (gaps and islands)."""
     w = W.partitionBy(doc_id).orderBy("line")
     rows = lines_of(docs, doc_id, text).withColumn("bar", F.col("s").contains("|")).withColumn("run", F.sum(F.when(F.col("bar") & ~F.coalesce(F.lag("bar").over(w), F.lit(False)), 1).otherwise(0)).over(w))
     return rows.filter("bar").groupBy(doc_id, F.col("run").alias("table_no")).agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.max(F.size(F.split("s", r"\|"))).alias("n_cells")).filter(F.col("n_lines") >= least)
 
 
-def table_chunks(rows: DataFrame, header: list[str], group: int = 18) -> DataFrame:
-    """CHK-6: rows (table, n, cells) of a table as ``key: value`` texts, and groups of ``group`` rows as one chunk."""
-    named = F.zip_with(F.array(*[F.lit(h) for h in header]), "cells", lambda k, v: F.concat_ws(": ", k, v))
-    texts = rows.withColumn("t", F.array_join(named, "; ")).withColumn("g", F.floor((F.col("n") - 1) / group))
-    return texts.groupBy("table", "g").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "t")))["t"], "\n").alias("chunk"), F.count(F.lit(1)).alias("n_rows"))
-
-
 def batch_rows(rows: DataFrame, most_rows: int, most_chars: int, *, key: str = "table") -> DataFrame:
     """CHK-7: greedy batches of ordered rows (n, t) by number and characters: key, batch (from 0), first n, number of rows.
 
@@ -181,22 +175,29 @@ def tree_chunks(nodes: DataFrame) -> DataFrame:
     return leaves.unionByName(branches)
 
 
-def merge_short(sections: DataFrame, least: int = 80, *, doc_id: str = "doc_id") -> DataFrame:
-    """CHK-11: sections under ``least`` non-blank characters join the one before."""
+def merge_short(sections: DataFrame, least: int = 80, *, doc_id: str = "doc_id", title: str | None = None) -> DataFrame:
+    """CHK-11: sections under ``least`` non-blank characters and without a table join the one before; their titles, where there are any, are joined by a slash."""
     w = W.partitionBy(doc_id).orderBy("position")
-    short = F.length(F.regexp_replace("body", r"\s", "")) < least
+    short = (F.length(squeeze("body")) < least) & ~F.coalesce("body", F.lit("")).rlike(r"(?m)^[ \t]*\|.*\|[ \t]*$")
     rows = sections.withColumn("g", F.sum(F.when(short & (F.row_number().over(w) > 1), 0).otherwise(1)).over(w))
-    return rows.groupBy(doc_id, "g").agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("merged"), F.array_join(F.array_sort(F.collect_list(F.struct("position", "body")))["body"], "\n").alias("body"))
+    parts = F.array_sort(F.collect_list(F.struct("position", F.coalesce("body", F.lit("")).alias("body"), *([F.col(title).alias("title")] if title else []))))
+    named = [F.array_join(F.filter(parts["title"], lambda x: x != ""), " / ").alias("title")] if title else []
+    return rows.groupBy(doc_id, "g").agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("merged"), F.array_join(parts["body"], "\n").alias("body"), *named)
 
 
-def heading_blocks(lines: DataFrame, heading: Column, cap: int, *, doc_id: str = "doc_id") -> DataFrame:
-    """CHK-12: blocks that a heading opens, cut where they pass ``cap`` characters, with the heading carried along."""
+def heading_blocks(lines: DataFrame, heading: Column, cap: int, *, doc_id: str = "doc_id", table: Column | None = None) -> DataFrame:
+    """CHK-12: blocks that a heading opens, cut where they pass ``cap`` characters, with the last heading carried along.
+
+    A run of ``table`` lines is a block of its own, and is not cut.
+    """
     w = W.partitionBy(doc_id).orderBy("line")
-    rows = lines.withColumn("h", heading).withColumn("block", F.sum(F.col("h").cast("int")).over(w))
+    rows = lines.withColumn("h", F.coalesce(heading, F.lit(False))).withColumn("t", F.lit(False) if table is None else F.coalesce(table, F.lit(False)))
+    opens = F.col("h") | (F.col("t") != F.coalesce(F.lag("t").over(w), F.lit(False)))
+    rows = rows.withColumn("block", F.sum(F.when(opens, 1).otherwise(0)).over(w)).withColumn("title", F.last(F.when(F.col("h"), F.col("s")), ignorenulls=True).over(w))
     b = W.partitionBy(doc_id, "block").orderBy("line")
     before = F.coalesce(F.sum(F.length("s")).over(b.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("title", F.first(F.when(F.col("h"), F.col("s")), ignorenulls=True).over(b)).withColumn("part", F.floor(before / cap))
-    return rows.groupBy(doc_id, "block", "part").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.first("title").alias("title"))
+    rows = rows.withColumn("part", F.when(F.col("t"), 0).otherwise(F.floor(before / cap)))
+    return rows.groupBy(doc_id, "block", "part").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.min("title").alias("title"), F.bool_or("t").alias("is_table"))
 
 
 def fill_markers(sections: DataFrame, *, doc_id: str = "doc_id", levels: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import slots as sl
 from quarry.functions import text as tx
 from quarry.operators import chunking as ch
+from quarry.operators import tables as tb
 
 from .registry import query
 
@@ -173,20 +174,40 @@ def chk04(t):
     return ch.overlap_split(t("documents"), 1800, 180).select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk"))
 
 
-@query("chk05_tables", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
-r as (select *, contains(s, '|') as bar, lag(contains(s, '|')) over (partition by doc_id order by line) as before from l), g as (select *, sum(case when bar and not coalesce(before, false) then 1 else 0 end) over (partition by doc_id order by line) as run from r)
-select doc_id, run::bigint as table_no, min(line)::int as first_line, count(*) as n_lines, max(len(string_split(s, '|')))::int as n_cells from g where bar group by all""")
-def chk05(t):
-    return ch.extract_tables(t("documents"))
+#: Tables of the sheets, by the SQL's own rules: runs of lines between bars with a separator in second place.
+TABLES = r"""l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from {sheets}),
+b as (select *, starts_with(trim(s), '|') and ends_with(trim(s), '|') as bar from l), r as (select *, line - row_number() over (partition by doc_id order by line) as island from b where bar),
+q as (select *, row_number() over (partition by doc_id, island order by line) - 2 as row_no, first(line) over (partition by doc_id, island order by line) as start, list_transform(string_split(trim(trim(s), '|'), '|'), lambda c: trim(c)) as cells from r),
+h as (select doc_id, start, any_value(cells) filter (row_no = -1) as header, bool_or(row_no = 0 and regexp_matches(trim(s), '^\|\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$')) as ok from q group by 1, 2),
+t as (select doc_id, start, header, row_number() over (partition by doc_id order by start) as table_no from h where ok),
+body as (select t.*, q.row_no, q.cells from t left join q on q.doc_id = t.doc_id and q.start = t.start and q.row_no > 0)"""
 
 
-@query("chk06_records", """with r as (select p_brand as t, row_number() over (partition by p_brand order by p_partkey) as n, concat('name: ', p_name, '; type: ', p_type) as s from part)
-select t as "table", (n - 1) // 18 as g, md5(string_agg(s, chr(10) order by n)) as chunk, count(*) as n_rows from r group by all""")
+@query("chk05_tables", f"with {TABLES} select doc_id, table_no::int as table_no, start::int as line, array_to_string(header, '~') as header, count(row_no) as n_rows, md5(coalesce(string_agg(array_to_string(cells, '~'), '#' order by row_no), '')) as cells from body group by 1, 2, 3, 4")
+def chk05(t):
+    rows = tb.extract_tables(t("sheets"))
+    cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("row_no").isNotNull(), F.struct("row_no", "cells")))), lambda r: F.array_join(r["cells"], "~")), "#")
+    return rows.groupBy("doc_id", "table_no", "line", F.array_join("header", "~").alias("header")).agg(F.count("row_no").alias("n_rows"), F.md5(cells.cast("binary")).alias("cells"))
+
+
+@query("chk05_rest", f"""with {TABLES}, o as (select l.doc_id, l.line, case when t.start is null then l.s when l.line = t.start then concat('【表格：', array_to_string(list_filter(header, lambda c: c <> ''), ' / '), '，共', (select count(*) from q x where x.doc_id = t.doc_id and x.start = t.start and x.row_no > 0)::varchar, '行，已按表格记录单独向量化。】') end as s
+from l left join q on q.doc_id = l.doc_id and q.line = l.line left join t on t.doc_id = q.doc_id and t.start = q.start)
+select doc_id, md5(trim(coalesce(string_agg(s, chr(10) order by line) filter (trim(s) <> ''), ''))) as rest from o group by 1""")
+def chk05_rest(t):
+    return tb.without_tables(t("sheets")).select("doc_id", F.md5(F.col("rest").cast("binary")).alias("rest"))
+
+
+@query("chk06_records", f"""with {TABLES}, k as (select *, list_filter(list_distinct(list_transform(header, lambda h: regexp_replace(lower(h), '[^a-z0-9一-鿿]+', '', 'g'))), lambda x: x <> '') as ks from body where row_no is not null),
+j as (select *, len(list_filter(ks, lambda x: x in ('devicecode', 'errorcode', 'code', '错误码', '错误代码', '故障码', '报警码', 'description', 'vendorcode', 'workflowstep', 'devicename', 'position', '设备码', '设备名称', '描述', '处理方法', '原因', '解决方案'))) >= 2
+  or len(list_filter(ks, lambda x: contains(x, 'errorcode') or contains(x, '错误码'))) > 0 or (len(list_filter(ks, lambda x: contains(x, 'code') or contains(x, '码'))) > 0 and len(list_filter(ks, lambda x: contains(x, 'name') or contains(x, '名称'))) > 0) as record from k),
+rec as (select doc_id, table_no, row_no - 1 as chunk_no, row_no as a, row_no as b, start, array_to_string(list_filter(list_transform(range(1, greatest(len(header), len(cells)) + 1), lambda i: case when coalesce(cells[i], '') <> '' then concat(case when coalesce(header[i], '') = '' then concat('字段', i::varchar) else header[i] end, ': ', cells[i]) end), lambda x: x is not null), chr(10)) as text from j where record),
+g0 as (select doc_id, table_no, (row_no - 1) // 18 as chunk_no, min(row_no) as a, max(row_no) as b, any_value(start) as start, list_filter(list_concat([any_value(header)], list(cells order by row_no)), lambda r: len(list_filter(r, lambda c: c <> '')) > 0) as rows from j where not record group by 1, 2, 3),
+g1 as (select *, list_max(list_transform(rows, lambda r: len(r))) as wide from g0 where len(rows) > 0),
+grp as (select doc_id, table_no, chunk_no, a, b, start, array_to_string(list_concat(list_concat([concat('| ', array_to_string(list_resize(rows[1], wide, ''), ' | '), ' |')], [concat('| ', array_to_string(list_transform(range(0, wide), lambda i: '---'), ' | '), ' |')]), list_transform(rows[2:], lambda r: concat('| ', array_to_string(list_resize(r, wide, ''), ' | '), ' |'))), chr(10)) as text from g1)
+select doc_id, table_no::int as table_no, chunk_no::int as chunk_no, a::int as row_start, b::int as row_end, start::int as line, kind, md5(text) as text from (select *, 'record_row' as kind from rec where text <> '' union all select *, 'row_group' from grp) z""")
 def chk06(t):
-    from pyspark.sql import Window as W
-
-    rows = t("part").select(F.col("p_brand").alias("table"), F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")).alias("n"), F.array("p_name", "p_type").alias("cells"))
-    return ch.table_chunks(rows, ["name", "type"]).withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
+    chunks = tb.table_chunks(tb.extract_tables(t("sheets")))
+    return chunks.select("doc_id", "table_no", "chunk_no", "row_start", "row_end", "line", "kind", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query("chk07_batches", """with recursive r as (select p_brand as b, p_partkey as n, length(concat_ws(' ', p_name, p_type)) as c, row_number() over (partition by p_brand order by p_partkey) as i from part),
@@ -217,19 +238,24 @@ def chk10(t):
     return ch.tree_chunks(t("categories"))
 
 
-@query("chk11_short", """with s as (select *, row_number() over (partition by session_id order by message_order) as rn, length(regexp_replace(content_text, '\\s', '', 'g')) < 150 as short from {messages}),
+@query("chk11_short", """with m as (select session_id, message_order, case when id % 9 = 0 then '| a | b |' else content_text end as body, case when id % 5 = 0 then '' else concat('t', message_order::varchar) end as title from {messages}),
+s as (select *, row_number() over (partition by session_id order by message_order) as rn, length(regexp_replace(body, '\\s', '', 'g')) < 150 and body <> '| a | b |' as short from m),
 g as (select *, sum(case when short and rn > 1 then 0 else 1 end) over (partition by session_id order by message_order) as g from s)
-select session_id as doc_id, g::bigint as g, min(message_order) as position, count(*) as merged, md5(string_agg(content_text, chr(10) order by message_order)) as body from g group by all""")
+select session_id as doc_id, g::bigint as g, min(message_order) as position, count(*) as merged, md5(string_agg(body, chr(10) order by message_order)) as body, coalesce(string_agg(title, ' / ' order by message_order) filter (title <> ''), '') as title from g group by all""")
 def chk11(t):
-    sections = t("messages").select(F.col("session_id").alias("doc_id"), F.col("message_order").alias("position"), F.col("content_text").alias("body"))
-    return ch.merge_short(sections, 150).withColumn("body", F.md5(F.col("body").cast("binary")))
+    body, title = F.when(F.col("id") % 9 == 0, "| a | b |").otherwise(F.col("content_text")), F.when(F.col("id") % 5 == 0, "").otherwise(F.concat(F.lit("t"), F.col("message_order").cast("string")))
+    sections = t("messages").select(F.col("session_id").alias("doc_id"), F.col("message_order").alias("position"), body.alias("body"), title.alias("title"))
+    return ch.merge_short(sections, 150, title="title").withColumn("body", F.md5(F.col("body").cast("binary")))
 
 
-@query("chk12_blocks", """with l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
-b as (select *, sum(case when line % 4 = 0 then 1 else 0 end) over (partition by doc_id order by line) as block from l), c as (select *, coalesce(sum(length(s)) over (partition by doc_id, block order by line rows between unbounded preceding and 1 preceding), 0) as before from b)
-select doc_id, block::bigint as block, floor(before / 700)::bigint as part, min(line)::int as first_line, count(*) as n_lines from c group by all""")
+@query("chk12_blocks", """with l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from {sheets}),
+f as (select *, line % 4 = 0 and not starts_with(s, '|') as h, starts_with(s, '|') as t from l), o as (select *, h or t <> coalesce(lag(t) over (partition by doc_id order by line), false) as opens from f),
+b as (select *, sum(opens::int) over (partition by doc_id order by line) as block, last_value(case when h then s end ignore nulls) over (partition by doc_id order by line rows between unbounded preceding and current row) as title from o),
+c as (select *, case when t then 0 else floor(coalesce(sum(length(s)) over (partition by doc_id, block order by line rows between unbounded preceding and 1 preceding), 0) / 700) end as part from b)
+select doc_id, block::bigint as block, part::bigint as part, min(line)::int as first_line, count(*) as n_lines, min(title) as title, bool_or(t) as is_table from c group by 1, 2, 3""")
 def chk12(t):
-    return ch.heading_blocks(ch.lines_of(t("documents")), F.col("line") % 4 == 0, 700).drop("title")
+    bar = F.col("s").startswith("|")
+    return ch.heading_blocks(ch.lines_of(t("sheets")), (F.col("line") % 4 == 0) & ~bar, 700, table=bar)
 
 
 @query("chk13_markers", """with recursive s as (select session_id as doc_id, message_order as position, (token_count % 3 + 1)::int as level, row_number() over (partition by session_id order by message_order) as i from {messages}),

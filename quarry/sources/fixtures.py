@@ -51,6 +51,14 @@ select doc_id, k as line_no, case (doc_id + k) % 13 when 0 then concat('## ', w)
        when 4 then concat('十二．', w) when 5 then concat('二十、', w) when 6 then concat('九十九 ', w) when 7 then concat('1.1.1.1.1.1.1.1 ', w) when 8 then concat('#######', w)
        when 9 then concat('　5　', w) when 10 then concat('一二、', w) when 11 then concat('3x ', w) else w end as heading
 from (select doc_id, k, substring(coalesce(text, ''), k * 40 + 1, 30) as w from documents cross join (select 0 as k union all select 1 union all select 2) t) x
+""",
+    "sheets": """
+select doc_id, concat(substring(coalesce(text, ''), 1, 30), chr(10),
+  case doc_id % 6 when 0 then '| Error Code | Name |' when 1 then '| a | b |' when 2 then '|  | 设备名称 | 原因 |' when 3 then '| code | description' when 4 then '| 编码 | 名称 | x |' else '| only | text |' end, chr(10),
+  case doc_id % 7 when 0 then '| not | a rule |' when 1 then '|:--- | ---: |' else '| --- | --- |' end, chr(10),
+  '| ', replace(replace(replace(substring(coalesce(text, ''), 1, 2500), '|', ' '), chr(10), ' '), '. ', concat(' | ', source, ' |', chr(10), '| ')), ' | end |', chr(10), 'after', chr(10), chr(10),
+  '| k | v |', chr(10), '| --- | --- |', chr(10), case when doc_id % 4 = 0 then concat('|  |  |', chr(10), '| x | |', chr(10)) else '' end, 'last | line') as text
+from documents
 """,
     "usage_log": """
 select event_id as id, user_id,
