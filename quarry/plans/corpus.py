@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import quality as ql
+from quarry.operators import versioning as vn
 
 from .registry import query
 from .relational import TAGGED, live_docs, tagged, with_aliases
@@ -151,6 +152,88 @@ def qlt18(t):
     return plan.select("document_id", "version_id", "workflow_status", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"), F.col("effective_to").isNull().alias("open"))
 
 
+#: Sections with keys by hand: the title in small letters with dots; the place counts only where a title is missing.
+KEYED = """o as (select document_id, position, replace(lower(title), ' ', '.') as k, sha256(concat('{"title":', to_json(title), ',"text":', to_json(text), '}')) as h from {old_sections}),
+nw as (select document_id, position, case when title is null then 'section' else replace(lower(title), ' ', '.') end as k, sha256(concat('{"title":', to_json(coalesce(title, '')), ',"text":', to_json(text), '}')) as h from (select * from {new_sections} qualify row_number() over (partition by document_id, coalesce(title, '') order by position) = 1) z),
+m1 as (select o.document_id, o.position as a, n.position as b, o.k as ok, n.k as nk, o.h = n.h as same from o join nw n on n.document_id = o.document_id and n.k = o.k),
+lost as (select * from o where not exists (select 1 from nw n where n.document_id = o.document_id and n.k = o.k) ), came as (select * from nw where not exists (select 1 from o where nw.document_id = o.document_id and nw.k = o.k)),
+l1 as (select * from lost qualify count(*) over (partition by document_id, h) = 1), c1 as (select * from came qualify count(*) over (partition by document_id, h) = 1),
+m2 as (select l1.document_id, l1.position as a, c1.position as b, l1.k as ok, c1.k as nk, true as same from l1 join c1 on c1.document_id = l1.document_id and c1.h = l1.h),
+m as (select * from m1 union all select * from m2),
+up as (select document_id, a, b, 1 as n from m union all select m.document_id, m.a, m.b, up.n + 1 from up join m on m.document_id = up.document_id and m.a > up.a and m.b > up.b),
+best as (select document_id, max(n) as n from up group by 1)"""
+
+
+@query("qlt18_align", f"""with recursive {KEYED} select d.document_id, (select count(*) from m where m.document_id = d.document_id and ok = nk and same) as kept, (select count(*) from m where m.document_id = d.document_id and ok = nk and not same) as changed, (select count(*) from m where m.document_id = d.document_id and ok <> nk) as renamed,
+(select count(*) from came c where c.document_id = d.document_id and not exists (select 1 from m2 where m2.document_id = c.document_id and nk = c.k)) as added, (select count(*) from lost c where c.document_id = d.document_id and not exists (select 1 from m2 where m2.document_id = c.document_id and ok = c.k)) as removed,
+(select count(*) from m where m.document_id = d.document_id) - coalesce((select n from best where best.document_id = d.document_id), 0) as moved from (select distinct document_id from o union select document_id from nw) d""")
+def qlt18_align(t):
+    """What two versions of each document have in common, section by section; as few sections as possible count as moved."""
+    keyed = lambda df: vn.section_keys(df, key="given").withColumn("section_key", F.col("section_key"))
+    given = F.regexp_replace(F.lower(F.coalesce("title", F.lit("section"))), " ", ".")
+    out = vn.align(keyed(t("old_sections").withColumn("given", given)), keyed(t("new_sections").withColumn("given", given)))
+    counts = [F.count_if(F.col("change") == c).alias(c) for c in ("kept", "changed", "renamed", "added", "removed")]
+    return out.groupBy("document_id").agg(*counts, F.count_if("moved").alias("moved"))
+
+
+@query("qlt18_keys", r"""with s as (select version_id, row_number() over (partition by version_id order by position) as place, coalesce(title, '') as title, text from {new_sections}),
+k as (select version_id, place, concat(case when title = '' then 'section' else trim(regexp_replace(lower(title), '[^a-z0-9]+', '.', 'g'), '.') end, '.', place::varchar) as key, sha256(concat('{"title":', to_json(title), ',"text":', to_json(text), '}')) as h from s)
+select version_id, count(*) as n_sections, sha256(string_agg(h, ',' order by place)) as version_hash, md5(string_agg(key, ',' order by place)) as keys from k group by 1""")
+def qlt18_keys(t):
+    keyed = vn.section_keys(t("new_sections"))
+    keys = keyed.groupBy("version_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("position", "section_key")))["section_key"], ",").cast("binary")).alias("keys"))
+    return vn.version_hashes(keyed).join(keys, "version_id")
+
+
+#: Each document's last draft asks to be published: to replace the first served version, all, none, or one of another document, or to coexist.
+PUBLISH = """sv as (select document_id, version_id, lower(trim(coalesce(hardware_version, ''))) as hw from {versions} where workflow_status = 'published' and validity_status in ('active', 'legacy_active')),
+rq as (select document_id, max(version_id) as version_id from {versions} where workflow_status = 'draft' group by 1),
+rs as (select rq.document_id, rq.version_id, case when rq.document_id % 4 = 3 then 'coexist' else 'replace' end as mode,
+  case rq.document_id % 4 when 0 then coalesce((select [min(sv.version_id)] from sv where sv.document_id = rq.document_id having count(*) > 0), []) when 1 then coalesce((select list_sort(list(sv.version_id)) from sv where sv.document_id = rq.document_id), []) when 2 then [1::bigint] else [] end as old
+  from rq),
+jd as (select rs.*, lower(trim(coalesce(v.hardware_version, ''))) as own, v.effective_from, v.effective_to, (select count(*) from sv where sv.document_id = rs.document_id) as n_served,
+  (select count(*) from sv where sv.document_id = rs.document_id and list_contains(old, sv.version_id)) as n_hit, (select count(*) from sv where sv.document_id = rs.document_id and not list_contains(old, sv.version_id)) as n_stay,
+  (select count(*) from sv where sv.document_id = rs.document_id and not list_contains(old, sv.version_id) and hw = '') as bare, (select count(*) from sv where sv.document_id = rs.document_id and not list_contains(old, sv.version_id) and hw <> '' and hw = lower(trim(coalesce(v.hardware_version, '')))) as same
+  from rs join {versions} v on v.version_id = rs.version_id),
+ju as (select *, case when effective_from >= effective_to then 'range ends before it begins' when n_hit < len(old) then 'target is not served' when mode = 'coexist' and len(old) > 0 then 'coexistence with targets' when mode = 'replace' and n_served > 0 and len(old) = 0 then 'no target'
+  when mode = 'coexist' and own = '' then 'no hardware' when n_stay > 0 and (own = '' or bare > 0) then 'no hardware' when same > 0 then 'same hardware' end as reason from jd)"""
+
+
+def publication(t):
+    served = t("versions").filter("workflow_status = 'published' and validity_status in ('active', 'legacy_active')").groupBy("document_id").agg(F.array_sort(F.collect_list("version_id")).alias("all_"))
+    drafts = t("versions").filter("workflow_status = 'draft'").groupBy("document_id").agg(F.max("version_id").alias("version_id")).join(served, "document_id", "left")
+    by, none = F.col("document_id") % 4, F.array().cast("array<bigint>")
+    every = F.coalesce("all_", none)
+    old = F.when(by == 0, F.slice(every, 1, 1)).when(by == 1, every).when(by == 2, F.array(F.lit(1).cast("bigint"))).otherwise(none)
+    requests = drafts.select("version_id", F.when(by == 3, "coexist").otherwise("replace").alias("mode"), old.alias("supersedes"))
+    first = t("versions").groupBy("document_id").agg(F.when(F.col("document_id") % 3 != 0, F.min(F.when((F.col("workflow_status") == "published") & F.col("validity_status").isin("active", "legacy_active"), F.col("version_id")))).alias("default_version_id"))
+    return vn.publish(t("versions"), requests, first, F.lit("2001-08-02").cast("date"))
+
+
+@query("qlt18_refused", f"with {PUBLISH} select version_id, reason from ju where reason is not null")
+def qlt18_refused(t):
+    return publication(t).refused
+
+
+@query("qlt18_relations", f"""with {PUBLISH} select unnest(old) as source_version_id, version_id as target_version_id, 'supersedes' as relation_type from ju where reason is null""")
+def qlt18_relations(t):
+    return publication(t).relations
+
+
+@query("qlt18_defaults", f"""with {PUBLISH}, f as (select document_id, case when document_id % 3 <> 0 then min(version_id) filter (workflow_status = 'published' and validity_status in ('active', 'legacy_active')) end as d from {{versions}} group by 1)
+select f.document_id, coalesce(case when ju.version_id is not null and (d is null or list_contains(old, d)) then ju.version_id else d end, -1) as default_version_id from f left join ju on ju.document_id = f.document_id and reason is null""")
+def qlt18_defaults(t):
+    return publication(t).defaults.select("document_id", F.coalesce("default_version_id", F.lit(-1)).alias("default_version_id"))
+
+
+@query("qlt18_versions", f"""with {PUBLISH}, g as (select * from ju where reason is null)
+select v.version_id, case when v.version_id = g.version_id then 'published' when list_contains(old, v.version_id) then 'superseded' else workflow_status end as workflow_status, case when v.version_id = g.version_id then 'active' when list_contains(old, v.version_id) then 'superseded' else validity_status end as validity_status,
+cast(case when list_contains(old, v.version_id) then coalesce(v.effective_to, g.effective_from, date '2001-08-02') else v.effective_to end as varchar) as effective_to from {{versions}} v left join g on g.document_id = v.document_id""")
+def qlt18_versions(t):
+    after = publication(t).versions
+    return after.select("version_id", "workflow_status", "validity_status", F.col("effective_to").cast("string").alias("effective_to"))
+
+
 @query("qlt19_refile", """with r as (select o_orderkey as review_id, o_custkey as owner_id, o_orderpriority as path, case when o_orderkey % 2 = 0 then 'knowledge' else 'breakdown' end as library, case when o_orderkey % 3 = 0 then 'knowledge' else 'breakdown' end as wanted from orders),
 w as (select owner_id, path, max(review_id) as twin_id from r where library = wanted group by all) select review_id, case when twin_id is null then 'move' else 'close' end as action, coalesce(twin_id, -1) as twin_id from r left join w using (owner_id, path) where library <> wanted""")
 def qlt19(t):

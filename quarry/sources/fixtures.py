@@ -59,6 +59,16 @@ select doc_id, concat(substring(coalesce(text, ''), 1, 30), chr(10),
   '| ', replace(replace(replace(substring(coalesce(text, ''), 1, 2500), '|', ' '), chr(10), ' '), '. ', concat(' | ', source, ' |', chr(10), '| ')), ' | end |', chr(10), 'after', chr(10), chr(10),
   '| k | v |', chr(10), '| --- | --- |', chr(10), case when doc_id % 4 = 0 then concat('|  |  |', chr(10), '| x | |', chr(10)) else '' end, 'last | line') as text
 from documents
+""",
+    "old_sections": """
+select conv_id as document_id, conv_id * 2 as version_id, turn as position, concat(role, ' Part ', cast(turn as string)) as title, text from conversations
+""",
+    "new_sections": """
+select conv_id as document_id, conv_id * 2 + 1 as version_id, (turn * 5 + conv_id) % 9 as position,
+  case when (conv_id + turn) % 7 = 3 then concat('Renamed ', role) else concat(role, ' Part ', cast(turn as string)) end as title,
+  case when (conv_id + turn) % 4 = 1 then concat(text, ' edited') else text end as text, turn
+from conversations where (conv_id + turn) % 6 <> 0
+union all select conv_id, conv_id * 2 + 1, 100, null, 'added', 100 from conversations where turn = 0
 """,
     "usage_log": """
 select event_id as id, user_id,
