@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.blanks import squeeze
+from quarry.functions.blanks import squeeze, strip
 from quarry.sources.lineage import materialise
 
 
@@ -46,7 +46,7 @@ def pack_paragraphs(docs: DataFrame, budget: int, *, doc_id: str = "doc_id", tex
     Tokens are words and single marks, so counts of lines add up, and a text is packed by
     sums over its lines.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), F.trim), lambda p: p != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda p: strip(p)), lambda p: p != "")
     counted = F.transform(lines, lambda p: F.struct(p.alias("p"), words_in(p).alias("n")))
     zero = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
 

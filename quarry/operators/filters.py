@@ -48,12 +48,31 @@ def tag_keyword(docs: DataFrame, tags: DataFrame, keyword: str, doc_id: str = "d
     return docs.join(hit, doc_id, "left_semi")
 
 
-def search_documents(docs: DataFrame, users: DataFrame, keyword: str, columns: list[str]) -> DataFrame:
-    """FLT-6: documents whose columns or contributor contain the keyword, with the contributor's name."""
-    hit = F.lower("full_name").contains(keyword.lower())
+def search_documents(docs: DataFrame, users: DataFrame, keyword: str, columns: list[str], *, tags: DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
+    """FLT-6: documents of which a column, the contributor or a tag (its name or an alias) holds the keyword, with the contributor's name.
+
+    Letters of either case; a document whose contributor is unknown is found, too, without a
+    name. A document is found once, however many of its parts hold the keyword.
+    """
+    low = keyword.lower()
+    people = users.select(F.col("user_id").alias("contributor_id"), "full_name")
+    rows = docs.join(people, "contributor_id", "left")
+    hit = F.coalesce(F.lower("full_name").contains(low), F.lit(False))
     for c in columns:
-        hit = hit | F.lower(c).contains(keyword.lower())
-    return docs.join(users.select(F.col("user_id").alias("contributor_id"), "full_name"), "contributor_id").filter(hit)
+        hit = hit | F.coalesce(F.lower(c).contains(low), F.lit(False))
+    if tags is not None:
+        named = F.lower("name").contains(low) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a).contains(low))
+        tagged = docs.select(doc_id, F.explode("tag_ids").alias("tag_id")).join(tags.filter(named).select("tag_id"), "tag_id").select(F.col(doc_id).alias("tagged_id")).distinct()
+        rows = rows.join(tagged, F.col(doc_id) == F.col("tagged_id"), "left")
+        hit = hit | F.col("tagged_id").isNotNull()
+    found = rows.filter(hit)
+    return found.drop("tagged_id") if tags is not None else found
+
+
+def page_of(found: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """FLT-6: one page of what a search found, each row with the ``total`` of all pages."""
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total)).orderBy(*order)
 
 
 def keyword_recall(docs: DataFrame, queries: DataFrame, k: int, fields: list[str], *, doc_id: str = "doc_id", query: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:

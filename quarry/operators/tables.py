@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chunking import pack_paragraphs
+
 #: A separator line, and what makes a header that of records.
 SEPARATOR = re.compile(r"^\|\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$")
 RECORD_KEYS = (
@@ -142,3 +144,41 @@ def table_chunks(rows: DataFrame, *, doc_id: str = "doc_id", group: int = GROUP_
     parts = parts.groupBy(*keys, "chunk_no").agg(F.min("row_no").alias("row_start"), F.max("row_no").alias("row_end"), F.first("line").alias("line"), F.first("header").alias("header"), F.array_sort(F.collect_list(F.struct("row_no", "cells")))["cells"].alias("rows"))
     parts = parts.withColumn("text", _rendered(F.concat(F.array("header"), F.col("rows")))).filter("text <> ''")
     return records.unionByName(parts.select(*keys, "chunk_no", F.lit("row_group").alias("kind"), "row_start", "row_end", "line", "text", F.col("text").alias("embedding_text")))
+
+
+def assemble_sections(docs: DataFrame, sections: DataFrame, *, budget: int = 1200, doc_id: str = "doc_id") -> DataFrame:
+    """CHK-8: every chunk of sections, texts and tables, with its prefix, a stable chunk_id and its metadata as JSON.
+
+    ``docs`` have doc_id, title and tags; ``sections`` section_id, doc_id, section_title,
+    marker, heading_path, text and images (arrays may be null). The prefix lists tags, title,
+    marker, section title (the document's where there is none) and, for texts, the path of
+    headings. A text without its tables is packed by paragraphs within ``budget`` tokens; a
+    section of images only has a chunk that names it; one of neither has none.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    none = F.array().cast("array<string>")
+    own = docs.select(doc_id, text("title").alias("title"), F.array_join(F.filter(F.coalesce("tags", none), lambda x: x != ""), "，").alias("tags"))
+    base = sections.select(
+        doc_id, "section_id", "section_title", text("marker").alias("marker"), F.array_join(F.coalesce("heading_path", none), " / ").alias("path"), text("text").alias("text"), F.size(F.coalesce("images", none)).alias("n_images")
+    ).join(own, doc_id).withColumn("section_title", F.coalesce(F.nullif(text("section_title"), F.lit("")), "title"))
+    rest = without_tables(base.select("section_id", "text"), doc_id="section_id").withColumnRenamed("rest", "text")
+    packed = pack_paragraphs(rest, budget, doc_id="section_id")
+    named = base.filter("n_images > 0").select("section_id", F.lit(0).alias("chunk_index"), F.concat(F.lit("图片所在章节："), "section_title").alias("chunk"))
+    packed = packed.unionByName(named.join(packed.select("section_id").distinct(), "section_id", "left_anti"))
+    line = lambda name, c: F.concat(F.lit(f"{name}："), F.col(c))
+    head = [F.when(F.col("tags") != "", line("标签", "tags")), line("文档标题", "title"), line("目录编号", "marker"), line("目录标题", "section_title")]
+    key = F.col("section_id").cast("string")
+    texts = base.join(packed, "section_id").withColumns({
+        "content": F.concat_ws("\n", *head, F.when(F.col("path") != "", line("章节路径", "path")), line("章节正文", "chunk")),
+        "chunk_id": F.concat(F.lit("knowledge-section-"), key, F.lit("-text-"), F.col("chunk_index").cast("string")), "kind": F.lit("section_text"), "table_no": F.lit(None).cast("int"),
+    })
+    tabled = table_chunks(extract_tables(base.select("section_id", "text"), doc_id="section_id"), doc_id="section_id").withColumnRenamed("text", "chunk")
+    rows = F.concat(F.lit("表格"), F.col("table_no").cast("string"), F.lit(" 行 "), F.col("row_start").cast("string"), F.lit("-"), F.col("row_end").cast("string"), F.lit("："))
+    parts = base.join(tabled, "section_id").withColumns({
+        "content": F.concat_ws("\n", *head, rows, "chunk"), "embedding_content": F.concat_ws("\n", *head, "embedding_text"), "chunk_index": F.col("chunk_no"),
+        "chunk_id": F.concat(F.lit("knowledge-table-section-"), key, F.lit("-t"), F.col("table_no").cast("string"), F.lit("-g"), F.col("chunk_no").cast("string")),
+    })
+    columns = [doc_id, "section_id", "chunk_id", "kind", "table_no", "chunk_index", "content", "embedding_content"]
+    both = texts.withColumn("embedding_content", F.col("content")).select(*columns, "section_title", "marker").unionByName(parts.select(*columns, "section_title", "marker"))
+    meta = F.to_json(F.struct(F.col(doc_id).alias("source_doc_id"), "section_id", "section_title", F.col("marker").alias("section_type"), F.col("chunk_index").alias("subchunk_index"), "kind", "chunk_id", F.length("content").alias("chunk_size")))
+    return both.withColumn("metadata", meta).select(*columns, "metadata")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import directory as dr
 from quarry.operators import quality as ql
 from quarry.operators import versioning as vn
 
@@ -136,6 +137,34 @@ def qlt16(t):
     return tree_paths(t("categories"))
 
 
+WIKI = """p as (select *, coalesce(site, 'Confluence') as st, len(title_path) as n, coalesce(len(ancestor_ids), 0) as na from {wiki} where page_id is not null),
+up as (select *, list_transform(range(1, n), lambda i: coalesce(case when i <= na then ancestor_ids[i] when i = n - 1 then parent_id end, '')) as ids from p),
+w as (select *, list_concat(list_concat([to_json([st])::varchar], list_transform(range(1, n), lambda i: case when ids[i] <> '' then to_json([st, ids[i]])::varchar else to_json(list_concat([st, 'path'], title_path[1:i]))::varchar end)),
+  case when attachment_id is null then [to_json([st, page_id])::varchar] else [to_json([st, page_id])::varchar, to_json([st, 'attachment', page_id, attachment_id])::varchar] end) as ks,
+  list_concat(list_concat([st], title_path), case when attachment_id is null then [] else [attachment_title] end) as ts from up),
+s as (select w.*, unnest(range(1, len(ks) + 1)) as d from w),
+named as (select ks[d] as key, case when d > 1 then ks[d - 1] end as parent, ts[d] as title, case when d = 1 then 'site' when d = n + 2 then 'attachment' else 'page' end as kind, d - 1 as depth, doc_id, section_id from s),
+nodes as (select key, parent, title, kind, depth from named qualify row_number() over (partition by key order by doc_id, section_id, depth) = 1),
+sums as (select ks[d] as key, count(distinct doc_id) as documents, count(distinct case when not navigation_only then section_id end) as sections from s group by 1),
+snap as (select to_json([st, page_id])::varchar as parent, st, child_pages from p where attachment_id is null and child_pages is not null qualify row_number() over (partition by st, page_id order by source_version::int desc, doc_id desc) = 1),
+kid as (select parent, to_json([st, c])::varchar as key, min(i) as stored from (select parent, st, unnest(child_pages) as c, generate_subscripts(child_pages, 1) as i from snap) z group by 1, 2)"""
+
+
+@query("qlt15_directory", f"""with {WIKI} select nodes.key, coalesce(nodes.parent, '') as parent, title, kind, depth::int as depth, row_number() over (partition by nodes.parent order by kind = 'attachment', stored nulls last, lower(title), nodes.key) as place, documents, sections
+from nodes join sums on sums.key = nodes.key left join kid on kid.parent = nodes.parent and kid.key = nodes.key""")
+def qlt15_directory(t):
+    return dr.source_directory(t("wiki")).withColumn("parent", F.coalesce("parent", F.lit("")))
+
+
+@query("qlt15_documents", f"""with {WIKI}, e as (select ks[-1] as key, doc_id, doc_title, section_id, section_index, coalesce(section_title, '正文') as title, navigation_only from w),
+g as (select key, doc_id, min(doc_title) as doc_title, count(distinct section_id) filter (not navigation_only) as n, coalesce(string_agg(distinct title, ',' order by title) filter (not navigation_only), '') as titles from e group by 1, 2)
+select *, row_number() over (partition by key order by doc_id desc) as place from g""")
+def qlt15_documents(t):
+    found = dr.node_documents(t("wiki"))
+    titles = F.array_join(F.array_sort(F.transform("sections", lambda x: x["title"])), ",")
+    return found.select("key", "doc_id", "doc_title", F.size("sections").cast("bigint").alias("n"), titles.alias("titles"), "place")
+
+
 @query("qlt17_tags", f"with {TAGGED} select doc_id, array_to_string(list_sort(list_distinct(list_concat(tag_ids, case when doc_id % 3 = 0 then [99, 12] else [] end))), ',') as tag_ids from tagged")
 def qlt17(t):
     rel = t("tagged_files").filter("file_id % 3 = 0").select(F.col("file_id").alias("doc_id"), F.explode(F.array(F.lit(99), F.lit(12))).alias("tag_id"))

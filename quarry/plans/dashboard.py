@@ -164,10 +164,24 @@ def agg20(t):
     return st.normalise_usage(calls)
 
 
-@query("agg21_timing", """with e as (select user_id as request_id, event_type as stage, (epoch_us(ts) // 1000)::bigint as ms, lead((epoch_us(ts) // 1000)) over (partition by user_id order by (epoch_us(ts) // 1000), event_type) - (epoch_us(ts) // 1000) as elapsed from events)
-select stage, count(elapsed) as n, sum(elapsed)::bigint as total_ms, max(elapsed)::bigint as max_ms from e group by 1""")
+TIMED = """e as (select event_id, user_id as request_id, event_type as stage, case when event_id % 11 = 0 then 'late' when event_id % 13 = 0 then null else 'ok' end as status, (epoch_us(ts) // 1000)::bigint as ms from events),
+x as (select *, lead(ms) over (partition by request_id order by ms, stage) - ms as elapsed from e), tt as (select stage, status, elapsed, ms from x union all select 'request.total', case when count(*) filter (status <> 'ok') > 0 then 'late' else 'ok' end, max(ms) - min(ms), min(ms) from e group by request_id)"""
+
+
+def timed_events(t):
+    status = F.when(F.col("event_id") % 11 == 0, "late").when(F.col("event_id") % 13 != 0, "ok")
+    return t("events").select(F.col("user_id").alias("request_id"), F.col("event_type").alias("stage"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), status.alias("status"))
+
+
+@query("agg21_timing", f"""with {TIMED} select stage, count(elapsed) as n, sum(elapsed)::bigint as total_ms, max(elapsed)::bigint as max_ms, quantile_cont(elapsed, 0.5) as p50_ms, round(quantile_cont(elapsed, 0.95), 3) as p95_ms, count(*) filter (status <> 'ok') as n_failed from tt group by 1""")
 def agg21(t):
-    return st.stage_timing(t("events").select(F.col("user_id").alias("request_id"), F.col("event_type").alias("stage"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")))
+    return st.stage_timing(timed_events(t)).withColumn("p95_ms", F.round("p95_ms", 3))
+
+
+@query("agg21_sketches", f"""with {TIMED} select (date '1970-01-01' + (ms // 86400000)::int)::varchar as day, stage, count(elapsed) as n from tt where elapsed is not null group by 1, 2""")
+def agg21_sketches(t):
+    """The days' sketches; tests hold their merged quantiles against exact ones."""
+    return st.timing_sketches(timed_events(t)).select(F.col("day").cast("string").alias("day"), "stage", F.kll_sketch_get_n_bigint("sketch").alias("n"))
 
 
 FB = "f as (select *, epoch_us(created_at) // 1000000 as sec from {feedback})"

@@ -60,13 +60,14 @@ def flt05(t):
     return fl.tag_keyword(tagged(t), with_aliases(t), "Family 3").select("doc_id")
 
 
-@query("flt06_search", """select doc_id, full_name from (select *, doc_id % 100 + 1 as contributor_id from documents) d join {users} u on u.user_id = d.contributor_id
-where contains(lower(full_name), '0042') or contains(lower(text), 'license') or contains(lower(source), 'src3') order by doc_id desc limit 50 offset 10""")
+@query("flt06_search", """with d as (select *, doc_id % 100 + 1 as contributor_id, case when doc_id % 3 = 0 then [11 + doc_id % 5, 21] else []::bigint[] end as tag_ids from documents),
+hit as (select doc_id, full_name from d left join {users} u on u.user_id = d.contributor_id where coalesce(contains(lower(full_name), '12'), false) or contains(lower(source), '12') or coalesce(contains(lower(text), '12'), false)
+  or doc_id in (select doc_id from (select doc_id, unnest(tag_ids) as x from d) z join {tags} g on g.tag_id = z.x where contains(lower(name), '12') or contains(concat('b-', tag_id::varchar), '12') or contains(concat('family ', (tag_id % 5)::varchar), '12')))
+select doc_id, coalesce(full_name, '') as full_name, (select count(*) from hit) as total from hit order by doc_id desc limit 50 offset 10""")
 def flt06(t):
-    docs = t("documents").withColumn("contributor_id", F.col("doc_id") % 100 + 1)
-    return fl.search_documents(docs, t("users"), "license", ["text"]).select("doc_id", "full_name").unionByName(
-        fl.search_documents(docs, t("users"), "0042", ["full_name"]).select("doc_id", "full_name")
-    ).unionByName(fl.search_documents(docs, t("users"), "src3", ["source"]).select("doc_id", "full_name")).distinct().orderBy(F.desc("doc_id")).offset(10).limit(50)
+    docs = t("documents").withColumns({"contributor_id": F.col("doc_id") % 100 + 1, "tag_ids": F.when(F.col("doc_id") % 3 == 0, F.array((F.col("doc_id") % 5 + 11).cast("int"), F.lit(21))).otherwise(F.array().cast("array<int>"))})
+    found = fl.search_documents(docs, t("users"), "12", ["text", "source"], tags=with_aliases(t))
+    return fl.page_of(found, [F.desc("doc_id")], 50, 10).select("doc_id", F.coalesce("full_name", F.lit("")).alias("full_name"), "total")
 
 
 QTERMS = "qt as (select item_id as query_id, list_filter(list_distinct(string_split(lower(text), ' ')[1:3]), lambda x: length(x) >= 2) as terms from benchmark)"

@@ -225,6 +225,23 @@ def chk08(t):
     return ch.assemble_chunks(pieces, docs).drop("metadata")
 
 
+@query("chk08_sections", f"""with {TABLES}, o as (select l.doc_id, l.line, case when t.start is null then l.s when l.line = t.start then concat('【表格：', array_to_string(list_filter(header, lambda c: c <> ''), ' / '), '，共', (select count(*) from q x where x.doc_id = t.doc_id and x.start = t.start and x.row_no > 0)::varchar, '行，已按表格记录单独向量化。】') end as s
+from l left join q on q.doc_id = l.doc_id and q.line = l.line left join t on t.doc_id = q.doc_id and t.start = q.start),
+x as (select doc_id, string_agg(trim(s), chr(10) order by line) as rest from o where trim(s) <> '' group by 1),
+d as (select doc_id, concat(case when doc_id % 3 = 0 then concat('标签：', lang, '，', source, chr(10)) else '' end, '文档标题：doc ', doc_id::varchar, chr(10), '目录编号：', case when doc_id % 2 = 0 then concat((doc_id % 9)::varchar, '.1') else '' end, chr(10), '目录标题：', case when doc_id % 5 = 0 then concat('doc ', doc_id::varchar) else 'part' end) as head,
+  case when doc_id % 4 = 1 then concat(chr(10), '章节路径：a / b') else '' end as path from documents)
+select d.doc_id, md5(concat(head, path, chr(10), '章节正文：', rest)) as text_chunk from d join x using (doc_id)""")
+def chk08_sections(t):
+    k = F.col("doc_id")
+    docs = t("documents").select("doc_id", F.concat(F.lit("doc "), k.cast("string")).alias("title"), F.when(k % 3 == 0, F.array("lang", "source")).alias("tags"))
+    sections = t("sheets").select(
+        "doc_id", k.alias("section_id"), F.when(k % 5 != 0, "part").alias("section_title"), F.when(k % 2 == 0, F.concat((k % 9).cast("string"), F.lit(".1"))).alias("marker"),
+        F.when(k % 4 == 1, F.array(F.lit("a"), F.lit("b"))).alias("heading_path"), "text", F.lit(None).cast("array<string>").alias("images"),
+    )
+    out = tb.assemble_sections(docs, sections, budget=3000)  # one chunk a text, as the SQL has it
+    return out.filter("kind = 'section_text'").select("doc_id", F.md5(F.col("content").cast("binary")).alias("text_chunk"))
+
+
 @query("chk09_fields", "select p_partkey, 'p_name' as field, p_name as chunk from part union all select p_partkey, 'p_type', p_type from part union all select p_partkey, 'p_brand', p_brand from part where p_partkey % 3 <> 0")
 def chk09(t):
     part = t("part").withColumn("p_brand", F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).otherwise(" "))

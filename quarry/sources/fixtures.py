@@ -69,6 +69,17 @@ select conv_id as document_id, conv_id * 2 + 1 as version_id, (turn * 5 + conv_i
   case when (conv_id + turn) % 4 = 1 then concat(text, ' edited') else text end as text, turn
 from conversations where (conv_id + turn) % 6 <> 0
 union all select conv_id, conv_id * 2 + 1, 100, null, 'added', 100 from conversations where turn = 0
+""",
+    "wiki": """
+select doc_id, concat('doc ', cast(doc_id as string)) as doc_title, doc_id * 2 + k as section_id, k as section_index, case when k = 0 then null else concat('s', cast(k as string)) end as section_title,
+  case when doc_id % 4 = 3 then null else source end as site, case when doc_id % 50 = 49 then null else cast(doc_id % 37 as string) end as page_id,
+  split(case doc_id % 37 % 3 when 0 then concat('P', cast(doc_id % 37 as string)) when 1 then concat('Top,P', cast(doc_id % 37 as string)) else concat('Top,Mid,p', cast(doc_id % 37 as string)) end, ',') as title_path,
+  case when doc_id % 37 % 3 = 2 then split(concat(',m', cast(doc_id % 37 % 2 as string)), ',') when doc_id % 37 % 3 = 1 and doc_id % 37 % 2 = 0 then split('3', ',') else null end as ancestor_ids,
+  case when doc_id % 37 % 3 = 1 then '3' else null end as parent_id,
+  case when doc_id % 37 = 3 then split(concat('4,1,', cast(doc_id % 5 as string), ',4'), ',') when doc_id % 37 = 12 then split('7', ',') else null end as child_pages, cast(doc_id % 6 as string) as source_version,
+  case when doc_id % 9 = 4 then cast(doc_id % 2 as string) else null end as attachment_id, case when doc_id % 9 = 4 then 'file' else null end as attachment_title,
+  doc_id % 13 = 5 and k = 1 as navigation_only
+from documents cross join (select 0 as k union all select 1 union all select 0) t
 """,
     "usage_log": """
 select event_id as id, user_id,
