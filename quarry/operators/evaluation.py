@@ -45,7 +45,8 @@ def retrieval_metrics(ranked: DataFrame, qrels: DataFrame, *, query: str = "quer
     """EVL-4: metrics of each query by the rows that came back: precision divides by their number.
 
     A document that comes back several times counts where it first stands; its later rows
-    keep their places and count as returned.
+    keep their places and count as returned. A query without relevant documents has nulls, one
+    for which nothing came back zeros.
     """
     relevant = qrels.groupBy(query).agg(F.count_distinct(*key).alias("relevant"))
     w = W.partitionBy(query).orderBy("rank", *key)
@@ -59,27 +60,36 @@ def retrieval_metrics(ranked: DataFrame, qrels: DataFrame, *, query: str = "quer
         F.min(F.when(F.col("hit") == 1, F.col("place"))).alias("first"),
         F.sum(F.when(F.col("hit") == 1, F.col("seen") / F.col("place")).otherwise(0.0)).alias("gain"),
     )
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    judged = lambda c: F.when(F.col("relevant").isNotNull(), c)
+    zero = lambda c: judged(F.coalesce(c, F.lit(0.0)))
     p, r = zero(F.col("hits") / F.col("returned")), zero(F.col("hits") / F.col("relevant"))
-    return relevant.join(per, query, "left").select(
+    return relevant.join(per, query, "full").select(
         query,
         "relevant",
         F.coalesce("returned", F.lit(0)).alias("returned"),
-        F.coalesce("hits", F.lit(0)).alias("hits"),
-        (F.coalesce("first", F.lit(0)) == 1).cast("int").alias("top1"),
-        F.col("first").isNotNull().cast("int").alias("topk"),
+        judged(F.coalesce("hits", F.lit(0))).alias("hits"),
+        judged((F.coalesce("first", F.lit(0)) == 1).cast("int")).alias("top1"),
+        judged(F.col("first").isNotNull().cast("int")).alias("topk"),
         zero(1 / F.col("first")).alias("mrr"),
         p.alias("precision"),
         r.alias("recall"),
-        F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
+        judged(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)).alias("f1"),
         zero(F.col("gain") / F.col("relevant")).alias("map"),
     )
 
 
-def run_summary(rows: DataFrame) -> DataFrame:
-    """EVL-5: means over the cases of a run, to four decimals."""
+def run_summary(rows: DataFrame, judges: list[str] = ()) -> DataFrame:
+    """EVL-5: a run's cases and means to four decimals; nulls (no relevant documents, not judged) do not count.
+
+    Where rows have ``answered`` or ``correct`` (booleans), the rates of answers among the
+    cases and of right ones among those judged follow; ``judges`` names columns of further scores.
+    """
     means = [F.round(F.avg(c), 4).alias(c) for c in ("top1", "topk", "mrr", "precision", "recall", "f1", "map")]
-    return rows.agg(F.count(F.lit(1)).alias("cases"), *means, F.sum(1 - F.col("topk")).alias("misses"), F.round(F.avg("returned"), 4).alias("mean_returned"))
+    rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
+    more = [rate(F.coalesce("answered", F.lit(False))).alias("answer_rate")] if "answered" in rows.columns else []
+    more += [F.round(F.avg(F.when(F.col("correct"), 1.0).when(~F.col("correct"), 0.0)), 4).alias("accuracy")] if "correct" in rows.columns else []
+    more += [F.round(F.avg(c), 4).alias(f"mean_{c}") for c in judges]
+    return rows.agg(F.count(F.lit(1)).alias("cases"), *means, F.sum(1 - F.col("topk")).alias("misses"), F.round(F.avg("returned"), 4).alias("mean_returned"), *more)
 
 
 def training_pairs(qa: DataFrame, mode: str, max_chars: int) -> DataFrame:

@@ -226,20 +226,24 @@ def effective_permissions(users: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select("user_id", F.when(F.array_contains(own, "admin"), F.array_union(own, full)).otherwise(F.array_union(own, read)).alias("permissions"))
 
 
-def visible_rows(df: DataFrame, users: DataFrame, permission: str, *, owner: str = "owner_id", block: int = 1000) -> DataFrame:
-    """FLT-19: (viewer, row) pairs: own rows by an equi join, and all rows for viewers with the permission.
+def visible_scopes(users: DataFrame, permission: str) -> DataFrame:
+    """FLT-19: (viewer_id, scope) of every user: ``all`` with the permission, else ``own``. ``users`` have their effective permissions; null is none."""
+    sees = F.coalesce(F.array_contains("permissions", permission), F.lit(False))
+    return users.groupBy(F.col("user_id").alias("viewer_id")).agg(F.when(F.bool_or(sees), "all").otherwise("own").alias("scope"))
 
-    ``users`` have their effective permissions. Those who see everything are named in the
-    plan, ``block`` of them at a time; each gets every row, which is what they see.
-    """
-    sees = F.array_contains("permissions", permission)
-    own = users.filter(~F.coalesce(sees, F.lit(False))).select(F.col("user_id").alias("viewer_id")).join(df, F.col("viewer_id") == F.col(owner))
-    wide = sorted(r[0] for r in users.filter(sees).select("user_id").distinct().collect())
-    kind = users.schema["user_id"].dataType
-    for i in range(0, len(wide), block):
-        ids = F.array(*[F.lit(x).cast(kind) for x in wide[i : i + block]])
-        own = own.unionByName(df.select(F.explode(ids).alias("viewer_id"), *df.columns))
-    return own
+
+def visible_rows(df: DataFrame, scopes: DataFrame, viewer, *, owner: str = "owner_id") -> DataFrame:
+    """FLT-19: the rows that one viewer sees: all of them, or their own; an unknown viewer sees none."""
+    one = scopes.filter(F.col("viewer_id") == F.lit(viewer)).select("scope").limit(1)
+    return df.crossJoin(F.broadcast(one)).filter((F.col("scope") == "all") | (F.col(owner) == F.lit(viewer))).drop("scope")
+
+
+def visible_counts(df: DataFrame, scopes: DataFrame, *, owner: str = "owner_id") -> DataFrame:
+    """FLT-19: how many rows each viewer sees: rows are counted once by owner and once in all, whoever sees them."""
+    own = df.groupBy(F.col(owner).alias("owner_")).agg(F.count(F.lit(1)).alias("own_"))
+    whole = df.agg(F.count(F.lit(1)).alias("all_"))
+    rows = scopes.join(own, F.col("viewer_id") == F.col("owner_"), "left").crossJoin(F.broadcast(whole))
+    return rows.select("viewer_id", F.when(F.col("scope") == "all", F.col("all_")).otherwise(F.coalesce("own_", F.lit(0))).alias("n"))
 
 
 def feedback_eligible(messages: DataFrame, traces: DataFrame) -> DataFrame:

@@ -167,13 +167,13 @@ def flt16(t):
 
 
 @query("flt19_visible", """with p as (select user_id, case when user_id % 600 = 0 then true when user_id % 700 = 1 then true when user_id % 2 = 0 and user_id % 500 = 2 then true else false end as sees from {users})
-select p.user_id as viewer_id, count(*) as n from p join {source_files} f on p.sees or f.uploader_id = p.user_id group by 1""")
+select p.user_id as viewer_id, count(f.id) as n from p left join {source_files} f on p.sees or f.uploader_id = p.user_id group by 1""")
 def flt19(t):
     k = F.col("user_id")
     groups = t("region").select(F.col("r_regionkey").alias("group_id"), F.when(F.col("r_regionkey") == 0, F.array(F.lit("admin"))).when(F.col("r_regionkey") == 1, F.array(F.lit("write"))).otherwise(F.array(F.lit("own"))).alias("permissions"))
     users = t("users").select("user_id", F.when(k % 600 == 0, 0).when(k % 700 == 1, 1).when(k % 2 == 1, 2).cast("long").alias("group_id"), F.when((k % 500 == 2) | (k % 700 == 1), F.array(F.lit("review"))).otherwise(F.array(F.lit("own"))).alias("permissions"))
     files = t("source_files").withColumnRenamed("uploader_id", "owner_id")
-    return fl.visible_rows(files, fl.effective_permissions(users, groups), "read").groupBy("viewer_id").agg(F.count(F.lit(1)).alias("n"))
+    return fl.visible_counts(files, fl.visible_scopes(fl.effective_permissions(users, groups), "read"))
 
 
 @query("jn01_question_answer", """with q as (select * from {messages} where role = 1), a as (select * from {messages} where role = 0),

@@ -189,6 +189,24 @@ def evl04(t):
     return ev.retrieval_metrics(ranked(t).filter("rank <= 12"), t("qrels")).select("query_id", "relevant", "returned", "hits", "top1", "topk", *[F.round(c, 6).alias(c) for c in ("mrr", "precision", "recall", "f1", "map")])
 
 
+@query("evl04_unjudged", f"""with {KNN} select query_id, count(*) as returned, true as unjudged from ranked where rank <= 12 and (query_id // 50) % 3 = 1 group by 1""")
+def evl04_unjudged(t):
+    """Queries of which no relevant documents are known have a row of nulls."""
+    out = ev.retrieval_metrics(ranked(t).filter("rank <= 12"), t("qrels").filter("floor(query_id / 50) % 3 <> 1"))
+    null = F.lit(True)
+    for c in ("hits", "top1", "topk", "mrr", "precision", "recall", "f1", "map"):
+        null = null & F.col(c).isNull()
+    return out.filter("relevant is null").select("query_id", "returned", null.alias("unjudged"))
+
+
+@query("evl05_run", f"""with {KNN}, {PER}, j as (select *, case (query_id // 50) % 5 when 0 then null when 1 then false else true end as answered, case (query_id // 50) % 4 when 0 then null when 1 then false else true end as correct, case when query_id % 100 = 0 then ((query_id // 50) % 7) / 7 end as faithfulness from met)
+select count(*) as cases, round(avg(top1), 4) as top1, round(avg(case when coalesce(answered, false) then 1.0::double else 0 end), 4) as answer_rate, round(avg(correct::int::double), 4) as accuracy, round(avg(faithfulness), 4) as mean_faithfulness from j""")
+def evl05_run(t):
+    n = F.floor(F.col("query_id") / 50)
+    rows = ev.retrieval_metrics(ranked(t).filter("rank <= 12"), t("qrels")).withColumns({"answered": F.when(n % 5 != 0, n % 5 != 1), "correct": F.when(n % 4 != 0, n % 4 != 1), "faithfulness": F.when(F.col("query_id") % 100 == 0, (n % 7) / 7)})
+    return ev.run_summary(rows, ["faithfulness"]).select("cases", "top1", "answer_rate", "accuracy", "mean_faithfulness")
+
+
 @query("evl05_summary", f"""with {KNN}, {PER}
 select count(*) as cases, round(avg(top1), 4) as top1, round(avg(topk), 4) as topk, round(avg(mrr), 4) as mrr, round(avg(p), 4) as precision, round(avg(r), 4) as recall,
 round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0 end), 4) as f1, round(avg(map), 4) as map, sum(1 - topk)::bigint as misses, round(avg(returned), 4) as mean_returned from met""")
