@@ -392,9 +392,18 @@ def verify_cases(cases: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def similar_cases(queries: DataFrame, cases: DataFrame, k: int) -> DataFrame:
-    """FB-15: the newest cases of a query's device whose component holds the query's."""
-    hit = queries.join(cases, "device").filter(F.col("wanted").isNull() | F.col("component").contains(F.col("wanted")))
-    return hit.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("case_id")))).filter(F.col("rank") <= k)
+    """FB-15: the newest ``k`` cases of a query's device whose component holds the query's ``wanted``.
+
+    Where queries have ``device_type`` or ``firmware_version``, a case must have the same;
+    a null asks for nothing. Cases keep their columns but those that the query has.
+    """
+    asked = [c for c in ("device_type", "firmware_version") if c in queries.columns]
+    hit = F.col("wanted").isNull() | F.col("component").contains(F.col("wanted"))
+    rows = cases.withColumnsRenamed({c: f"case_{c}" for c in asked})
+    for c in asked:
+        hit &= F.col(c).isNull() | (F.col(c) == F.col(f"case_{c}"))
+    found = queries.join(rows, "device").filter(hit).drop(*[f"case_{c}" for c in asked])
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("case_id")))).filter(F.col("rank") <= k)
 
 
 def promotion(cases: DataFrame, *, to_global: bool = False) -> DataFrame:

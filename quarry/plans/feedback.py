@@ -229,6 +229,15 @@ def fb15(t):
     return fb.similar_cases(q, t("feedback").select(F.col("document_id").alias("device"), F.col("feedback_id").alias("case_id"), F.col("comment").alias("component")), 4).select("query_id", "case_id", "rank")
 
 
+@query("fb15_fitting", """with q as (select tag_id as query_id, tag_id % 7 as device, case when tag_id % 2 = 0 then null else 'power' end as wanted, case when tag_id % 3 = 0 then 'human' end as device_type, case when tag_id % 5 = 0 then 'pending' end as firmware from {tags}),
+r as (select query_id, feedback_id as case_id, row_number() over (partition by query_id order by feedback_id desc) as rank from q join {feedback} f on f.document_id = q.device and (wanted is null or contains(comment, wanted)) and (device_type is null or f.verifier_type = device_type) and (firmware is null or f.status = firmware)) select * from r where rank <= 4""")
+def fb15_fitting(t):
+    k = F.col("tag_id")
+    q = t("tags").select(k.alias("query_id"), (k % 7).cast("long").alias("device"), F.when(k % 2 != 0, "power").alias("wanted"), F.when(k % 3 == 0, "human").alias("device_type"), F.when(k % 5 == 0, "pending").alias("firmware_version"))
+    cases = t("feedback").select(F.col("document_id").alias("device"), F.col("feedback_id").alias("case_id"), F.col("comment").alias("component"), F.col("verifier_type").alias("device_type"), F.col("status").alias("firmware_version"))
+    return fb.similar_cases(q, cases, 4).select("query_id", "case_id", "rank")
+
+
 PROMOTED = """c as (select document_id, conversation_id, case when document_id % 4 = 0 then 'expert_verified' when document_id % 4 = 1 then 'verified' when bool_or(verification_result = 'contradict') then 'rejected' else 'candidate' end as status, count(distinct verifier_type) as evidence_count, max(confidence) as confidence, avg(confidence) * 2 as reliability, max(case when feedback_id % 10 = 0 then 'fixed' end) as outcome from {feedback} group by document_id, conversation_id)"""
 
 
