@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.blanks import strip
 from quarry.functions.text import alias_match
 
 
@@ -196,6 +197,23 @@ def stale_links(sources: DataFrame, docs: DataFrame) -> DataFrame:
     return sources.filter("doc_id is not null").join(docs.select("doc_id"), "doc_id", "left_anti")
 
 
+def stale_review_links(sources: DataFrame, reviews: DataFrame, docs: DataFrame) -> DataFrame:
+    """QLT-12: (path, review_id, fault) of files whose review is gone, or is closed upon a document that is gone.
+
+    ``sources`` have path and review_id, ``reviews`` review_id and document_id (null: open).
+    """
+    linked = sources.filter("review_id is not null").join(reviews.select(F.col("review_id").alias("r_"), "document_id"), F.col("review_id") == F.col("r_"), "left")
+    rows = linked.join(docs.select(F.col("doc_id").alias("d_")).distinct(), F.col("document_id") == F.col("d_"), "left")
+    fault = F.when(F.col("r_").isNull(), "review is gone").when(F.col("document_id").isNotNull() & F.col("d_").isNull(), "document is gone")
+    return rows.withColumn("fault", fault).filter("fault is not null").select("path", "review_id", "fault")
+
+
+def repeated_siblings(categories: DataFrame) -> DataFrame:
+    """QLT-16: (parent_id, name, ids) of names that several children of one parent have, white space and case aside; roots are siblings, too."""
+    same = categories.groupBy("parent_id", F.lower(strip("name")).alias("name")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return same.filter(F.size("ids") > 1)
+
+
 def index_backlog(versions: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """QLT-13: served versions whose index is missing, of live documents, the first ``n``."""
     want = versions.filter("workflow_status = 'published' and validity_status in ('active', 'legacy_active') and index_status in ('pending', 'failed')")

@@ -58,6 +58,16 @@ def token_daily(usage: DataFrame, first: str, last: str) -> DataFrame:
     return days.join(per, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("parse_tokens", F.lit(0)).alias("parse_tokens"), F.coalesce("qa_tokens", F.lit(0)).alias("qa_tokens"))
 
 
+def token_months(usage: DataFrame) -> DataFrame:
+    """AGG-4: tokens of each month with calls by business type, and their sum up to then: the month's total and the whole history."""
+    parse = F.coalesce(F.col("request_type").startswith("parse"), F.lit(False))
+    per = usage.filter("created_time is not null").groupBy(F.date_format("created_time", "yyyy-MM").alias("month")).agg(
+        F.coalesce(F.sum(F.when(parse, F.col("total_tokens"))), F.lit(0)).alias("parse_tokens"), F.coalesce(F.sum(F.when(~parse, F.col("total_tokens"))), F.lit(0)).alias("qa_tokens")
+    )
+    total = per.withColumn("month_total", F.col("parse_tokens") + F.col("qa_tokens"))
+    return total.withColumn("so_far", F.sum("month_total").over(W.partitionBy(F.lit(0)).orderBy("month")))  # a row a month
+
+
 def token_hourly(usage: DataFrame, day: str) -> DataFrame:
     """AGG-5: tokens of each of a day's 24 hours."""
     hours = usage.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))

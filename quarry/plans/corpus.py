@@ -111,6 +111,21 @@ def qlt12(t):
     return ql.stale_links(t("source_files").withColumn("doc_id", F.col("id")), t("documents").select((F.col("doc_id") * 3).alias("doc_id"))).select("id")
 
 
+@query("qlt12_reviews", """with s as (select o_orderkey::varchar as path, case when o_orderkey % 4 = 0 then null else o_orderkey % 900 end as review_id from orders), r as (select p_partkey as review_id, case when p_partkey % 3 = 0 then null else p_partkey * 2 end as document_id from part where p_partkey < 700)
+select path, s.review_id, case when r.review_id is null then 'review is gone' else 'document is gone' end as fault from s left join r using (review_id) where s.review_id is not null and (r.review_id is null or (document_id is not null and document_id not in (select doc_id from documents)))""")
+def qlt12_reviews(t):
+    k, p = F.col("o_orderkey"), F.col("p_partkey")
+    sources = t("orders").select(k.cast("string").alias("path"), F.when(k % 4 != 0, k % 900).alias("review_id"))
+    reviews = t("part").filter("p_partkey < 700").select(p.alias("review_id"), F.when(p % 3 != 0, p * 2).alias("document_id"))
+    return ql.stale_review_links(sources, reviews, t("documents"))
+
+
+@query("qlt16_siblings", """select coalesce(parent, -1) as parent_id, name, string_agg(id::varchar, ',' order by id) as ids from (select p_partkey as id, case when p_size % 10 = 0 then null else p_size end as parent, lower(trim(p_brand)) as name from part) x group by 1, 2 having count(*) > 1""")
+def qlt16_siblings(t):
+    names = t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("parent_id"), F.concat(F.lit("　"), F.upper("p_brand"), F.lit(" ")).alias("name"))
+    return ql.repeated_siblings(names).select(F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "name", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
 @query("qlt13_backlog", "select version_id from {versions} where workflow_status = 'published' and validity_status in ('active', 'legacy_active') and index_status in ('pending', 'failed') and document_id in (select c_custkey from customer where c_custkey % 7 <> 0) order by version_id limit 20")
 def qlt13(t):
     return ql.index_backlog(t("versions"), live_docs(t), 20).select("version_id")

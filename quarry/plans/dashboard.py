@@ -49,6 +49,13 @@ def agg04(t):
     return st.token_daily(t("usage_log"), "2024-01-26", "2024-02-02")
 
 
+@query("agg04_months", """with m as (select strftime(created_time + to_days((id % 90)::int), '%Y-%m') as month, coalesce(sum(case when request_type like 'parse%' then total_tokens end), 0)::bigint as parse_tokens, coalesce(sum(case when request_type not like 'parse%' then total_tokens end), 0)::bigint as qa_tokens from {usage_log} group by 1)
+select *, parse_tokens + qa_tokens as month_total, sum(parse_tokens + qa_tokens) over (order by month)::bigint as so_far from m""")
+def agg04_months(t):
+    spread = t("usage_log").withColumn("created_time", F.col("created_time").cast("timestamp") + F.make_dt_interval((F.col("id") % 90).cast("int")))
+    return st.token_months(spread)
+
+
 @query("agg05_hourly", """with h as (select unnest(range(24))::int as hour) select h.hour, coalesce(sum(total_tokens), 0)::bigint as tokens from h left join {usage_log} u on hour(u.created_time) = h.hour and u.created_time::date = date '2024-01-15' group by 1""")
 def agg05(t):
     return st.token_hourly(t("usage_log"), "2024-01-15")
