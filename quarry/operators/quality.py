@@ -85,11 +85,12 @@ def assign_tags(files: DataFrame, tags: DataFrame, *, aliases: str | None = None
     stem = F.substring_index(F.translate("file_name", "\\", "/"), "/", -1)
     files = files.select("file_id", F.regexp_replace(stem, r"(?s)(.)\.[^.]*\z", "$1").alias("file_name"))
     low = F.lower("file_name")
-    others = F.array_distinct(F.split(F.regexp_replace(low, "[a-z0-9+]", ""), ""))
+    others = F.array_distinct(F.split(F.regexp_replace(low, "[a-z0-9+ ]", ""), ""))  # no name begins with a blank
     asked = files.select("file_id", "file_name", F.explode(F.array_union(runs("file_name"), others)).alias("key")).filter("key <> ''")
-    hit = asked.join(keyed, "key").filter(alias_match(F.col("file_name"), F.col("alias"))).select("file_id", "tag_id")
-    model = files.select("file_id", F.lower(F.regexp_extract("file_name", short_model, 1)).alias("model")).filter("model <> ''").join(hit.select("file_id").distinct(), "file_id", "left_anti")
-    short = model.join(names.select("tag_id", F.lower(F.substring_index("alias", "-", -1)).alias("model")), "model").select("file_id", "tag_id")
+    # Spark does not see that an explode makes rows, and would send the files' words to every executor by way of the driver.
+    hit = asked.join(keyed.hint("merge"), "key").filter(alias_match(F.col("file_name"), F.col("alias"))).select("file_id", "tag_id")
+    model = files.select("file_id", F.lower(F.regexp_extract("file_name", short_model, 1)).alias("model")).filter("model <> ''").join(hit.select("file_id").distinct().hint("merge"), "file_id", "left_anti")
+    short = model.join(names.select("tag_id", F.lower(F.substring_index("alias", "-", -1)).alias("model")).hint("merge"), "model").select("file_id", "tag_id")
     return hit.unionByName(short).groupBy("file_id").agg(F.array_sort(F.collect_set("tag_id")).alias("tag_ids"))
 
 
