@@ -1,6 +1,7 @@
 """Steps whose rows must not grow faster than their input, or pass the driver."""
 
 from quarry import plans
+from quarry.operators import chunking
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +21,9 @@ def sent(df) -> str:
 
 def test_tags_send_no_exploded_files_by_the_driver(spark):
     assert "file_id" not in sent(plans.QUERIES["qlt03_assign"](spark, SF))
+
+
+def test_long_paragraphs_are_cut_without_recursion(spark):
+    text = "word, " * 20_000
+    got = chunking.pack_paragraphs(spark.createDataFrame([(1, text)], "doc_id int, text string"), 30_000).collect()
+    assert [(r.chunk_index, r.chunk) for r in got] == [(0, " ".join(["word,"] * 15_000))]
