@@ -1,7 +1,10 @@
 """Steps whose rows must not grow faster than their input, or pass the driver."""
 
+import datetime
+import random
+
 from quarry import plans
-from quarry.operators import chunking
+from quarry.operators import chunking, joins
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +30,13 @@ def test_long_paragraphs_are_cut_without_recursion(spark):
     text = "word, " * 20_000
     got = chunking.pack_paragraphs(spark.createDataFrame([(1, text)], "doc_id int, text string"), 30_000).collect()
     assert [(r.chunk_index, r.chunk) for r in got] == [(0, " ".join(["word,"] * 15_000))]
+
+
+def test_small_keys_meet_without_blocks_and_large_ones_with_them(spark):
+    r, day = random.Random(3), datetime.date(2024, 1, 1)
+    moment = lambda: r.choice([None, *[day + datetime.timedelta(days=r.randint(0, 90)) for _ in range(5)]])
+    rows = [(i, r.choice([1, 1, 1, 1, 2, 3, None]), r.choice([None, 1, 2]), r.choice([None, "x", "y"]), moment(), moment()) for i in range(120)]
+    df = spark.createDataFrame(rows, "version_id int, doc int, model int, site string, effective_from date, effective_to date")
+    for keys, wild in ((["doc", "model"], []), (["doc"], ["model", "site"])):
+        every = [sorted(map(tuple, joins.overlapping_pairs(df, keys, wild, few=few).collect())) for few in (0, 20, 1000)]
+        assert every[0] and every[0] == every[1] == every[2]
