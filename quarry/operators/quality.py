@@ -119,26 +119,44 @@ def drop_repeated_images(images: DataFrame, least: int, area: float) -> DataFram
     return images.filter(F.col("area") > area).unionByName(images.filter(F.col("area") <= area).join(common, ["doc_id", "sha1"], "left_anti"))
 
 
+def _bands(signatures: DataFrame, most: int) -> tuple[list[list[int]], int]:
+    """Bits of 64 that are not the same in all rows, in bands, and how many of the first bands may differ in one bit.
+
+    Of ``most`` differences, some band of the first has one at most, or one of the others none.
+    """
+    sums = signatures.agg(F.count(F.lit(1)), *[F.sum(F.shiftrightunsigned("signature", i).bitwiseAND(1)) for i in range(64)]).first()
+    rows, ones = sums[0], sums[1:]
+    uneven = sorted((abs(2 * n - rows), i) for i, n in enumerate(ones) if n not in (None, 0, rows))
+    count = most // 2 + 1
+    return [sorted(i for _, i in uneven[b::count]) for b in range(count)], most % count + 1 if most else 0
+
+
 def match_signatures(images: DataFrame, refs: DataFrame, most: int = 6, aspect: float = 0.30) -> DataFrame:
     """QLT-7: image_id, ref_id and distance of the nearest reference within ``most`` different bits of 64 and an aspect's log ratio of ``aspect``.
 
-    The bits are cut into ``most`` + 1 bands: two signatures that differ in ``most`` bits agree in
-    one band, so they are joined on band and aspect range, and compared in full. Equal images
-    are looked up once. Ties go to the smaller reference; images without signature or with an
-    aspect of 0 or less match nothing.
+    The bits that differ at all are dealt to ``most`` // 2 + 1 bands, evenly by how often they
+    are set, so that no band is the same in all rows. Where two signatures differ in ``most``
+    bits, one band differs in one bit at most (in none, for the last bands), so images are
+    looked up by band and aspect range among references that offer each band and its
+    neighbours, and are compared in full. Equal images are looked up once. Ties go to the
+    smaller reference; images without signature or with an aspect of 0 or less match nothing.
     """
-    bands = most + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    band = lambda s: F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(s, a).bitwiseAND((1 << b - a) - 1).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
     step = F.floor(F.log("aspect") / aspect)
     good = images.filter("signature is not null and aspect > 0")
-    asked = good.select(F.col("signature").cast("bigint").alias("signature"), F.col("aspect").cast("double").alias("aspect")).distinct().withColumns({"step": step, "key": F.explode(band(F.col("signature")))})
+    asked = good.select(F.col("signature").cast("bigint").alias("signature"), F.col("aspect").cast("double").alias("aspect")).distinct()
     known = refs.select("ref_id", F.col("ref_signature").cast("bigint").alias("ref_signature"), F.col("ref_aspect").cast("double").alias("aspect")).filter("ref_signature is not null and aspect > 0")
-    known = known.withColumn("step", F.explode(F.array(step - 1, step, step + 1))).withColumnRenamed("aspect", "ref_aspect").withColumn("key", F.explode(band(F.col("ref_signature"))))
+    bands, free = _bands(asked.select("signature").unionByName(known.select(F.col("ref_signature").alias("signature"))), most)
+    bits = lambda s, band: sum((F.shiftleft(F.shiftrightunsigned(s, bit).bitwiseAND(1), i) for i, bit in enumerate(band)), F.lit(0).cast("bigint"))
+    near = lambda x, i: [x, *[x.bitwiseXOR(F.lit(1 << j).cast("bigint")) for j in range(len(bands[i]))]] if i < free else [x]
+    key = lambda i, x: F.struct(F.lit(i).alias("band"), x.alias("bits"))
+    asked = asked.withColumns({"step": step, "key": F.explode(F.array(*[key(i, bits(F.col("signature"), band)) for i, band in enumerate(bands)]))})
+    known = known.withColumn("step", F.explode(F.array(step - 1, step, step + 1))).withColumnRenamed("aspect", "ref_aspect")
+    known = known.withColumn("key", F.explode(F.array(*[key(i, x) for i, band in enumerate(bands) for x in near(bits(F.col("ref_signature"), band), i)])))
     distance = F.bit_count(F.col("signature").bitwiseXOR(F.col("ref_signature")))
-    near = asked.join(known, ["step", "key"]).withColumn("distance", distance).filter((F.col("distance") <= most) & (F.abs(F.log(F.col("aspect") / F.col("ref_aspect"))) <= aspect))
+    # Spark does not see how many rows an explode makes, and would send them all by way of the driver.
+    near = asked.join(known.hint("merge"), ["step", "key"]).withColumn("distance", distance).filter((F.col("distance") <= most) & (F.abs(F.log(F.col("aspect") / F.col("ref_aspect"))) <= aspect))
     best = near.groupBy("signature", "aspect").agg(F.min(F.struct("distance", "ref_id")).alias("m")).select(F.col("signature").alias("s_"), F.col("aspect").alias("a_"), "m.ref_id", "m.distance")
-    return good.join(best, (F.col("signature").cast("bigint") == F.col("s_")) & (F.col("aspect").cast("double") == F.col("a_"))).select("image_id", "ref_id", "distance")
+    return good.join(best.hint("merge"), (F.col("signature").cast("bigint") == F.col("s_")) & (F.col("aspect").cast("double") == F.col("a_"))).select("image_id", "ref_id", "distance")
 
 
 def contained_duplicates(paras: DataFrame, k: int = 8, least: int = 30) -> DataFrame:

@@ -4,7 +4,7 @@ import datetime
 import random
 
 from quarry import plans
-from quarry.operators import chunking, joins
+from quarry.operators import chunking, joins, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,20 @@ def test_small_keys_meet_without_blocks_and_large_ones_with_them(spark):
     for keys, wild in ((["doc", "model"], []), (["doc"], ["model", "site"])):
         every = [sorted(map(tuple, joins.overlapping_pairs(df, keys, wild, few=few).collect())) for few in (0, 20, 1000)]
         assert every[0] and every[0] == every[1] == every[2]
+
+
+def test_signatures_with_constant_bits_meet_few_references(spark):
+    r = random.Random(5)
+    sign = lambda: r.getrandbits(20) << 9 | 0b101
+    refs = [(i, sign(), 1.0) for i in range(60)]
+    images = [(i, s ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 8))) if i % 2 else sign(), r.choice([0.9, 1.0, 1.5])) for i, s in enumerate(x[1] for x in refs * 3)]
+    images = [(i, s - (1 << 64) if s >> 63 else s, a) for i, s, a in images]
+    for most in (0, 1, 3, 6):
+        got = quality.match_signatures(spark.createDataFrame(images, "image_id int, signature long, aspect double"), spark.createDataFrame(refs, "ref_id int, ref_signature long, ref_aspect double"), most)
+        want = {}
+        for i, s, a in images:
+            near = [(((s ^ t) & (1 << 64) - 1).bit_count(), j) for j, t, _ in refs if a != 1.5]
+            want |= {i: min(x for x in near if x[0] <= most)} if any(x[0] <= most for x in near) else {}
+        assert {x.image_id: (x.distance, x.ref_id) for x in got.collect()} == want
+    bands, free = quality._bands(spark.createDataFrame([(x[1],) for x in refs], "signature long"), 6)
+    assert sorted(map(len, bands)) == [5, 5, 5, 5] and free == 3
