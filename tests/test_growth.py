@@ -5,6 +5,7 @@ import random
 
 from quarry import plans
 from quarry.operators import chunking, joins, quality
+from quarry.plans import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,17 @@ def test_signatures_with_constant_bits_meet_few_references(spark):
         assert {x.image_id: (x.distance, x.ref_id) for x in got.collect()} == want
     bands, free = quality._bands(spark.createDataFrame([(x[1],) for x in refs], "signature long"), 6)
     assert sorted(map(len, bands)) == [5, 5, 5, 5] and free == 3
+
+
+def test_replayed_rows_are_dealt_out_and_their_state_is_kept_on_disk(spark, monkeypatch):
+    seen, name = {}, "spark.sql.streaming.stateStore.providerClass"
+    before, kept = spark.conf.get(name), streams.finished
+    monkeypatch.setattr(streams, "finished", lambda s, label, start: seen.update(provider=s.conf.get(name)) or kept(s, label, start))
+    monkeypatch.setattr(streams.jobs, "activity", lambda df, run=streams.jobs.activity: seen.update(plan=df._jdf.queryExecution().logical().toString()) or run(df))
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        assert plans.QUERIES["str05_activity_stream"](spark, SF).count() > 0
+        assert "HDFSBacked" in spark.conf.get(name)
+    finally:
+        spark.conf.set(name, before)
+    assert "RocksDB" in seen["provider"] and "Repartition" in seen["plan"]
