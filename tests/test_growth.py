@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 from quarry import plans
 from quarry.operators import chunking, joins, quality
@@ -72,3 +73,9 @@ def test_replayed_rows_are_dealt_out_and_their_state_is_kept_on_disk(spark, monk
     finally:
         spark.conf.set(name, before)
     assert "RocksDB" in seen["provider"] and "Repartition" in seen["plan"]
+
+
+def test_evaluation_makes_no_row_for_each_query_and_relevant_document(spark):
+    for name in ("evl01_metrics_at_k", "evl02_map", "evl03_mrr", "evl04_metrics", "evl04_unjudged", "evl05_run", "evl05_summary"):
+        text = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Join Inner, \(cast\(label|Join Inner, \(label#\d+L? = label", text), name
