@@ -359,10 +359,13 @@ def applicable_patches(contexts: DataFrame, patches: DataFrame, as_of: int) -> D
     """
     values = {"conversation": ["conversation_id"], "device": ["device", "device_type", "component", "firmware_version"], "fault_type": ["fault_type"], "user": ["user_id"]}
     keys = F.array(*[F.struct(F.lit(s).alias("scope"), query_signature(s, F.col("query"), {v: F.col(v) for v in names}).alias("signature")) for s, names in values.items()])
-    wanted = contexts.select("query_id", F.inline(keys))
+    wanted = contexts.select("query_id", F.inline(keys)).distinct()
     live = patches.filter((F.col("status") == "active") & (F.col("expires_sec") > as_of))
-    w = W.partitionBy("query_id", "scope", "signature", "document_id", "patch_type").orderBy(F.desc("sec"), F.desc("feedback_id"))
-    return wanted.join(live, ["scope", "signature"]).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+    # The newest of a signature is the same for every query, so it is found before queries and patches meet.
+    own = ["scope", "signature", "document_id", "patch_type"]
+    rest = [c for c in live.columns if c not in own]
+    newest = live.groupBy(*own).agg(F.max_by(F.struct(*rest), F.struct("sec", "feedback_id")).alias("p")).select(*own, "p.*")
+    return wanted.join(newest, ["scope", "signature"]).select("query_id", *live.columns)
 
 
 def apply_patches(ranked: DataFrame, patches: DataFrame, *, query: str = "query_id", key: str = "doc_id", score: str = "doc_score") -> DataFrame:
@@ -445,7 +448,9 @@ def feedback_memory(contexts: DataFrame, feedback: DataFrame, claims: DataFrame,
     said = rows.withColumn("kind", kind).filter("kind is not null").select("query_id", "kind", F.col("feedback_id").alias("ref_id"), F.col("nth").cast("long").alias("place"))
     found = applicable_patches(contexts, patches, as_of).select("query_id", F.lit("patch").alias("kind"), F.col("feedback_id").alias("ref_id"), (-F.col("sec")).alias("place"))
     expert = F.when(F.col("status") == "expert_verified", 0).otherwise(1)
-    known = contexts.select("query_id", "device").join(cases.filter(F.col("status").isin("verified", "expert_verified")), "device").select("query_id", F.lit("case").alias("kind"), F.col("case_id").alias("ref_id"), expert.cast("long").alias("place"))
+    sure = cases.filter(F.col("status").isin("verified", "expert_verified")).select("device", F.col("case_id").alias("ref_id"), expert.cast("long").alias("place"))
+    first = sure.withColumn("n", F.row_number().over(W.partitionBy("device").orderBy("place", F.desc("ref_id")))).filter(F.col("n") <= most)
+    known = contexts.select("query_id", "device").join(first, "device").select("query_id", F.lit("case").alias("kind"), "ref_id", "place")
     both = said.unionByName(found).unionByName(known)
     return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "kind").orderBy("place", F.desc("ref_id")))).filter(F.col("rank") <= most).drop("place")
 

@@ -79,3 +79,9 @@ def test_evaluation_makes_no_row_for_each_query_and_relevant_document(spark):
     for name in ("evl01_metrics_at_k", "evl02_map", "evl03_mrr", "evl04_metrics", "evl04_unjudged", "evl05_run", "evl05_summary"):
         text = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"Join Inner, \(cast\(label|Join Inner, \(label#\d+L? = label", text), name
+
+
+def test_patches_and_cases_are_cut_before_queries_meet_them(spark):
+    plan = lambda name: plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan("fb11_applicable")
+    assert "windowspecdefinition(device" in plan("fb17_memory")
