@@ -153,8 +153,12 @@ def collect_evidence(claims: DataFrame, sources: DataFrame, most_cases: int = 8)
     said = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("subject", "predicate", "object", "scope", "source")]))
     words = claims.select("claim_id", said.alias("claim_text"), claim_keywords("claim_type", "subject", "predicate", "object", "scope").alias("keywords"))
     nth = F.row_number().over(W.partitionBy("claim_id", "source_type").orderBy(F.desc("source_id")))
-    taken = sources.withColumn("nth", nth).filter((F.col("source_type") != "fault_case") | (F.col("nth") <= most_cases))
-    low, title = F.lower(F.coalesce("text", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))
+    # Only cases are counted; the texts of other sources stay where they are. Small letters are made once, not once a keyword.
+    limited = F.coalesce(F.col("source_type") == "fault_case", F.lit(True))
+    newest = sources.filter(limited).withColumn("nth", nth).filter(F.col("nth") <= most_cases).drop("nth")
+    taken = sources.filter(~limited).unionByName(newest)
+    taken = taken.withColumns({"low": F.lower(F.coalesce("text", F.lit(""))), "small_title": F.lower(F.coalesce("title", F.lit("")))})
+    low, title = F.col("low"), F.col("small_title")
     found = F.size(F.filter("keywords", lambda k: low.contains(F.lower(k)))) / F.greatest(F.size("keywords"), F.lit(1))
     named = (F.col("source_type") == "document") & F.col("claim_text").contains(F.col("source_id").cast("string"))
     kind, rel = F.col("source_type"), F.col("relevance")

@@ -85,3 +85,8 @@ def test_patches_and_cases_are_cut_before_queries_meet_them(spark):
     plan = lambda name: plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan("fb11_applicable")
     assert "windowspecdefinition(device" in plan("fb17_memory")
+
+
+def test_only_cases_are_sorted_to_be_counted(spark):
+    plan = plans.QUERIES["fb04_evidence"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("row_number")
