@@ -131,7 +131,9 @@ def str01(spark, sf_dir, t):
     even, odd = rows.filter("feedback_id % 2 = 0"), rows.filter("feedback_id % 2 = 1")
     path, schema = in_turn(even.unionByName(even), odd.unionByName(even), odd)
     ledger = lg.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
-    lg.learning_loop(one_by_one(spark, path, schema), loop_steps(t), ledger.path, f"{ledger.path}-checkpoint").awaitTermination()
+    # A batch is one file: its rows are dealt out, so that no task holds all of them.
+    source = one_by_one(spark, path, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "feedback_id")
+    lg.learning_loop(source, loop_steps(t), ledger.path, f"{ledger.path}-checkpoint").awaitTermination()
     out = lg.outcomes(ledger).select("feedback_id", "status", "attempt")
     claims = ledger.read("claim_extraction").groupBy("feedback_id").agg(F.count("claim_no").alias("n_claims"))
     for part in (ledger.read("analysis").select("feedback_id", "detected", "scope", "risk"), claims, ledger.read("evidence_verification").select("feedback_id", F.round("strength", 6).alias("strength"))):
