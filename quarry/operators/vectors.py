@@ -147,7 +147,7 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, *, allow: DataFrame | Non
         cells = left.crossJoin(F.broadcast(right))
     else:
         left = left.withColumn("column", F.floor(F.rand(7) * COLUMNS).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))))
-        cells = left.join(right.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(COLUMNS - 1)))), ["part", "column"])
+        cells = left.join(right.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(COLUMNS - 1)))).hint("merge"), ["part", "column"])  # a broadcast would bring every column's copy to the driver
 
     def best(batches):
         held: dict[int, _Best] = {}
