@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.blanks import strip
 from quarry.functions.text import alias_match
+from quarry.sources.lineage import materialise
+
+from .containment import marks
 
 
 def mask_text(column: Column, terms: dict[str, str]) -> Column:
@@ -162,28 +165,24 @@ def match_signatures(images: DataFrame, refs: DataFrame, most: int = 6, aspect:
 def contained_duplicates(paras: DataFrame, k: int = 8, least: int = 30) -> DataFrame:
     """QLT-8: (inner_id, outer_id) of paragraphs of which one holds the other, punctuation aside; equal ones count under their smallest id.
 
-    A contained paragraph's rarest word window is in its container too, so the join is on
-    the hash of that window alone; containers offer all of theirs. Texts meet only for the
-    pairs that this leaves, and are compared whole. Paragraphs of fewer than ``k`` words
-    look for their first two words.
+    A contained paragraph's windows, chosen by content (``containment``), are among its
+    container's, so the join is on the hash of the rarest of them alone. Texts meet only for
+    the pairs that this leaves, and are compared whole.
     """
     clean = F.trim(F.regexp_replace(F.lower("body"), r"[^\p{L}\p{N}]+", " "))
+    words = F.split("t", " ")
     base = paras.select("para_id", clean.alias("t")).filter(F.length("t") >= least).groupBy("t").agg(F.min("para_id").alias("para_id"))
-    words = base.select("para_id", F.split("t", " ").alias("w"))
-    n = F.size("w")
-
-    def grams(size):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(size), F.array_join(F.slice("w", i, F.lit(size)), " "))))
-
-    offered = words.select("para_id", F.explode(F.when(n >= k, F.array_union(grams(k), grams(2))).otherwise(grams(2))).alias("win"))
-    asked = words.select("para_id", F.explode(F.when(n >= k, grams(k)).otherwise(F.slice(grams(2), 1, 1))).alias("win"))
+    base = materialise(base.withColumn("n_words", F.size(words)), "texts")
+    offered = materialise(marks(base.select("para_id", "n_words", F.transform(words, lambda w: F.xxhash64(w)).alias("words")), k), "windows")
     counts = offered.groupBy("win").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # A window that nobody else has rules its paragraph out: only those whose windows all recur stay.
-    own = words.select("para_id", F.size(F.when(n >= k, grams(k)).otherwise(F.slice(grams(2), 1, 1))).alias("windows"))
-    rare = asked.join(counts, "win").groupBy("para_id").agg(F.min(F.struct("n", "win")).alias("m"), F.count(F.lit(1)).alias("shared")).join(own, "para_id").filter("shared = windows")
-    pairs = rare.select(F.col("para_id").alias("inner_id"), F.col("m.win").alias("win")).join(offered, "win").filter(F.col("para_id") != F.col("inner_id")).select("inner_id", F.col("para_id").alias("outer_id"))
-    inner = base.select(F.col("para_id").alias("inner_id"), F.col("t").alias("inner_t"))
-    outer = base.select(F.col("para_id").alias("outer_id"), F.col("t").alias("outer_t"))
+    asked = offered.filter("need > 0").join(counts, "win").groupBy("para_id").agg(F.min(F.struct("n", "win")).alias("m"), F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
+    rare = asked.filter("shared = need").select(F.col("para_id").alias("inner_id"), F.col("m.win").alias("win"))
+    pairs = materialise(rare.join(offered.select("win", F.col("para_id").alias("outer_id")), "win").filter("inner_id <> outer_id").select("inner_id", "outer_id"), "pairs")
+    ids = pairs.select(F.explode(F.array("inner_id", "outer_id")).alias("para_id")).distinct()
+    texts = base.join(ids, "para_id", "left_semi")
+    inner = texts.select(F.col("para_id").alias("inner_id"), F.col("t").alias("inner_t"))
+    outer = texts.select(F.col("para_id").alias("outer_id"), F.col("t").alias("outer_t"))
     held = F.concat(F.lit(" "), "outer_t", F.lit(" ")).contains(F.concat(F.lit(" "), "inner_t", F.lit(" ")))
     return pairs.join(inner, "inner_id").join(outer, "outer_id").filter(held).select("inner_id", "outer_id")
 

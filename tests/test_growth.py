@@ -5,7 +5,7 @@ import random
 import re
 
 from quarry import plans
-from quarry.operators import chunking, joins, quality
+from quarry.operators import chunking, containment, joins, quality
 from quarry.plans import streams
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +90,16 @@ def test_patches_and_cases_are_cut_before_queries_meet_them(spark):
 def test_only_cases_are_sorted_to_be_counted(spark):
     plan = plans.QUERIES["fb04_evidence"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") < plan.index("row_number")
+
+
+def test_containment_marks_few_windows_and_loses_no_pair(spark):
+    r, words = random.Random(4), [f"word{i}" for i in range(30)]
+    rows = [[r.choice(words) for _ in range(r.randint(1, 60))] for _ in range(80)]
+    rows += [w[a : r.randint(a + 1, len(w))] for w in rows for a in [r.randint(0, len(w) - 1)]]
+    texts = [" ".join(w) for w in [*rows, ["x" * 35], ["a", "x" * 35, "b"]]]  # one long word, too
+    first = {t: i for i, t in reversed(list(enumerate(texts))) if len(t) >= 30}
+    want = sorted((i, j) for a, i in first.items() for b, j in first.items() if a != b and f" {a} " in f" {b} ")
+    df = spark.createDataFrame(list(enumerate(texts)), "para_id long, body string")
+    assert sorted(map(tuple, quality.contained_duplicates(df).collect())) == want
+    long = spark.createDataFrame([(1, 5000, [r.getrandbits(62) for _ in range(5000)])], "para_id long, n_words int, words array<long>")
+    assert containment.marks(long, 8).count() < 5000 / 3
