@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,40 @@ def events(kind: str, rows: DataFrame) -> DataFrame:
     return rows.select(*[F.lit(kind).alias(c) if c == "kind" else (F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
 
 
+#: Ids of a page: one value of the state holds all entries of as many ids in a row, sorted, so that state is not called for each.
+PAGE = 1 << 14
+ENTRY = np.dtype([("id", "<i8"), ("document", "<i8"), ("attempts", "<i4"), ("leased", "<i8")])
+HOLD = np.dtype([("id", "<i8"), ("until", "<i8")])
+
+
+def _rows(kind: np.dtype, *columns) -> np.ndarray:
+    """Entries of a page, one for each id: the first of its rows."""
+    out = np.empty(len(columns[0]), kind)
+    for name, values in zip(kind.names, columns):
+        out[name] = values
+    return out[np.unique(out["id"], return_index=True)[1]]
+
+
+class _Pages:
+    """Entries of one kind in a map state, by page."""
+
+    def __init__(self, state, kind: np.dtype):
+        self.state, self.kind = state, kind
+
+    def get(self, page: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.state.getValue((page,))[0]), self.kind) if self.state.containsKey((page,)) else np.empty(0, self.kind)
+
+    def put(self, page: int, rows: np.ndarray) -> None:
+        if len(rows):
+            self.state.updateValue((page,), (rows.tobytes(),))
+        elif self.state.containsKey((page,)):
+            self.state.removeKey((page,))
+
+    def all(self):
+        for key, value in self.state.iterator():
+            yield key[0], np.frombuffer(bytes(value[0]), self.kind)
+
+
 class BacklogProcessor(StatefulProcessor):
     """One shard's queue: version -> (document, attempts, tick of its lease or -1), and documents that others hold until a tick."""
 
@@ -43,51 +78,83 @@ class BacklogProcessor(StatefulProcessor):
         self.limit, self.lease = limit, lease
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.queue = handle.getMapState("queue", "version long", "document long, attempts int, leased long")
-        self.held = handle.getMapState("held", "document long", "until long")
+        self.queue = handle.getMapState("queue", "page long", "entries binary")
+        self.held = handle.getMapState("held", "page long", "entries binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows))
-        found = found.assign(order=found["kind"].map(ORDER)).sort_values(["tick", "order", "version_id", "attempt"])
+        found = pd.concat([r.assign(order=r["kind"].map(ORDER).astype("int8")).drop(columns="kind") for r in rows])
+        found = found.sort_values(["tick", "order", "version_id", "attempt"], kind="stable")
         leased = []
-        for r in found.itertuples(index=False):
-            if r.kind == "tick":
-                leased += self._lease(int(r.tick), int(key[0]))
-            elif r.kind == "hold":
-                self.held.updateValue((int(r.document_id),), (int(r.tick),))
-            elif r.kind == "change":
-                self._change(int(r.version_id), int(r.document_id), bool(r.wanted))
+        for (tick, order), group in found.groupby(["tick", "order"]):  # in their order
+            if order == ORDER["tick"]:
+                for _ in range(len(group)):
+                    leased += self._lease(int(tick), int(key[0]))
+            elif order == ORDER["hold"]:
+                self._hold(group["document_id"].to_numpy(np.int64), int(tick))
+            elif order == ORDER["change"]:
+                self._change(group["version_id"].to_numpy(np.int64), group["document_id"].to_numpy(np.int64), group["wanted"].to_numpy(bool))
             else:
-                self._result(int(r.version_id), int(r.attempt), bool(r.ok))
+                self._result(group["version_id"].to_numpy(np.int64), group["attempt"].to_numpy(np.int64), group["ok"].to_numpy(bool))
         yield pd.DataFrame(leased, columns=["shard", "tick", "version_id", "document_id", "attempt"]).astype({"shard": "int32", "tick": "int64", "version_id": "int64", "document_id": "int64", "attempt": "int32"})
 
-    def _change(self, version: int, document: int, wanted: bool) -> None:
-        known = self.queue.containsKey((version,))
-        if wanted and not known:
-            self.queue.updateValue((version,), (document, 0, -1))
-        elif known and not wanted:
-            self.queue.removeKey((version,))
-
-    def _result(self, version: int, attempt: int, ok: bool) -> None:
-        if not self.queue.containsKey((version,)):
-            return
-        document, attempts, leased = self.queue.getValue((version,))
-        if attempt == attempts and leased >= 0:
-            if ok:
-                self.queue.removeKey((version,))
-            else:
-                self.queue.updateValue((version,), (document, attempts, -1))
+    def _hold(self, documents: np.ndarray, tick: int) -> None:
+        pages, held = documents // PAGE, _Pages(self.held, HOLD)
+        for page, at in pd.Series(pages).groupby(pages).indices.items():
+            known = held.get(int(page))
+            held.put(int(page), _rows(HOLD, np.r_[documents[at], known["id"]], np.r_[np.full(len(at), tick), known["until"]]))
+
+    def _change(self, versions: np.ndarray, documents: np.ndarray, wanted: np.ndarray) -> None:
+        """Of a version's rows, sorted by version: one that is not wanted takes it out; the first that is wanted after that puts it in, where it is not in."""
+        number = np.arange(len(versions))
+        first = np.searchsorted(versions, versions)
+        out = np.full(len(versions), -1)
+        np.maximum.at(out, first[~wanted], number[~wanted])
+        comes = wanted & (number > out[first])
+        pages, queue = versions // PAGE, _Pages(self.queue, ENTRY)
+        for page, at in pd.Series(pages).groupby(pages).indices.items():
+            known, new = queue.get(int(page)), at[comes[at]]
+            known = known[~np.isin(known["id"], versions[at[~wanted[at]]])]
+            columns = (np.r_[known["id"], versions[new]], np.r_[known["document"], documents[new]], np.r_[known["attempts"], np.zeros(len(new), int)], np.r_[known["leased"], np.full(len(new), -1)])
+            queue.put(int(page), _rows(ENTRY, *columns))
+
+    def _result(self, versions: np.ndarray, attempts: np.ndarray, ok: np.ndarray) -> None:
+        pages, queue = versions // PAGE, _Pages(self.queue, ENTRY)
+        for page, at in pd.Series(pages).groupby(pages).indices.items():
+            known = queue.get(int(page)).copy()
+            stays = np.ones(len(known), bool)
+            for i in at:
+                place = np.searchsorted(known["id"], versions[i])
+                if place < len(known) and known["id"][place] == versions[i] and stays[place] and known["attempts"][place] == attempts[i] and known["leased"][place] >= 0:
+                    stays[place] = not ok[i]
+                    known["leased"][place] = -1
+            queue.put(int(page), known[stays])
 
     def _lease(self, tick: int, shard: int) -> list[tuple]:
-        until = {k[0]: v[0] for k, v in self.held.iterator()}
-        for document in [d for d, t in until.items() if t <= tick]:
-            self.held.removeKey((document,))
-            del until[document]
-        free = [(k[0], *v) for k, v in self.queue.iterator() if (v[2] < 0 or tick - v[2] >= self.lease) and v[0] not in until]
-        out = []
-        for version, document, attempts, _ in sorted(free)[: self.limit]:
-            self.queue.updateValue((version,), (document, attempts + 1, tick))
-            out.append((shard, tick, version, document, attempts + 1))
+        held, queue, ids = _Pages(self.held, HOLD), _Pages(self.queue, ENTRY), [np.empty(0, np.int64)]
+        for page, rows in list(held.all()):
+            stays = rows["until"] > tick
+            if not stays.all():
+                held.put(page, rows[stays])
+            ids.append(rows["id"][stays])
+        until = np.sort(np.concatenate(ids))
+        free: dict[int, np.ndarray] = {}
+        for page, rows in queue.all():
+            rows = rows[(rows["leased"] < 0) | (tick - rows["leased"] >= self.lease)]
+            place = np.searchsorted(until, rows["document"])
+            rows = rows[(place == len(until)) | (until[np.minimum(place, len(until) - 1)] != rows["document"])] if len(until) else rows
+            if len(rows):
+                free[page] = rows["id"][: self.limit].copy()
+        out, left = [], self.limit
+        for page in sorted(free):
+            if left <= 0:
+                break
+            rows = queue.get(page).copy()
+            at = np.searchsorted(rows["id"], free[page][:left])
+            rows["attempts"][at] += 1
+            rows["leased"][at] = tick
+            queue.put(page, rows)
+            out += [(shard, tick, int(r["id"]), int(r["document"]), int(r["attempts"])) for r in rows[at]]
+            left -= len(at)
         return out
 
     def close(self) -> None:

@@ -145,3 +145,21 @@ def test_withdrawn_versions_are_not_leased():
     run = queue()
     run(change(1), change(2), change(1, wanted=False, tick=1))
     assert run(tick(2)) == [(2, 2, 1)]
+
+
+def test_many_versions_take_few_calls_of_the_state():
+    p, calls = backlog.BacklogProcessor(3, 2), []
+    p.queue, p.held = Map(), Map()
+    for state in (p.queue, p.held):
+        state.updateValue = lambda k, v, put=state.updateValue: (calls.append(k), put(k, v))
+    columns = [x.rsplit(" ", 1)[0] for x in backlog.EVENTS.split(", ")]
+    rows = [change(v, v) for v in range(1, 20_001)] + [{"kind": "hold", "tick": 9, "document_id": v} for v in range(1, 20_001, 2)]
+    for batch in (rows, [tick(1)]):
+        out = next(p.handleInputRows((0,), iter([pd.DataFrame([dict.fromkeys(columns) | e for e in batch], columns=columns)]), None))
+    assert list(out["version_id"]) == [2, 4, 6] and len(calls) < 100
+
+
+def test_changes_of_one_tick_follow_each_other():
+    run = queue(limit=9)
+    assert run(change(1, 10), change(1, 11), change(2, wanted=False), change(2, 20), change(3), change(3, wanted=False), tick(0)) == [(0, 1, 1), (0, 2, 1)]
+    assert run(change(1, wanted=False, tick=1), change(1, 12, tick=1), tick(1)) == [(1, 1, 1)]
