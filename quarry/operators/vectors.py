@@ -21,6 +21,8 @@ QUERY_BLOCK, CHUNK_BLOCK = 2048, 4096
 FEW_BLOCKS, COLUMNS = 4, 64
 #: Rows that train an index, and those of them that serve as its test queries; nearest chunks that a query re-ranks exactly.
 TRAIN_ROWS, TEST_ROWS, SHORTLIST = 20_000, 200, 100
+#: Scores that a task holds as one matrix: a product of two blocks is taken in strips of queries.
+STRIP = 1 << 20
 _BLOCK = "part bigint, payload binary, vectors binary"
 
 
@@ -40,7 +42,7 @@ def _ipc(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _table(raw: bytes) -> pa.Table:
+def _table(raw: bytes | pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all()
 
 
@@ -90,6 +92,21 @@ def _first(group: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.
     return order[np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)])) < k]
 
 
+def _strips(queries: np.ndarray, rows: int):
+    """Where each strip of queries begins, and the strip: its scores with ``rows`` rows are at most ``STRIP``."""
+    step = max(1, STRIP // max(1, rows))
+    for at in range(0, len(queries), step):
+        yield at, queries[at : at + step]
+
+
+def _cells(batches, names: tuple[str, ...]):
+    """The named values of one row after the other, binary ones where they lie: a batch has many blocks, and is not copied."""
+    for batch in batches:
+        columns = [batch.column(c) for c in names]
+        for i in range(batch.num_rows):
+            yield [c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for c in columns]
+
+
 class _Best:
     """The best ``k`` chunks of each query of one block, over the chunk blocks that a task meets."""
 
@@ -98,20 +115,22 @@ class _Best:
         self.matrix = np.frombuffer(vectors, "<f8").reshape(len(self.ids), -1)
         self.chunk_id, self.query_id, self.k, self.held, self.size = chunk_id, query_id, k, [], 0
 
-    def add(self, payload: bytes, vectors: bytes) -> None:
+    def add(self, payload: bytes | pa.Buffer, vectors: bytes | pa.Buffer) -> None:
         table = _table(payload)
-        score = self.matrix @ np.frombuffer(vectors, "<f8").reshape(table.num_rows, -1).T
-        if table.num_rows > self.k:
-            least = np.partition(score, -self.k, axis=1)[:, -self.k]
-            q, c = np.nonzero(score >= least[:, None])
-        else:
-            q, c = (x.ravel() for x in np.indices(score.shape))
-        found = table.take(pa.array(c)).append_column("q_", pa.array(q, pa.int32())).append_column("score", pa.array(score[q, c]))
-        self.held.append(found)
-        self.size += found.num_rows
-        if self.size > 4 * self.k * len(self.ids):
-            self.held = [self.merged()]
-            self.size = self.held[0].num_rows
+        chunks = np.frombuffer(vectors, "<f8").reshape(table.num_rows, -1).T
+        for at, strip in _strips(self.matrix, table.num_rows):
+            score = strip @ chunks
+            if table.num_rows > self.k:
+                least = np.partition(score, -self.k, axis=1)[:, -self.k]
+                q, c = np.nonzero(score >= least[:, None])
+            else:
+                q, c = (x.ravel() for x in np.indices(score.shape))
+            found = table.take(pa.array(c)).append_column("q_", pa.array(q + at, pa.int32())).append_column("score", pa.array(score[q, c]))
+            self.held.append(found)
+            self.size += found.num_rows
+            if self.size > 3 * self.k * len(self.ids):
+                self.held = [self.merged()]
+                self.size = self.held[0].num_rows
 
     def merged(self) -> pa.Table:
         table = pa.concat_tables(self.held)
@@ -151,13 +170,12 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, *, allow: DataFrame | Non
 
     def best(batches):
         held: dict[int, _Best] = {}
-        for batch in batches:
-            for part, asked_, matrix, payload, vectors in zip(*(batch.column(c).to_pylist() for c in ("part", "asked", "matrix", "payload", "vectors"))):
-                if part not in held:
-                    if len(held) > few:
-                        yield from held.pop(next(iter(held))).batches(out.names)
-                    held[part] = _Best(asked_, matrix, query_id, chunk_id, k)
-                held[part].add(payload, vectors)
+        for part, asked_, matrix, payload, vectors in _cells(batches, ("part", "asked", "matrix", "payload", "vectors")):
+            if part not in held:
+                if len(held) >= max(1, few):
+                    yield from held.pop(next(iter(held))).batches(out.names)
+                held[part] = _Best(asked_.to_pybytes(), matrix.to_pybytes(), query_id, chunk_id, k)  # kept for longer than the batch
+            held[part].add(payload, vectors)
         for found in held.values():
             yield from found.batches(out.names)
 

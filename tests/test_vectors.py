@@ -1,8 +1,10 @@
 """Nearest vectors: blocks and grid against a plain sort; recall of the index."""
 
 import os
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.operators import vectors as vs
@@ -81,3 +83,20 @@ def test_clustered_vectors_need_little_spill(spark):
     exact, near = got(vs.knn(queries, chunks, 10)), got(vs.ann(queries, chunks, 10, index=index))
     assert index.spill <= 2
     assert np.mean([len(set(near[q]) & set(exact[q])) / 10 for q in exact]) >= 0.9
+
+
+def test_a_product_of_two_blocks_is_held_in_strips():
+    r = np.random.default_rng(6)
+    block = lambda name, rows: vs._row(pa.table({name: np.arange(rows), "vector_": list(r.normal(size=(rows, 8)))}), 0)
+    asked, chunks = block("query_id", vs.QUERY_BLOCK), block("chunk_pk", vs.CHUNK_BLOCK)
+    best = vs._Best(asked["payload"][0], asked["vectors"][0], "query_id", "chunk_pk", 3)
+    tracemalloc.start()
+    best.add(chunks["payload"][0], chunks["vectors"][0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * vs.QUERY_BLOCK * vs.CHUNK_BLOCK / 2
+    found = best.merged()
+    x, y = (np.frombuffer(b["vectors"][0]).reshape(-1, 8) for b in (asked, chunks))
+    want = np.argsort(-(x @ y.T), axis=1)[:, :3]
+    order = np.lexsort((-found["score"].to_numpy(), found["q_"].to_numpy()))
+    assert (found["chunk_pk"].to_numpy()[order].reshape(-1, 3) == want).all()
