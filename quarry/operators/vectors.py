@@ -318,12 +318,11 @@ def ann(queries: DataFrame, chunks: DataFrame, k: int, *, index: Index | None =
 
     def look_up(batches):
         ix = sent.value
-        for batch in batches:
-            for cell, block, asked_ in zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "asked"))):
-                entries, ask = _table(block), _table(asked_)
-                q = _matrix(ask.column("v"), ask.num_rows)
-                codes = np.frombuffer(b"".join(entries.column("code").to_pylist()), np.uint8).reshape(entries.num_rows, -1)
-                parts, _, width = ix.books.shape
+        parts, _, width = ix.books.shape
+        for cell, block, asked_ in _cells(batches, ("cell", "block", "asked")):
+            entries, ask = _table(block), _table(asked_)
+            codes = np.frombuffer(b"".join(entries.column("code").to_pylist()), np.uint8).reshape(entries.num_rows, -1)
+            for at, q in _strips(_matrix(ask.column("v"), ask.num_rows), len(codes)):  # cells are uneven: a block may be many times the mean
                 score = np.repeat((q @ ix.centres[cell])[:, None], len(codes), axis=1)
                 split = q.reshape(len(q), parts, width)
                 for m in range(parts):
@@ -333,7 +332,7 @@ def ann(queries: DataFrame, chunks: DataFrame, k: int, *, index: Index | None =
                 else:
                     c = np.tile(np.arange(len(codes)), (len(q), 1))
                 row = np.repeat(np.arange(len(q)), c.shape[1])
-                table = pa.table({query_id: ask.column(query_id).take(pa.array(row)), chunk_id: entries.column("id").take(pa.array(c.ravel())), "near": score[row, c.ravel()]})
+                table = pa.table({query_id: ask.column(query_id).take(pa.array(row + at)), chunk_id: entries.column("id").take(pa.array(c.ravel())), "near": score[row, c.ravel()]})
                 yield from table.to_batches(max_chunksize=10_000)
 
     found = lists.join(groups, "cell").mapInArrow(look_up, near).groupBy(query_id, chunk_id).agg(F.max("near").alias("near"))

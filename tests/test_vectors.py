@@ -100,3 +100,11 @@ def test_a_product_of_two_blocks_is_held_in_strips():
     want = np.argsort(-(x @ y.T), axis=1)[:, :3]
     order = np.lexsort((-found["score"].to_numpy(), found["q_"].to_numpy()))
     assert (found["chunk_pk"].to_numpy()[order].reshape(-1, 3) == want).all()
+
+
+def test_strips_bound_the_scores_of_uneven_blocks():
+    queries = np.arange(700.0).reshape(350, 2)
+    for rows in (1, 4096, 100_000, 2 * vs.STRIP):
+        strips = list(vs._strips(queries, rows))
+        assert all(len(s) == 1 or len(s) * rows <= vs.STRIP for _, s in strips) and [at for at, _ in strips] == list(np.cumsum([0, *(len(s) for _, s in strips[:-1])]))
+        assert (np.concatenate([s for _, s in strips]) == queries).all()
